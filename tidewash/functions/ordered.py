@@ -42,15 +42,17 @@ class Ordered:
         self.rows = write_scratch(
             spread.withColumn(SLICE, F.spark_partition_id()), "ordered"
         )
-        # One row per slice and group: at most slices + groups rows.
-        self._parts = sorted(
-            (r[SLICE], *[r[g] for g in self.group])
-            for r in self.rows.select(SLICE, *map(quoted, self.group))
-            .distinct()
+        # Slices follow the order, so each border between two slices cuts at
+        # most one group: this holds at most two entries per slice, however
+        # many groups there are.
+        parts = self.rows.select(SLICE, *map(quoted, self.group)).distinct()
+        cut = (
+            parts.groupBy(*map(quoted, self.group))
+            .agg(F.sort_array(F.collect_list(SLICE)).alias(SLICE))
+            .where(F.size(SLICE) > 1)
             .collect()
         )
-        groups = [p[1:] for p in self._parts]
-        self._one_slice_each = len(set(groups)) == len(groups)
+        self._cut = {tuple(r[g] for g in self.group): r[SLICE] for r in cut}
 
     def _with(self, rows: DataFrame) -> "Ordered":
         other = object.__new__(Ordered)
@@ -64,6 +66,19 @@ class Ordered:
     def result(self) -> DataFrame:
         return self.rows.drop(SLICE)
 
+    @property
+    def has_cut_groups(self) -> bool:
+        """Whether any group reaches over more than one slice."""
+        return bool(self._cut)
+
+    def _cut_rows(self, rows: DataFrame) -> DataFrame:
+        """Only the rows of groups that reach over more than one slice."""
+        if not self.group:
+            return rows
+        schema = T.StructType([rows.schema[g] for g in self.group])
+        table = rows.sparkSession.createDataFrame(list(self._cut), schema)
+        return rows.join(F.broadcast(table), self.group, "left_semi")
+
     def _over(self) -> str:
         part = ", ".join(map(quoted, [SLICE, *self.group]))
         order = ", ".join(map(quoted, self.by))
@@ -79,10 +94,11 @@ class Ordered:
                 for name in sums
             }
         )
-        if self._one_slice_each:
+        if not self._cut:
             return self._with(summed)
         totals = (
-            rows.groupBy(SLICE, *map(quoted, self.group))
+            self._cut_rows(rows)
+            .groupBy(SLICE, *map(quoted, self.group))
             .agg(*[F.sum(quoted(name)).alias(name) for name in sums])
             .collect()
         )
@@ -124,7 +140,7 @@ class Ordered:
                 for k in range(1, count + 1)
             ]
             added = added.withColumn(name, F.array_compact(F.array(*picks)))
-        if not self._one_slice_each:
+        if self._cut:
             for name, _, direction in sides:
                 carried = self._carried_values(rows, count, direction)
                 value_type = T.ArrayType(rows.schema["_value"].dataType)
@@ -142,7 +158,8 @@ class Ordered:
         )
         part = ", ".join(map(quoted, [SLICE, *self.group]))
         edges = (
-            rows.where(F.col("_value").isNotNull())
+            self._cut_rows(rows)
+            .where(F.col("_value").isNotNull())
             .withColumn(
                 "_place", F.expr(f"row_number() over (partition by {part} order by {order})")
             )
@@ -155,11 +172,11 @@ class Ordered:
             of_part.setdefault((r[SLICE], *[r[g] for g in self.group]), []).append(r["_value"])
         near: dict[tuple, list] = {}
         carried = []
-        for part_key in sorted(self._parts, key=lambda p: p[0], reverse=direction > 0):
-            key = part_key[1:]
-            so_far = near.get(key, [])
-            carried.append((*part_key, so_far))
-            near[key] = (of_part.get(part_key, []) + so_far)[:count]
+        for key, slices in self._cut.items():
+            for place in slices if direction < 0 else reversed(slices):
+                so_far = near.get(key, [])
+                carried.append((place, *key, so_far))
+                near[key] = (of_part.get((place, *key), []) + so_far)[:count]
         return carried
 
     def _join_carried(self, rows: DataFrame, carried: list[tuple], fields: list[tuple]) -> DataFrame:
@@ -169,7 +186,7 @@ class Ordered:
             + [T.StructField(name, data_type) for name, data_type in fields]
         )
         table = rows.sparkSession.createDataFrame(carried, schema)
-        # At most slices + groups rows, so the broadcast does not grow with the data.
+        # At most two rows per slice, however large the table is.
         return rows.join(F.broadcast(table), [SLICE, *self.group], "left")
 
 

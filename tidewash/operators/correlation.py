@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from itertools import combinations
 
@@ -14,25 +15,42 @@ from tidewash.functions.pvalues import correlation_p
 def _pair_values(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple, tuple]:
     """``(r, n)`` for each pair, over the rows where both values are present.
 
-    The pairs share scans: one aggregate holds up to 60 of them.
+    One scan finds the variances and which columns have gaps; only pairs with
+    gaps need variances of their own. A constant column has no correlation.
     """
+    names = sorted({c for pair in pairs for c in pair})
+    single: dict = {}
+    for part in chunks(list(enumerate(names)), 60):
+        aggregates = [F.count("*").alias("rows")]
+        for i, c in part:
+            x = number(df, c)
+            aggregates += [F.count(x).alias(f"n{i}"), F.var_pop(x).alias(f"v{i}")]
+        single.update(df.agg(*aggregates).first().asDict())
+    place = {c: i for i, c in enumerate(names)}
+    gaps = {c for c in names if single[f"n{place[c]}"] < single["rows"]}
+
     found = {}
     for part in chunks(pairs, 60):
         aggregates: list[Column] = []
         for i, (a, b) in enumerate(part):
             x, y = number(df, a), number(df, b)
-            both = x.isNotNull() & y.isNotNull()
-            varies = (F.min(F.when(both, x)) < F.max(F.when(both, x))) & (
-                F.min(F.when(both, y)) < F.max(F.when(both, y))
-            )
-            # A constant column has no correlation; do not report rounding noise.
-            aggregates += [
-                F.when(varies, F.corr(x, y)).alias(f"r{i}"),
-                F.count_if(both).alias(f"n{i}"),
-            ]
-        row = df.agg(*aggregates).first()
-        for i, pair in enumerate(part):
-            found[pair] = (row[f"r{i}"], row[f"n{i}"])
+            aggregates.append(F.covar_pop(x, y).alias(f"c{i}"))
+            if {a, b} & gaps:
+                x_paired, y_paired = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+                aggregates += [
+                    F.var_pop(x_paired).alias(f"x{i}"),
+                    F.var_pop(y_paired).alias(f"y{i}"),
+                    F.count(x_paired).alias(f"n{i}"),
+                ]
+        row = df.agg(*aggregates).first().asDict()
+        for i, (a, b) in enumerate(part):
+            vx = row.get(f"x{i}", single[f"v{place[a]}"])
+            vy = row.get(f"y{i}", single[f"v{place[b]}"])
+            n = row.get(f"n{i}", single["rows"])
+            r = None
+            if n > 1 and vx and vy:
+                r = min(1.0, max(-1.0, row[f"c{i}"] / math.sqrt(vx) / math.sqrt(vy)))
+            found[(a, b)] = (r, n)
     return found
 
 
@@ -94,7 +112,7 @@ def pearson_ranking(
     rows = []
     for c in others:
         r, n = found[(c, target)]
-        if r is not None and n < total and not complete_pairs:
+        if n < total and not complete_pairs:
             r = None
         p = None if r is None else round(correlation_p(r, n), 4)
         rows.append((c, r, p, n))
