@@ -533,5 +533,3 @@ def _regression(rows: DataFrame, target: str, others: list[int]) -> tuple[list[f
     means = [found[f"m{a}"] for a in range(size)]
     base = found["y"] - float(sum(s * m for s, m in zip(slopes, means, strict=True)))
     return [float(s) for s in slopes], base
-
-

@@ -242,5 +242,3 @@ def remove_outliers(
             used[name] = f
             left = left.where(~f.is_outlier(number(df, name)))
     return Removal(left, used)
-
-
