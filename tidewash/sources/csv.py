@@ -105,17 +105,16 @@ def read_csv(
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     """Write with a header; null becomes an empty field, quotes are doubled."""
-    df.write.csv(
-        path,
+    writer = df.write.mode(mode).options(
         header=True,
         escape='"',
         emptyValue="",
-        mode=mode,
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
-        timestampNTZFormat="yyyy-MM-dd HH:mm:ss[.SSSSSS]",
         timestampFormat="yyyy-MM-dd HH:mm:ss[.SSSSSS]",
+        timestampNTZFormat="yyyy-MM-dd HH:mm:ss[.SSSSSS]",
     )
+    writer.csv(path)
 
 
 def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
