@@ -79,10 +79,3 @@ def canonical_list(value: Column) -> Column:
     with different numbers of items never become equal.
     """
     return F.array_join(F.array_sort(list_items(F.lower(value), ",|/")), ", ")
-
-
-def trigrams(value: Column) -> Column:
-    """All runs of three characters of the text padded by one space on each side."""
-    padded = F.concat(F.lit(" "), value, F.lit(" "))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1)))
-    return F.transform(starts, lambda start: F.substring(padded, start, 3))

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidewash.functions.scratch import write_scratch
-from tidewash.functions.text import normalized, trigrams
+from tidewash.functions.text import normalized
 
 TILE = 2048
 MOST_PIVOTS = 256
@@ -29,32 +29,31 @@ TRIGRAM_DIMS = 256
 ANGLE_SLACK = 1e-6
 
 
-def trigram_buckets(value: Column) -> Column:
-    """The trigrams of a text as numbers below ``TRIGRAM_DIMS``."""
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def _trigram_counts(values: pd.Series) -> pd.Series:
+    def counts(value: str) -> np.ndarray:
+        codes = np.frombuffer(f" {value} ".encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        buckets = (codes[:-2] * 961 + codes[1:-1] * 31 + codes[2:]) % TRIGRAM_DIMS
+        return np.bincount(buckets, minlength=TRIGRAM_DIMS).astype(np.float32)
 
-    def bucket(gram: Column) -> Column:
-        a, b, c = (F.ascii(F.substring(gram, i, 1)) for i in (1, 2, 3))
-        return (a * 961 + b * 31 + c) % TRIGRAM_DIMS
-
-    return F.transform(trigrams(value), bucket)
+    return values.map(counts)
 
 
 def trigram_vectors(values: DataFrame, name: str = "value") -> DataFrame:
-    """``id, vector``: counts of hashed character trigrams per distinct value."""
+    """``id, vector``: counts of hashed character trigrams per distinct value.
+
+    A trigram counts in the place that its three code points give, modulo the
+    number of dimensions; the text is padded by one space on either side.
+    """
     distinct = (
         values.select(normalized(F.col(name)).alias("id")).where(F.col("id") != "").distinct()
     )
-    buckets = distinct.withColumn("_b", trigram_buckets(F.col("id")))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(TRIGRAM_DIMS - 1)),
-        lambda i: F.size(F.filter("_b", lambda b: b == i)).cast("float"),
-    )
-    return buckets.select("id", counts.alias("vector"))
+    return distinct.select("id", _trigram_counts("id").alias("vector"))
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
     """Rows scaled to length one; a zero vector stays zero."""
-    matrix = np.array(vectors.tolist(), dtype=np.float64)
+    matrix = np.stack(vectors.to_numpy()).astype(np.float64)
     length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
