@@ -103,12 +103,13 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def chunks(items: list, size: int) -> list[list]:
-    """``items`` in runs of at most ``size``, to keep one aggregate compilable."""
-    return [items[i : i + size] for i in range(0, len(items), size)]
+# Spark compiles an aggregate only while its buffer has at most 100 fields
+# (spark.sql.codegen.maxFields); beyond that it runs several times slower. A
+# count takes one field, a variance three, a covariance four.
+AGGREGATE_FIELDS = 90
 
 
-def stacked(df: DataFrame, parts: list[list[Column]], names: list[str]) -> DataFrame:
-    """One output row per entry of ``parts`` for every input row."""
-    flat = [item for part in parts for item in part]
-    return df.select(F.stack(F.lit(len(parts)), *flat).alias(*names))
+def chunks(items: list, fields: int = 1) -> list[list]:
+    """``items`` in runs whose aggregates, of ``fields`` each, stay compilable."""
+    size = max(1, AGGREGATE_FIELDS // fields)
+    return [items[i : i + size] for i in range(0, len(items), size)]

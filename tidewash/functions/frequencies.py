@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidewash.functions.columns import column, is_numeric, number
+from tidewash.functions.columns import column, number
 
 
 def as_text(df: DataFrame, name: str) -> Column:
@@ -31,46 +31,67 @@ def value_frequencies(
     """
     columns = list(columns)
     counters = counters or {}
-    names = ["column", "value", "number"]
-    parts = [
-        [
-            F.lit(name),
-            as_text(df, name),
-            number(df, name)
-            if is_numeric(df.schema[name].dataType)
-            else F.lit(None).cast("double"),
-        ]
-        for name in columns
-    ]
+    nothing = {"text": "string", "whole": "bigint", "real": "double"}
+    parts = []
+    for name in columns:
+        form = _form(df.schema[name].dataType)
+        value = {
+            "text": column(name).cast("string"),
+            "whole": column(name).cast("bigint"),
+            # Adding zero makes the two zeros equal.
+            "real": number(df, name) + F.lit(0.0),
+        }[form]
+        parts += [F.lit(name)]
+        parts += [value if f == form else F.lit(None).cast(t) for f, t in nothing.items()]
+    keys = ["column", *nothing]
     carried = [expr.cast("int").alias(name) for name, expr in counters.items()]
-    rows = df.select(
-        *carried,
-        F.stack(F.lit(len(parts)), *[item for part in parts for item in part]).alias(*names),
+    grouped = (
+        df.select(*carried, F.stack(F.lit(len(columns)), *parts).alias(*keys))
+        .where("text IS NOT NULL OR whole IS NOT NULL OR real IS NOT NULL")
+        .groupBy(*keys)
+        .agg(F.count("*").alias("n"), *[F.sum(name).alias(name) for name in counters])
     )
-    return (
-        rows.where(F.col("value").isNotNull())
-        .groupBy(*names)
-        .agg(
-            F.count("*").alias("n"),
-            *[F.sum(name).alias(name) for name in counters],
-        )
+    decimals = [c for c in columns if isinstance(df.schema[c].dataType, T.DecimalType)]
+    from_text = (
+        F.when(F.col("column").isin(decimals), F.col("text").try_cast("double"))
+        if decimals
+        else F.lit(None).cast("double")
     )
+    # Numbers become text only after equal values are combined.
+    return grouped.select(
+        "column",
+        F.coalesce("text", F.col("whole").cast("string"), F.col("real").cast("string")).alias("value"),
+        F.coalesce("real", F.col("whole").cast("double"), from_text).alias("number"),
+        "n",
+        *counters,
+    )
+
+
+def _form(data_type: T.DataType) -> str:
+    """How a value is grouped: as whole number, as real number, or as text."""
+    if isinstance(data_type, T.IntegralType):
+        return "whole"
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        return "real"
+    return "text"
 
 
 def column_totals(frequencies: DataFrame) -> DataFrame:
-    """One row per column: values, distinct values, most frequent value.
+    """One row per column: values, distinct values, mean, most frequent value.
 
     Ties go to the smallest value, by number for numeric columns.
     """
     first = F.min(F.struct((-F.col("n")).alias("m"), "number", "value"))
     return frequencies.groupBy("column").agg(
         F.sum("n").alias("total"),
+        (F.sum(F.col("number") * F.col("n")) / F.sum("n")).alias("mean"),
         F.count("*").alias("distinct_values"),
         first.alias("_first"),
     ).select(
         "column",
         "total",
         "distinct_values",
+        "mean",
         F.col("_first.value").alias("top_value"),
         F.col("_first.number").alias("top_number"),
         (-F.col("_first.m")).alias("top_count"),

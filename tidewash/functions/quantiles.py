@@ -141,7 +141,7 @@ def exact_quantiles(
 
 def _one_row(df: DataFrame, aggregates: list[Column]) -> dict:
     answer: dict = {}
-    for part in chunks(aggregates, 150):
+    for part in chunks(aggregates):
         answer.update(df.agg(*part).first().asDict())
     return answer
 
@@ -224,7 +224,11 @@ def _sort_remaining(values: DataFrame, searches: list[_Statistic]) -> None:
         held += group[0].inside
 
     for batch in batches:
-        found = values.agg(
+        # Drop the rows outside every interval before anything is collected.
+        wanted = F.lit(False)
+        for group in batch:
+            wanted = wanted | group[0].mask(F.col(group[0].name)).isNotNull()
+        found = values.where(wanted).agg(
             *[
                 F.transform(
                     F.array(*[F.lit(s.rank - s.below) for s in group]),

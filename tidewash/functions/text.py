@@ -35,18 +35,23 @@ def slug(value: Column) -> Column:
     return F.btrim(joined, F.lit("_"))
 
 
+NUMBER = r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf(inity)?)\z"
+
+
+def plain_number(text: Column) -> Column:
+    """Stripped text as double where it is a decimal number or ``inf``, else null."""
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
 def to_number(value: Column) -> Column:
     """Text as double where it is written as a number, else null.
 
     Signs, exponents, ``inf`` and digit groups joined by single underscores
     are numbers; ``nan`` counts as missing; type suffixes are not numbers.
     """
-    text = normalized(value)
-    plain = F.regexp_replace(text, r"(?<=[0-9])_(?=[0-9])", "")
-    written = plain.rlike(
-        r"^[+-]?([0-9]+\.?[0-9]*([e][+-]?[0-9]+)?|\.[0-9]+([e][+-]?[0-9]+)?|inf|infinity)\z"
-    )
-    return F.when(written, plain.try_cast("double"))
+    text = strip(value)
+    joined = F.regexp_replace(text, r"(?<=[0-9])_(?=[0-9])", "")
+    return plain_number(F.when(text.contains("_"), joined).otherwise(text))
 
 
 def comma_count(value: Column) -> Column:

@@ -249,7 +249,7 @@ def clean(
     )
     names = unique.columns
     after: dict = {}
-    for part in chunks(list(enumerate(names)), 150):
+    for part in chunks(list(enumerate(names))):
         after.update(
             written.agg(
                 F.count("*").alias("unique_rows"),

@@ -3,54 +3,123 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
 from tidewash.functions.columns import chunks, number, numeric_columns
 from tidewash.functions.pvalues import correlation_p
 
 
+# Beyond this many scans with compiled aggregates, one pass with a matrix
+# product over all columns is cheaper.
+MOST_SCANS = 2
+# A variance this small beside the squared offset is rounding, not variation.
+ROUNDING = 1e-12
+
+
 def _pair_values(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple, tuple]:
     """``(r, n)`` for each pair, over the rows where both values are present.
 
-    One scan finds the variances and which columns have gaps; only pairs with
-    gaps need variances of their own. A constant column has no correlation.
+    A constant column has no correlation. A few pairs are aggregated as
+    covariances; many columns, or columns with gaps, go through one pass that
+    adds up products of whole column blocks.
     """
     names = sorted({c for pair in pairs for c in pair})
     single: dict = {}
-    for part in chunks(list(enumerate(names)), 60):
+    for part in chunks(list(enumerate(names)), 6):
         aggregates = [F.count("*").alias("rows")]
         for i, c in part:
             x = number(df, c)
-            aggregates += [F.count(x).alias(f"n{i}"), F.var_pop(x).alias(f"v{i}")]
+            aggregates += [
+                F.count(x).alias(f"n{i}"),
+                F.avg(x).alias(f"m{i}"),
+                F.var_pop(x).alias(f"v{i}"),
+            ]
         single.update(df.agg(*aggregates).first().asDict())
     place = {c: i for i, c in enumerate(names)}
-    gaps = {c for c in names if single[f"n{place[c]}"] < single["rows"]}
+    gaps = any(single[f"n{i}"] < single["rows"] for i in place.values())
+    parts = chunks(pairs, 4)
+    if gaps or len(parts) > MOST_SCANS:
+        return _pair_products(df, names, pairs, [single[f"m{i}"] for i in place.values()])
 
     found = {}
-    for part in chunks(pairs, 60):
-        aggregates: list[Column] = []
+    for part in parts:
+        row = df.agg(
+            *[
+                F.covar_pop(number(df, a), number(df, b)).alias(f"c{i}")
+                for i, (a, b) in enumerate(part)
+            ]
+        ).first()
         for i, (a, b) in enumerate(part):
-            x, y = number(df, a), number(df, b)
-            aggregates.append(F.covar_pop(x, y).alias(f"c{i}"))
-            if {a, b} & gaps:
-                x_paired, y_paired = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-                aggregates += [
-                    F.var_pop(x_paired).alias(f"x{i}"),
-                    F.var_pop(y_paired).alias(f"y{i}"),
-                    F.count(x_paired).alias(f"n{i}"),
-                ]
-        row = df.agg(*aggregates).first().asDict()
-        for i, (a, b) in enumerate(part):
-            vx = row.get(f"x{i}", single[f"v{place[a]}"])
-            vy = row.get(f"y{i}", single[f"v{place[b]}"])
-            n = row.get(f"n{i}", single["rows"])
-            r = None
-            if n > 1 and vx and vy:
-                r = min(1.0, max(-1.0, row[f"c{i}"] / math.sqrt(vx) / math.sqrt(vy)))
-            found[(a, b)] = (r, n)
+            n = single["rows"]
+            vx, vy = single[f"v{place[a]}"], single[f"v{place[b]}"]
+            found[(a, b)] = (_bounded(row[f"c{i}"], vx, vy) if n > 1 else None, n)
+    return found
+
+
+def _bounded(shared: float, vx: float, vy: float) -> float | None:
+    if not vx or not vy:
+        return None
+    return min(1.0, max(-1.0, shared / math.sqrt(vx) / math.sqrt(vy)))
+
+
+def _pair_products(
+    df: DataFrame, names: list[str], pairs: list[tuple[str, str]], means: list[float | None]
+) -> dict[tuple, tuple]:
+    """Pairwise complete correlations from sums of products, in one pass.
+
+    Every task adds up four matrices as wide as the number of columns; only
+    these are shuffled. Values are taken relative to their mean, which keeps
+    the sums accurate.
+    """
+    size = len(names)
+    offset = np.array([m or 0.0 for m in means])
+    values = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(names)])
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((4, size, size))
+        for batch in batches:
+            x = batch.to_numpy(dtype=np.float64) - offset
+            seen = ~np.isnan(x)
+            x = np.where(seen, x, 0.0)
+            there = seen.astype(np.float64)
+            total[0] += there.T @ there
+            total[1] += x.T @ there
+            total[2] += (x * x).T @ there
+            total[3] += x.T @ x
+        yield pd.DataFrame(
+            {"place": np.arange(total.size, dtype=np.int32), "total": total.ravel()}
+        )
+
+    # Four numbers per pair of columns, however many rows there are.
+    summed = (
+        values.mapInPandas(products, "place int, total double")
+        .groupBy("place")
+        .agg(F.sum("total").alias("total"))
+        .orderBy("place")
+        .toPandas()["total"]
+        .to_numpy()
+    )
+    if not len(summed):
+        return {pair: (None, 0) for pair in pairs}
+    counts, sums, squares, shared = summed.reshape(4, size, size)
+    found = {}
+    for a, b in pairs:
+        i, j = names.index(a), names.index(b)
+        n = counts[i, j]
+        r = None
+        if n > 1:
+            spread = []
+            for p, q in ((i, j), (j, i)):
+                variance = squares[p, q] / n - (sums[p, q] / n) ** 2
+                spread.append(variance if variance > ROUNDING * squares[p, q] / n else 0.0)
+            covariance = shared[i, j] / n - sums[i, j] / n * sums[j, i] / n
+            r = _bounded(covariance, *spread)
+        found[(a, b)] = (None if r is None else float(r), int(n))
     return found
 
 

@@ -22,7 +22,8 @@ from tidewash.operators.profile import missing_counts
 FEW_VALUES = 10
 SIGNIFICANT = 0.05
 LEAST_SAMPLE = 3
-TARGETS_PER_PASS = 30
+# Buffer fields that the widest aggregate needs for one target.
+FIELDS_PER_TARGET = 9
 
 PROFILE_SCHEMA = (
     "target string, column string, type string, "
@@ -117,7 +118,7 @@ def missingness_profile(
     spark = df.sparkSession
     parts = [
         _profile_targets(df, some, others, slices)
-        for some in chunks(targets, TARGETS_PER_PASS)
+        for some in chunks(targets, FIELDS_PER_TARGET)
     ]
     if not parts:
         return _with_significance(spark.createDataFrame([], PROFILE_SCHEMA))

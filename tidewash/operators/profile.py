@@ -31,7 +31,7 @@ def _is_missing(df: DataFrame, name: str) -> Column:
 def missing_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
     """Number of rows, and of missing cells per column, in one scan."""
     found: dict = {}
-    for part in chunks(list(enumerate(df.columns)), 150):
+    for part in chunks(list(enumerate(df.columns))):
         found.update(
             df.agg(
                 F.count("*").alias("rows"),
@@ -191,7 +191,7 @@ def rare_categories(df: DataFrame, names: Iterable[str], below: float = 1.0) ->
 def moments(df: DataFrame, names: list[str]) -> dict[str, dict]:
     """Counts, range, mean, spread, skewness and kurtosis, in one scan."""
     found: dict = {}
-    for part in chunks(list(enumerate(names)), 15):
+    for part in chunks(list(enumerate(names)), 18):
         aggregates = []
         for i, c in part:
             x = number(df, c)
@@ -216,22 +216,21 @@ def moments(df: DataFrame, names: list[str]) -> dict[str, dict]:
 def numeric_stats(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Mean, median, mode and quartiles per numeric column (exact; mode ties: smallest)."""
     names = numeric_columns(df) if names is None else list(names)
-    stats = moments(df, names)
     quartiles = exact_quantiles(df, names)
-    rows = [
-        (c, stats[c]["count"], stats[c]["mean"], *[quartiles[c][p] for p in (0.25, 0.5, 0.75)])
-        for c in names
-    ]
+    rows = [(c, *[quartiles[c][p] for p in (0.25, 0.5, 0.75)]) for c in names]
     table = df.sparkSession.createDataFrame(
-        rows,
-        "column string, count bigint, mean double, q1 double, median double, q3 double",
+        rows, "column string, q1 double, median double, q3 double"
     )
-    modes = column_totals(value_frequencies(df, names)).select(
-        "column", F.col("top_number").alias("mode"), F.col("top_count").alias("mode_count")
+    totals = column_totals(value_frequencies(df, names)).select(
+        "column",
+        F.col("total").alias("count"),
+        "mean",
+        F.col("top_number").alias("mode"),
+        F.col("top_count").alias("mode_count"),
     )
-    return table.join(F.broadcast(modes), "column", "left").select(
+    return table.join(F.broadcast(totals), "column", "left").select(
         "column",
-        "count",
+        F.coalesce("count", F.lit(0)).alias("count"),
         *[F.round(c, 4).alias(c) for c in ("mean", "median", "mode", "q1", "q3")],
         "mode_count",
     )

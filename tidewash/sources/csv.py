@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewash.functions.columns import chunks, column
-from tidewash.functions.text import strip, to_number
+from tidewash.functions.text import plain_number, strip
 
 # The texts that stand for a missing value in a CSV file.
 MISSING_TOKENS = (
@@ -52,12 +52,14 @@ def tokens_to_null(df: DataFrame, tokens: Iterable[str] = MISSING_TOKENS) -> Dat
 def _readings(value: Column) -> dict[str, Column]:
     """For each type, from narrow to wide, the value read as that type."""
     text = strip(value)
-    whole = F.when(text.rlike(r"^[+-]?[0-9]+\z"), text.try_cast("bigint"))
-    number = F.when(~text.contains("_"), to_number(value))
     truth = F.when(value.isin("True", "TRUE", "true"), F.lit(True)).when(
         value.isin("False", "FALSE", "false"), F.lit(False)
     )
-    return {"bigint": whole, "double": number, "boolean": truth}
+    return {
+        "bigint": text.try_cast("bigint"),
+        "double": plain_number(text),
+        "boolean": truth,
+    }
 
 
 def infer_types(df: DataFrame) -> dict[str, str]:
@@ -67,7 +69,7 @@ def infer_types(df: DataFrame) -> dict[str, str]:
     of all columns.
     """
     found: dict = {}
-    for part in chunks(list(enumerate(df.columns)), 50):
+    for part in chunks(list(enumerate(df.columns)), 4):
         aggregates = []
         for i, c in part:
             value = column(c)
