@@ -143,7 +143,7 @@ def boxplot_stats(df: DataFrame, names: Iterable[str] | None = None) -> DataFram
             F.max(inside).alias(f"high{i}"),
             F.count_if(f.is_outlier(x)).alias(f"fliers{i}"),
         ]
-        box = [F.lit(round(v, 4)) for v in (f.q1, f.median, f.q3)]
+        box = [F.round(F.lit(v), 4) for v in (f.q1, f.median, f.q3)]
         parts.append(
             [F.lit(c), *box, F.col(f"low{i}"), F.col(f"high{i}"), F.col(f"fliers{i}")]
         )
@@ -202,7 +202,7 @@ def outlier_records(
         *[c for c in numbered.rows.columns if c.startswith("with_")],
         F.round(F.lit(mean), 4).alias("mean"),
         *[
-            F.lit(round(getattr(fences, b), 4) if fences else None).cast("double").alias(name)
+            F.round(F.lit(getattr(fences, b) if fences else None).cast("double"), 4).alias(name)
             for name, b in bounds.items()
         ],
     )
