@@ -109,6 +109,14 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 AGGREGATE_FIELDS = 90
 
 
+def one_row(df: DataFrame, aggregates: list[Column], fields: int = 1) -> dict:
+    """The values of many aggregates, by name, in as few scans as compile well."""
+    found: dict = {}
+    for part in chunks(aggregates, fields):
+        found.update(df.agg(*part).first().asDict())
+    return found
+
+
 def chunks(items: list, fields: int = 1) -> list[list]:
     """``items`` in runs whose aggregates, of ``fields`` each, stay compilable."""
     size = max(1, AGGREGATE_FIELDS // fields)

@@ -9,12 +9,15 @@ slice.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidewash.functions.columns import quoted
 from tidewash.functions.scratch import write_scratch
 
 SLICE = "_slice"
+ROWS_PER_SLICE = 1_000_000
 
 
 class Ordered:
@@ -34,11 +37,10 @@ class Ordered:
         self.by = list(by)
         self.group = list(group or [])
         keys = [F.col(quoted(c)) for c in self.group + self.by]
-        spread = (
-            df.repartitionByRange(slices, *keys)
-            if slices
-            else df.repartitionByRange(*keys)
-        )
+        # The number of slices follows the table, so that a slice has the same
+        # size at any scale and setting.
+        count = slices or math.ceil(df.count() / ROWS_PER_SLICE) or 1
+        spread = df.repartitionByRange(count, *keys)
         self.rows = write_scratch(
             spread.withColumn(SLICE, F.spark_partition_id()), "ordered"
         )

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewash.functions.columns import chunks, number
+from tidewash.functions.columns import number, one_row
 
 # How many values of one interval may be sorted inside one buffer, and how
 # many such values one aggregate may hold in total.
@@ -89,7 +89,7 @@ def exact_quantiles(
 
     # One scan counts the values and sketches the first brackets.
     wanted = [q for p in probs for q in (max(0.0, p - SPREAD), min(1.0, p + SPREAD))]
-    first = _one_row(
+    first = one_row(
         values,
         [
             e
@@ -139,13 +139,6 @@ def exact_quantiles(
     return result
 
 
-def _one_row(df: DataFrame, aggregates: list[Column]) -> dict:
-    answer: dict = {}
-    for part in chunks(aggregates):
-        answer.update(df.agg(*part).first().asDict())
-    return answer
-
-
 def _sketch(values: DataFrame, searches: list[_Statistic]) -> list[tuple]:
     """Brackets for every search; searches in one interval share one sketch."""
     intervals: dict[tuple, list[_Statistic]] = {}
@@ -163,7 +156,7 @@ def _sketch(values: DataFrame, searches: list[_Statistic]) -> list[tuple]:
                 group[0].mask(F.col(group[0].name)), wanted, SKETCH_ACCURACY
             ).alias(f"g{i}")
         )
-    brackets = _one_row(values, sketches) if sketches else {}
+    brackets = one_row(values, sketches) if sketches else {}
     return [
         ([s], *brackets[f"g{i}"][2 * k : 2 * k + 2])
         for i, group in enumerate(members)
@@ -181,7 +174,7 @@ def _count_and_narrow(values: DataFrame, groups: list[tuple]) -> None:
             counters[(*s.interval(), bound, "<")] = F.count_if(value < bound)
             counters[(*s.interval(), bound, "<=")] = F.count_if(value <= bound)
     names = {key: f"n{i}" for i, key in enumerate(counters)}
-    counted = _one_row(values, [e.alias(names[key]) for key, e in counters.items()])
+    counted = one_row(values, [e.alias(names[key]) for key, e in counters.items()])
 
     for members, low, high in groups:
         found = members[0].interval()

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidewash.functions.columns import chunks, column, text_columns
+from tidewash.functions.columns import column, one_row, text_columns
 from tidewash.functions.scratch import write_scratch
 from tidewash.functions.text import WHITE_SPACE, is_blank, normalized
 
@@ -45,23 +45,24 @@ def normalize_text(df: DataFrame) -> DataFrame:
 
 def changed_text_columns(df: DataFrame) -> DataFrame:
     """``column, changed_rows`` for the text columns that normalising changes."""
-    names = text_columns(df)
-    counts = [
-        F.count_if(~column(c).eqNullSafe(normalized(column(c)))).alias(f"c{i}")
-        for i, c in enumerate(names)
-    ]
-    return _long(df, names, counts, "column string, changed_rows bigint").where(
-        "changed_rows > 0"
-    )
+    rows = [(c, n) for c, n in _changed_counts(df)[1].items() if n]
+    return df.sparkSession.createDataFrame(rows, "column string, changed_rows bigint")
 
 
-def _long(df: DataFrame, names: list[str], counts: list[Column], schema: str) -> DataFrame:
-    """One aggregate ``c0, c1, ...`` per name, turned into one row per name."""
-    if not names:
-        return df.sparkSession.createDataFrame([], schema)
-    fields = [part.split()[0] for part in schema.split(", ")]
-    pairs = [x for i, n in enumerate(names) for x in (F.lit(n), F.col(f"c{i}"))]
-    return df.agg(*counts).select(F.stack(F.lit(len(names)), *pairs).alias(*fields))
+def _changed_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
+    """Number of rows, and of values that normalising changes per text column."""
+    names = text_columns(df)
+    found = one_row(
+        df,
+        [
+            F.count("*").alias("rows"),
+            *[
+                F.count_if(~column(c).eqNullSafe(normalized(column(c)))).alias(f"c{i}")
+                for i, c in enumerate(names)
+            ],
+        ],
+    )
+    return found["rows"], {c: found[f"c{i}"] for i, c in enumerate(names)}
 
 
 def blank_to_null(df: DataFrame) -> DataFrame:
@@ -118,17 +119,18 @@ def drop_sparse_rows(df: DataFrame, threshold: float = SPARSE_PERCENT) -> DataFr
 
 def empty_cells(df: DataFrame) -> DataFrame:
     """``column, empty_count, empty_pct``; the percentage is null without rows."""
-    counts = [
-        F.struct(
-            F.count_if(is_empty(df, c)).alias("empty"), F.count("*").alias("total")
-        ).alias(f"c{i}")
-        for i, c in enumerate(df.columns)
-    ]
-    long = _long(df, df.columns, counts, "column string, found struct")
-    return long.select(
-        "column",
-        F.col("found.empty").alias("empty_count"),
-        (F.try_divide(F.col("found.empty"), F.col("found.total")) * 100).alias("empty_pct"),
+    found = one_row(
+        df,
+        [
+            F.count("*").alias("rows"),
+            *[F.count_if(is_empty(df, c)).alias(f"c{i}") for i, c in enumerate(df.columns)],
+        ],
+    )
+    rows = found["rows"]
+    counts = [(c, found[f"c{i}"]) for i, c in enumerate(df.columns)]
+    return df.sparkSession.createDataFrame(
+        [(c, n, n / rows * 100 if rows else None) for c, n in counts],
+        "column string, empty_count bigint, empty_pct double",
     )
 
 
@@ -233,14 +235,7 @@ def clean(
     so they stay right when a task is run twice.
     """
     headed = normalize_headers(df)
-    texts = text_columns(headed)
-    before = headed.agg(
-        F.count("*").alias("rows"),
-        *[
-            F.count_if(~column(c).eqNullSafe(normalized(column(c)))).alias(f"c{i}")
-            for i, c in enumerate(texts)
-        ],
-    ).first()
+    rows_before, changed = _changed_counts(headed)
     plain = normalize_text(headed)
     unique = drop_duplicates(plain)
     kept = "_kept"
@@ -248,20 +243,17 @@ def clean(
         unique.withColumn(kept, ~is_sparse_row(unique, row_threshold)), "unique"
     )
     names = unique.columns
-    after: dict = {}
-    for part in chunks(list(enumerate(names))):
-        after.update(
-            written.agg(
-                F.count("*").alias("unique_rows"),
-                F.count_if(kept).alias("kept_rows"),
-                *[
-                    F.count_if(F.col(kept) & is_empty(unique, c)).alias(f"e{i}")
-                    for i, c in part
-                ],
-            )
-            .first()
-            .asDict()
-        )
+    after = one_row(
+        written,
+        [
+            F.count("*").alias("unique_rows"),
+            F.count_if(kept).alias("kept_rows"),
+            *[
+                F.count_if(F.col(kept) & is_empty(unique, c)).alias(f"e{i}")
+                for i, c in enumerate(names)
+            ],
+        ],
+    )
     rows = after["kept_rows"]
     dropped = [
         c
@@ -271,12 +263,12 @@ def clean(
     data = blank_to_null(written.where(kept).drop(kept, *dropped))
     return Cleaned(
         data=data,
-        rows_before=before["rows"],
+        rows_before=rows_before,
         rows_after=rows,
         cols_before=len(df.columns),
-        duplicates_removed=before["rows"] - after["unique_rows"],
+        duplicates_removed=rows_before - after["unique_rows"],
         rows_dropped_sparse=after["unique_rows"] - rows,
         cols_dropped_sparse=dropped,
         headers_normalised=header_changes(df),
-        categorical_normalised=[c for i, c in enumerate(texts) if before[f"c{i}"]],
+        categorical_normalised=[c for c, n in changed.items() if n],
     )

@@ -73,6 +73,5 @@ def apply_decisions(df: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
         approved_only(decisions)
         .where(F.col("action") == "remove")
         .select(F.col("row_id").alias("_removed"))
-        .distinct()
     )
     return df.join(removed, column(key) == F.col("_removed"), "left_anti")

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewash.functions.columns import number, numeric_columns
+from tidewash.functions.columns import number, numeric_columns, one_row
 from tidewash.functions.frequencies import column_totals, value_frequencies
 from tidewash.functions.ordered import Ordered
 from tidewash.functions.quantiles import exact_quantiles
@@ -42,8 +42,9 @@ def _scales(
     if not outliers:
         return {}
     names = list(outliers)
-    spread = df.agg(
-        *[
+    spread = one_row(
+        df,
+        [
             e
             for i, c in enumerate(names)
             for e in (
@@ -51,8 +52,9 @@ def _scales(
                 F.avg(outliers[c]).alias(f"m{i}"),
                 F.stddev_pop(outliers[c]).alias(f"s{i}"),
             )
-        ]
-    ).first()
+        ],
+        fields=2,
+    )
     enough = {c: i for i, c in enumerate(names) if spread[f"n{i}"] >= min_samples}
     if eps is None and enough:
         quartiles = exact_quantiles(df, {c: outliers[c] for c in enough}, (0.25, 0.75))
@@ -198,16 +200,18 @@ def numeric_outlier_report(
     fences = iqr_fences(df, names, factor)
     shown = list(fences)
     spark = df.sparkSession
-    measured = df.agg(
-        *[
+    measured = one_row(
+        df,
+        [
             e
             for i, c in enumerate(shown)
             for e in (
                 F.avg(number(df, c)).alias(f"mean{i}"),
                 F.count_if(fences[c].is_outlier(number(df, c))).alias(f"n{i}"),
             )
-        ]
-    ).first() if shown else None
+        ],
+        fields=2,
+    )
     rows = [
         (
             c,

@@ -17,6 +17,7 @@ from tidewash.functions.columns import (
     is_numeric,
     number,
     numeric_columns,
+    one_row,
     quoted,
     text_columns,
 )
@@ -42,16 +43,18 @@ def bounds_numeric(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Mean, quartiles, fences and number of missing cells per numeric column."""
     names = list(names)
     quartiles = exact_quantiles(df, names)
-    found = df.agg(
-        *[
+    found = one_row(
+        df,
+        [
             e
             for i, c in enumerate(names)
             for e in (
                 F.avg(number(df, c)).alias(f"mean{i}"),
                 F.count_if(is_missing(df, c)).alias(f"missing{i}"),
             )
-        ]
-    ).first()
+        ],
+        fields=2,
+    )
     rows = []
     for i, c in enumerate(names):
         q1, median, q3 = (quartiles[c][p] for p in (0.25, 0.5, 0.75))
@@ -80,10 +83,9 @@ def bounds_categorical(df: DataFrame, names: Iterable[str]) -> DataFrame:
     totals = column_totals(freq).select(
         "column", "total", F.col("top_value").alias("dominant_value"), "top_count"
     )
-    rows = df.agg(F.count("*").alias("_rows"), F.lit(1).alias("_all"))
+    rows = F.lit(df.count())
     return (
         freq.join(F.broadcast(totals), "column")
-        .join(F.broadcast(rows), F.lit(1) == F.col("_all"))
         .select(
             "column",
             "value",
@@ -91,7 +93,7 @@ def bounds_categorical(df: DataFrame, names: Iterable[str]) -> DataFrame:
             F.round(F.col("n") / F.col("total"), 4).alias("share"),
             "dominant_value",
             percent(F.col("top_count"), F.col("total")).alias("dominant_pct"),
-            (F.col("_rows") - F.col("total")).alias("total_missing"),
+            (rows - F.col("total")).alias("total_missing"),
         )
     )
 
@@ -287,9 +289,11 @@ def group_fills(
     rows = df.where(is_missing(df, target)).select(
         column(key).alias("row_id"), column(by).alias("group")
     )
-    # One row per group on the right, so a frequent group only makes the left
-    # side uneven, which Spark splits or avoids by a broadcast.
-    found = rows.join(group_values(df, target, by, how), "group")
+    # Stored, so Spark knows its size: a small table of groups is broadcast and
+    # the rows are not shuffled. With one row per group on this side, the join
+    # of a large one splits a frequent group over tasks.
+    values = write_scratch(group_values(df, target, by, how), "groups")
+    found = rows.join(values, "group")
     return _fills(found, target, F.col("value"), f"{how} by {by}", approved)
 
 
@@ -369,16 +373,18 @@ def statistical_choices(
     texts = [c for c in names if c in text_columns(df)]
     choices: dict[str, tuple[str, object]] = {}
     if numbers:
-        found = df.agg(
-            *[
+        found = one_row(
+            df,
+            [
                 e
                 for i, c in enumerate(numbers)
                 for e in (
                     F.avg(number(df, c)).alias(f"mean{i}"),
                     F.skewness(number(df, c)).alias(f"skew{i}"),
                 )
-            ]
-        ).first()
+            ],
+            fields=3,
+        )
         way = {}
         for i, c in enumerate(numbers):
             skew = found[f"skew{i}"]
@@ -477,9 +483,9 @@ def impute_iterative(
     """
     names = list(names)
     inputs = [*names, *[c for c in predictors if c not in names]]
-    start = df.agg(
-        *[F.avg(number(df, c)).alias(f"m{i}") for i, c in enumerate(inputs)]
-    ).first()
+    start = one_row(
+        df, [F.avg(number(df, c)).alias(f"m{i}") for i, c in enumerate(inputs)], fields=2
+    )
     current = write_scratch(
         df.select(
             column(key).alias("_key"),
@@ -519,7 +525,7 @@ def _regression(rows: DataFrame, target: str, others: list[int]) -> tuple[list[f
         aggregates.append(F.covar_pop(f"x{j}", target).alias(f"c{a}"))
         for b, other in enumerate(others[: a + 1]):
             aggregates.append(F.covar_pop(f"x{j}", f"x{other}").alias(f"v{a}_{b}"))
-    found = rows.agg(*aggregates).first()
+    found = one_row(rows, aggregates, fields=4)
     size = len(others)
     if not found["n"]:
         return [0.0] * size, 0.0

@@ -10,7 +10,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewash.functions.columns import column, scalar_columns, text_columns
+from tidewash.functions.columns import column, one_row, scalar_columns, text_columns
 from tidewash.functions.frequencies import as_text, column_totals, value_frequencies
 from tidewash.functions.scratch import write_scratch
 from tidewash.functions.text import (
@@ -38,20 +38,24 @@ REVIEWED_COMMAS, REVIEWED_TOKENS, DOMINANT_PERCENT = 20.0, 50.0, 10.0
 
 
 def text_shape_stats(df: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
-    """Average commas and words per value (as text), one aggregate for all columns."""
+    """Average commas and words per value (as text) of every column."""
     names = scalar_columns(df) if names is None else list(names)
-    one = df.agg(
-        *[
+    found = one_row(
+        df,
+        [
             e
             for i, c in enumerate(names)
             for e in (
                 F.avg(comma_count(as_text(df, c))).alias(f"c{i}"),
                 F.avg(word_count(as_text(df, c))).alias(f"w{i}"),
             )
-        ]
+        ],
+        fields=2,
+    )
+    return df.sparkSession.createDataFrame(
+        [(c, found[f"c{i}"], found[f"w{i}"]) for i, c in enumerate(names)],
+        "column string, avg_commas double, avg_words double",
     )
-    parts = [x for i, c in enumerate(names) for x in (F.lit(c), F.col(f"c{i}"), F.col(f"w{i}"))]
-    return one.select(F.stack(F.lit(len(names)), *parts).alias("column", "avg_commas", "avg_words"))
 
 
 def merge_candidate_columns(df: DataFrame) -> list[str]:

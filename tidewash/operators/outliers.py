@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidewash.functions.columns import column, number, numeric_columns
+from tidewash.functions.columns import column, number, numeric_columns, one_row
 from tidewash.functions.ordered import Ordered
 from tidewash.functions.quantiles import exact_quantiles
 from tidewash.operators.clean import percent
@@ -17,6 +17,15 @@ IQR_FACTOR = 1.5
 QUARTILES = (0.25, 0.5, 0.75)
 
 
+def outlier_filter(df: DataFrame, name: str, fences: Fences) -> Column:
+    """Keeps the outliers of a column, in a form that reaches the parquet scan."""
+    value = column(name)
+    outside = (value < F.lit(fences.lower)) | (value > F.lit(fences.upper))
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return outside & ~F.isnan(value)
+    return outside
+
+
 @dataclass(frozen=True)
 class Fences:
     """Quartiles of a column and the limits beyond which a value is an outlier."""
@@ -52,39 +61,29 @@ def iqr_fences(
     return found
 
 
-def _stacked_row(one: DataFrame, parts: list[list[Column]], schema: list[str]) -> DataFrame:
-    return one.select(
-        F.stack(F.lit(len(parts)), *[x for p in parts for x in p]).alias(*schema)
-    )
-
-
 def outlier_summary(
     df: DataFrame, names: Iterable[str] | None = None, stage: str = "before"
 ) -> DataFrame:
     """Outliers per column, as a share of all rows."""
     names = numeric_columns(df) if names is None else list(names)
-    if not names:
-        return df.sparkSession.createDataFrame(
-            [],
-            "column string, total_rows bigint, outlier_count bigint, "
-            "stage string, outlier_pct double",
-        )
     fences = iqr_fences(df, names)
-    one = df.agg(
-        F.count("*").alias("rows"),
-        *[
-            F.count_if(
-                fences[c].is_outlier(number(df, c)) if c in fences else F.lit(False)
-            ).alias(f"c{i}")
-            for i, c in enumerate(names)
+    found = one_row(
+        df,
+        [
+            F.count("*").alias("rows"),
+            *[
+                F.count_if(fences[c].is_outlier(number(df, c))).alias(f"c{i}")
+                for i, c in enumerate(names)
+                if c in fences
+            ],
         ],
     )
-    parts = [[F.lit(c), F.col("rows"), F.col(f"c{i}")] for i, c in enumerate(names)]
-    long = _stacked_row(one, parts, ["column", "total_rows", "outlier_count"])
-    return long.select(
-        "*",
-        F.lit(stage).alias("stage"),
-        percent(F.col("outlier_count"), F.col("total_rows")).alias("outlier_pct"),
+    rows = [(c, found["rows"], found.get(f"c{i}", 0), stage) for i, c in enumerate(names)]
+    table = df.sparkSession.createDataFrame(
+        rows, "column string, total_rows bigint, outlier_count bigint, stage string"
+    )
+    return table.withColumn(
+        "outlier_pct", percent(F.col("outlier_count"), F.col("total_rows"))
     )
 
 
@@ -114,7 +113,8 @@ def iqr_outlier_rows(df: DataFrame, name: str, factor: float = IQR_FACTOR) -> Da
     if fences is None:
         return df.withColumn("direction", F.lit(None).cast("string")).where(F.lit(False))
     value = number(df, name)
-    return df.where(fences.is_outlier(value)).withColumn("direction", direction(value, fences))
+    found = df.where(outlier_filter(df, name, fences))
+    return found.withColumn("direction", direction(value, fences))
 
 
 def direction(value: Column, fences: Fences) -> Column:
@@ -127,28 +127,26 @@ def boxplot_stats(df: DataFrame, names: Iterable[str] | None = None) -> DataFram
     """The numbers behind a box plot: box, whiskers inside the fences, fliers."""
     names = numeric_columns(df) if names is None else list(names)
     fences = iqr_fences(df, names)
-    shown = [c for c in names if c in fences]
-    if not shown:
-        return df.sparkSession.createDataFrame(
-            [],
-            "column string, q1 double, median double, q3 double, "
-            "whisker_low double, whisker_high double, fliers bigint",
-        )
-    aggregates, parts = [], []
-    for i, c in enumerate(shown):
-        f, x = fences[c], number(df, c)
+    aggregates = []
+    for i, (c, f) in enumerate(fences.items()):
+        x = number(df, c)
         inside = F.when(~f.is_outlier(x), x)
         aggregates += [
             F.min(inside).alias(f"low{i}"),
             F.max(inside).alias(f"high{i}"),
             F.count_if(f.is_outlier(x)).alias(f"fliers{i}"),
         ]
-        box = [F.round(F.lit(v), 4) for v in (f.q1, f.median, f.q3)]
-        parts.append(
-            [F.lit(c), *box, F.col(f"low{i}"), F.col(f"high{i}"), F.col(f"fliers{i}")]
-        )
-    schema = ["column", "q1", "median", "q3", "whisker_low", "whisker_high", "fliers"]
-    return _stacked_row(df.agg(*aggregates), parts, schema)
+    found = one_row(df, aggregates)
+    rows = [
+        (c, f.q1, f.median, f.q3, found[f"low{i}"], found[f"high{i}"], found[f"fliers{i}"])
+        for i, (c, f) in enumerate(fences.items())
+    ]
+    table = df.sparkSession.createDataFrame(
+        rows,
+        "column string, q1 double, median double, q3 double, "
+        "whisker_low double, whisker_high double, fliers bigint",
+    )
+    return table.withColumns({c: F.round(c, 4) for c in ("q1", "median", "q3")})
 
 
 def winsorize(
@@ -179,7 +177,7 @@ def outlier_records(
         if r["column"] != key
     ]
     value = number(df, target)
-    test = fences.is_outlier(value) if fences else F.lit(False)
+    test = outlier_filter(df, target, fences) if fences else F.lit(False)
     found = df.where(test).select(
         column(key).alias("row_id"),
         value.alias("value"),

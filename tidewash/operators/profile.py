@@ -12,6 +12,7 @@ from tidewash.functions.columns import (
     column_kinds,
     number,
     numeric_columns,
+    one_row,
     scalar_columns,
     text_columns,
 )
@@ -30,36 +31,27 @@ def _is_missing(df: DataFrame, name: str) -> Column:
 
 def missing_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
     """Number of rows, and of missing cells per column, in one scan."""
-    found: dict = {}
-    for part in chunks(list(enumerate(df.columns))):
-        found.update(
-            df.agg(
-                F.count("*").alias("rows"),
-                *[F.count_if(_is_missing(df, c)).alias(f"c{i}") for i, c in part],
-            )
-            .first()
-            .asDict()
-        )
+    found = one_row(
+        df,
+        [
+            F.count("*").alias("rows"),
+            *[F.count_if(_is_missing(df, c)).alias(f"c{i}") for i, c in enumerate(df.columns)],
+        ],
+    )
     return found["rows"], {c: found[f"c{i}"] for i, c in enumerate(df.columns)}
 
 
 def missing_summary(df: DataFrame, exclude: Iterable[str] = ()) -> DataFrame:
     """Per column: rows, missing cells, their share, and whether it is excluded."""
     skip = set(exclude)
-    aggregated = df.agg(
-        F.count("*").alias("rows"),
-        *[F.count_if(_is_missing(df, c)).alias(f"c{i}") for i, c in enumerate(df.columns)],
+    total, missing = missing_counts(df)
+    table = df.sparkSession.createDataFrame(
+        [(c, total, missing[c], c in skip) for c in df.columns],
+        "column string, total_rows bigint, missing_count bigint, excluded boolean",
+    )
+    return table.withColumn(
+        "missing_pct", percent(F.col("missing_count"), F.col("total_rows"))
     )
-    parts = [
-        x
-        for i, c in enumerate(df.columns)
-        for x in (F.lit(c), F.col("rows"), F.col(f"c{i}"), F.lit(c in skip))
-    ]
-    return aggregated.select(
-        F.stack(F.lit(len(df.columns)), *parts).alias(
-            "column", "total_rows", "missing_count", "excluded"
-        )
-    ).withColumn("missing_pct", percent(F.col("missing_count"), F.col("total_rows")))
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:
@@ -99,11 +91,8 @@ def describe_dataset(df: DataFrame, samples: int = 0, seed: int = 0) -> DataFram
     )
     schema = "column string, dtype string"
     listed = df.sparkSession.createDataFrame([(c, types[c]) for c in names], schema)
-    rows = df.agg(F.count("*").alias("total_rows"))
-    per_column = listed.join(F.broadcast(totals), "column", "left").join(
-        # One row against one row per column.
-        F.broadcast(rows.withColumn("_all", F.lit(1))),
-        F.lit(1) == F.col("_all"),
+    per_column = listed.join(F.broadcast(totals), "column", "left").withColumn(
+        "total_rows", F.lit(df.count())
     )
     nulls = F.col("total_rows") - F.coalesce(F.col("_present"), F.lit(0))
     described = per_column.select(
@@ -156,11 +145,10 @@ def value_counts(df: DataFrame, name: str) -> DataFrame:
     counted = df.where(column(name).isNotNull()).groupBy(column(name).alias("value")).agg(
         F.count("*").alias("count")
     )
-    total = df.agg(F.count(column(name)).alias("_total"), F.lit(1).alias("_all"))
-    # The total is one row; a window over all values would be one task.
+    # A window over all values would be one task; the total is one number.
+    total = F.lit(df.agg(F.count(column(name))).first()[0])
     return (
-        counted.join(F.broadcast(total), F.lit(1) == F.col("_all"))
-        .select("value", "count", F.round(F.col("count") / F.col("_total"), 4).alias("share"))
+        counted.select("value", "count", F.round(F.col("count") / total, 4).alias("share"))
         .orderBy(F.col("count").desc(), F.col("value"))
     )
 

@@ -22,7 +22,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tidewash.functions.scratch import write_scratch
 from tidewash.functions.text import normalized
 
+# Members of a block, and visitors to it, that meet in one group. A spanning
+# result is small, so its groups may be larger, which shuffles fewer copies.
 TILE = 2048
+SPANNING_TILE = 8192
+STRIP = 512
 MOST_PIVOTS = 256
 TRIGRAM_DIMS = 256
 # Room for rounding when an angle is compared with a block's reach.
@@ -67,7 +71,7 @@ def cosine_pairs(
     threshold: float,
     strict: bool = False,
     spanning: bool = False,
-    tile: int = TILE,
+    tile: int | None = None,
 ) -> DataFrame:
     """``id_a, id_b, cosine`` for all pairs with a cosine of at least ``threshold``.
 
@@ -79,6 +83,7 @@ def cosine_pairs(
     """
     if not threshold > 0:
         raise ValueError("the threshold must be above zero")
+    tile = tile or (SPANNING_TILE if spanning else TILE)
     rows = vectors.select("id", "vector").where(F.col("vector").isNotNull())
     id_type = vectors.schema["id"].dataType.simpleString()
     stored = write_scratch(rows, "vectors")
@@ -127,20 +132,26 @@ def cosine_pairs(
         visit = group[group["role"] == "visit"]
         if home.empty or visit.empty:
             return pd.DataFrame({"id_a": [], "id_b": [], "cosine": []})
-        cosines = _unit(visit["vector"]) @ _unit(home["vector"]).T
-        match = cosines > threshold if strict else cosines >= threshold
+        u, v = _unit(visit["vector"]), _unit(home["vector"])
         visit_ids, home_ids = visit["id"].to_numpy(), home["id"].to_numpy()
-        # Within a block each pair is seen from both sides; keep one of them.
-        same = visit["block"].to_numpy()[:, None] == home["block"].to_numpy()[None, :]
-        match &= ~same | (visit_ids[:, None] < home_ids[None, :])
-        i, j = _forest(match) if spanning else np.nonzero(match)
+        block = home["block"].iloc[0]
+        matches = []
+        for start in range(0, len(u), STRIP):
+            strip = slice(start, start + STRIP)
+            cosines = u[strip] @ v.T
+            match = cosines > threshold if strict else cosines >= threshold
+            # Within a block each pair is seen from both sides; keep one of them.
+            same = visit["block"].to_numpy()[strip] == block
+            match &= ~same[:, None] | (visit_ids[strip][:, None] < home_ids[None, :])
+            matches.append(match if spanning else np.argwhere(match) + [start, 0])
+        i, j = _forest(np.concatenate(matches)) if spanning else np.concatenate(matches).T
         a, b = visit_ids[i], home_ids[j]
         swap = a > b
         return pd.DataFrame(
             {
                 "id_a": np.where(swap, b, a),
                 "id_b": np.where(swap, a, b),
-                "cosine": cosines[i, j],
+                "cosine": np.einsum("ij,ij->i", u[i], v[j]),
             }
         )
 
