@@ -92,7 +92,7 @@ def describe_dataset(df: DataFrame, samples: int = 0, seed: int = 0) -> DataFram
     schema = "column string, dtype string"
     listed = df.sparkSession.createDataFrame([(c, types[c]) for c in names], schema)
     per_column = listed.join(F.broadcast(totals), "column", "left").withColumn(
-        "total_rows", F.lit(df.count())
+        "total_rows", F.lit(df.count()).cast("bigint")
     )
     nulls = F.col("total_rows") - F.coalesce(F.col("_present"), F.lit(0))
     described = per_column.select(
