@@ -6,6 +6,7 @@ from catalog.inputs import union_all, view, with_view
 from catalog.registry import query
 from tidewash.operators import impute as I
 from tidewash.operators import missing as M
+from tidewash.operators.nearest import knn_features_fills
 from tidewash.plans import cleaning as plans
 
 
@@ -512,6 +513,25 @@ def impute_knn(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "impute_knn_features",
+    with_view(
+        "gappy_parts",
+        """
+WITH m AS (SELECT avg(id) AS mi, stddev_pop(id) AS si, avg(size) AS ms, stddev_pop(size) AS ss FROM gappy_parts),
+z AS (SELECT id, (id - mi) / si AS a, (size - ms) / ss AS b, weight FROM gappy_parts, m),
+c AS (SELECT n.id AS row_id, d.weight AS v, row_number() OVER (PARTITION BY n.id
+    ORDER BY round((n.a - d.a) * (n.a - d.a) + (n.b - d.b) * (n.b - d.b), 9), d.id) AS r
+  FROM z n JOIN z d ON n.weight IS NULL AND d.weight IS NOT NULL)
+SELECT row_id, 'weight' AS "column", round(avg(v), 4) AS value, false AS approved
+FROM c WHERE r <= 5 GROUP BY row_id""",
+    ),
+)
+def impute_knn_features(spark: SparkSession, sf: str) -> DataFrame:
+    parts = view(spark, sf, "gappy_parts")
+    return _number(knn_features_fills(parts, "weight", ["id", "size"], "id"))
+
+
 def _regression_round(i: int) -> str:
     """One round: price on weight, then weight on the new price."""
     last = f"r{i - 1}"

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewash.operators import impute as I
+from tidewash.operators.nearest import knn_features_fills
 
 
 def series(spark, values):
@@ -143,3 +144,44 @@ def test_later_columns_see_earlier_fills(spark):
     done = I.impute_sequential(df, "id", fills)
     assert seen == [("a", 1), ("b", 0)]
     assert done.where("a is null or b is null").isEmpty()
+
+
+@pytest.mark.parametrize("tile", [2048, 25])
+@pytest.mark.parametrize("hot", [0.0, 0.5])
+def test_knn_by_several_features(spark, tile, hot):
+    rng = random.Random(14)
+    rows = []
+    for i in range(260):
+        # A share of the rows crowds into one corner, with equal distances.
+        corner = rng.random() < hot
+        a = float(rng.randrange(3)) if corner else rng.uniform(0, 60)
+        b = float(rng.randrange(3)) if corner else rng.uniform(0, 60)
+        rows.append((i, a, b if i % 50 else None, rng.random() if rng.random() < 0.7 else None))
+    df = spark.createDataFrame(rows, "id int, a double, b double, v double")
+    got = {
+        r["row_id"]: float(r["value"])
+        for r in knn_features_fills(df, "v", ["a", "b"], "id", k=4, tile=tile).collect()
+    }
+    a_all = np.array([r[1] for r in rows])
+    b_all = np.array([r[2] for r in rows if r[2] is not None])
+    expected = {}
+    for i, a, b, v in rows:
+        if v is not None or b is None:
+            continue
+        near = sorted(
+            (
+                round(((a - x) / a_all.std()) ** 2 + ((b - y) / b_all.std()) ** 2, 9),
+                j,
+                w,
+            )
+            for j, x, y, w in rows
+            if w is not None and y is not None
+        )[:4]
+        expected[i] = sum(n[2] for n in near) / 4
+    assert got.keys() == expected.keys()
+    assert all(got[i] == pytest.approx(expected[i]) for i in got)
+
+
+def test_knn_without_donors(spark):
+    df = spark.createDataFrame([(1, 1.0, None), (2, 2.0, None)], "id int, a double, v double")
+    assert knn_features_fills(df, "v", ["a"], "id").isEmpty()

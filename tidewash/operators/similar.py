@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidewash.functions.scratch import write_scratch
 from tidewash.functions.text import normalized
+from tidewash.functions.tiles import MOST_PIVOTS, meet
 
 # Members of a block, and visitors to it, that meet in one group. A spanning
 # result is small, so its groups may be larger, which shuffles fewer copies.
 TILE = 2048
 SPANNING_TILE = 8192
 STRIP = 512
-MOST_PIVOTS = 256
 TRIGRAM_DIMS = 256
 # Room for rounding when an angle is compared with a block's reach.
 ANGLE_SLACK = 1e-6
@@ -91,47 +91,15 @@ def cosine_pairs(
     pivots = _unit_rows(stored, min(MOST_PIVOTS, math.ceil(count / tile)))
     assigned = write_scratch(_assign(stored, pivots, id_type), "blocks")
     # One row per pivot.
-    blocks = {
-        r["block"]: (r["n"], r["radius"])
-        for r in assigned.groupBy("block")
-        .agg(F.count("*").alias("n"), F.max("angle").alias("radius"))
-        .collect()
-    }
     reach = np.full(len(pivots), -1.0)
-    for block, (_, radius) in blocks.items():
-        reach[block] = math.acos(min(1.0, threshold)) + radius + ANGLE_SLACK
+    for r in assigned.groupBy("block").agg(F.max("angle").alias("radius")).collect():
+        reach[r["block"]] = math.acos(min(1.0, threshold)) + r["radius"] + ANGLE_SLACK
 
     visits = _visits(assigned, pivots, reach, id_type)
-    visitors = {r["target"]: r["n"] for r in visits.groupBy("target").agg(F.count("*").alias("n")).collect()}
-    plan = [
-        (j, math.ceil(blocks[j][0] / tile), math.ceil(n / tile)) for j, n in visitors.items()
-    ]
-    tiles = stored.sparkSession.createDataFrame(plan, "target int, home_parts int, visit_parts int")
-    tiles = F.broadcast(tiles)  # one row per pivot
-
-    def spread(side: DataFrame, own: str, other: str, role: str) -> DataFrame:
-        """Put a row into its part of one axis and into every part of the other."""
-        part = F.pmod(F.xxhash64("id"), F.col(f"{own}_parts").cast("bigint")).cast("int")
-        copies = F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1))
-        return side.join(tiles, "target").select(
-            "target",
-            part.alias(f"{own}_part"),
-            copies.alias(f"{other}_part"),
-            F.lit(role).alias("role"),
-            "block",
-            "id",
-            "vector",
-        )
-
-    homes = spread(assigned.withColumn("target", F.col("block")), "home", "visit", "home")
-    guests = spread(visits, "visit", "home", "visit")
+    homes = assigned.select("id", "vector", "block", F.col("block").alias("target"))
     schema = f"id_a {id_type}, id_b {id_type}, cosine double"
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        home = group[group["role"] == "home"]
-        visit = group[group["role"] == "visit"]
-        if home.empty or visit.empty:
-            return pd.DataFrame({"id_a": [], "id_b": [], "cosine": []})
+    def compare(visit: pd.DataFrame, home: pd.DataFrame) -> pd.DataFrame:
         u, v = _unit(visit["vector"]), _unit(home["vector"])
         visit_ids, home_ids = visit["id"].to_numpy(), home["id"].to_numpy()
         block = home["block"].iloc[0]
@@ -155,11 +123,7 @@ def cosine_pairs(
             }
         )
 
-    return (
-        homes.unionByName(guests)
-        .groupBy("target", "home_part", "visit_part")
-        .applyInPandas(compare, schema)
-    )
+    return meet(homes, visits, compare, schema, tile)
 
 
 def _unit_rows(vectors: DataFrame, count: int) -> np.ndarray:
