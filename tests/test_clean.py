@@ -112,3 +112,20 @@ def test_identifier_columns_skip_empty_ones(spark):
 def test_modes_go_to_the_smallest_value(spark):
     df = spark.createDataFrame([(10.0,), (9.0,), (10.0,), (9.0,), (100.0,)], "x double")
     assert P.numeric_stats(df).first()["mode"] == 9.0
+
+
+def test_duplicates_are_counted_by_content_not_by_hash(spark):
+    # A null does not change a row's hash, so these two rows share theirs.
+    rows = [("a", None), (None, "a"), ("a", None), ("b", "c"), ("b", "c"), ("b", "c")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert C.count_duplicates(df) == 3
+    assert C.drop_duplicates(df).count() == 3
+    zeros = spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),), (float("nan"),)], "x double")
+    assert C.count_duplicates(zeros) == zeros.count() - zeros.dropDuplicates().count()
+
+
+def test_many_columns(spark):
+    wide = spark.range(5).select("id", *[F.lit(None).cast("int").alias(f"c{i}") for i in range(400)])
+    assert C.drop_sparse_rows(wide, 99.9).count() == 5
+    assert C.drop_sparse_rows(wide, 99).count() == 0
+    assert P.missing_summary(wide).where("missing_count = 5").count() == 400

@@ -117,6 +117,14 @@ def one_row(df: DataFrame, aggregates: list[Column], fields: int = 1) -> dict:
     return found
 
 
+def added(terms: list[Column]) -> Column:
+    """The sum of many columns, as a shallow tree that any number of terms fits."""
+    while len(terms) > 1:
+        pairs = [terms[i : i + 2] for i in range(0, len(terms), 2)]
+        terms = [p[0] + p[1] if len(p) == 2 else p[0] for p in pairs]
+    return terms[0] if terms else F.lit(0)
+
+
 def chunks(items: list, fields: int = 1) -> list[list]:
     """``items`` in runs whose aggregates, of ``fields`` each, stay compilable."""
     size = max(1, AGGREGATE_FIELDS // fields)

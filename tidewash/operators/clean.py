@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidewash.functions.columns import column, one_row, text_columns
+from tidewash.functions.columns import added, column, one_row, text_columns
 from tidewash.functions.scratch import write_scratch
 from tidewash.functions.text import WHITE_SPACE, is_blank, normalized
 
@@ -77,16 +77,38 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def count_duplicates(df: DataFrame) -> int:
+    """How many rows ``drop_duplicates`` would remove.
+
+    Rows are not shuffled whole: only the hashes are grouped, and rows are
+    compared in full only where a hash occurs more than once.
+    """
+    names = [column(c) for c in df.columns]
+    row_hash = F.xxhash64(*names).alias("_hash")
+    repeated = write_scratch(
+        df.select(row_hash)
+        .groupBy("_hash")
+        .agg(F.count("*").alias("n"))
+        .where("n > 1")
+        .select("_hash"),
+        "hashes",
+    )
+    groups = (
+        df.select(row_hash, *names)
+        .join(repeated, "_hash", "left_semi")
+        .groupBy(*names)
+        .agg(F.count("*").alias("_n"))
+    )
+    return groups.agg(F.sum(F.col("_n") - 1)).first()[0] or 0
+
+
 def duplicate_stats(df: DataFrame) -> DataFrame:
     """``total_rows, duplicate_rows, duplicate_pct`` without removing anything."""
-    groups = df.groupBy(*map(column, df.columns)).agg(F.count("*").alias("_n"))
-    return groups.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"),
-    ).select(
-        "total_rows",
-        "duplicate_rows",
-        percent(F.col("duplicate_rows"), F.col("total_rows")).alias("duplicate_pct"),
+    table = df.sparkSession.createDataFrame(
+        [(df.count(), count_duplicates(df))], "total_rows bigint, duplicate_rows bigint"
+    )
+    return table.withColumn(
+        "duplicate_pct", percent(F.col("duplicate_rows"), F.col("total_rows"))
     )
 
 
@@ -107,9 +129,7 @@ def is_empty(df: DataFrame, name: str) -> Column:
 
 def is_sparse_row(df: DataFrame, threshold: float = SPARSE_PERCENT) -> Column:
     """True where more than ``threshold`` percent of the row's cells are empty."""
-    cells = F.lit(0)
-    for name in df.columns:
-        cells = cells + is_empty(df, name).cast("int")
+    cells = added([is_empty(df, c).cast("int") for c in df.columns])
     return cells / F.lit(len(df.columns)) * 100 > F.lit(float(threshold))
 
 
@@ -153,37 +173,30 @@ def cleaning_diagnostics(
     col_threshold: float = SPARSE_PERCENT,
 ) -> DataFrame:
     """One row: size, duplicates, sparse rows and sparse columns; changes nothing."""
-    flat = df.select(
-        *map(column, df.columns), is_sparse_row(df, row_threshold).alias("_sparse")
-    )
-    groups = flat.groupBy(*map(column, df.columns)).agg(
-        F.count("*").alias("_n"), F.count_if("_sparse").alias("_s")
+    found = one_row(
+        df,
+        [
+            F.count("*").alias("rows"),
+            F.count_if(is_sparse_row(df, row_threshold)).alias("sparse_rows"),
+            *[F.count_if(is_empty(df, c)).alias(f"c{i}") for i, c in enumerate(df.columns)],
+        ],
     )
-    empties = [
-        F.sum(F.when(is_empty(df, c), F.col("_n")).otherwise(0)).alias(f"_e{i}")
+    rows = found["rows"]
+    sparse = [
+        c
         for i, c in enumerate(df.columns)
+        if rows and found[f"c{i}"] / rows * 100 > col_threshold
     ]
-    one = groups.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_count"),
-        F.coalesce(F.sum("_s"), F.lit(0)).alias("sparse_row_count"),
-        *empties,
+    table = df.sparkSession.createDataFrame(
+        [(rows, len(df.columns), count_duplicates(df), found["sparse_rows"], ",".join(sparse))],
+        "rows bigint, cols bigint, duplicate_count bigint, sparse_row_count bigint, "
+        "sparse_cols string",
     )
-    names = [
-        F.when(
-            F.try_divide(F.col(f"_e{i}"), F.col("rows")) * 100 > F.lit(float(col_threshold)),
-            F.lit(c),
-        )
-        for i, c in enumerate(df.columns)
-    ]
-    return one.select(
-        "rows",
-        F.lit(len(df.columns)).cast("bigint").alias("cols"),
-        "duplicate_count",
-        percent(F.col("duplicate_count"), F.col("rows")).alias("duplicate_pct"),
-        "sparse_row_count",
-        percent(F.col("sparse_row_count"), F.col("rows")).alias("sparse_row_pct"),
-        F.concat_ws(",", *names).alias("sparse_cols"),
+    return table.withColumns(
+        {
+            "duplicate_pct": percent(F.col("duplicate_count"), F.col("rows")),
+            "sparse_row_pct": percent(F.col("sparse_row_count"), F.col("rows")),
+        }
     )
 
 

@@ -18,7 +18,7 @@ from tidewash.functions.columns import (
 )
 from tidewash.functions.frequencies import column_totals, value_frequencies
 from tidewash.functions.quantiles import exact_quantiles
-from tidewash.operators.clean import percent
+from tidewash.operators.clean import count_duplicates, percent
 
 IDENTIFIER_PERCENT = 10.0
 
@@ -57,24 +57,23 @@ def missing_summary(df: DataFrame, exclude: Iterable[str] = ()) -> DataFrame:
 def dataset_summary(df: DataFrame) -> DataFrame:
     """One row: size, share of null cells, duplicates and kinds of columns."""
     kinds = list(column_kinds(df).values())
-    groups = df.groupBy(*map(column, df.columns)).agg(F.count("*").alias("_n"))
-    nulls = F.lit(0)
-    for c in df.columns:
-        nulls = nulls + _is_missing(df, c).cast("int")
-    one = groups.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"),
-        F.coalesce(F.sum(nulls * F.col("_n")), F.lit(0)).alias("_nulls"),
+    rows, missing = missing_counts(df)
+    cells = rows * len(df.columns)
+    row = (
+        rows,
+        len(df.columns),
+        sum(missing.values()),
+        cells,
+        count_duplicates(df),
+        *[kinds.count(kind) for kind in ("numeric", "categorical", "datetime")],
     )
-    return one.select(
-        "rows",
-        F.lit(len(df.columns)).cast("bigint").alias("cols"),
-        percent(F.col("_nulls"), F.col("rows") * len(df.columns)).alias("null_pct"),
-        "duplicate_rows",
-        F.lit(kinds.count("numeric")).cast("bigint").alias("numeric_cols"),
-        F.lit(kinds.count("categorical")).cast("bigint").alias("categorical_cols"),
-        F.lit(kinds.count("datetime")).cast("bigint").alias("datetime_cols"),
+    table = df.sparkSession.createDataFrame(
+        [row],
+        "rows bigint, cols bigint, nulls bigint, cells bigint, duplicate_rows bigint, "
+        "numeric_cols bigint, categorical_cols bigint, datetime_cols bigint",
     )
+    null_pct = percent(F.col("nulls"), F.col("cells"))
+    return table.withColumn("null_pct", null_pct).drop("nulls", "cells")
 
 
 def describe_dataset(df: DataFrame, samples: int = 0, seed: int = 0) -> DataFrame:
