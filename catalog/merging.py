@@ -230,6 +230,36 @@ def merge_map_shortest(spark: SparkSession, sf: str) -> DataFrame:
     return G.text_merge_map(table(spark, sf, "part"), "p_name", TEXT_CUTOFF)
 
 
+def _zscore_map_sql(column: str) -> str:
+    """Shortest-member merge map of a column by the z-score of its similarities."""
+    return f"""
+SELECT * FROM (WITH RECURSIVE names AS (SELECT DISTINCT lower(trim({column})) AS v FROM part WHERE trim({column}) <> ''),
+{GRAMS}, m AS (SELECT count(*) AS n FROM names),
+s AS (SELECT (2 * sum(cosine) + min(n)) / (min(n) * min(n)) AS mean,
+  (2 * sum(cosine * cosine) + min(n)) / (min(n) * min(n)) AS sq FROM cos, m),
+hits AS (SELECT id_a AS a, id_b AS b FROM cos, s WHERE cosine > mean + 1.5 * sqrt(sq - mean * mean)),
+ed AS (SELECT a, b FROM hits UNION ALL SELECT b, a FROM hits),
+reach(a, b) AS (SELECT a, a FROM ed UNION SELECT reach.a, ed.b FROM reach JOIN ed ON reach.b = ed.a),
+c AS (SELECT a AS member, min(b) AS cluster_id, count(*) AS size FROM reach GROUP BY a),
+keep AS (SELECT * FROM c WHERE size BETWEEN 2 AND 10),
+short AS (SELECT cluster_id, arg_min(member, lpad(length(member)::VARCHAR, 4, '0') || member) AS merged_to
+  FROM keep GROUP BY cluster_id HAVING NOT bool_or(regexp_matches(member, '[0-9]')))
+SELECT '{column}' AS "column", cluster_id, member AS original, merged_to, false AS approved
+FROM keep JOIN short USING (cluster_id))"""
+
+
+@query("merge_suggestions", union_all([_zscore_map_sql(c) for c in ("p_name", "p_brand", "p_type")]))
+def merge_suggestions(spark: SparkSession, sf: str) -> DataFrame:
+    # The unreviewed variant: similarity by z-score, clusters of two to ten.
+    part = table(spark, sf, "part").select("p_name", "p_brand", "p_type")
+
+    def suggest(df: DataFrame, name: str) -> DataFrame:
+        return G.text_merge_map(df, name, threshold=None, z=1.5, largest=10)
+
+    names = G.merge_candidate_columns(part)
+    return plans.merge_categories(part, names, suggest).reports["merge_map"]
+
+
 EDITS = "edits AS (SELECT a.v AS value_a, b.v AS value_b, levenshtein(a.v, b.v) AS d FROM names a JOIN names b ON a.v < b.v)"
 
 

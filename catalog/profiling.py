@@ -136,6 +136,19 @@ def value_counts(spark: SparkSession, sf: str) -> DataFrame:
     return P.value_counts(view(spark, sf, "dirty_customer"), "segment")
 
 
+@query(
+    "top_values",
+    """
+WITH t AS (SELECT 'p_name' AS "column", p_name AS value, count(*) AS count FROM part GROUP BY p_name
+  UNION ALL SELECT 'p_type', p_type, count(*) FROM part GROUP BY p_type),
+r AS (SELECT "column", row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value)::INTEGER AS place,
+  value, count FROM t)
+SELECT * FROM r WHERE place <= 5""",
+)
+def top_values(spark: SparkSession, sf: str) -> DataFrame:
+    return P.top_values(table(spark, sf, "part"), ["p_name", "p_type"], 5)
+
+
 @query(
     "dominant_value",
     with_view(

@@ -30,6 +30,12 @@ def scratch_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results read from them are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_scratch(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once and return a DataFrame that reads the written table."""
     spark = df.sparkSession

@@ -287,7 +287,7 @@ def text_merge_map(
 
 
 def apply_merge_map(df: DataFrame, merge_map: DataFrame, names: Iterable[str]) -> DataFrame:
-    """Replace the approved originals; every other value stays as it is.
+    """Replace the approved originals in text columns; other values stay as they are.
 
     The map is stored first, so Spark knows its size: a small one is broadcast
     and the table is not shuffled at all.
@@ -299,7 +299,7 @@ def apply_merge_map(df: DataFrame, merge_map: DataFrame, names: Iterable[str]) -
         "merge-map",
     )
     current = df
-    for name in names:
+    for name in [c for c in names if c in text_columns(df)]:
         one = stored.where(F.col("column") == name).select("_original", "_merged_to")
         current = (
             current.join(one, normalized(column(name)) == F.col("_original"), "left")

@@ -153,8 +153,12 @@ def _visits(
                 targets = [np.flatnonzero(row).astype(np.int32) for row in open_]
                 yield batch[["id", "x", "value"]].assign(targets=targets)
 
-    found = rows.mapInPandas(
-        run, f"id {id_type}, x array<double>, value double, targets array<int>"
+    # Stored, because the blocks are counted before the rows are sent to them.
+    found = write_scratch(
+        rows.mapInPandas(
+            run, f"id {id_type}, x array<double>, value double, targets array<int>"
+        ),
+        "visits",
     )
     return found.select("id", "x", "value", F.explode("targets").alias("target"))
 

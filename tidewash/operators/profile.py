@@ -152,6 +152,18 @@ def value_counts(df: DataFrame, name: str) -> DataFrame:
     )
 
 
+def top_values(df: DataFrame, names: Iterable[str], k: int = 5) -> DataFrame:
+    """``column, place, value, count``: the ``k`` most frequent values of each column."""
+    ranked = value_frequencies(df, names).selectExpr(
+        "column",
+        "row_number() over (partition by column order by n desc, number, value) as place",
+        "value",
+        "n as count",
+    )
+    # Each task keeps only `k` rows per column before the shuffle.
+    return ranked.where(F.col("place") <= k)
+
+
 def dominant_values(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """The most frequent value of each column and its share of non-null rows."""
     totals = column_totals(value_frequencies(df, names))

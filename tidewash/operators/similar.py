@@ -165,8 +165,12 @@ def _visits(
                 ]
                 yield batch[["id", "vector", "block"]].assign(targets=targets)
 
-    found = assigned.mapInPandas(
-        find, f"id {id_type}, vector {element}, block int, targets array<int>"
+    # Stored, because the blocks are counted before the rows are sent to them.
+    found = write_scratch(
+        assigned.mapInPandas(
+            find, f"id {id_type}, vector {element}, block int, targets array<int>"
+        ),
+        "visits",
     )
     return found.select("id", "vector", "block", F.explode("targets").alias("target"))
 
