@@ -115,4 +115,22 @@ def test_full_cleaning_with_a_run(spark, tmp_path):
     assert done.data.columns == ["id", "seg", "x"]
     assert done.data.where("seg is null or x is null").isEmpty()
     assert run.is_done("phase_1") and run.is_done("phase_3")
-    assert "outlier_report" in done.reports
+    for name in done.reports:
+        done.reports[name].collect()
+    assert "outlier_report" in done.reports and "missingness" in done.reports
+
+
+def test_reports_without_a_run(spark):
+    done = plans.clean_table(dirty(spark), 70, 70)
+    assert list(done.reports) == [
+        "summary_before", "correlation_before", "profile_before",
+        "changes",
+        "summary_after", "correlation_after", "profile_after",
+    ]
+    assert done.reports["changes"].first()["cols_dropped_sparse"] == "y"
+    assert done.reports["summary_after"].first()["rows"] == 40
+    treated = plans.treat_outliers(done.data, "id", ["x"])
+    assert treated.reports["comparison"].first()["outliers_before"] == 0
+    filled = plans.impute_table(dirty(spark), "Id")
+    assert filled.reports["missing_before"].where("missing_count > 0").count() == 1
+    assert filled.reports["missing_after"].where("missing_count > 0").isEmpty()

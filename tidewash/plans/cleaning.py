@@ -7,7 +7,7 @@ written to the scratch folder.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -50,12 +50,41 @@ def _stored(df: DataFrame, run: Run | None, step: str) -> DataFrame:
     return write_scratch(df, step) if run is None else run.step(step, lambda: df)
 
 
+class Reports(Mapping):
+    """Reports by name, each worked out when it is first asked for."""
+
+    def __init__(self) -> None:
+        self._builders: dict[str, Callable[[], DataFrame]] = {}
+        self._built: dict[str, DataFrame] = {}
+
+    def add(self, name: str, build: Callable[[], DataFrame]) -> None:
+        self._builders[name] = build
+
+    def include(self, other: "Reports", prefix: str = "") -> None:
+        for name in other:
+            self.add(prefix + name, lambda name=name: other[name])
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._builders
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
 @dataclass
 class Outcome:
-    """The resulting table and the reports made on the way."""
+    """The resulting table and the reports on the way to it."""
 
     data: DataFrame
-    reports: dict[str, DataFrame] = field(default_factory=dict)
+    reports: Reports = field(default_factory=Reports)
 
 
 def clean_table(
@@ -71,28 +100,24 @@ def clean_table(
     the second profile always describes the stored result.
     """
 
-    def profile(table: DataFrame, stage: str) -> dict[str, DataFrame]:
-        found = {
-            f"summary_{stage}": dataset_summary(table),
-            f"profile_{stage}": column_profile(table),
-        }
+    def profile(table: DataFrame, stage: str) -> Reports:
+        found = Reports()
+        found.add(f"summary_{stage}", lambda: dataset_summary(table))
         if not minimal_profiling and len(numeric_columns(table)) > 1:
-            found[f"correlation_{stage}"] = pearson_matrix(table)
+            found.add(f"correlation_{stage}", lambda: pearson_matrix(table))
+        found.add(f"profile_{stage}", lambda: column_profile(table))
         return found
 
+    reports = Reports()
     if run is None:
         done = cleaning.clean(df, row_threshold, col_threshold)
-        reports = {
-            **profile(df, "before"),
-            "changes": done.summary(),
-            **profile(done.data, "after"),
-        }
+        reports.include(profile(df, "before"))
+        reports.add("changes", done.summary)
+        reports.include(profile(done.data, "after"))
         return Outcome(done.data, reports)
 
     raw = run.snapshot_input(df)
-    reports = {}
-    for name, report in _profile_steps(run, raw, "before", profile).items():
-        reports[name] = report
+    reports.include(_stored_reports(profile(raw, "before"), run))
     if not run.is_done("clean"):
         done = cleaning.clean(raw, row_threshold, col_threshold)
         run.step("changes", done.summary)
@@ -104,28 +129,19 @@ def clean_table(
                 "cols_removed": len(done.cols_dropped_sparse),
             },
         )
-    reports["changes"] = run.read("changes")
+    reports.add("changes", lambda: run.read("changes"))
     data = run.read("clean")
-    reports.update(_profile_steps(run, data, "after", profile))
+    reports.include(_stored_reports(profile(data, "after"), run))
     return Outcome(data, reports)
 
 
-def _profile_steps(
-    run: Run,
-    table: DataFrame,
-    stage: str,
-    profile: Callable[[DataFrame, str], dict[str, DataFrame]],
-) -> dict[str, DataFrame]:
-    marker = f"profile_{stage}"
-    if not run.is_done(marker):
-        for name, report in profile(table, stage).items():
-            if name != marker:
-                run.step(name, lambda report=report: report)
-            else:
-                last = report
-        run.step(marker, lambda: last)
-    names = [f"summary_{stage}", f"correlation_{stage}", marker]
-    return {name: run.read(name) for name in names if run.is_done(name)}
+def _stored_reports(reports: Reports, run: Run) -> Reports:
+    """Work the reports out now, as steps of the run, unless they are stored already."""
+    stored = Reports()
+    for name in reports:
+        run.step(name, lambda name=name: reports[name])
+        stored.add(name, lambda name=name: run.read(name))
+    return stored
 
 
 def treat_outliers(
@@ -146,10 +162,9 @@ def treat_outliers(
         [c for c in numeric_columns(df) if c != key] if names is None else list(names)
     )
     chosen_rule = beyond(3.0) if rule is None else rule
-    reports = {
-        "boxes_before": boxplot_stats(df, names),
-        "outliers_before": outlier_summary(df, names, "before"),
-    }
+    reports = Reports()
+    reports.add("boxes_before", lambda: boxplot_stats(df, names))
+    reports.add("outliers_before", lambda: outlier_summary(df, names, "before"))
     current = df
     for i, name in enumerate(names):
         records = outlier_records(current, name, key)
@@ -159,14 +174,16 @@ def treat_outliers(
             else approve(decide_by_rule(records, chosen_rule, "matches the removal rule"))
         )
         decisions = _stored(decided, run, f"decisions_{i}_{name}")
-        reports[f"decisions_{name}"] = decisions
+        reports.add(f"decisions_{name}", lambda decisions=decisions: decisions)
         current = _stored(apply_decisions(current, decisions, key), run, f"kept_{i}_{name}")
-    reports["boxes_after"] = boxplot_stats(current, names)
-    reports["outliers_after"] = outlier_summary(current, names, "after")
-    reports["comparison"] = outlier_comparison(
-        reports["outliers_before"], reports["outliers_after"]
+    left = current
+    reports.add("boxes_after", lambda: boxplot_stats(left, names))
+    reports.add("outliers_after", lambda: outlier_summary(left, names, "after"))
+    reports.add(
+        "comparison",
+        lambda: outlier_comparison(reports["outliers_before"], reports["outliers_after"]),
     )
-    return Outcome(current, reports)
+    return Outcome(left, reports)
 
 
 def impute_table(
@@ -189,23 +206,22 @@ def impute_table(
         return neighbour_fills(table, name, key, how, approved=True)
 
     choose = fills or closest
-    profile = missingness_profile(df, exclude=skip)
-    reports = {
-        "patterns_before": null_patterns(df),
-        "missing_before": missing_summary(df, skip),
-        "missingness": profile,
-        "drivers": missingness_drivers(profile, min_signals),
-    }
+    reports = Reports()
+    reports.add("patterns_before", lambda: null_patterns(df))
+    reports.add("missing_before", lambda: missing_summary(df, skip))
+    reports.add("missingness", lambda: missingness_profile(df, exclude=skip))
+    reports.add("drivers", lambda: missingness_drivers(reports["missingness"], min_signals))
     current = df
     for i, name in enumerate(columns_with_gaps(df, skip)):
         proposed = _stored(choose(current, name), run, f"fills_{i}_{name}")
-        reports[f"fills_{name}"] = proposed
+        reports.add(f"fills_{name}", lambda proposed=proposed: proposed)
         current = _stored(
             apply_fills(current, proposed, name, key), run, f"filled_{i}_{name}"
         )
-    reports["patterns_after"] = null_patterns(current)
-    reports["missing_after"] = missing_summary(current, skip)
-    return Outcome(current, reports)
+    filled = current
+    reports.add("patterns_after", lambda: null_patterns(filled))
+    reports.add("missing_after", lambda: missing_summary(filled, skip))
+    return Outcome(filled, reports)
 
 
 def merge_categories(
@@ -227,8 +243,9 @@ def merge_categories(
     if merge_map is None:
         return Outcome(df)
     reviewed = _stored(review(merge_map) if review else merge_map, run, "merge_map")
-    data = apply_merge_map(df, reviewed, names)
-    return Outcome(data, {"merge_map": reviewed})
+    reports = Reports()
+    reports.add("merge_map", lambda: reviewed)
+    return Outcome(apply_merge_map(df, reviewed, names), reports)
 
 
 def label_table(
@@ -240,8 +257,10 @@ def label_table(
 ) -> Outcome:
     """Raw distinct items, labelled rows, and the count of every label."""
     labelled = label_by_rules(df, name, rules, default)
-    counts = label_counts(labelled, label_column(name), top_n)
-    return Outcome(labelled, {"distinct": distinct_atomic_values(df, name), "counts": counts})
+    reports = Reports()
+    reports.add("distinct", lambda: distinct_atomic_values(df, name))
+    reports.add("counts", lambda: label_counts(labelled, label_column(name), top_n))
+    return Outcome(labelled, reports)
 
 
 def full_cleaning(
@@ -259,16 +278,16 @@ def full_cleaning(
     """Clean, analyse outliers and categories, apply what is approved, fill gaps."""
     first = clean_table(df, row_threshold, col_threshold, True, run)
     base = _stored(first.data, run, "phase_1")
-    reports = {f"clean_{n}": r for n, r in first.reports.items()}
-    reports["outlier_report"] = numeric_outlier_report(
-        base, [c for c in numeric_columns(base) if c != key]
-    )
+    reports = Reports()
+    reports.include(first.reports, "clean_")
+    numbers = [c for c in numeric_columns(base) if c != key]
+    reports.add("outlier_report", lambda: numeric_outlier_report(base, numbers))
     treated = treat_outliers(base, key, outlier_names, decide, run=run)
     merged = merge_categories(treated.data, merge_names, review=review, run=run)
     phase_3 = _stored(merged.data, run, "phase_3")
     filled = impute_table(phase_3, key, fills=fills, run=run)
     for part in (treated, merged, filled):
-        reports.update(part.reports)
+        reports.include(part.reports)
     if run is not None:
         run.finish()
     return Outcome(filled.data, reports)
