@@ -1,6 +1,17 @@
 """Everything that is registered, by importing the modules that register it."""
 
-from tidewash.llm import decontaminate, exact_dedup, packing, quality, simhash, token_files  # noqa: F401
+from tidewash.llm import (  # noqa: F401
+    decontaminate,
+    exact_dedup,
+    html_text,
+    lm_scoring,
+    packing,
+    quality,
+    simhash,
+    substring_dedup,
+    token_files,
+    toxicity,
+)
 from tidewash.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
