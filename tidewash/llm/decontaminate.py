@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidewash.functions.scratch import write_scratch
 from tidewash.llm.registry import query, table
@@ -89,10 +89,12 @@ def _bits(hit: np.ndarray | None) -> bytes | None:
     return None if hit is None else np.packbits(hit).tobytes()
 
 
-_SCANNED = "id {}, text string, n_words long, hit_bits binary, items array<string>"
+def _schema(kind: T.DataType, rest: str) -> T.StructType:
+    fields = T.StructType.fromDDL(rest).fields
+    return T.StructType([T.StructField("id", kind), *fields])
 
 
-def _scan(batches: Iterator[pa.RecordBatch], slice_items: list[tuple], length: int, schema):
+def _scan(batches: Iterator[pa.RecordBatch], slice_items: list[tuple], length: int):
     machine = automaton_of(windows(slice_items, length))
     for batch in batches:
         ids, texts, _, bits, items = batch.columns
@@ -172,10 +174,12 @@ def benchmark_hits(
     total = asked.agg(F.sum(F.length("words"))).first()[0] or 0
     slices = max(1, -(-total // item_chars))
     kind = docs.schema[id].dataType
-    scanned = _SCANNED.format(kind.simpleString())
+    scanned = _schema(
+        kind, "text string, n_words long, hit_bits binary, items array<string>"
+    )
     state = docs.select(
-        F.col(id).alias("id"),
-        F.col(text).alias("text"),
+        F.col(f"`{id}`").alias("id"),
+        F.col(f"`{text}`").alias("text"),
         F.lit(0).cast("long").alias("n_words"),
         F.lit(None).cast("binary").alias("hit_bits"),
         F.lit(None).cast("array<string>").alias("items"),
@@ -186,12 +190,15 @@ def benchmark_hits(
         if number:
             state = write_scratch(state, "scanned")
         state = state.mapInArrow(
-            lambda batches, rows=rows: _scan(batches, rows, length, scanned), scanned
+            lambda batches, rows=rows: _scan(batches, rows, length), scanned
         )
     found = state.mapInArrow(
         _spans,
-        f"id {kind.simpleString()}, n_words long, n_hit long, items array<string>, "
-        "spans array<struct<start:int,end:int>>",
+        _schema(
+            kind,
+            "n_words long, n_hit long, items array<string>, "
+            "spans array<struct<start:int,end:int>>",
+        ),
     )
     return found.select(
         F.col("id").alias(id),
@@ -203,6 +210,14 @@ def benchmark_hits(
     )
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that :func:`benchmark_hits` finds clean, with all their columns."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(whole, F.col(f"`{text}`").alias("text"))
+    hits = benchmark_hits(rows, items, id="row", text="text", **options)
+    return hits.where(~F.col("contaminated")).select("row.*")
+
+
 SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),

@@ -70,21 +70,19 @@ def _bucket(key: Column, splitters: Column, count: int) -> Column:
     return F.aggregate(turns, start, halve)["low"]
 
 
-def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, keep_id, group_size, kept, text_sha256`` for every row of ``docs``.
-
-    Texts are equal when they are identical after :func:`normalized`. Of equal
-    texts the row with the smallest id stays. Defined results: a null text is
-    the empty text; a null id sorts last, and ``keep_id`` is null only where a
-    whole group has null ids; rows repeated with the same id form one group of
-    which exactly one row stays; an empty table gives an empty result. Other
-    columns are not looked at, whatever their names.
+def _runs(rows: DataFrame, text: Column, size: bool) -> DataFrame:
+    """``rows`` in the order of their buckets, neighbours compared.
+
+    ``rows`` has an ``id``, and its texts are ``text``, which is normalised before
+    and after the shuffle, so that only the given columns travel. Adds ``first`` (the row begins a run of equal texts in its bucket), ``crosses``
+    (the text may also be in the next bucket), the bucket ``b``, the digest ``d``,
+    ``crossing_text`` for the first rows of crossing runs and, if asked for, each
+    run's ``smallest`` id and ``size``.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id).alias("id"), normalized(F.col(text)).alias("t"))
+    spark = rows.sparkSession
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    splitters = _splitters(rows, buckets)
-    keyed = rows.withColumn("key", _key(F.col("t"), F.col("id")))
+    splitters = _splitters(rows.select("id", normalized(text).alias("t")), buckets)
+    keyed = rows.withColumn("key", _key(normalized(text), F.col("id")))
     if splitters:
         known = F.array(
             *[
@@ -93,53 +91,66 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
             ]
         )
         keyed = keyed.withColumn("b", _bucket(F.col("key"), known, len(splitters)))
-        below, above = F.get(known, F.col("b") - 1), F.get(known, F.col("b"))
 
         def same(splitter: Column) -> Column:
             return F.coalesce(
                 (splitter["p"] == F.col("key.p")) & (splitter["d"] == F.col("key.d")), F.lit(False)
             )
 
+        below, above = F.get(known, F.col("b") - 1), F.get(known, F.col("b"))
         keyed = keyed.withColumn("crosses", same(below) | same(above))
     else:
         keyed = keyed.withColumn("b", F.lit(0)).withColumn("crosses", F.lit(False))
+    dealt = (
+        keyed.withColumn("d", F.unhex("key.d"))
+        .drop("key")
+        .repartition("b")
+        .withColumn("t", normalized(text))
+    )
     in_order = Window.partitionBy("b").orderBy("t", F.col("id").asc_nulls_last())
+    compared = dealt.withColumn("first", ~F.lag("t").over(in_order).eqNullSafe(F.col("t")))
+    crossing = F.when(F.col("first") & F.col("crosses"), F.col("t")).alias("crossing_text")
+    if not size:
+        return compared.select("id", "row", "b", "first", "crosses", "d", crossing)
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     in_run = Window.partitionBy("b", "run")
-    compared = (
-        keyed.select("id", "t", "b", "crosses", F.col("key.d").alias("d"))
-        .withColumn("first", ~F.lag("t").over(in_order).eqNullSafe(F.col("t")))
-        .withColumn(
-            "run",
-            F.sum(F.col("first").cast("long")).over(
-                in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
-        )
-        .select(
-            "id",
-            "b",
-            "run",
-            "first",
-            "crosses",
-            F.unhex("d").alias("d"),
-            F.when(F.col("first") & F.col("crosses"), F.col("t")).alias("crossing_text"),
-        )
+    return (
+        compared.withColumn("run", F.sum(F.col("first").cast("long")).over(so_far))
+        .select("id", "b", "run", "first", "crosses", "d", crossing)
         .withColumn("smallest", F.min("id").over(in_run))
         .withColumn("size", F.count(F.lit(1)).over(in_run))
         .drop("run")
     )
-    runs = write_scratch(compared, "runs")
+
+
+def _first_id(id: str) -> Column:
+    """The smallest id (null last) and its bucket."""
+    return F.min(F.struct(F.col(id).isNull().alias("x"), F.col(id).alias("id"), "b"))
+
+
+def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id, keep_id, group_size, kept, text_sha256`` for every row of ``docs``.
+
+    Texts are equal when they are identical after :func:`normalized`. Of equal
+    texts the row with the smallest id stays. Defined results: a null text is
+    the empty text; a null id sorts last, and ``keep_id`` is null only where a
+    whole group has null ids; rows repeated with the same id form one group of
+    which exactly one row stays; an empty table gives an empty result. Other
+    columns are not looked at, whatever their names.
+    """
+    rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    runs = write_scratch(_runs(rows, F.col("text"), size=True), "runs")
     # One row per bucket and crossing text, so at most two per splitter.
     whole = (
         runs.where("first AND crosses")
         .groupBy("d", "crossing_text")
         .agg(
-            F.min("smallest").alias("whole_smallest"),
             F.sum("size").alias("whole_size"),
-            F.min(F.struct(F.col("smallest").isNull().alias("x"), "smallest", "b"))["b"].alias(
-                "whole_b"
-            ),
+            _first_id("smallest").alias("whole_first"),
         )
-        .select(F.col("d").alias("whole_d"), "whole_smallest", "whole_size", "whole_b")
+        .select(F.col("d").alias("whole_d"), "whole_size", "whole_first.*")
+        .withColumnsRenamed({"id": "whole_smallest", "b": "whole_b"})
+        .drop("x")
     )
     joined = runs.join(
         F.broadcast(whole), F.col("crosses") & (F.col("d") == F.col("whole_d")), "left"
@@ -155,6 +166,27 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     )
 
 
+def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.
+
+    The rows travel with their texts through the one shuffle of the sort.
+    """
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col(f"`{id}`").alias("id"), whole_row.alias("row"))
+    runs = _runs(rows, F.col("row").getField(text), size=False)
+    heads = write_scratch(runs.where("first"), "heads")
+    whole = (
+        heads.where("crosses")
+        .groupBy("d", "crossing_text")
+        .agg(_first_id("id").alias("whole_first"))
+        .select(F.col("d").alias("whole_d"), F.col("whole_first.b").alias("whole_b"))
+    )
+    kept = heads.join(
+        F.broadcast(whole), F.col("crosses") & (F.col("d") == F.col("whole_d")), "left"
+    )
+    return kept.where(~F.col("crosses") | (F.col("b") == F.col("whole_b"))).select("row.*")
+
+
 SQL = r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t

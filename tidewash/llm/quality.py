@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidewash.llm.registry import query, table
 from tidewash.llm.words import Words, cut_words, mix, stretch_hashes, text_blocks
@@ -257,12 +257,16 @@ def select_quality(
 ) -> DataFrame:
     """The rows of ``docs`` with ``P(grade >= grade)`` of at least ``least``, all columns kept."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    scored = docs.select(whole, F.col(text).alias("text"))
-    kind = scored.schema["row"].dataType.simpleString()
+    scored = docs.select(whole, F.col(f"`{text}`").alias("text"))
+    schema = T.StructType(
+        [
+            T.StructField("row", scored.schema["row"].dataType),
+            T.StructField("tails", T.ArrayType(T.DoubleType())),
+        ]
+    )
     return (
         scored.mapInArrow(
-            lambda b: (x.select(["row", "tails"]) for x in _score(b, model)),
-            f"row {kind}, tails array<double>",
+            lambda b: (x.select(["row", "tails"]) for x in _score(b, model)), schema
         )
         .where(F.get("tails", F.lit(grade - 1)) >= least)
         .select("row.*")

@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidewash.functions.scratch import write_scratch
 from tidewash.llm.registry import query, table
@@ -73,20 +73,22 @@ def _fingerprints(
 ) -> Iterator[pa.RecordBatch]:
     for batch, raw in text_blocks(batches):
         found = [fingerprint(shingle_hashes(text, size, seed)) for text in raw]
+        kept = [n for n in batch.schema.names if n != "text"]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(found, pa.int64())], names=["id", "fp"]
+            [*(batch.column(n) for n in kept), pa.array(found, pa.int64())], names=[*kept, "fp"]
         )
 
 
 def simhash(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42
+    docs: DataFrame, text: str = "text", shingle: int = 3, seed: int = 42
 ) -> DataFrame:
-    """``id, fp``: the fingerprint of every row as a signed 64-bit number."""
-    kind = docs.schema[id].dataType.simpleString()
-    return (
-        docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-        .mapInArrow(lambda b: _fingerprints(b, shingle, seed), f"id {kind}, fp long")
-        .withColumnRenamed("id", id)
+    """``docs`` with ``fp``, the text's fingerprint as a signed 64-bit number, for the text."""
+    rest = [c for c in docs.columns if c != text]
+    schema = T.StructType(
+        [*(T.StructField(c, docs.schema[c].dataType) for c in rest), T.StructField("fp", T.LongType())]
+    )
+    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("text")).mapInArrow(
+        lambda b: _fingerprints(b, shingle, seed), schema
     )
 
 
@@ -180,6 +182,18 @@ def fingerprint_links(prints: DataFrame, distance: int = 2) -> DataFrame:
     return pairs.union(stars)
 
 
+def _near_groups(found: DataFrame, distance: int) -> DataFrame:
+    """``fp, component`` and the component's first ``key``, from rows of ``fp, key``."""
+    prints = write_scratch(found.groupBy("fp").agg(F.min("key").alias("key")), "prints")
+    nodes = connected_components(fingerprint_links(prints.select("fp"), distance), "a", "b")
+    named = prints.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "key", F.coalesce("component", "fp").alias("component")
+    )
+    named = write_scratch(named, "named")
+    first = named.groupBy("component").agg(F.min("key").alias("key"))
+    return named.drop("key").join(first, "component")
+
+
 def near_duplicates(
     docs: DataFrame,
     id: str = "doc_id",
@@ -193,22 +207,43 @@ def near_duplicates(
     Fingerprints link when at most ``distance`` bits differ; ``component_id`` is
     the smallest id that links reach, itself included. Defined results: texts
     without words (null, empty, blank) have fingerprint zero, which links like any
-    other; shorter texts than a shingle are one shingle; a null id is its
+    other; texts of fewer words than a shingle are one shingle; a null id is its
     component's name only where all its members have null ids; an empty table
     gives an empty result. Other columns are not looked at.
     """
-    found = write_scratch(
-        simhash(docs, id, text, shingle, seed).select(F.col(id).alias("id"), "fp"), "simhash"
+    rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    found = write_scratch(simhash(rows, "text", shingle, seed), "simhash")
+    key = F.struct(F.col("id").isNull().alias("x"), "id").alias("key")
+    groups = _near_groups(found.select("fp", key), distance)
+    return found.join(groups, "fp").select(
+        F.col("id").alias(id), "fp", F.col("key.id").alias("component_id")
     )
-    prints = write_scratch(found.groupBy("fp").agg(F.min("id").alias("smallest")), "prints")
-    nodes = connected_components(fingerprint_links(prints.select("fp"), distance), "a", "b")
-    named = prints.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "smallest", F.coalesce("component", "fp").alias("component")
-    )
-    named = write_scratch(named, "named")
-    names = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    by_print = named.join(names, "component").select("fp", "component_id")
-    return found.join(by_print, "fp").select(F.col("id").alias(id), "fp", "component_id")
+
+
+def keep_one_of_near(
+    docs: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    shingle: int = 3,
+    seed: int = 42,
+    distance: int = 2,
+) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: the one with the smallest id.
+
+    Rows with the same id in one group are told apart by a hash of their text;
+    repeated rows count as one.
+    """
+    # Two hashes name a row's id and text, also where the id is null.
+    row_id, row_text = F.col(f"`{id}`"), F.col(f"`{text}`")
+    k1, k2 = F.xxhash64(row_id, row_text), F.xxhash64(row_text, F.lit(1), row_id)
+    rows = docs.select(row_id.alias("id"), k1.alias("k1"), k2.alias("k2"), row_text.alias("text"))
+    found = write_scratch(simhash(rows, "text", shingle, seed), "simhash")
+    key = F.struct(F.col("id").isNull().alias("x"), "id", "k1", "k2").alias("key")
+    groups = _near_groups(found.select("fp", key), distance)
+    first = groups.select("key.k1", "key.k2").distinct()
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    once = docs.select(k1.alias("k1"), k2.alias("k2"), whole).dropDuplicates(["k1", "k2"])
+    return once.join(first, ["k1", "k2"], "left_semi").select("row.*")
 
 
 @query("op2_simhash_near_dedup")
