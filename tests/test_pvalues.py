@@ -2,6 +2,7 @@ import math
 
 import pytest
 
+from tidewash.functions import pvalues
 from tidewash.functions.pvalues import (
     beta_share,
     chi2_tail,
@@ -47,3 +48,44 @@ def test_mann_whitney_published_example():
 
 def test_mann_whitney_all_equal():
     assert mann_whitney_p(8.0, 4, 4, 8**3 - 8) == 1.0
+
+
+def counted_tail(u, small, large):
+    """P(U >= u) by counting with the recurrence over the largest value."""
+    table = {}
+
+    def count(m, n, total):
+        if total < 0:
+            return 0
+        if m == 0 or n == 0:
+            return int(total == 0)
+        if (m, n, total) not in table:
+            table[m, n, total] = count(m - 1, n, total - n) + count(m, n - 1, total)
+        return table[m, n, total]
+
+    every = [count(small, large, t) for t in range(small * large + 1)]
+    return sum(every[u:]) / sum(every)
+
+
+@pytest.mark.parametrize("small", range(1, 9))
+def test_exact_tail_counts_all_orders(small):
+    for large in (small, small + 3, 14):
+        for u in range(0, small * large + 1, 5):
+            assert pvalues._exact_tail(u, small, large) == pytest.approx(
+                counted_tail(u, small, large), rel=1e-12
+            )
+
+
+def test_exact_law_does_not_depend_on_the_size():
+    # The smallest value of U has the probability 1 / C(n, small).
+    for large in (33_333, 33_334, 10**6, 10**9):
+        assert mann_whitney_p(0, 3, large, 0) == pytest.approx(2 / math.comb(large + 3, 3))
+    near = [mann_whitney_p(1e9, 8, n, 0) for n in (10**9, 10**9 + 1)]
+    assert near[0] == pytest.approx(near[1], rel=1e-6)
+
+
+def test_not_a_number_has_no_probability():
+    nan = float("nan")
+    assert mann_whitney_p(nan, 3, 9, 0) is None and mann_whitney_p(2, 3, 9, nan) is None
+    assert correlation_p(nan, 9) is None and pvalues.chi2_tail(nan, 2) is None
+    assert pvalues.beta_share(1.0, nan, 0.5) is None
