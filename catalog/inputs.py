@@ -78,6 +78,14 @@ SELECT p_partkey AS id,
        WHEN p_partkey % 37 = 0 THEN upper(p_name)
        WHEN p_partkey % 41 = 0 THEN concat(' ', p_name) ELSE p_name END AS name
 FROM {part}
+""",
+    # Names with misspellings of their own: groups of two or three that belong together.
+    "spelled_parts": """
+SELECT CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN concat(p_name, 's')
+    WHEN 2 THEN upper(p_name) ELSE concat(p_name, 'es') END AS name,
+  CASE p_partkey % 3 WHEN 0 THEN lower(p_type) WHEN 1 THEN concat(p_type, 's') ELSE p_type END AS kind,
+  p_brand AS brand
+FROM {part}
 """,
     "gappy_parts": """
 SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS size,

@@ -130,12 +130,12 @@ def merge_without_approval(spark: SparkSession, sf: str) -> DataFrame:
 # ---- similarity -----------------------------------------------------------------
 
 GRAMS = """
-g AS (SELECT v, (ascii(substr(p, i, 1)) * 961 + ascii(substr(p, i + 1, 1)) * 31 + ascii(substr(p, i + 2, 1))) % 256 AS bucket
-  FROM (SELECT v, ' ' || v || ' ' AS p FROM names), generate_series(1, 60) s(i) WHERE i <= length(p) - 2),
-w AS (SELECT v, bucket, count(*)::DOUBLE AS n FROM g GROUP BY v, bucket),
+g AS (SELECT v, substr(p, i, 3) AS term
+  FROM (SELECT v, p, unnest(range(1, length(p) - 1)) AS i FROM (SELECT v, ' ' || v || ' ' AS p FROM names))),
+w AS (SELECT v, term, count(*)::DOUBLE AS n FROM g GROUP BY v, term),
 l AS (SELECT v, sqrt(sum(n * n)) AS len FROM w GROUP BY v),
 cos AS (SELECT a.v AS id_a, b.v AS id_b, sum(a.n * b.n) / (min(x.len) * min(y.len)) AS cosine
-  FROM w a JOIN w b ON a.bucket = b.bucket AND a.v < b.v JOIN l x ON x.v = a.v JOIN l y ON y.v = b.v GROUP BY a.v, b.v)"""
+  FROM w a JOIN w b ON a.term = b.term AND a.v < b.v JOIN l x ON x.v = a.v JOIN l y ON y.v = b.v GROUP BY a.v, b.v)"""
 PART_NAMES = "names AS (SELECT DISTINCT lower(trim(p_name)) AS v FROM part WHERE trim(p_name) <> '')"
 TYPO_NAMES = "names AS (SELECT DISTINCT lower(trim(name)) AS v FROM typo_parts WHERE trim(name) <> '')"
 TEXT_CUTOFF = 0.62
@@ -143,12 +143,10 @@ TEXT_CUTOFF = 0.62
 
 @query(
     "trigram_vectors",
-    f"WITH {PART_NAMES}, {GRAMS} SELECT v AS id, bucket::INTEGER AS bucket, n AS weight FROM w",
+    f"WITH {PART_NAMES}, {GRAMS} SELECT v AS id, term, n AS weight FROM w",
 )
 def trigram_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = S.trigram_vectors(table(spark, sf, "part"), "p_name")
-    long = vectors.select("id", F.posexplode("vector").alias("bucket", "weight"))
-    return long.where("weight > 0").withColumn("weight", F.col("weight").cast("double"))
+    return S.trigram_terms(table(spark, sf, "part"), "p_name")
 
 
 EMBEDDED = """
@@ -179,20 +177,44 @@ def cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def cosine_edges(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = S.trigram_vectors(view(spark, sf, "typo_parts"), "name")
-    return S.cosine_pairs(vectors, TEXT_CUTOFF).withColumn("cosine", F.round("cosine", 6))
+    terms = S.trigram_terms(view(spark, sf, "typo_parts"), "name")
+    return S.sparse_cosine_pairs(terms, TEXT_CUTOFF).withColumn("cosine", F.round("cosine", 6))
+
+
+ZSCORE = """m AS (SELECT count(*) AS n FROM e),
+s AS (SELECT (2 * sum(cosine) + min(n)) / (min(n) * min(n)) AS mean,
+  (2 * sum(cosine * cosine) + min(n)) / (min(n) * min(n)) AS sq FROM cos, m)"""
 
 
 @query(
-    "cosine_edges_zscore",
+    "zscore_cutoff",
     f"""
-WITH {EMBEDDED}, m AS (SELECT count(*) AS n FROM e),
-s AS (SELECT (2 * sum(cosine) + min(n)) / (min(n) * min(n)) AS mean,
-  (2 * sum(cosine * cosine) + min(n)) / (min(n) * min(n)) AS sq FROM cos, m)
-SELECT id_a, id_b, round(cosine, 6) AS cosine FROM cos, s WHERE cosine > mean + 3 * sqrt(sq - mean * mean)""",
+WITH {EMBEDDED}, {ZSCORE}
+SELECT min(n) AS vectors, round(min(mean), 6) AS mean, round(sqrt(min(sq) - min(mean) * min(mean)), 6) AS deviation,
+  round(min(mean) + 1.5 * sqrt(min(sq) - min(mean) * min(mean)), 6) AS cutoff FROM s, m""",
+)
+def zscore_cutoff(spark: SparkSession, sf: str) -> DataFrame:
+    """The cutoff itself: one row, from one pass over the vectors."""
+    n, mean, deviation = S.similarity_moments(embedded(spark, sf))
+    return spark.createDataFrame(
+        [(n, round(mean, 6), round(deviation, 6), round(mean + 1.5 * deviation, 6))],
+        "vectors bigint, mean double, deviation double, cutoff double",
+    )
+
+
+@query(
+    "zscore_clusters",
+    f"""
+WITH RECURSIVE {EMBEDDED}, {ZSCORE},
+hits AS (SELECT id_a, id_b FROM cos, s WHERE cosine > mean + 3.4 * sqrt(sq - mean * mean)),
+ed AS (SELECT id_a AS a, id_b AS b FROM hits UNION ALL SELECT id_b, id_a FROM hits),
+reach(a, b) AS (SELECT a, a FROM ed UNION SELECT reach.a, ed.b FROM reach JOIN ed ON reach.b = ed.a),
+c AS (SELECT a AS member, min(b) AS cluster_id, count(*) AS size FROM reach GROUP BY a)
+SELECT cluster_id, member, size FROM c WHERE size BETWEEN 2 AND 20""",
 )
-def cosine_edges_zscore(spark: SparkSession, sf: str) -> DataFrame:
-    return S.zscore_pairs(embedded(spark, sf), 3.0).withColumn("cosine", F.round("cosine", 6))
+def zscore_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters by z-score: pairs that span them, not the listing of all edges."""
+    return G.similarity_clusters(embedded(spark, sf), z=3.4)
 
 
 def _clusters_sql(cutoff: float) -> str:
@@ -230,14 +252,18 @@ def merge_map_shortest(spark: SparkSession, sf: str) -> DataFrame:
     return G.text_merge_map(table(spark, sf, "part"), "p_name", TEXT_CUTOFF)
 
 
+SUGGEST_Z = 3.0
+
+
 def _zscore_map_sql(column: str) -> str:
     """Shortest-member merge map of a column by the z-score of its similarities."""
     return f"""
-SELECT * FROM (WITH RECURSIVE names AS (SELECT DISTINCT lower(trim({column})) AS v FROM part WHERE trim({column}) <> ''),
+SELECT * FROM (WITH RECURSIVE names AS (SELECT DISTINCT lower(trim({column})) AS v FROM spelled_parts
+  WHERE trim({column}) <> ''),
 {GRAMS}, m AS (SELECT count(*) AS n FROM names),
 s AS (SELECT (2 * sum(cosine) + min(n)) / (min(n) * min(n)) AS mean,
   (2 * sum(cosine * cosine) + min(n)) / (min(n) * min(n)) AS sq FROM cos, m),
-hits AS (SELECT id_a AS a, id_b AS b FROM cos, s WHERE cosine > mean + 1.5 * sqrt(sq - mean * mean)),
+hits AS (SELECT id_a AS a, id_b AS b FROM cos, s WHERE cosine > mean + {SUGGEST_Z} * sqrt(sq - mean * mean)),
 ed AS (SELECT a, b FROM hits UNION ALL SELECT b, a FROM hits),
 reach(a, b) AS (SELECT a, a FROM ed UNION SELECT reach.a, ed.b FROM reach JOIN ed ON reach.b = ed.a),
 c AS (SELECT a AS member, min(b) AS cluster_id, count(*) AS size FROM reach GROUP BY a),
@@ -248,16 +274,19 @@ SELECT '{column}' AS "column", cluster_id, member AS original, merged_to, false
 FROM keep JOIN short USING (cluster_id))"""
 
 
-@query("merge_suggestions", union_all([_zscore_map_sql(c) for c in ("p_name", "p_brand", "p_type")]))
+@query(
+    "merge_suggestions",
+    with_view("spelled_parts", union_all([_zscore_map_sql(c) for c in ("name", "kind", "brand")])),
+)
 def merge_suggestions(spark: SparkSession, sf: str) -> DataFrame:
-    # The unreviewed variant: similarity by z-score, clusters of two to ten.
-    part = table(spark, sf, "part").select("p_name", "p_brand", "p_type")
+    """The unreviewed variant over all columns: similarity by z-score, clusters of two to ten."""
+    parts = view(spark, sf, "spelled_parts")
 
     def suggest(df: DataFrame, name: str) -> DataFrame:
-        return G.text_merge_map(df, name, threshold=None, z=1.5, largest=10)
+        return G.text_merge_map(df, name, threshold=None, z=SUGGEST_Z, largest=10)
 
-    names = G.merge_candidate_columns(part)
-    return plans.merge_categories(part, names, suggest).reports["merge_map"]
+    names = G.merge_candidate_columns(parts)
+    return plans.merge_categories(parts, names, suggest).reports["merge_map"]
 
 
 EDITS = "edits AS (SELECT a.v AS value_a, b.v AS value_b, levenshtein(a.v, b.v) AS d FROM names a JOIN names b ON a.v < b.v)"

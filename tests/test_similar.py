@@ -198,3 +198,76 @@ def test_synonyms(spark):
     approved = G.synonym_merge_map(df, "v", synonyms).withColumn("approved", F.lit(True))
     got = [r["v"] for r in G.apply_merge_map(df, approved, ["v"]).orderBy("id").collect()]
     assert got == ["united states", "canada", None]
+
+
+def trigrams(value):
+    padded = f" {value} "
+    found = {}
+    for i in range(len(padded) - 2):
+        found[padded[i : i + 3]] = found.get(padded[i : i + 3], 0) + 1
+    return found
+
+
+@pytest.mark.parametrize("threshold", [0.2013, 0.5017, 0.6209, 0.9001])
+def test_sparse_pairs_equal_the_full_matrix(spark, threshold):
+    rng = random.Random(21)
+    words = ["lamp", "lamps", "big lamp", "lampshade", "chair", "chairs", "red chair", "x", "日本語"]
+    values = {" ".join(rng.choice(words) for _ in range(rng.randrange(1, 4))) for _ in range(80)}
+    df = spark.createDataFrame([(f" {v.upper()} ",) for v in values] + [(None,), (" ",)], "v string")
+    terms = S.trigram_terms(df, "v")
+    expected = {}
+    counts = {v: trigrams(v) for v in values}
+    for a in values:
+        for b in values:
+            dot = sum(n * counts[b].get(t, 0) for t, n in counts[a].items())
+            norm = (sum(n * n for n in counts[a].values()) * sum(n * n for n in counts[b].values())) ** 0.5
+            if a < b and dot / norm >= threshold + 1e-9:
+                expected[a, b] = dot / norm
+    got = S.sparse_cosine_pairs(terms, threshold).collect()
+    assert len(got) == len(expected)
+    for r in got:
+        assert r["cosine"] == pytest.approx(expected[r["id_a"], r["id_b"]])
+    n, mean, deviation = S.sparse_similarity_moments(terms)
+    every = sorted(values)
+    matrix = np.array(
+        [
+            [
+                sum(x * counts[b].get(t, 0) for t, x in counts[a].items())
+                / (sum(x * x for x in counts[a].values()) * sum(x * x for x in counts[b].values())) ** 0.5
+                for b in every
+            ]
+            for a in every
+        ]
+    )
+    assert (n, mean, deviation) == (len(every), pytest.approx(matrix.mean()), pytest.approx(matrix.std()))
+
+
+def test_sparse_candidates_are_far_below_all_pairs(spark):
+    rng = random.Random(22)
+    values = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(600)]
+    values += [v + "s" for v in values[:100]]
+    terms = S.trigram_terms(spark.createDataFrame([(v,) for v in values], "v string"), "v")
+    found = S.sparse_cosine_pairs(terms, 0.75)
+    assert found.count() == 100
+    # What the join on rare trigrams makes, before any comparison.
+    vectors = S._unit_terms(terms).select("id", "terms")
+    joined = vectors.select("id", F.explode("terms").alias("t"))
+    upper = joined.groupBy("t").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0]
+    assert upper < len(values) ** 2 / 20
+
+
+def test_pairs_within_blocks(spark):
+    rows = vectors(60, 6, hot=0.5)
+    df = table(spark, rows).withColumn("b", F.when(F.col("id") % 3 != 0, F.col("id") % 3))
+    got = {(r["id_a"], r["id_b"]) for r in S.cosine_pairs(df, 0.8, block="b").collect()}
+    assert got == {(i, j) for i, j in brute_pairs(rows, 0.8) if i % 3 == j % 3}
+
+
+def test_edit_candidates_of_long_texts(spark):
+    rng = random.Random(14)
+    base = "".join(rng.choice("abcd ") for _ in range(10_000)).strip()
+    edited = base[:5000] + "x" + base[5001:9000] + base[9001:]
+    other = "".join(rng.choice("abcd ") for _ in range(10_000)).strip()
+    df = spark.createDataFrame([(base,), (edited,), (other,)], "value string")
+    found = G.edit_candidates(df, 2).collect()
+    assert [r["distance"] for r in found] == [2]

@@ -7,6 +7,7 @@ folder of its own.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,6 +31,11 @@ def scratch_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+def safe_name(label: str) -> str:
+    """A folder name for any label: characters that paths or patterns use are written in hex."""
+    return re.sub(r"[^A-Za-z0-9_.-]", lambda m: f"~{ord(m[0]):x}~", label)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; results read from them are lost."""
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
@@ -39,6 +45,6 @@ def drop_scratch(spark: SparkSession) -> None:
 def write_scratch(df: DataFrame, label: str = "table", compression: str = "snappy") -> DataFrame:
     """Write ``df`` once and return a DataFrame that reads the written table."""
     spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{safe_name(label)}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)

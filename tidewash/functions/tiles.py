@@ -8,8 +8,6 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-MOST_PIVOTS = 256
-
 
 def meet(
     homes: DataFrame,
@@ -27,7 +25,7 @@ def meet(
     """
 
     def sizes(side: DataFrame) -> dict[int, int]:
-        # One row per block, of which there are at most MOST_PIVOTS.
+        # One row per block, of which there is about one for each tile of rows.
         counted = side.groupBy("target").agg(F.count("*").alias("n")).collect()
         return {r["target"]: r["n"] for r in counted}
 

@@ -24,7 +24,13 @@ from tidewash.functions.text import (
 )
 from tidewash.operators.components import clusters_within, connected_components
 from tidewash.operators.decisions import approved_only
-from tidewash.operators.similar import cosine_pairs, trigram_vectors, zscore_pairs
+from tidewash.operators.similar import (
+    cosine_pairs,
+    sparse_cosine_pairs,
+    sparse_zscore_pairs,
+    trigram_terms,
+    zscore_pairs,
+)
 
 MERGE_COLUMNS = ["column", "cluster_id", "original", "merged_to", "approved"]
 MERGE_SCHEMA = (
@@ -159,6 +165,25 @@ def similarity_clusters(
     return clusters_within(connected_components(edges), smallest, largest)
 
 
+def text_clusters(
+    values: DataFrame,
+    name: str = "value",
+    threshold: float | None = None,
+    z: float | None = None,
+    smallest: int = 2,
+    largest: int = 20,
+) -> DataFrame:
+    """``cluster_id, member, size``: distinct values linked by similar character trigrams.
+
+    Give either a cosine ``threshold`` or a ``z`` score.
+    """
+    if (threshold is None) == (z is None):
+        raise ValueError("give either a threshold or a z-score")
+    terms = write_scratch(trigram_terms(values, name), "trigrams")
+    edges = sparse_cosine_pairs(terms, threshold) if z is None else sparse_zscore_pairs(terms, z)
+    return clusters_within(connected_components(edges), smallest, largest)
+
+
 def shortest_merge_map(clusters: DataFrame, name: str) -> DataFrame:
     """Merge every cluster into its shortest member; ties go to the smallest.
 
@@ -183,39 +208,65 @@ def shortest_merge_map(clusters: DataFrame, name: str) -> DataFrame:
     )
 
 
-def _deletions(value: Column) -> Column:
-    """The text and all texts with one character left out."""
-    starts = F.sequence(F.lit(1), F.length(value))
-    shorter = F.transform(
-        starts, lambda i: F.concat(F.substring(value, 1, i - 1), F.substring(value, i + 1, F.length(value)))
-    )
-    return F.array_union(F.array(value), F.when(F.length(value) > 0, shorter).otherwise(F.array(value)))
-
-
 def edit_candidates(values: DataFrame, distance: int = 1, name: str = "value") -> DataFrame:
     """``value_a, value_b, distance`` for distinct values within an edit distance.
 
-    Two texts within ``distance`` edits become equal after leaving at most
-    that many characters out of each, so an equality join on the shortened
-    texts finds all of them. Texts that share a shortened form differ in those
-    few characters only, which keeps the groups small.
+    A text is cut into ``distance + 1`` pieces of about equal size; edits within
+    the distance leave one piece of the shorter text whole, and shift it by at most
+    the distance. So an equality join on the shorter length, the number of the piece
+    and the piece finds all pairs: the shorter text gives its pieces, the longer one
+    what stands at the places where a piece can have moved to. Memory is a fixed
+    multiple of the text, and candidates are verified with the bounded distance.
     """
-    distinct = (
-        values.select(normalized(F.col(name)).alias("v")).where(F.col("v") != "").distinct()
+    if distance < 1:
+        raise ValueError("the distance must be one at least")
+    distinct = write_scratch(
+        values.select(normalized(F.col(name)).alias("v")).where(F.col("v") != "").distinct(),
+        "values",
+    )
+    count = distance + 1
+    length = F.length("v")
+
+    def piece_start(size: Column, k: Column) -> Column:
+        return F.floor(size * k / count).cast("int")
+
+    numbers = F.sequence(F.lit(0), F.lit(distance))
+    own = distinct.select("v", length.alias("size"), F.explode(numbers).alias("k"))
+    start, end = piece_start(F.col("size"), F.col("k")), piece_start(F.col("size"), F.col("k") + 1)
+    pieces = own.select(
+        F.col("v").alias("a"),
+        "size",
+        "k",
+        F.substring("v", start + 1, end - start).alias("piece"),
+    )
+    # The longer text, for each length a shorter partner may have.
+    shorter = F.sequence(F.greatest(F.lit(1), length - distance), length)
+    other = distinct.select("v", F.explode(shorter).alias("size")).select(
+        "v", "size", F.explode(numbers).alias("k")
+    )
+    moved = F.explode(F.sequence(F.lit(-distance), F.lit(distance)))
+    found = (
+        other.select("v", "size", "k", moved.alias("shift"))
+        .select(
+            F.col("v").alias("b"),
+            "size",
+            "k",
+            (start + F.col("shift")).alias("at"),
+            (end - start).alias("width"),
+        )
+        .where((F.col("at") >= 0) & (F.col("at") + F.col("width") <= F.length("b")))
+        .select("b", "size", "k", F.substring("b", F.col("at") + 1, F.col("width")).alias("piece"))
+        .distinct()
     )
-    forms = distinct.select("v", F.explode(_deletions(F.col("v"))).alias("form"))
-    for _ in range(distance - 1):
-        forms = forms.select("v", F.explode(_deletions(F.col("form"))).alias("form")).distinct()
-    left = forms.select(F.col("v").alias("value_a"), "form")
-    right = forms.select(F.col("v").alias("value_b"), "form")
     pairs = (
-        left.join(right, "form")
-        .where(F.col("value_a") < F.col("value_b"))
-        .select("value_a", "value_b")
+        pieces.join(found, ["size", "k", "piece"])
+        .where(F.col("a") != F.col("b"))
+        .select(F.least("a", "b").alias("value_a"), F.greatest("a", "b").alias("value_b"))
         .distinct()
     )
-    edits = F.levenshtein("value_a", "value_b")
-    return pairs.withColumn("distance", edits).where(F.col("distance") <= distance)
+    # The bounded distance is -1 beyond the bound.
+    edits = F.levenshtein("value_a", "value_b", distance)
+    return pairs.withColumn("distance", edits).where(F.col("distance") >= 0)
 
 
 def edit_merge_map(df: DataFrame, name: str, distance: int = 1) -> DataFrame:
@@ -278,8 +329,10 @@ def text_merge_map(
     model; without it, character trigrams are used.
     """
     if vectors is None:
-        vectors = trigram_vectors(distinct_normalized_values(df, name))
-    clusters = similarity_clusters(vectors, threshold, z, smallest, largest)
+        values = distinct_normalized_values(df, name)
+        clusters = text_clusters(values, "value", threshold, z, smallest, largest)
+    else:
+        clusters = similarity_clusters(vectors, threshold, z, smallest, largest)
     return shortest_merge_map(clusters, name)
 
 

@@ -7,7 +7,13 @@ radius; all other blocks are skipped. What is left is compared in tiles: one
 group holds a bounded part of a block and a bounded part of the vectors that
 may match it, so a block that draws a third of all vectors is spread over many
 tasks. Inside a group one matrix product gives all similarities, and only the
-matches leave it.
+matches leave it. The number of blocks follows the number of vectors. For dense
+vectors that are about equally far from each other no block can be skipped, and
+the work is then quadratic; ``block`` limits it to vectors with the same key.
+
+Texts are compared by their character trigrams as sparse vectors
+(:func:`trigram_terms`, :func:`sparse_cosine_pairs`): an equality join on the rare
+trigrams that the cosine bound requires, exact as well, without blocks.
 """
 
 from __future__ import annotations
@@ -17,42 +23,142 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewash.functions.scratch import write_scratch
 from tidewash.functions.text import normalized
-from tidewash.functions.tiles import MOST_PIVOTS, meet
+from tidewash.functions.tiles import meet
 
 # Members of a block, and visitors to it, that meet in one group. A spanning
 # result is small, so its groups may be larger, which shuffles fewer copies.
 TILE = 2048
 SPANNING_TILE = 8192
 STRIP = 512
-TRIGRAM_DIMS = 256
 # Room for rounding when an angle is compared with a block's reach.
 ANGLE_SLACK = 1e-6
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def _trigram_counts(values: pd.Series) -> pd.Series:
-    def counts(value: str) -> np.ndarray:
-        codes = np.frombuffer(f" {value} ".encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-        buckets = (codes[:-2] * 961 + codes[1:-1] * 31 + codes[2:]) % TRIGRAM_DIMS
-        return np.bincount(buckets, minlength=TRIGRAM_DIMS).astype(np.float32)
+def trigram_terms(values: DataFrame, name: str = "value") -> DataFrame:
+    """``id, term, weight``: how often each character trigram is in each distinct value.
 
-    return values.map(counts)
+    Values are stripped and lower-cased; a value is padded by one space on either
+    side. Blank and null values are left out.
+    """
+    distinct = (
+        values.select(normalized(F.col(name)).alias("id")).where(F.col("id") != "").distinct()
+    )
+    padded = F.concat(F.lit(" "), F.col("id"), F.lit(" "))
+    places = F.sequence(F.lit(1), F.length(padded) - 2)
+    grams = F.transform(places, lambda i: F.substring(padded, i, F.lit(3)))
+    return (
+        distinct.select("id", F.explode(grams).alias("term"))
+        .groupBy("id", "term")
+        .agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    )
 
 
-def trigram_vectors(values: DataFrame, name: str = "value") -> DataFrame:
-    """``id, vector``: counts of hashed character trigrams per distinct value.
+def _unit_terms(terms: DataFrame) -> DataFrame:
+    """``id, terms``: each vector's terms with unit weights, from rare to common.
 
-    A trigram counts in the place that its three code points give, modulo the
-    number of dimensions; the text is padded by one space on either side.
+    A term is known by its place in that order: how many vectors have it, then its
+    hash, then the term itself.
     """
-    distinct = (
-        values.select(normalized(F.col(name)).alias("id")).where(F.col("id") != "").distinct()
+    rarity = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    placed = terms.join(rarity, "term").select(
+        "id", F.struct("df", F.xxhash64("term").alias("h"), "term", "weight").alias("entry")
+    )
+    vectors = placed.groupBy("id").agg(F.array_sort(F.collect_list("entry")).alias("terms"))
+    squares = F.aggregate("terms", F.lit(0.0), lambda a, e: a + e["weight"] * e["weight"])
+    return vectors.withColumn("length", F.sqrt(squares)).select(
+        "id",
+        F.transform("terms", lambda e: e["term"]).alias("terms"),
+        F.transform("terms", lambda e: e["weight"] / F.col("length")).alias("weights"),
     )
-    return distinct.select("id", _trigram_counts("id").alias("vector"))
+
+
+def sparse_cosine_pairs(terms: DataFrame, threshold: float, strict: bool = False) -> DataFrame:
+    """``id_a, id_b, cosine`` for all pairs of sparse vectors with enough cosine.
+
+    ``terms`` has ``id, term, weight`` with one row per vector and term. Exact: a
+    vector's terms are ordered from rare to common, and its prefix is cut where
+    what follows is shorter than the threshold. Two vectors whose rarest common
+    term is not in both prefixes stay below the threshold, so an equality join on
+    prefix terms finds all pairs, each once, at that term. Terms that many vectors
+    have come last and are in few prefixes; a prefix term that is still frequent is
+    split by Spark's handling of skewed joins.
+    """
+    if not threshold > 0:
+        raise ValueError("the threshold must be above zero")
+    vectors = write_scratch(_unit_terms(terms), "terms")
+    # Running squares of what is left after each term; a little room for rounding.
+    total = F.aggregate(
+        F.reverse("weights"),
+        F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("all")),
+        lambda a, w: F.struct(
+            (a["s"] + w * w).alias("s"), F.concat(a["all"], F.array(a["s"] + w * w)).alias("all")
+        ),
+    )["all"]
+    least = threshold * threshold - 1e-9
+    prefix = F.size(F.filter(total, lambda left: left >= least))
+    keyed = vectors.select(
+        F.explode(F.slice("terms", 1, prefix)).alias("term"), "id", "terms", "weights"
+    )
+    left, right = (
+        keyed.select("term", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "terms", "weights")])
+        for x in "ab"
+    )
+    common = F.array_intersect("terms_a", "terms_b")  # in the order of the first
+    cosine = F.aggregate(
+        F.transform(
+            "common",
+            lambda t: F.element_at("weights_a", F.array_position("terms_a", t).cast("int"))
+            * F.element_at("weights_b", F.array_position("terms_b", t).cast("int")),
+        ),
+        F.lit(0.0),
+        lambda a, x: a + x,
+    )
+    enough = F.col("cosine") > threshold if strict else F.col("cosine") >= threshold
+    return (
+        left.join(right, "term")
+        .where("id_a < id_b")
+        .withColumn("common", common)
+        .where(F.get("common", F.lit(0)) == F.col("term"))
+        .withColumn("cosine", cosine)
+        .where(enough)
+        .select("id_a", "id_b", "cosine")
+    )
+
+
+def sparse_similarity_moments(terms: DataFrame) -> tuple[int, float, float]:
+    """As :func:`similarity_moments`, for sparse vectors.
+
+    The sum of the matrix is the squared length of the summed unit vectors. The
+    sum of its squares is that of the products of the terms, so every vector
+    contributes its pairs of terms; values are short texts.
+    """
+    vectors = write_scratch(_unit_terms(terms), "terms")
+    n = vectors.count()
+    if not n:
+        return 0, 0.0, 0.0
+    entries = vectors.select(F.arrays_zip("terms", "weights").alias("entries"))
+    one = entries.select(F.explode("entries").alias("x")).select("x.terms", "x.weights")
+    sums = one.groupBy("terms").agg(F.sum("weights").alias("s"))
+    total = sums.agg(F.sum(F.col("s") * F.col("s"))).first()[0]
+    two = (
+        entries.select(F.explode("entries").alias("x"), "entries")
+        .select("x", F.explode("entries").alias("y"))
+        .groupBy("x.terms", F.col("y.terms").alias("other"))
+        .agg(F.sum(F.col("x.weights") * F.col("y.weights")).alias("s"))
+    )
+    squares = two.agg(F.sum(F.col("s") * F.col("s"))).first()[0]
+    mean = total / n**2
+    return n, mean, math.sqrt(max(0.0, squares / n**2 - mean * mean))
+
+
+def sparse_zscore_pairs(terms: DataFrame, z: float = 1.5) -> DataFrame:
+    """Pairs of sparse vectors whose similarity has a z-score above ``z``."""
+    _, mean, deviation = sparse_similarity_moments(terms)
+    return sparse_cosine_pairs(terms, mean + z * deviation, strict=True)
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -72,6 +178,7 @@ def cosine_pairs(
     strict: bool = False,
     spanning: bool = False,
     tile: int | None = None,
+    block: str | None = None,
 ) -> DataFrame:
     """``id_a, id_b, cosine`` for all pairs with a cosine of at least ``threshold``.
 
@@ -79,16 +186,20 @@ def cosine_pairs(
     ``strict`` asks for more than the threshold. With ``spanning`` each tile
     gives only as many of its pairs as connect the same vectors, which is
     enough for clusters and keeps the output small where a great many vectors
-    are alike.
+    are alike. ``block`` names a column that pairs must agree in (null agrees with
+    null); without it all vectors are candidates.
     """
     if not threshold > 0:
         raise ValueError("the threshold must be above zero")
     tile = tile or (SPANNING_TILE if spanning else TILE)
     rows = vectors.select("id", "vector").where(F.col("vector").isNotNull())
     id_type = vectors.schema["id"].dataType.simpleString()
+    if block is not None:
+        return _pairs_within(vectors, threshold, strict, block, id_type)
     stored = write_scratch(rows, "vectors")
     count = stored.count()
-    pivots = _unit_rows(stored, min(MOST_PIVOTS, math.ceil(count / tile)))
+    # About one tile of members per block, however many vectors there are.
+    pivots = _unit_rows(stored, math.ceil(count / tile))
     assigned = write_scratch(_assign(stored, pivots, id_type), "blocks")
     # One row per pivot.
     reach = np.full(len(pivots), -1.0)
@@ -126,6 +237,35 @@ def cosine_pairs(
     return meet(homes, visits, compare, schema, tile)
 
 
+def _pairs_within(
+    vectors: DataFrame, threshold: float, strict: bool, block: str, id_type: str
+) -> DataFrame:
+    """Pairs within the rows of one key: a join on the key, compared in the JVM."""
+
+    def dot(a: str, b: str) -> Column:
+        products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+        return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
+
+    key = F.struct(F.col(block).isNull(), F.col(block)).alias("key")
+    rows = vectors.where(F.col("vector").isNotNull()).select(key, "id", "vector")
+    rows = write_scratch(rows.withColumn("length", F.sqrt(dot("vector", "vector"))), "vectors")
+    left, right = (
+        rows.select(F.to_json("key").alias("key"), *[
+            F.col(c).alias(f"{c}_{x}") for c in ("id", "vector", "length")
+        ])
+        for x in "ab"
+    )
+    cosine = F.try_divide(dot("vector_a", "vector_b"), F.col("length_a") * F.col("length_b"))
+    enough = F.col("cosine") > threshold if strict else F.col("cosine") >= threshold
+    return (
+        left.join(right, "key")
+        .where("id_a < id_b")
+        .withColumn("cosine", F.coalesce(cosine, F.lit(0.0)))
+        .where(enough)
+        .select("id_a", "id_b", "cosine")
+    )
+
+
 def _unit_rows(vectors: DataFrame, count: int) -> np.ndarray:
     """``count`` vectors chosen by the hash of their ids, as unit rows."""
     chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(count).toPandas()
