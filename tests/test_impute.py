@@ -185,3 +185,9 @@ def test_knn_by_several_features(spark, tile, hot):
 def test_knn_without_donors(spark):
     df = spark.createDataFrame([(1, 1.0, None), (2, 2.0, None)], "id int, a double, v double")
     assert knn_features_fills(df, "v", ["a"], "id").isEmpty()
+
+
+def test_unknown_strategy_is_refused(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, None)], "id int, x double")
+    with pytest.raises(ValueError):
+        I.impute_statistical(df, strategy="meen")

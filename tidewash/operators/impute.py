@@ -360,6 +360,9 @@ def impute_sequential(
 # ---- statistical fills --------------------------------------------------------
 
 
+STRATEGIES = ("auto", "mean", "median", "mode")
+
+
 def statistical_choices(
     df: DataFrame, names: Iterable[str] | None = None, strategy: str = "auto"
 ) -> list[tuple[str, str, object]]:
@@ -368,6 +371,8 @@ def statistical_choices(
     ``auto`` takes the median of a numeric column with skewness beyond one and
     else the mean; text columns take the most frequent value.
     """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy: {strategy!r}")
     names = columns_with_gaps(df) if names is None else list(names)
     numbers = [c for c in names if c in numeric_columns(df)]
     texts = [c for c in names if c in text_columns(df)]
@@ -478,8 +483,8 @@ def impute_iterative(
 
     Missing cells start at the mean. In each round every column is fitted on
     all others over the rows where it was present, and its missing cells are
-    predicted anew. A fit is one aggregate of means and covariances; only
-    these go to the driver. Only the numeric columns are written per round.
+    predicted anew. A fit is one pass that sums all products of the columns; only
+    these sums go to the driver. Only the numeric columns are written per round.
     """
     names = list(names)
     inputs = [*names, *[c for c in predictors if c not in names]]
@@ -497,10 +502,11 @@ def impute_iterative(
         ),
         "rounds",
     )
+    middle = [float(start[f"m{i}"] or 0.0) for i in range(len(inputs))]
     for _ in range(rounds):
         for i in range(len(names)):
             others = [j for j in range(len(inputs)) if j != i]
-            slopes, base = _regression(current.where(~F.col(f"gap{i}")), f"x{i}", others)
+            slopes, base = _regression(current.where(~F.col(f"gap{i}")), i, others, middle)
             predicted = F.lit(base)
             for j, slope in zip(others, slopes, strict=True):
                 predicted = predicted + F.lit(float(slope)) * F.col(f"x{j}")
@@ -517,25 +523,43 @@ def impute_iterative(
     ).select(*map(quoted, df.columns))
 
 
-def _regression(rows: DataFrame, target: str, others: list[int]) -> tuple[list[float], float]:
-    """Slopes and intercept of ``target`` on the columns ``x<j>``."""
-    aggregates = [F.avg(target).alias("y"), F.count("*").alias("n")]
-    for a, j in enumerate(others):
-        aggregates.append(F.avg(f"x{j}").alias(f"m{a}"))
-        aggregates.append(F.covar_pop(f"x{j}", target).alias(f"c{a}"))
-        for b, other in enumerate(others[: a + 1]):
-            aggregates.append(F.covar_pop(f"x{j}", f"x{other}").alias(f"v{a}_{b}"))
-    found = one_row(rows, aggregates, fields=4)
+def _regression(
+    rows: DataFrame, target: int, others: list[int], middle: list[float]
+) -> tuple[list[float], float]:
+    """Slopes and intercept of column ``x<target>`` on the columns ``x<j>``.
+
+    Every task adds up the products of its rows, less ``middle`` so that large
+    numbers lose no digits; the sums of all tasks are as many as the columns squared.
+    """
+    columns = [*others, target]
+    shift = np.array([middle[j] for j in columns])
     size = len(others)
-    if not found["n"]:
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((size + 2, size + 2))
+        for batch in batches:
+            values = batch.to_numpy(dtype=np.float64) - shift
+            values = np.hstack([np.ones((len(values), 1)), values])
+            total += values.T @ values
+        if total[0, 0]:
+            places = np.arange(total.size, dtype=np.int32)
+            yield pd.DataFrame({"place": places, "total": total.ravel()})
+
+    found = (
+        rows.select(*[f"x{j}" for j in columns])
+        .mapInPandas(products, "place int, total double")
+        .groupBy("place")
+        .agg(F.sum("total").alias("total"))
+        .toPandas()
+    )
+    if not len(found):
         return [0.0] * size, 0.0
-    spread = np.zeros((size, size))
-    for a in range(size):
-        for b in range(a + 1):
-            spread[a, b] = spread[b, a] = found[f"v{a}_{b}"]
-    shared = np.array([found[f"c{a}"] for a in range(size)])
+    flat = np.zeros((size + 2) ** 2)
+    flat[found["place"]] = found["total"]
+    moments = flat.reshape(size + 2, size + 2) / flat[0]
+    means = moments[0, 1:]
+    spread = moments[1:, 1:] - np.outer(means, means)
     # Least squares of smallest norm, so constant or repeated columns do no harm.
-    slopes = np.linalg.lstsq(spread, shared, rcond=None)[0] if size else []
-    means = [found[f"m{a}"] for a in range(size)]
-    base = found["y"] - float(sum(s * m for s, m in zip(slopes, means, strict=True)))
+    slopes = np.linalg.lstsq(spread[:size, :size], spread[:size, size], rcond=None)[0]
+    base = means[size] + shift[size] - float(slopes @ (means[:size] + shift[:size]))
     return [float(s) for s in slopes], base

@@ -5,12 +5,17 @@ its closest donors in its own block; the distance of the last of them bounds
 how far any better donor can be, and by the triangle inequality only blocks
 within that bound can hold one. Only these are visited, in tiles of bounded
 size, and a tile gives no more than the best few donors per row.
+
+There is about one block for each tile of donors, so the blocks shrink as the
+table grows. Pivots are found through centres, each of which stands for about as
+many pivots as there are centres, so placing a row takes the root of their number.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewash.functions.columns import column, number, one_row
 from tidewash.functions.scratch import write_scratch
-from tidewash.functions.tiles import MOST_PIVOTS, meet
+from tidewash.functions.tiles import meet
 
 TILE = 2048
 # Squared distances are compared to this many decimals, so that equal
@@ -74,9 +79,10 @@ def knn_features_fills(
     pivots = _points(
         rows.where(donors)
         .orderBy(F.xxhash64("id"), "id")
-        .limit(min(MOST_PIVOTS, math.ceil(count / tile)))
+        .limit(math.ceil(count / tile))
         .toPandas()["x"]
     )
+    pivots = Pivots.of(pivots)
     placed = write_scratch(_place(rows, pivots, id_type), "blocks")
     homes = placed.where(donors).select("id", "x", "value", F.col("block").alias("target"))
     asking = placed.where(~donors)
@@ -86,7 +92,7 @@ def knn_features_fills(
     first = write_scratch(_best(near, k), "nearest")
 
     # One row per pivot.
-    radius = np.full(len(pivots), -np.inf)
+    radius = np.full(len(pivots.points), -np.inf)
     for r in (
         placed.where(donors).groupBy("block").agg(F.max("distance").alias("r")).collect()
     ):
@@ -124,33 +130,90 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(total, DECIMALS)
 
 
-def _place(rows: DataFrame, pivots: np.ndarray, id_type: str) -> DataFrame:
+@dataclass(frozen=True)
+class Pivots:
+    """Pivots in groups around centres; the group of centre ``c`` is ``members[c]``."""
+
+    points: np.ndarray
+    centres: np.ndarray
+    members: list[np.ndarray]
+
+    @staticmethod
+    def of(points: np.ndarray) -> Pivots:
+        centres = points[: math.ceil(math.sqrt(len(points)))]
+        # In strips, so that the distances of many pivots take little memory.
+        nearest = [
+            _squares(points[at : at + 4096], centres).argmin(axis=1)
+            for at in range(0, len(points), 4096)
+        ]
+        group = np.concatenate(nearest)
+        return Pivots(points, centres, [np.flatnonzero(group == c) for c in range(len(centres))])
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest pivot in the group of the nearest centre, and its distance.
+
+        That need not be the nearest of all; a block's radius counts its real members.
+        """
+        centre = _squares(x, self.centres).argmin(axis=1)
+        block, away = np.zeros(len(x), np.int32), np.zeros(len(x))
+        for c in np.unique(centre):
+            rows = np.flatnonzero(centre == c)
+            squares = _squares(x[rows], self.points[self.members[c]])
+            best = squares.argmin(axis=1)
+            block[rows] = self.members[c][best]
+            away[rows] = np.sqrt(squares[np.arange(len(rows)), best])
+        return block, away
+
+    def reach(self, radius: np.ndarray) -> np.ndarray:
+        """How far from each centre a row of its group's blocks can be."""
+        far = np.full(len(self.centres), -np.inf)
+        for c, members in enumerate(self.members):
+            used = members[np.isfinite(radius[members])]
+            if len(used):
+                gap = np.sqrt(_squares(self.centres[c : c + 1], self.points[used])[0])
+                far[c] = (gap + radius[used]).max()
+        return far
+
+    def within(
+        self, x: np.ndarray, bound: np.ndarray, radius: np.ndarray, far: np.ndarray
+    ) -> list[np.ndarray]:
+        """For each row the blocks that can hold a row within its bound."""
+        found: list[list[np.ndarray]] = [[] for _ in range(len(x))]
+        open_ = np.sqrt(_squares(x, self.centres)) - far <= bound[:, None] + SLACK
+        for c in np.flatnonzero(open_.any(axis=0) & np.isfinite(far)):
+            rows, members = np.flatnonzero(open_[:, c]), self.members[c]
+            away = np.sqrt(_squares(x[rows], self.points[members]))
+            near = away - radius[members] <= bound[rows, None] + SLACK
+            near &= np.isfinite(radius[members])
+            for row, hit in zip(rows, near, strict=True):
+                found[row].append(members[hit])
+        none = np.zeros(0, np.int64)
+        return [np.concatenate(f) if f else none for f in found]
+
+
+def _place(rows: DataFrame, pivots: Pivots, id_type: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                away = np.sqrt(_squares(_points(batch["x"]), pivots))
-                block = away.argmin(axis=1)
-                yield batch.assign(
-                    block=block.astype(np.int32), distance=away[np.arange(len(batch)), block]
-                )
+                block, away = pivots.place(_points(batch["x"]))
+                yield batch.assign(block=block, distance=away)
 
     schema = f"id {id_type}, x array<double>, value double, block int, distance double"
     return rows.mapInPandas(run, schema)
 
 
-def _visits(
-    rows: DataFrame, pivots: np.ndarray, radius: np.ndarray, id_type: str
-) -> DataFrame:
+def _visits(rows: DataFrame, pivots: Pivots, radius: np.ndarray, id_type: str) -> DataFrame:
     """Each row with every other block that may hold a donor within its bound."""
+    far = pivots.reach(radius)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                away = np.sqrt(_squares(_points(batch["x"]), pivots))
-                open_ = away - radius <= batch["bound"].to_numpy()[:, None] + SLACK
-                open_ &= np.isfinite(radius)
-                open_[np.arange(len(batch)), batch["block"].to_numpy()] = False
-                targets = [np.flatnonzero(row).astype(np.int32) for row in open_]
+                bound, own = batch["bound"].to_numpy(), batch["block"].to_numpy()
+                every = pivots.within(_points(batch["x"]), bound, radius, far)
+                targets = [
+                    t[t != o].astype(np.int32) for t, o in zip(every, own, strict=True)
+                ]
                 yield batch[["id", "x", "value"]].assign(targets=targets)
 
     # Stored, because the blocks are counted before the rows are sent to them.
