@@ -10,6 +10,7 @@ from tidewash.functions.scratch import scratch_folder
 from tidewash.functions.text import slug, to_number
 from tidewash.operators import clean as C
 from tidewash.operators.merge import distinct_normalized_values
+from tidewash.operators.decisions import approve, beyond, decide_by_rule
 from tidewash.operators.outliers import outlier_summary
 from tidewash.plans import cleaning as plans
 from tidewash.sources import csv, runs
@@ -329,7 +330,25 @@ FROM p LEFT JOIN s_fill s ON p.custkey = s.custkey LEFT JOIN a_fill a ON p.custk
 
 @query("full_cleaning", FULL)
 def full_cleaning(spark: SparkSession, sf: str) -> DataFrame:
+    """All columns, with the approvals of a reviewer."""
     done = plans.full_cleaning(
-        view(spark, sf, "dirty_customer"), "custkey", outlier_names=["acctbal"]
+        view(spark, sf, "dirty_customer"),
+        "custkey",
+        decide=lambda records: approve(decide_by_rule(records, beyond(3.0), "beyond three IQR")),
+        review=approve,
+        fills=plans.closest_fills("custkey", approved=True),
     )
     return done.data.withColumn("acctbal", F.round("acctbal", 4))
+
+
+@query(
+    "full_cleaning_held",
+    with_view(
+        "dirty_customer",
+        f"""
+WITH {NORMAL}, {KEPT}, c AS ({CLEANED}) SELECT custkey, segment, acctbal, nationkey FROM c""",
+    ),
+)
+def full_cleaning_held(spark: SparkSession, sf: str) -> DataFrame:
+    """Without a reviewer the cleaned table comes back and the proposals wait."""
+    return plans.full_cleaning(view(spark, sf, "dirty_customer"), "custkey").data

@@ -487,10 +487,17 @@ LEFT JOIN ({MODE_TYPE}) t ON t.id = g.id""",
     ),
 )
 def impute_table(spark: SparkSession, sf: str) -> DataFrame:
-    filled = plans.impute_table(view(spark, sf, "gappy_parts"), "id").data
+    parts = view(spark, sf, "gappy_parts")
+    filled = plans.impute_table(parts, "id", fills=plans.closest_fills("id", approved=True)).data
     return filled.withColumns({c: F.round(c, 4) for c in ("price", "weight")})
 
 
+@query("impute_table_held", with_view("gappy_parts", "SELECT * FROM gappy_parts"))
+def impute_table_held(spark: SparkSession, sf: str) -> DataFrame:
+    """Without a reviewer the fills wait and the table stays as it is."""
+    return plans.impute_table(view(spark, sf, "gappy_parts"), "id").data
+
+
 @query(
     "impute_knn",
     with_view(
@@ -501,7 +508,7 @@ WITH p AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_
 c AS (SELECT n.o_orderkey AS row_id, d.totalprice AS v, row_number() OVER (PARTITION BY n.o_orderkey
     ORDER BY abs(d.o_custkey - n.o_custkey), abs(d.pos - n.pos), d.pos) AS r
   FROM p n JOIN p d ON n.o_orderpriority = d.o_orderpriority AND n.totalprice IS NULL
-    AND d.totalprice IS NOT NULL AND abs(d.pos - n.pos) <= 400)
+    AND d.totalprice IS NOT NULL)
 SELECT row_id, 'totalprice' AS "column", round(avg(v), 4) AS value, false AS approved
 FROM c WHERE r <= 5 GROUP BY row_id""",
     ),

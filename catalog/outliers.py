@@ -278,6 +278,11 @@ def outlier_comparison(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def remove_beyond(records: DataFrame) -> DataFrame:
+    """The reviewer of the queries: what lies beyond three IQR goes."""
+    return G.approve(G.decide_by_rule(records, G.beyond(3.0), "beyond three IQR"))
+
+
 BEYOND = "coalesce({c} > f.q3 + 3 * (f.q3 - f.q1) OR {c} < f.q1 - 3 * (f.q3 - f.q1), false)"
 
 
@@ -293,5 +298,70 @@ SELECT s1.* FROM s1, f2 f WHERE NOT {BEYOND.format(c='quality')}""",
     ),
 )
 def outlier_treatment(spark: SparkSession, sf: str) -> DataFrame:
+    docs = view(spark, sf, "docs_labelled")
+    return plans.treat_outliers(docs, "doc_id", ["n_chars", "quality"], remove_beyond).data
+
+
+@query("outlier_treatment_held", with_view("docs_labelled", "SELECT * FROM docs_labelled"))
+def outlier_treatment_held(spark: SparkSession, sf: str) -> DataFrame:
+    """Without a reviewer the proposals wait and the table stays as it is."""
     docs = view(spark, sf, "docs_labelled")
     return plans.treat_outliers(docs, "doc_id", ["n_chars", "quality"]).data
+
+
+@query(
+    "outlier_capping",
+    with_view(
+        "docs_labelled",
+        f"""
+WITH f AS ({fences_sql('n_chars', 'docs_labelled')}), g AS ({fences_sql('quality', 'docs_labelled')})
+SELECT doc_id, lang, source, round(CASE WHEN n_chars > f.hi THEN f.hi WHEN n_chars < f.lo THEN f.lo
+    ELSE n_chars::DOUBLE END, 6) AS n_chars,
+  CASE WHEN quality > g.hi THEN g.hi WHEN quality < g.lo THEN g.lo ELSE quality::DOUBLE END AS quality,
+  toxic FROM docs_labelled, f, g""",
+    ),
+)
+def outlier_capping(spark: SparkSession, sf: str) -> DataFrame:
+    """Every outlier is proposed for capping, reviewed, and capped in a second call."""
+    docs, names = view(spark, sf, "docs_labelled"), ["n_chars", "quality"]
+    held = plans.treat_outliers(docs, "doc_id", names, rule=F.lit(True), action="cap")
+    done = plans.treat_outliers(
+        docs, "doc_id", names, reviewed=G.approve(held.reports["decisions"])
+    )
+    return done.data.withColumn("n_chars", F.round("n_chars", 6))
+
+
+ORDER_TOTALS = """
+SELECT l_orderkey AS order_id, count(*) AS lines, max(l_quantity) AS quantity, max(l_discount) AS discount,
+  max(l_tax) AS tax, max(l_suppkey) AS supplier, max(l_partkey) AS part, max(l_orderkey * 3) AS triple,
+  max(l_extendedprice) * CASE WHEN l_orderkey % 50 = 0 THEN 9 ELSE 1 END AS price
+FROM {lineitem} GROUP BY l_orderkey"""
+RELATED = ("lines", "quantity", "discount", "tax", "supplier", "part", "triple")
+
+
+@query(
+    "outlier_records_lineitem",
+    f"""
+WITH v AS ({ORDER_TOTALS.format(lineitem='lineitem')}),
+f AS ({fences_sql('price', 'v')}),
+near AS (SELECT {', '.join(f"abs(corr(price, {c})) AS {c}" for c in RELATED)} FROM v),
+ranked AS (SELECT name FROM (UNPIVOT near ON COLUMNS(*) INTO NAME name VALUE r)
+  ORDER BY r DESC, name LIMIT 5)
+SELECT order_id AS row_id, 'price' AS "column", count(*) OVER () AS total,
+  row_number() OVER (ORDER BY order_id) AS "index", round(price, 2) AS value,
+  (SELECT string_agg(name, ',' ORDER BY name) FROM ranked) AS related
+FROM v, f WHERE price < lo OR price > hi""",
+)
+def outlier_records_lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    """Five related columns, none of them the key, although a column goes with it."""
+    orders = spark.sql(ORDER_TOTALS, lineitem=table(spark, sf, "lineitem"))
+    records = O.outlier_records(orders, "price", "order_id")
+    related = sorted(c.removeprefix("with_") for c in records.columns if c.startswith("with_"))
+    return records.select(
+        "row_id",
+        "column",
+        "total",
+        "index",
+        F.round("value", 2).alias("value"),
+        F.lit(",".join(related)).alias("related"),
+    )

@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tidewash.operators import decisions as G
 from tidewash.plans import cleaning as plans
 from tidewash.sources import csv, runs
 
@@ -110,11 +111,16 @@ def test_registry_shows_the_last_status(spark, tmp_path):
 def test_full_cleaning_with_a_run(spark, tmp_path):
     run = runs.start_run(spark, str(tmp_path), "full.csv")
     done = plans.full_cleaning(
-        dirty(spark), "id", outlier_names=["x"], review=lambda m: m, run=run
+        dirty(spark),
+        "id",
+        outlier_names=["x"],
+        review=lambda m: m,
+        fills=plans.closest_fills("id", approved=True),
+        run=run,
     )
     assert done.data.columns == ["id", "seg", "x"]
     assert done.data.where("seg is null or x is null").isEmpty()
-    assert run.is_done("phase_1") and run.is_done("phase_3")
+    assert run.is_done("clean") and run.is_done("phase_3")
     for name in done.reports:
         done.reports[name].collect()
     assert "outlier_report" in done.reports and "missingness" in done.reports
@@ -131,6 +137,58 @@ def test_reports_without_a_run(spark):
     assert done.reports["summary_after"].first()["rows"] == 40
     treated = plans.treat_outliers(done.data, "id", ["x"])
     assert treated.reports["comparison"].first()["outliers_before"] == 0
-    filled = plans.impute_table(dirty(spark), "Id")
+    filled = plans.impute_table(
+        dirty(spark), "Id", fills=plans.closest_fills("Id", approved=True)
+    )
     assert filled.reports["missing_before"].where("missing_count > 0").count() == 1
     assert filled.reports["missing_after"].where("missing_count > 0").isEmpty()
+
+
+ODD = ["price [usd]", "a/b", "x{y}", "q*"]
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_jobs_with_odd_column_names(spark, tmp_path, stored):
+    rows = [(i, *(None if i % 9 == k else float(i % 7) for k in range(3)), 1e6) for i in range(40)]
+    rows.append((99, 1e9, 1.0, 1.0, 1.0))
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"`{c}` double" for c in ODD))
+
+    def run(name):
+        return runs.start_run(spark, str(tmp_path), f"{name} [1].csv") if stored else None
+
+    held = plans.treat_outliers(df, "id", run=run("held"))
+    assert held.data.count() == 41 and held.data.columns == df.columns
+    decisions = G.approve(held.reports["decisions"])
+    assert {r["column"] for r in decisions.collect()} >= {ODD[0]}
+    done = plans.treat_outliers(df, "id", reviewed=decisions, run=run("done"))
+    assert done.data.where("id = 99").isEmpty()
+    waiting = plans.impute_table(df, "id", run=run("waiting"))
+    assert waiting.data.where("`price [usd]` is null").count() == 5
+    reviewed = G.approve(waiting.reports["fills"])
+    filled = plans.impute_table(df, "id", reviewed=reviewed, run=run("filled"))
+    for name in ODD:
+        assert filled.data.where(f"`{name}` is null").isEmpty()
+
+
+def test_a_held_run_goes_on_after_review(spark, tmp_path):
+    rows = [(i, f"seg{i % 3}", None if i % 8 == 0 else float(i % 5)) for i in range(60)]
+    rows.append((99, "odd one", 1e6))
+    df = spark.createDataFrame(rows, "id long, seg string, x double")
+    run = runs.start_run(spark, str(tmp_path), "gate.csv")
+    held = plans.full_cleaning(df, "id", merge_names=["seg"], rare_below=3.0, run=run)
+    assert held.data.count() == 61 and held.data.where("x is null").count() == 8
+    assert [r["value"] for r in held.reports["rare"].collect()] == ["odd one"]
+    review = plans.Reviewed(
+        decisions=G.approve(held.reports["decisions"]),
+        rare=G.approve(held.reports["rare"]),
+        fills=G.approve(held.reports["fills"]),
+    )
+    done = plans.full_cleaning(
+        df, "id", merge_names=["seg"], rare_below=3.0, reviewed=review, run=run
+    )
+    assert done.data.count() == 60 and done.data.where("x is null").isEmpty()
+    kept = plans.full_cleaning(
+        df, "id", merge_names=["seg"], reviewed=plans.Reviewed(rare=review.rare)
+    )
+    assert kept.data.where("seg = 'odd one'").isEmpty()
+    assert kept.data.where("x is null").count() == 8

@@ -118,3 +118,39 @@ def test_few_outliers_are_not_clustered(spark):
     assert D.outlier_clusters(df, ["x"]) is None
     row = D.numeric_outlier_report(df, ["x"]).first()
     assert row["n_outliers"] == 2 and row["n_clusters"] is None
+
+
+def test_removal_filters_reach_the_scan(spark, tmp_path):
+    rows = [(i, i % 9, float(i % 7)) for i in range(200)] + [(200, 10**6, 3.0), (201, 4, -1e9)]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "id bigint, n bigint, x double").write.parquet(path)
+    df = spark.read.parquet(path)
+    left = O.remove_outliers(df, ["n", "x"])
+    assert left.data.count() == 200
+    plan = left.data._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "LessThanOrEqual(n," in pushed and "GreaterThanOrEqual(x," in pushed
+    found = O.iqr_outlier_rows(df, "n")
+    assert [r["id"] for r in found.collect()] == [200]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(n," in plan[plan.index("PushedFilters") :]
+
+
+def test_records_have_five_related_columns_beside_a_correlated_key(spark):
+    rows = [(i, *(float((i * (k + 3)) % 17 + i) for k in range(6)), float(i % 5)) for i in range(90)]
+    rows.append((90, *(1.0 for _ in range(6)), 1e6))
+    df = spark.createDataFrame(
+        rows, "id int, " + ", ".join(f"c{k} double" for k in range(6)) + ", x double"
+    )
+    records = O.outlier_records(df, "x", "id")
+    assert len([c for c in records.columns if c.startswith("with_")]) == 5
+
+
+def test_approved_caps_move_values_onto_the_fence(spark):
+    df = spark.createDataFrame([(i, float(i % 5)) for i in range(50)] + [(50, 99.0)], "id int, x double")
+    records = O.outlier_records(df, "x", "id")
+    held = G.decide_by_rule(records, F.lit(True), "all", action="cap")
+    assert G.apply_decisions(df, held, "id", ["x"]).where("x = 99").count() == 1
+    done = G.apply_decisions(df, G.approve(held), "id", ["x"])
+    assert done.where("id = 50").first()["x"] == records.first()["upper"]
+    assert done.count() == 51 and done.columns == df.columns

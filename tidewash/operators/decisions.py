@@ -1,33 +1,53 @@
-"""Reviewed decisions: which outlier rows to remove, and which to keep.
+"""Reviewed decisions: which outlier rows to remove or cap, and which to keep.
 
-A decision table has the columns ``row_id, column, action, reason, approved``.
-It comes from a rule, from a reviewer's table or from a user function; only
-approved rows with the action ``remove`` change the data.
+A decision table has the columns ``row_id, column, action, reason, approved``,
+and ``limit`` where values may be capped. It comes from a rule, from a reviewer's
+table or from a user function; only approved rows with the action ``remove`` or
+``cap`` change the data.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewash.functions.columns import column
+from tidewash.functions.columns import column, quoted
 
 DECISION_COLUMNS = ["row_id", "column", "action", "reason", "approved"]
 
 
 def decide_by_rule(
-    records: DataFrame, rule: Column, reason: str, approved: bool = False
+    records: DataFrame,
+    rule: Column,
+    reason: str,
+    approved: bool = False,
+    action: str = "remove",
 ) -> DataFrame:
-    """Decide every outlier record by a condition on its columns."""
-    return records.select(
-        "row_id",
-        "column",
-        F.when(rule, F.lit("remove")).otherwise(F.lit("keep")).alias("action"),
+    """Decide every outlier record by a condition on its columns.
+
+    Records that meet ``rule`` get the ``action``. With ``cap`` the table also has
+    the ``limit``, the fence that the value is moved onto.
+    """
+    if action not in ("remove", "cap"):
+        raise ValueError(f"unknown action: {action!r}")
+    decided = [
+        F.col("row_id"),
+        F.col("column"),
+        F.when(rule, F.lit(action)).otherwise(F.lit("keep")).alias("action"),
         F.when(rule, F.lit(reason)).otherwise(F.lit("within the rule")).alias("reason"),
         F.lit(approved).alias("approved"),
-    )
+    ]
+    if action == "cap":
+        decided.append(nearest_fence().alias("limit"))
+    return records.select(*decided)
+
+
+def nearest_fence() -> Column:
+    """The fence of an outlier record that its value lies beyond."""
+    above = F.col("value") > F.col("upper")
+    return F.when(above, F.col("upper")).otherwise(F.col("lower"))
 
 
 def beyond(factor: float) -> Column:
@@ -63,15 +83,28 @@ def approved_only(table: DataFrame) -> DataFrame:
     return table.where(F.col("approved"))
 
 
-def apply_decisions(df: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
-    """Drop the rows with an approved decision ``remove``; anything else stays.
+def apply_decisions(
+    df: DataFrame, decisions: DataFrame, key: str, capped: Iterable[str] = ()
+) -> DataFrame:
+    """Drop the rows with an approved ``remove`` and cap the values with an approved ``cap``.
 
-    The keys are unique on both sides, so the join spreads evenly; Spark
-    broadcasts the decisions by itself if they turn out small.
+    Only the columns ``capped`` are looked at for caps; they become double. A
+    ``remove`` drops the row whatever else is decided. The keys are unique on both
+    sides, so the joins spread evenly; Spark broadcasts the decisions by itself if
+    they turn out small.
     """
-    removed = (
-        approved_only(decisions)
-        .where(F.col("action") == "remove")
-        .select(F.col("row_id").alias("_removed"))
+    approved = approved_only(decisions)
+    removed = approved.where(F.col("action") == "remove").select(
+        F.col("row_id").alias("_removed")
     )
-    return df.join(removed, column(key) == F.col("_removed"), "left_anti")
+    left = df.join(removed, column(key) == F.col("_removed"), "left_anti")
+    for name in capped:
+        limits = (
+            approved.where((F.col("action") == "cap") & (F.col("column") == name))
+            .groupBy(F.col("row_id").alias("_capped"))
+            .agg(F.min("limit").alias("_limit"))
+        )
+        joined = left.join(limits, column(key) == F.col("_capped"), "left")
+        value = F.coalesce(F.col("_limit").cast("double"), column(name).cast("double"))
+        left = joined.withColumn(name, value).select(*map(quoted, df.columns))
+    return left

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -20,12 +21,43 @@ QUARTILES = (0.25, 0.5, 0.75)
 def outlier_filter(df: DataFrame, name: str, fences: Fences) -> Column:
     """Keeps the outliers of a column, in a form that reaches the parquet scan."""
     value = column(name)
-    outside = (value < F.lit(fences.lower)) | (value > F.lit(fences.upper))
+    lower, upper = _bounds(df, name, fences)
+    outside = (value < lower) | (value > upper)
     if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
         return outside & ~F.isnan(value)
     return outside
 
 
+def inlier_filter(df: DataFrame, name: str, fences: Fences) -> Column:
+    """Keeps what is no outlier, also missing values, in a form that reaches the scan."""
+    value = column(name)
+    lower, upper = _bounds(df, name, fences)
+    inside = value.isNull() | ((value >= lower) & (value <= upper))
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return inside | F.isnan(value)
+    return inside
+
+
+# The largest number of each integer type.
+LARGEST = {T.ByteType: 2**7 - 1, T.ShortType: 2**15 - 1, T.IntegerType: 2**31 - 1, T.LongType: 2**63 - 1}
+
+
+def _bounds(df: DataFrame, name: str, fences: Fences) -> tuple[Column, Column]:
+    """The smallest and largest value that is no outlier, in the column's own integer type.
+
+    A comparison with a number of another type would cast the column, and a cast
+    column does not reach the scan.
+    """
+    kind = df.schema[name].dataType
+    largest = LARGEST.get(type(kind))
+    if largest is None or not (math.isfinite(fences.lower) and math.isfinite(fences.upper)):
+        return F.lit(fences.lower), F.lit(fences.upper)
+    low, high = math.ceil(fences.lower), math.floor(fences.upper)
+    if low > largest or high < -largest - 1:  # nothing lies inside
+        return F.lit(fences.lower), F.lit(fences.upper)
+    return F.lit(max(low, -largest - 1)).cast(kind), F.lit(min(high, largest)).cast(kind)
+
+
 @dataclass(frozen=True)
 class Fences:
     """Quartiles of a column and the limits beyond which a value is an outlier."""
@@ -117,10 +149,12 @@ def iqr_outlier_rows(df: DataFrame, name: str, factor: float = IQR_FACTOR) -> Da
     return found.withColumn("direction", direction(value, fences))
 
 
+# The texts for the two directions.
+ABOVE, BELOW = "ABOVE upper fence", "BELOW lower fence"
+
+
 def direction(value: Column, fences: Fences) -> Column:
-    return F.when(value > F.lit(fences.upper), F.lit("ABOVE upper fence")).otherwise(
-        F.lit("BELOW lower fence")
-    )
+    return F.when(value > F.lit(fences.upper), F.lit(ABOVE)).otherwise(F.lit(BELOW))
 
 
 def boxplot_stats(df: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
@@ -171,11 +205,9 @@ def outlier_records(
     of the column and the values of the ``related`` most correlated columns.
     """
     fences = iqr_fences(df, [target], factor).get(target)
-    near = [
-        r["column"]
-        for r in top_correlated(df, [target], related).orderBy("place").collect()
-        if r["column"] != key
-    ]
+    # The key is left out before the ranking, so that it takes no one's place.
+    ranked = top_correlated(df.drop(key), [target], related).orderBy("place")
+    near = [r["column"] for r in ranked.collect()]
     value = number(df, target)
     test = outlier_filter(df, target, fences) if fences else F.lit(False)
     found = df.where(test).select(
@@ -233,10 +265,10 @@ def remove_outliers(
     if not sequential:
         used = iqr_fences(df, names, factor)
         for c, f in used.items():
-            left = left.where(~f.is_outlier(number(df, c)))
+            left = left.where(inlier_filter(df, c, f))
         return Removal(left, used)
     for c in names:
         for name, f in iqr_fences(left, [c], factor).items():
             used[name] = f
-            left = left.where(~f.is_outlier(number(df, name)))
+            left = left.where(inlier_filter(df, name, f))
     return Removal(left, used)

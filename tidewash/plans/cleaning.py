@@ -3,6 +3,10 @@
 Every job is a chain of stored steps. With a ``Run`` the steps are kept under
 the run's folder and skipped when they are already done; without one they are
 written to the scratch folder.
+
+Nothing is removed, capped, filled or merged without approval. A job that is
+called without a reviewer stores its proposals unapproved and leaves the data as
+it is; called again with the reviewed proposals it goes on from there.
 """
 
 from __future__ import annotations
@@ -10,13 +14,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewash.functions.columns import numeric_columns
 from tidewash.functions.scratch import write_scratch
 from tidewash.operators import clean as cleaning
 from tidewash.operators.correlation import pearson_matrix
-from tidewash.operators.decisions import apply_decisions, approve, beyond, decide_by_rule
+from tidewash.operators.decisions import apply_decisions, beyond, decide_by_rule
 from tidewash.operators.density import numeric_outlier_report
 from tidewash.operators.impute import apply_fills, neighbour_fills
 from tidewash.operators.label import (
@@ -28,6 +32,7 @@ from tidewash.operators.label import (
 from tidewash.operators.merge import (
     apply_merge_map,
     canonical_merge_map,
+    drop_rare_values,
     reviewed_candidate_columns,
 )
 from tidewash.operators.missing import (
@@ -42,7 +47,13 @@ from tidewash.operators.outliers import (
     outlier_records,
     outlier_summary,
 )
-from tidewash.operators.profile import column_profile, dataset_summary, missing_summary
+from tidewash.operators.profile import (
+    column_profile,
+    dataset_summary,
+    dominant_values,
+    missing_summary,
+    rare_categories,
+)
 from tidewash.sources.runs import Run
 
 
@@ -144,39 +155,60 @@ def _stored_reports(reports: Reports, run: Run) -> Reports:
     return stored
 
 
+def _reviewed(table: DataFrame | None, name: str) -> DataFrame | None:
+    """The reviewer's rows for one column."""
+    return None if table is None else table.where(F.col("column") == name)
+
+
 def treat_outliers(
     df: DataFrame,
     key: str,
     names: Iterable[str] | None = None,
     decide: Callable[[DataFrame], DataFrame] | None = None,
     rule: Column | None = None,
+    action: str = "remove",
+    reviewed: DataFrame | None = None,
     run: Run | None = None,
 ) -> Outcome:
-    """Find outliers column by column and remove the rows decided on.
+    """Find outliers column by column, and remove or cap what is decided and approved.
 
-    ``decide`` turns the outlier records of a column into decisions; without
-    it ``rule`` (beyond three IQR by default) decides and is approved at once.
-    Fences of a column come from the rows the columns before it left.
+    ``decide`` turns the outlier records of a column into decisions; without it
+    ``rule`` (beyond three IQR by default) proposes the ``action`` and waits for
+    approval: the proposals are in the report ``decisions``, the data stays.
+    ``reviewed`` is that table with the reviewer's approvals (and changes) and takes
+    the place of both. Fences of a column come from what the columns before it left.
     """
     names = (
         [c for c in numeric_columns(df) if c != key] if names is None else list(names)
     )
     chosen_rule = beyond(3.0) if rule is None else rule
+    step = "reviewed" if reviewed is not None else "decisions"
     reports = Reports()
     reports.add("boxes_before", lambda: boxplot_stats(df, names))
     reports.add("outliers_before", lambda: outlier_summary(df, names, "before"))
-    current = df
+    current, every = df, None
     for i, name in enumerate(names):
-        records = outlier_records(current, name, key)
-        decided = (
-            decide(records)
-            if decide
-            else approve(decide_by_rule(records, chosen_rule, "matches the removal rule"))
-        )
-        decisions = _stored(decided, run, f"decisions_{i}_{name}")
+        decided = _reviewed(reviewed, name)
+        if decided is None:
+            records = outlier_records(current, name, key)
+            decided = (
+                decide(records)
+                if decide
+                else decide_by_rule(records, chosen_rule, "matches the rule", action=action)
+            )
+        decisions = _stored(decided, run, f"{step}_{i}_{name}")
         reports.add(f"decisions_{name}", lambda decisions=decisions: decisions)
-        current = _stored(apply_decisions(current, decisions, key), run, f"kept_{i}_{name}")
-    left = current
+        every = (
+            decisions
+            if every is None
+            else every.unionByName(decisions, allowMissingColumns=True)
+        )
+        capped = [name] if "limit" in decisions.columns else []
+        applied = apply_decisions(current, decisions, key, capped)
+        current = _stored(applied, run, f"{step}_kept_{i}_{name}")
+    left, decisions = current, every
+    if decisions is not None:
+        reports.add("decisions", lambda: decisions)
     reports.add("boxes_after", lambda: boxplot_stats(left, names))
     reports.add("outliers_after", lambda: outlier_summary(left, names, "after"))
     reports.add(
@@ -186,39 +218,54 @@ def treat_outliers(
     return Outcome(left, reports)
 
 
+def closest_fills(key: str, approved: bool = False) -> Callable[[DataFrame, str], DataFrame]:
+    """Fills from the closest rows: mean for numbers, most frequent value for text."""
+
+    def fills(table: DataFrame, name: str) -> DataFrame:
+        how = "mean" if name in numeric_columns(table) else "mode"
+        return neighbour_fills(table, name, key, how, approved=approved)
+
+    return fills
+
+
 def impute_table(
     df: DataFrame,
     key: str,
     exclude: Iterable[str] = (),
     fills: Callable[[DataFrame, str], DataFrame] | None = None,
     min_signals: int = 1,
+    reviewed: DataFrame | None = None,
     run: Run | None = None,
 ) -> Outcome:
     """Describe the gaps, test what explains them, and fill column by column.
 
-    ``fills(table, column)`` gives the fill table of a column; without it the
-    closest rows decide (mean for numbers, most frequent value for text).
+    ``fills(table, column)`` gives the fill table of a column. Without it
+    :func:`closest_fills` proposes values and waits for approval: the proposals are
+    in the report ``fills``, the data stays. ``reviewed`` is that table with the
+    reviewer's approvals (and changes) and takes the place of both.
     """
     skip = set(exclude)
-
-    def closest(table: DataFrame, name: str) -> DataFrame:
-        how = "mean" if name in numeric_columns(table) else "mode"
-        return neighbour_fills(table, name, key, how, approved=True)
-
-    choose = fills or closest
+    choose = fills or closest_fills(key)
+    step = "reviewed_fills" if reviewed is not None else "fills"
     reports = Reports()
     reports.add("patterns_before", lambda: null_patterns(df))
     reports.add("missing_before", lambda: missing_summary(df, skip))
     reports.add("missingness", lambda: missingness_profile(df, exclude=skip))
     reports.add("drivers", lambda: missingness_drivers(reports["missingness"], min_signals))
-    current = df
+    current, every = df, None
     for i, name in enumerate(columns_with_gaps(df, skip)):
-        proposed = _stored(choose(current, name), run, f"fills_{i}_{name}")
+        chosen = _reviewed(reviewed, name)
+        proposed = _stored(
+            choose(current, name) if chosen is None else chosen, run, f"{step}_{i}_{name}"
+        )
         reports.add(f"fills_{name}", lambda proposed=proposed: proposed)
+        every = proposed if every is None else every.unionByName(proposed)
         current = _stored(
-            apply_fills(current, proposed, name, key), run, f"filled_{i}_{name}"
+            apply_fills(current, proposed, name, key), run, f"{step}_done_{i}_{name}"
         )
-    filled = current
+    filled, proposals = current, every
+    if proposals is not None:
+        reports.add("fills", lambda: proposals)
     reports.add("patterns_after", lambda: null_patterns(filled))
     reports.add("missing_after", lambda: missing_summary(filled, skip))
     return Outcome(filled, reports)
@@ -229,23 +276,26 @@ def merge_categories(
     names: Iterable[str] | None = None,
     suggest: Callable[[DataFrame, str], DataFrame] = canonical_merge_map,
     review: Callable[[DataFrame], DataFrame] | None = None,
+    reviewed: DataFrame | None = None,
     run: Run | None = None,
 ) -> Outcome:
     """Choose columns, suggest merges, pass them through review, apply them.
 
-    Without ``review`` nothing is approved and the data stays as it is.
+    Without ``review`` or a ``reviewed`` merge map nothing is approved and the data
+    stays as it is.
     """
     names = reviewed_candidate_columns(df) if names is None else list(names)
-    merge_map = None
-    for name in names:
+    merge_map, step = reviewed, "merge_map" if reviewed is None else "reviewed_merge_map"
+    for name in names if reviewed is None else ():
         one = suggest(df, name)
         merge_map = one if merge_map is None else merge_map.unionByName(one)
     if merge_map is None:
         return Outcome(df)
-    reviewed = _stored(review(merge_map) if review else merge_map, run, "merge_map")
+    decided = review(merge_map) if review and reviewed is None else merge_map
+    stored = _stored(decided, run, step)
     reports = Reports()
-    reports.add("merge_map", lambda: reviewed)
-    return Outcome(apply_merge_map(df, reviewed, names), reports)
+    reports.add("merge_map", lambda: stored)
+    return Outcome(apply_merge_map(df, stored, names), reports)
 
 
 def label_table(
@@ -263,6 +313,16 @@ def label_table(
     return Outcome(labelled, reports)
 
 
+@dataclass
+class Reviewed:
+    """A reviewer's tables for :func:`full_cleaning`, each with its ``approved`` column."""
+
+    decisions: DataFrame | None = None
+    merge_map: DataFrame | None = None
+    rare: DataFrame | None = None
+    fills: DataFrame | None = None
+
+
 def full_cleaning(
     df: DataFrame,
     key: str,
@@ -270,23 +330,59 @@ def full_cleaning(
     col_threshold: float = cleaning.SPARSE_PERCENT,
     outlier_names: Iterable[str] | None = None,
     decide: Callable[[DataFrame], DataFrame] | None = None,
+    action: str = "remove",
     merge_names: Iterable[str] | None = None,
+    suggest: Callable[[DataFrame, str], DataFrame] = canonical_merge_map,
     review: Callable[[DataFrame], DataFrame] | None = None,
+    rare_below: float = 1.0,
     fills: Callable[[DataFrame, str], DataFrame] | None = None,
+    reviewed: Reviewed | None = None,
     run: Run | None = None,
 ) -> Outcome:
-    """Clean, analyse outliers and categories, apply what is approved, fill gaps."""
+    """Clean, analyse outliers and categories, apply what is approved, fill gaps.
+
+    Numbers and categories are both analysed on the cleaned table, before anything
+    is removed; the reports hold the numeric outliers, the rare values of each
+    category column, and the proposals. Then come, each only as far as approved:
+    removal or capping of outliers, merging of category values, removal of rows with
+    rare values (below ``rare_below`` percent of their column), and filling.
+    ``reviewed`` has the reports ``decisions``, ``merge_map``, ``rare`` and ``fills`` of
+    an earlier call after review.
+    """
+    known = reviewed or Reviewed()
     first = clean_table(df, row_threshold, col_threshold, True, run)
-    base = _stored(first.data, run, "phase_1")
+    base = first.data if run is not None else _stored(first.data, run, "phase_1")
     reports = Reports()
     reports.include(first.reports, "clean_")
     numbers = [c for c in numeric_columns(base) if c != key]
+    merge_names = (
+        [c for c in reviewed_candidate_columns(base) if c != key]
+        if merge_names is None
+        else list(merge_names)
+    )
     reports.add("outlier_report", lambda: numeric_outlier_report(base, numbers))
-    treated = treat_outliers(base, key, outlier_names, decide, run=run)
-    merged = merge_categories(treated.data, merge_names, review=review, run=run)
-    phase_3 = _stored(merged.data, run, "phase_3")
-    filled = impute_table(phase_3, key, fills=fills, run=run)
-    for part in (treated, merged, filled):
+    reports.add("categorical_report", lambda: dominant_values(base, merge_names))
+    step = "" if reviewed is None else "reviewed_"
+    proposed = known.rare
+    if proposed is None:
+        proposed = rare_categories(base, merge_names, rare_below).withColumn(
+            "approved", F.lit(False)
+        )
+    rare = _stored(proposed, run, f"{step}rare")
+    reports.add("rare", lambda: rare)
+    # Suggestions come from the cleaned table; they are applied to what is left of it.
+    merges = merge_categories(base, merge_names, suggest, review, known.merge_map, run)
+    treated = treat_outliers(
+        base, key, outlier_names, decide, action=action, reviewed=known.decisions, run=run
+    )
+    merged = treated.data
+    if "merge_map" in merges.reports:
+        merged = apply_merge_map(merged, merges.reports["merge_map"], merge_names)
+    for name in merge_names if known.rare is not None else ():
+        merged = drop_rare_values(merged, name, rare)
+    phase_3 = _stored(merged, run, f"{step}phase_3")
+    filled = impute_table(phase_3, key, fills=fills, reviewed=known.fills, run=run)
+    for part in (merges, treated, filled):
         reports.include(part.reports)
     if run is not None:
         run.finish()

@@ -12,6 +12,8 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewash.functions.scratch import safe_name
+
 EVENT_SCHEMA = (
     "run_id string, ts timestamp, step string, status string, output string, "
     "metrics map<string,double>, settings map<string,string>"
@@ -22,7 +24,7 @@ STARTED, DONE, FINISHED = "in_progress", "done", "finished"
 def run_name(source: str, when: datetime) -> str:
     """``<stem of the source>_<date>_<time>``."""
     stem = source.rstrip("/").rsplit("/", 1)[-1]
-    stem = stem.rpartition(".")[0] or stem
+    stem = safe_name(stem.rpartition(".")[0] or stem)
     return f"{stem}_{when:%Y%m%d_%H%M%S}"
 
 
@@ -72,7 +74,7 @@ class Run:
         )
 
     def output_path(self, step: str) -> str:
-        return f"{self.folder}/{step}"
+        return f"{self.folder}/{safe_name(step)}"
 
     def is_done(self, step: str) -> bool:
         if not self._exists(f"{self.output_path(step)}/_SUCCESS"):
