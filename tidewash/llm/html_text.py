@@ -1,8 +1,9 @@
 """The main text of web pages by a maximum-scoring subsequence.
 
 A page is read as a sequence of words and tags. Words score positive and tags
-negative; what stands in a boilerplate element (a menu, a footer, an advert, ...)
-scores negative as a whole. One linear scan finds the contiguous region with the
+negative; the words of a boilerplate element (a menu, a footer, an advert, ...) are
+negative too. Boilerplate inside an article is passed over, so that an advert does
+not cut the article in two. One linear scan finds the contiguous region with the
 highest sum, and its blocks are the text. The tags' weights come from labelled
 pages: the share of a tag's occurrences that lie outside the labelled article.
 """
@@ -39,6 +40,7 @@ BLOCK = frozenset(
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p "
     "pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+ARTICLES = frozenset(("article", "main"))
 CLOSES_PARAGRAPH = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 BOILERPLATE_NAMES = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie "
@@ -56,7 +58,8 @@ _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<[!?][^>]*+>"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)"
-    r"(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
+    r"(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<[a-zA-Z/!?][^>]*\Z",
     re.DOTALL,
 )
 _NAMED = re.compile(
@@ -70,7 +73,7 @@ def is_boilerplate(name: str, rest: str, in_article: bool) -> bool:
     """Whether an element is boilerplate by its name or attributes."""
     if name in BOILERPLATE or (name == "header" and not in_article):
         return True
-    if not rest or name in ("html", "body", "article", "main"):
+    if not rest or name in ("html", "body") or name in ARTICLES:
         return False
     for key, *values in _NAMED.findall(rest):
         value = "".join(values).lower()
@@ -99,16 +102,22 @@ class Reader:
     open: list[Element] = field(default_factory=list)
     block: int = 0
 
+    def _inside(self) -> tuple[bool, bool]:
+        """Whether the place is in boilerplate, and whether that is within an article."""
+        dropped = any(e.boilerplate for e in self.open)
+        return dropped, dropped and any(e.name in ARTICLES for e in self.open)
+
     def _text(self, raw: str) -> None:
-        if raw:
-            dropped = any(e.boilerplate for e in self.open)
+        dropped, passed_over = self._inside()
+        if raw and not passed_over:
             self.events.append(("text", html.unescape(raw), dropped, self.block))
 
-    def _tag(self, name: str, closing: bool) -> None:
-        dropped = any(e.boilerplate for e in self.open)
+    def _tag(self, name: str, closing: bool = False) -> None:
+        dropped, passed_over = self._inside()
         if name in BLOCK:
             self.block += 1
-        self.events.append(("tag", f"/{name}" if closing else name, dropped, self.block))
+        if not passed_over or name in ARTICLES:
+            self.events.append(("tag", f"/{name}" if closing else name, dropped, self.block))
 
     def _start(self, name: str, rest: str) -> None:
         if name in CLOSES_PARAGRAPH and name != "p":
@@ -116,9 +125,9 @@ class Reader:
         elif name == "p":
             self._end_open("p")
         if name not in VOID and not rest.endswith("/"):
-            article = any(e.name in ("article", "main") for e in self.open)
+            article = any(e.name in ARTICLES for e in self.open)
             self.open.append(Element(name, is_boilerplate(name, rest, article)))
-        self._tag(name, False)
+        self._tag(name)
 
     def _end_open(self, name: str) -> None:
         """Close the innermost element of that name, and what is open in it."""
@@ -136,12 +145,12 @@ class Reader:
             at = match.end()
             name = (match["name"] or "").lower()
             if name and match["close"]:
-                self._tag(name, True)
+                self._tag(name, closing=True)
                 self._end_open(name)
             elif name in RAW and not match["rest"].endswith("/"):
                 ending = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
                 at = ending.end() if ending else len(page)
-                self._tag(name, False)
+                self._tag(name)
             elif name:
                 self._start(name, match["rest"])
         self._text(page[at:])
