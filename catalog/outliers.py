@@ -82,10 +82,21 @@ r AS (SELECT 'value' AS "column", avg(value) AS mean, min(q1) AS q1, min(q3) AS
 SELECT "column", round(mean, 4) AS mean, round(q1, 4) AS q1, round(q3, 4) AS q3, round(q3 - q1, 4) AS iqr,
   round(lo, 4) AS lower_fence, round(hi, 4) AS upper_fence, round(mode, 4) AS mode,
   n AS n_total, o AS n_outliers, round(o * 100.0::DOUBLE / n, 2) AS outlier_pct,
-  n_clusters, noise_points, noise_pct FROM r JOIN d USING ("column")""",
+  n_clusters, noise_points, noise_pct FROM r JOIN d USING ("column")"""
+    + "".join(
+        f"""
+UNION ALL SELECT '{c}', round(avg({c}), 4), round(min(z.q1), 4), round(min(z.q3), 4), round(min(z.q3 - z.q1), 4),
+  round(min(z.lo), 4), round(min(z.hi), 4),
+  (SELECT {c}::DOUBLE FROM events GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1),
+  count({c}), count(*) FILTER (WHERE {c} < z.lo OR {c} > z.hi),
+  round(count(*) FILTER (WHERE {c} < z.lo OR {c} > z.hi) * 100.0::DOUBLE / count({c}), 2), NULL, NULL, NULL
+FROM events, ({fences_sql(c, 'events')}) z"""
+        for c in ("event_id", "user_id")
+    ),
 )
 def numeric_outlier_report(spark: SparkSession, sf: str) -> DataFrame:
-    return D.numeric_outlier_report(table(spark, sf, "events"), ["value"])
+    """Every numeric column; the two without outliers have no clusters."""
+    return D.numeric_outlier_report(table(spark, sf, "events"))
 
 
 @query("outlier_dbscan_1d", density_sql("0.05") + DENSITY_REPORT)

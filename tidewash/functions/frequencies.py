@@ -1,13 +1,22 @@
-"""How often each value of each column occurs, in one grouped pass."""
+"""How often each value of each column occurs, grouped by narrow keys.
+
+Whole numbers, real numbers and texts are grouped apart, each keyed by the number
+of the column and one value of the form's own type, so that a row on its way to
+the shuffle holds nothing else. Many columns are taken in chunks.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidewash.functions.columns import column, number
 
+#: Columns that are grouped in one pass.
+COLUMNS_AT_ONCE = 64
+
 
 def as_text(df: DataFrame, name: str) -> Column:
     """The value as text, equal for equal values (no NaN, one zero)."""
@@ -31,40 +40,99 @@ def value_frequencies(
     """
     columns = list(columns)
     counters = counters or {}
-    nothing = {"text": "string", "whole": "bigint", "real": "double"}
-    parts = []
-    for name in columns:
-        form = _form(df.schema[name].dataType)
-        value = {
-            "text": column(name).cast("string"),
-            "whole": column(name).cast("bigint"),
-            # Adding zero makes the two zeros equal.
-            "real": number(df, name) + F.lit(0.0),
-        }[form]
-        parts += [F.lit(name)]
-        parts += [value if f == form else F.lit(None).cast(t) for f, t in nothing.items()]
-    keys = ["column", *nothing]
+    sums = [F.sum(name).alias(name) for name in counters]
+    tables = []
+    for form, names in _by_form(df, columns):
+        grouped = (
+            _stacked(df, names, lambda c: _value(df, c), counters)
+            .groupBy("column", "key")
+            .agg(F.count("*").alias("n"), *sums)
+        )
+        # Numbers become text only after equal values are combined.
+        number_of = F.col("key").cast("double")
+        if form == "text":
+            decimals = [c for c in names if isinstance(df.schema[c].dataType, T.DecimalType)]
+            number_of = (
+                F.when(_named(names).isin(decimals), F.col("key").try_cast("double"))
+                if decimals
+                else F.lit(None).cast("double")
+            )
+        tables.append(
+            grouped.select(
+                _named(names).alias("column"),
+                F.col("key").cast("string").alias("value"),
+                number_of.alias("number"),
+                "n",
+                *counters,
+            )
+        )
+    if not tables:
+        extra = "".join(f", {name} bigint" for name in counters)
+        return df.sparkSession.createDataFrame(
+            [], f"column string, value string, number double, n bigint{extra}"
+        )
+    return reduce(DataFrame.unionAll, tables)
+
+
+def distinct_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """``column, num_unique, present``: distinct and all non-null values of each column.
+
+    Texts are told apart by 128 bits of two hashes, so long ones are not shuffled.
+    """
+    tables = []
+    for form, names in _by_form(df, list(columns)):
+        def key(name: str, form: str = form) -> Column:
+            value = _value(df, name)
+            if form != "text":
+                return value
+            hashes = F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit(1), value).alias("b"))
+            return F.when(value.isNotNull(), hashes)
+
+        grouped = (
+            _stacked(df, names, key, {}).groupBy("column", "key").agg(F.count("*").alias("n"))
+        )
+        counted = grouped.groupBy("column").agg(
+            F.count("*").alias("num_unique"), F.sum("n").alias("present")
+        )
+        tables.append(counted.select(_named(names).alias("column"), "num_unique", "present"))
+    if not tables:
+        schema = "column string, num_unique bigint, present bigint"
+        return df.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionAll, tables)
+
+
+def _by_form(df: DataFrame, columns: list[str]) -> Iterator[tuple[str, list[str]]]:
+    """The columns of each form, in chunks."""
+    for form in ("whole", "real", "text"):
+        names = [c for c in columns if _form(df.schema[c].dataType) == form]
+        for at in range(0, len(names), COLUMNS_AT_ONCE):
+            yield form, names[at : at + COLUMNS_AT_ONCE]
+
+
+def _stacked(
+    df: DataFrame,
+    names: list[str],
+    value: Callable[[str], Column],
+    counters: dict[str, Column],
+) -> DataFrame:
+    """One row per cell: the number of the column and its value, if there is one."""
     carried = [expr.cast("int").alias(name) for name, expr in counters.items()]
-    grouped = (
-        df.select(*carried, F.stack(F.lit(len(columns)), *parts).alias(*keys))
-        .where("text IS NOT NULL OR whole IS NOT NULL OR real IS NOT NULL")
-        .groupBy(*keys)
-        .agg(F.count("*").alias("n"), *[F.sum(name).alias(name) for name in counters])
-    )
-    decimals = [c for c in columns if isinstance(df.schema[c].dataType, T.DecimalType)]
-    from_text = (
-        F.when(F.col("column").isin(decimals), F.col("text").try_cast("double"))
-        if decimals
-        else F.lit(None).cast("double")
-    )
-    # Numbers become text only after equal values are combined.
-    return grouped.select(
-        "column",
-        F.coalesce("text", F.col("whole").cast("string"), F.col("real").cast("string")).alias("value"),
-        F.coalesce("real", F.col("whole").cast("double"), from_text).alias("number"),
-        "n",
-        *counters,
-    )
+    cells = [part for i, name in enumerate(names) for part in (F.lit(i), value(name))]
+    stacked = df.select(*carried, F.stack(F.lit(len(names)), *cells).alias("column", "key"))
+    return stacked.where(F.col("key").isNotNull())
+
+
+def _named(names: list[str]) -> Column:
+    return F.element_at(F.array(*map(F.lit, names)), F.col("column") + 1)
+
+
+def _value(df: DataFrame, name: str) -> Column:
+    form = _form(df.schema[name].dataType)
+    if form == "whole":
+        return column(name).cast("bigint")
+    if form == "real":
+        return number(df, name) + F.lit(0.0)  # adding zero makes the two zeros equal
+    return column(name).cast("string")
 
 
 def _form(data_type: T.DataType) -> str:

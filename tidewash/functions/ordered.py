@@ -14,10 +14,13 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidewash.functions.columns import quoted
-from tidewash.functions.scratch import write_scratch
+from tidewash.functions.scratch import drop_table, write_scratch
 
 SLICE = "_slice"
 ROWS_PER_SLICE = 1_000_000
+# Spark samples at most a million rows to find the borders of the slices: with no
+# more slices than this at least fifty for each, so slices stay even.
+MOST_SLICES = 20_000
 
 
 class Ordered:
@@ -37,13 +40,17 @@ class Ordered:
         self.by = list(by)
         self.group = list(group or [])
         keys = [F.col(quoted(c)) for c in self.group + self.by]
+        # Written first: the rows are counted, sampled and dealt out, and what
+        # they come from is worked out once.
+        stored = write_scratch(df, "unordered")
         # The number of slices follows the table, so that a slice has the same
-        # size at any scale and setting.
-        count = slices or math.ceil(df.count() / ROWS_PER_SLICE) or 1
-        spread = df.repartitionByRange(count, *keys)
+        # size at any scale and setting; a very large table has larger slices.
+        wanted = math.ceil(stored.count() / ROWS_PER_SLICE) or 1
+        spread = stored.repartitionByRange(slices or min(wanted, MOST_SLICES), *keys)
         self.rows = write_scratch(
             spread.withColumn(SLICE, F.spark_partition_id()), "ordered"
         )
+        drop_table(stored)
         # Slices follow the order, so each border between two slices cuts at
         # most one group: this holds at most two entries per slice, however
         # many groups there are.

@@ -38,8 +38,7 @@ def safe_name(label: str) -> str:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; results read from them are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_folder(spark))
 
 
 def write_scratch(df: DataFrame, label: str = "table", compression: str = "snappy") -> DataFrame:
@@ -47,4 +46,16 @@ def write_scratch(df: DataFrame, label: str = "table", compression: str = "snapp
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{safe_name(label)}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.scratch_path = path
+    return stored
+
+
+def drop_table(stored: DataFrame) -> None:
+    """Delete a table of :func:`write_scratch` that nothing will read any more."""
+    _delete(stored.sparkSession, stored.scratch_path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

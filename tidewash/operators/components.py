@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidewash.functions.scratch import write_scratch
+from tidewash.functions.scratch import drop_table, write_scratch
 
 
 def connected_components(edges: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
@@ -23,6 +23,7 @@ def connected_components(edges: DataFrame, a: str = "id_a", b: str = "id_b") ->
         "edges",
     )
     labels = None
+    finished: list[DataFrame] = []  # tables of this and the last round that nothing reads later
     turn = 0
     while not pairs.isEmpty():
         both = pairs.union(pairs.select("v", "u"))
@@ -35,9 +36,12 @@ def connected_components(edges: DataFrame, a: str = "id_a", b: str = "id_b") ->
             "choices",
         )
         if labels is None:
-            labels = chosen.select("node", F.col("chosen").alias("component"))
+            labels = write_scratch(
+                chosen.select("node", F.col("chosen").alias("component")), "labels"
+            )
         else:
             step = chosen.select(F.col("node").alias("component"), "chosen")
+            finished.append(labels)
             labels = write_scratch(
                 labels.join(step, "component", "left").select(
                     "node", F.coalesce("chosen", "component").alias("component")
@@ -49,10 +53,14 @@ def connected_components(edges: DataFrame, a: str = "id_a", b: str = "id_b") ->
             .join(chosen.select(F.col("node").alias("v"), F.col("chosen").alias("t")), "v")
             .where(F.col("s") != F.col("t"))
         )
+        finished += [chosen, pairs]
         pairs = write_scratch(
             ends.select(F.least("s", "t").alias("u"), F.greatest("s", "t").alias("v")).distinct(),
             "edges",
         )
+        for table in finished:
+            drop_table(table)
+        finished = []
         turn += 1
     if labels is None:
         node_type = pairs.schema["u"].dataType.simpleString()

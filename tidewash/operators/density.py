@@ -80,16 +80,18 @@ def outlier_clusters(
     min_samples: int = MIN_SAMPLES,
     factor: float = IQR_FACTOR,
     slices: int | None = None,
+    fences: dict[str, Fences] | None = None,
 ) -> DataFrame | None:
     """``column, value, n, core, cluster`` for every distinct outlier value.
 
     ``cluster`` counts from 0 upwards by value and is null for noise. A value
     near two clusters goes to the nearer one, on a tie to the lower one.
     Columns with fewer than ``min_samples`` outliers are left out; None when
-    no column is left.
+    no column is left. ``fences`` spares working them out again.
     """
     names = numeric_columns(df) if names is None else list(names)
-    fences = iqr_fences(df, names, factor)
+    if fences is None:
+        fences = iqr_fences(df, names, factor)
     scales = _scales(df, fences, eps, min_samples)
     if not scales:
         return None
@@ -236,7 +238,7 @@ def numeric_outlier_report(
     modes = column_totals(value_frequencies(df, shown)).select(
         "column", F.col("top_number").alias("mode")
     ) if shown else spark.createDataFrame([], "column string, mode double")
-    clusters = outlier_clusters(df, shown, eps, min_samples, factor)
+    clusters = outlier_clusters(df, shown, eps, min_samples, factor, fences=fences)
     density = (
         density_report(clusters)
         if clusters is not None

@@ -24,7 +24,7 @@ from tidewash.functions.columns import (
 from tidewash.functions.frequencies import column_totals, value_frequencies
 from tidewash.functions.ordered import Ordered
 from tidewash.functions.quantiles import exact_quantiles
-from tidewash.functions.scratch import write_scratch
+from tidewash.functions.scratch import drop_table, write_scratch
 from tidewash.functions.text import to_number
 from tidewash.operators.clean import percent
 from tidewash.operators.decisions import approved_only
@@ -349,11 +349,14 @@ def impute_sequential(
     written after every column, which keeps the plan of each step short.
     """
     names = columns_with_gaps(df, exclude) if names is None else list(names)
-    current = df
+    current = stored = df
     for name in names:
-        current = write_scratch(
+        before = stored
+        current = stored = write_scratch(
             apply_fills(current, fills(current, name), name, key), "filled"
         )
+        if before is not df:
+            drop_table(before)
     return current
 
 
@@ -502,6 +505,7 @@ def impute_iterative(
         ),
         "rounds",
     )
+    stored = current
     middle = [float(start[f"m{i}"] or 0.0) for i in range(len(inputs))]
     for _ in range(rounds):
         for i in range(len(names)):
@@ -513,7 +517,9 @@ def impute_iterative(
             current = current.withColumn(
                 f"x{i}", F.when(F.col(f"gap{i}"), predicted).otherwise(F.col(f"x{i}"))
             )
-        current = write_scratch(current, "rounds")
+        before, current = stored, write_scratch(current, "rounds")
+        drop_table(before)
+        stored = current
     filled = current.select(
         "_key", *[F.col(f"x{i}").alias(f"_x{i}") for i in range(len(names))]
     )

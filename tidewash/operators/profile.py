@@ -16,7 +16,7 @@ from tidewash.functions.columns import (
     scalar_columns,
     text_columns,
 )
-from tidewash.functions.frequencies import column_totals, value_frequencies
+from tidewash.functions.frequencies import column_totals, distinct_counts, value_frequencies
 from tidewash.functions.quantiles import exact_quantiles
 from tidewash.operators.clean import count_duplicates, percent
 
@@ -84,10 +84,7 @@ def describe_dataset(df: DataFrame, samples: int = 0, seed: int = 0) -> DataFram
     """
     names = scalar_columns(df)
     types = dict(df.dtypes)
-    freq = value_frequencies(df, names)
-    totals = freq.groupBy("column").agg(
-        F.count("*").alias("num_unique"), F.sum("n").alias("_present")
-    )
+    totals = distinct_counts(df, names).withColumnRenamed("present", "_present")
     schema = "column string, dtype string"
     listed = df.sparkSession.createDataFrame([(c, types[c]) for c in names], schema)
     per_column = listed.join(F.broadcast(totals), "column", "left").withColumn(
@@ -107,7 +104,7 @@ def describe_dataset(df: DataFrame, samples: int = 0, seed: int = 0) -> DataFram
     if not samples:
         return described
     return described.join(
-        F.broadcast(column_samples(freq, samples, seed)), "column", "left"
+        F.broadcast(column_samples(value_frequencies(df, names), samples, seed)), "column", "left"
     )
 
 
