@@ -25,6 +25,7 @@ LEAST_SAMPLE = 3
 # Buffer fields that the widest aggregate needs for one target.
 FIELDS_PER_TARGET = 9
 
+# The columns of the report.
 PROFILE_SCHEMA = (
     "target string, column string, type string, "
     "dominant_val_missing string, dominant_pct_missing double, "
