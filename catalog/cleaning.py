@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog.inputs import table, view, with_view
 from catalog.registry import query
+from tidewash.functions.columns import column_kinds, numeric_columns
+from tidewash.functions.frequencies import distinct_counts
 from tidewash.functions.scratch import scratch_folder
 from tidewash.functions.text import slug, to_number
 from tidewash.operators import clean as C
-from tidewash.operators.merge import distinct_normalized_values
 from tidewash.operators.decisions import approve, beyond, decide_by_rule
+from tidewash.operators.label import label_by_rules
+from tidewash.operators.merge import distinct_normalized_values
 from tidewash.operators.outliers import outlier_summary
 from tidewash.plans import cleaning as plans
 from tidewash.sources import csv, runs
@@ -279,6 +282,85 @@ def report_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(report.schema).json(path)
 
 
+@query("run_snapshot", "SELECT * FROM orders")
+def run_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw input, kept by a run: a later, changed input does not replace it."""
+    run = runs.start_run(spark, scratch_folder(spark), f"orders [{uuid.uuid4().hex}].csv")
+    run.snapshot_input(table(spark, sf, "orders"))
+    return run.snapshot_input(table(spark, sf, "orders").where("false"))
+
+
+@query(
+    "run_steps_resume",
+    """
+SELECT step, count(*) AS events, (SELECT count(*) FROM orders WHERE o_totalprice > 100000) AS rows_left
+FROM (VALUES ('input'), ('kept [o_totalprice > 100000]')) v(step) GROUP BY step""",
+)
+def run_steps_resume(spark: SparkSession, sf: str) -> DataFrame:
+    """Steps with any name are done once; a resumed run reads their outputs."""
+    run = runs.start_run(spark, scratch_folder(spark), f"steps-{uuid.uuid4().hex}.csv")
+    name = "kept [o_totalprice > 100000]"
+    for wanted in (100_000, 0):  # the second round finds both steps done
+        raw = run.snapshot_input(table(spark, sf, "orders"))
+        kept = run.step(name, lambda raw=raw, wanted=wanted: raw.where(F.col("o_totalprice") > wanted))
+    done = run.events().where(F.col("status") == runs.DONE)
+    return done.groupBy("step").agg(F.count("*").alias("events")).withColumn(
+        "rows_left", F.lit(kept.count()).cast("bigint")
+    )
+
+
+@query(
+    "classified_export",
+    """
+SELECT *, CASE WHEN regexp_matches(p_name, 'ring') THEN 'ring' ELSE 'other' END AS "p_name_Classified"
+FROM part""",
+)
+def classified_export(spark: SparkSession, sf: str) -> DataFrame:
+    """The labelled copy beside the source, read back."""
+    source = f"{scratch_folder(spark)}/part-{uuid.uuid4().hex}.parquet"
+    labelled = label_by_rules(table(spark, sf, "part"), "p_name", [("ring", "ring")], "other")
+    return csv.read_table(spark, csv.save_classified(labelled, source))
+
+
+@query(
+    "column_selection",
+    """
+SELECT column_name AS "column", CASE WHEN column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'numeric'
+    WHEN column_type = 'VARCHAR' THEN 'categorical' ELSE 'datetime' END AS kind,
+  column_type IN ('BIGINT', 'DOUBLE') AS narrow,
+  CASE column_name """
+    + " ".join(
+        f"WHEN '{c}' THEN (SELECT count(DISTINCT {c}) FROM lineitem)"
+        for c in (
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+            "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
+        )
+    )
+    + " END AS num_unique FROM (DESCRIBE lineitem)",
+)
+def column_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """How each column counts, under the wide and the narrow rule, and its distinct values."""
+    lines = table(spark, sf, "lineitem")
+    kinds, narrow = column_kinds(lines), numeric_columns(lines, "narrow")
+    rows = [(c, kinds[c], c in narrow) for c in lines.columns]
+    listed = spark.createDataFrame(rows, "column string, kind string, narrow boolean")
+    return listed.join(distinct_counts(lines, lines.columns).drop("present"), "column")
+
+
+@query("drop_named_columns", "SELECT event_id, ts, event_type, value FROM events")
+def drop_named_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return C.drop_columns(table(spark, sf, "events"), ["user_id", "props", "absent"])
+
+
+@query(
+    "cleaning_defaults",
+    with_view("dirty_customer", f"WITH {NORMAL}, {KEPT} SELECT count(*) AS rows_left FROM kept"),
+)
+def cleaning_defaults(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows left without any threshold given: 70 percent for rows and columns."""
+    return C.clean(view(spark, sf, "dirty_customer")).data.agg(F.count("*").alias("rows_left"))
+
+
 @query(
     "run_registry_latest",
     """

@@ -163,6 +163,11 @@ def sparse_columns(df: DataFrame, threshold: float = SPARSE_PERCENT) -> list[str
     return [c for c in df.columns if c in sparse]
 
 
+def drop_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` without the named columns; names that are not there are no error."""
+    return df.drop(*names)
+
+
 def drop_sparse_columns(df: DataFrame, threshold: float = SPARSE_PERCENT) -> DataFrame:
     return df.drop(*sparse_columns(df, threshold))
 
