@@ -43,7 +43,7 @@ LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 27
 #: Cells that are merged together.
 BLOCK_CELLS = 1 << 18
 #: Windows or anchors a task holds before it passes them on.
-HELD = 3_000_000
+HELD = 2_000_000
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -69,7 +69,7 @@ def sketch_cells(anchors: np.ndarray, cells: int) -> list[np.ndarray]:
 
 
 def _partial_sketches(
-    batches: Iterator[pa.RecordBatch], cells: int, window: int, anchor: int
+    batches: Iterator[pa.RecordBatch], cells: int, block: int, window: int, anchor: int, most: int
 ) -> Iterator[pa.RecordBatch]:
     """The task's sketch, cells that are not zero: by block, the cell numbers as often as
     they are counted (twice at the most, as more makes no difference)."""
@@ -81,9 +81,9 @@ def _partial_sketches(
         same = np.zeros(len(found), bool)
         same[2:] = found[2:] == found[:-2]
         found = found[~same]
-        bounds = np.searchsorted(found, np.arange(0, DEPTH * cells + 1, BLOCK_CELLS))
+        bounds = np.searchsorted(found, np.arange(0, DEPTH * cells + 1, block))
         used = np.flatnonzero(np.diff(bounds))
-        small = (found % BLOCK_CELLS).astype("<u4")
+        small = (found % block).astype("<u4")
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(used.astype(np.int32)),
@@ -98,14 +98,14 @@ def _partial_sketches(
         new = np.ones(len(at), bool)
         new[1:] = at[1:] != at[:-1]
         held += sketch_cells(anchors[new], cells)
-        if sum(map(len, held)) > HELD:
+        if sum(map(len, held)) > most:
             yield flush()
             held = []
     if sum(map(len, held)):
         yield flush()
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Add up each block's partial sketches and keep a bit for counts of two or more."""
     block, counts = None, None
 
@@ -122,33 +122,39 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if number != block:
                 if block is not None:
                     yield done()
-                block, counts = number, np.zeros(BLOCK_CELLS, np.uint32)
+                block, counts = number, np.zeros(size, np.uint32)
             np.add.at(counts, np.frombuffer(counted.as_py(), "<u4"), 1)
     if block is not None:
         yield done()
 
 
 def repeated_cells(
-    docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
+    docs: DataFrame,
+    window: int = WINDOW,
+    anchor: int = ANCHOR,
+    most_cells: int = MOST_CELLS,
+    held: int = HELD,
 ) -> tuple[int, np.ndarray]:
     """The sketch's width, and a packed bit for every cell that is counted twice or more."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = LEAST_CELLS
-    while cells < min(size * CELLS_PER_BYTE, MOST_CELLS):
+    cells = min(LEAST_CELLS, most_cells)
+    while cells < min(size * CELLS_PER_BYTE, most_cells):
         cells *= 2
+    block = min(BLOCK_CELLS, cells)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     merged = (
         docs.select("text")
         .mapInArrow(
-            lambda b: _partial_sketches(b, cells, window, anchor), "block int, counted binary"
+            lambda b: _partial_sketches(b, cells, block, window, anchor, held),
+            "block int, counted binary",
         )
         .repartition(parts, "block")
         .sortWithinPartitions("block")
-        .mapInArrow(_merge, "block int, repeated binary")
+        .mapInArrow(lambda b: _merge(b, block), "block int, repeated binary")
     )
     bits = np.zeros(DEPTH * cells // 8, np.uint8)
-    step = BLOCK_CELLS // 8
+    step = block // 8
     for row in merged.toLocalIterator():
         bits[row.block * step : (row.block + 1) * step] = np.frombuffer(row.repeated, np.uint8)
     return cells, bits
@@ -197,7 +203,13 @@ def smaller_elsewhere(w1: np.ndarray, w2: np.ndarray, ids: np.ndarray):
 
 
 def _ask(
-    batches: Iterator[pa.RecordBatch], cells: int, sketch, window: int, anchor: int, parts: int
+    batches: Iterator[pa.RecordBatch],
+    cells: int,
+    sketch,
+    window: int,
+    anchor: int,
+    parts: int,
+    most: int,
 ) -> Iterator[pa.RecordBatch]:
     bits = sketch.value
     held: list[tuple[np.ndarray, ...]] = []
@@ -211,40 +223,37 @@ def _ask(
 
     def flush() -> pa.RecordBatch:
         w1, w2, ids, text_hash, start = (np.concatenate(c) for c in zip(*held, strict=True))
-        order, removed = smaller_elsewhere(w1, w2, ids)
-        w1, w2, ids, text_hash, start = (c[order] for c in (w1, w2, ids, text_hash, start))
+        order, smaller = smaller_elsewhere(w1, w2, ids)
+        removed = np.zeros(len(w1), bool)
+        removed[order] = smaller
+        # In the order of the documents, in which ids and places compress well.
         rows = []
-        number = (w1 >> np.uint64(32)) % np.uint64(parts)
         open_ = np.flatnonzero(~removed)
-        # Rows of one document that are repeated ask once.
-        once = first_of_run(*(c[open_] for c in (w1, w2, ids, text_hash, start)))
-        open_ = open_[once]
-        open_ = open_[np.argsort(number[open_], kind="stable")]
-        bounds = np.searchsorted(number[open_], np.arange(parts + 1))
+        number = (w1[open_] >> np.uint64(32)) % np.uint64(parts)
+        by_part = np.argsort(number, kind="stable")
+        bounds = np.searchsorted(number[by_part], np.arange(parts + 1))
         for p in range(parts):
-            some = open_[bounds[p] : bounds[p + 1]]
+            some = open_[by_part[bounds[p] : bounds[p + 1]]]
             if len(some):
-                rows.append(
-                    _pack(p, *(c[some] for c in (w1, w2, ids, text_hash, start)), False)
-                )
+                rows.append(_pack(p, *(c[some] for c in (w1, w2, ids, text_hash, start)), False))
         known = np.flatnonzero(removed)
-        known = known[np.lexsort((start[known], text_hash[known], ids[known]))]
-        known = known[first_of_run(*(c[known] for c in (ids, text_hash, start)))]
         none = np.zeros(0, np.uint64)
         for p, some in enumerate(np.array_split(known, min(parts, 1 + len(known) // 10_000))):
             if len(some):
-                rows.append(
-                    _pack(
-                        int(ids[some[0]] + p) % parts,
-                        none,
-                        none,
-                        *(c[some] for c in (ids, text_hash, start)),
-                        True,
-                    )
-                )
+                part = int(text_hash[some[0]] + p) % parts
+                columns = (c[some] for c in (ids, text_hash, start))
+                rows.append(_pack(part, none, none, *columns, True))
         return pa.RecordBatch.from_pylist(rows, schema)
 
+    seen: set[tuple[int, int]] = set()
     for batch, raw in text_blocks(batches):
+        ids = batch.column("id").fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+        text_hash = batch.column("text_hash").to_numpy()
+        # Repeated rows have the same windows and the same answer: they ask once.
+        for place, row in enumerate(zip(ids.tolist(), text_hash.tolist(), strict=True)):
+            if row in seen:
+                raw[place] = b""
+            seen.add(row)
         words = cut_words(raw)
         hashes = words.hashes(1)
         starts, _, anchors = anchored_windows(words, hashes, window, anchor)
@@ -252,7 +261,6 @@ def _ask(
         if not len(chosen):
             continue
         owner = words.owner[chosen]
-        ids = batch.column("id").fill_null(_NO_ID).to_numpy(zero_copy_only=False)
         held.append(
             (
                 stretch_hashes(hashes, chosen, chosen + window),
@@ -260,19 +268,24 @@ def _ask(
                     np.uint32
                 ),
                 ids[owner],
-                batch.column("text_hash").to_numpy()[owner],
+                text_hash[owner],
                 (chosen - words.first[owner]).astype(np.uint32),
             )
         )
-        if sum(len(h[0]) for h in held) > HELD:
+        if sum(len(h[0]) for h in held) > most:
             yield flush()
             held = []
+            seen.clear()
     if held:
         yield flush()
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The removed starts of each document, from all that was asked about these windows."""
+def _answer(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The removed starts, from all that was asked about these windows.
+
+    One row for each part of the documents, not for each document: a document's
+    windows are spread over all tasks.
+    """
     kinds = {"w1": "<u8", "w2": "<u4", "id": "<i8", "text_hash": "<i8", "start": "<u4"}
     asked: list[list[np.ndarray]] = []
     removed: list[list[np.ndarray]] = []
@@ -290,6 +303,30 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not removed:
         return
     ids, text_hash, start = (np.concatenate(c) for c in zip(*removed, strict=True))
+    number = mix(ids.astype(np.uint64) ^ mix(text_hash.astype(np.uint64))) % np.uint64(parts)
+    order = np.argsort(number, kind="stable")
+    bounds = np.searchsorted(number[order], np.arange(parts + 1))
+    for p in range(parts):
+        some = order[bounds[p] : bounds[p + 1]]
+        if len(some):
+            columns = (c[some].tobytes() for c in (ids, text_hash, start))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p], pa.int32()), *(pa.array([c], pa.binary()) for c in columns)],
+                names=["part", "id", "text_hash", "start"],
+            )
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document with all its removed starts."""
+    kinds = {"id": "<i8", "text_hash": "<i8", "start": "<u4"}
+    found = [
+        [np.frombuffer(row[n], kind) for n, kind in kinds.items()]
+        for batch in batches
+        for row in batch.to_pylist()
+    ]
+    if not found:
+        return
+    ids, text_hash, start = (np.concatenate(c) for c in zip(*found, strict=True))
     order = np.lexsort((start, text_hash, ids))
     ids, text_hash, start = ids[order], text_hash[order], start[order]
     heads = np.flatnonzero(first_of_run(ids, text_hash))
@@ -302,7 +339,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(text_hash[heads[at : at + 5000]]),
                 pa.array([start[bounds[k] : bounds[k + 1]].tobytes() for k in some], pa.binary()),
             ],
-            names=["id", "text_hash", "starts"],
+            names=["removed_id", "removed_hash", "starts"],
         )
 
 
@@ -315,7 +352,7 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
             words = (text.as_py() or b"").split()
             gone = np.zeros(len(words) + 1, np.int32)
             if starts:
-                at = np.unique(np.frombuffer(b"".join(starts), "<u4"))
+                at = np.unique(np.frombuffer(starts, "<u4"))
                 gone[at] += 1
                 gone[at + window] -= 1  # starts are distinct, and so are their ends
             covered = np.cumsum(gone[:-1]) > 0
@@ -341,6 +378,8 @@ def substring_dedup(
     text: str = "text",
     window: int = WINDOW,
     anchor: int = ANCHOR,
+    most_cells: int = MOST_CELLS,
+    held: int = HELD,
 ) -> DataFrame:
     """``id, n_words, n_removed, kept_text`` for every row of ``docs``.
 
@@ -352,8 +391,9 @@ def substring_dedup(
     empty result. Other columns are not looked at.
 
     Windows are compared by 96 bits of two independent hashes. The sketch's width
-    follows the input up to ``MOST_CELLS``; beyond that more windows that are not
-    repeated go to the exact grouping, and the result stays the same.
+    follows the input up to ``most_cells`` (a power of two); beyond that more windows that are not
+    repeated go to the exact grouping, and the result stays the same. A task holds
+    at most about ``held`` windows before it passes them on.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -361,16 +401,17 @@ def substring_dedup(
         F.col(id).cast("long").alias("id"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    cells, bits = repeated_cells(rows, window, anchor)
+    cells, bits = repeated_cells(rows, window, anchor, most_cells, held)
     sketch = spark.sparkContext.broadcast(bits)
     keyed = rows.withColumn("text_hash", F.xxhash64("text"))
     removed = (
-        keyed.mapInArrow(lambda b: _ask(b, cells, sketch, window, anchor, parts), _ASKED)
+        keyed.mapInArrow(lambda b: _ask(b, cells, sketch, window, anchor, parts, held), _ASKED)
+        .repartition(parts, "part")
+        .mapInArrow(
+            lambda b: _answer(b, parts), "part int, id binary, text_hash binary, start binary"
+        )
         .repartition(parts, "part")
-        .mapInArrow(_answer, "id long, text_hash long, starts binary")
-        .groupBy("id", "text_hash")
-        .agg(F.collect_list("starts").alias("starts"))
-        .withColumnsRenamed({"id": "removed_id", "text_hash": "removed_hash"})
+        .mapInArrow(_gather, "removed_id long, removed_hash long, starts binary")
     )
     joined = keyed.join(
         removed,
