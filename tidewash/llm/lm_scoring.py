@@ -7,8 +7,8 @@ mean difference of its tokens' losses. The vocabulary is hashed: a word is one o
 models have a size fixed by these parameters and fit every task, while the
 counts cover every token of every document.
 
-Every task adds up its own counts before they are shuffled; the counts are then
-summed cell by cell.
+Every task adds up its own counts and passes them on by blocks of cells, and each
+block is summed as its rows stream by.
 """
 
 from __future__ import annotations
@@ -26,45 +26,76 @@ from tidewash.llm.words import Words, cut_words, mix, text_blocks
 
 #: Size of the shared vocabulary; the first number is the start of a document.
 WORDS = 1 << 16
-#: Cells of the pair counts.
+#: Cells of the pair counts (a multiple of ``BLOCK``, as is ``WORDS``).
 PAIRS = 1 << 20
+#: Cells that are summed together.
+BLOCK = 1 << 12
 #: Weight of the shorter context: as many observations of it are added to each context.
 PRIOR = 50.0
 
 
-def token_cells(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def token_cells(words: Words, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The number of each word, of the word before it, and the cell of the two."""
     own = (words.hashes() % np.uint64(WORDS - 1)).astype(np.int64) + 1
     before = np.zeros_like(own)
     before[1:] = own[:-1]
     heads = words.first[:-1][np.diff(words.first) > 0]
     before[heads] = 0
-    pair = mix((before * WORDS + own).astype(np.uint64)) % np.uint64(PAIRS)
+    pair = mix((before * WORDS + own).astype(np.uint64)) % np.uint64(pairs)
     return own, before, pair.astype(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    # Places 0..WORDS are words, the next WORDS contexts, then the pairs.
-    size = 2 * WORDS + PAIRS
+def _count(batches: Iterator[pa.RecordBatch], pairs: int) -> Iterator[pa.RecordBatch]:
+    """The task's counts of the background and the target, by block of cells."""
+    # First the words, then the contexts, then the pairs.
+    size = 2 * WORDS + pairs
     totals = np.zeros((2, size), np.int64)
     for batch, raw in text_blocks(batches):
         words = cut_words([t.translate(_PLAIN) for t in raw])
         target = np.array(batch.column("is_target").to_pylist(), bool)
-        own, before, pair = token_cells(words)
+        own, before, pair = token_cells(words, pairs)
         places = np.concatenate((own, before + WORDS, pair + 2 * WORDS))
         totals[0] += np.bincount(places, minlength=size)
         chosen = np.tile(target[words.owner], 3)
         if chosen.any():
             totals[1] += np.bincount(places[chosen], minlength=size)
-    used = np.flatnonzero(totals[0])
-    for at in range(0, len(used), 100_000):
-        some = used[at : at + 100_000]
+    blocks = totals.reshape(2, -1, BLOCK)
+    used = np.flatnonzero(blocks[0].any(axis=1))
+    if len(used):
         yield pa.RecordBatch.from_arrays(
-            [pa.array(some.astype(np.int32)), pa.array(totals[0, some]), pa.array(totals[1, some])],
-            names=["place", "background", "target"],
+            [
+                pa.array(used.astype(np.int32)),
+                *(
+                    pa.array([b[k].astype("<i4").tobytes() for k in used], pa.binary())
+                    for b in blocks
+                ),
+            ],
+            names=["block", "background", "target"],
         )
 
 
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum the rows of each block, which come one after another."""
+    block, sums = None, np.zeros((2, BLOCK), np.int64)
+
+    def done() -> pa.RecordBatch:
+        columns = [pa.array([s.tobytes()], pa.binary()) for s in sums]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block], pa.int32()), *columns], names=["block", "background", "target"]
+        )
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["block"] != block:
+                if block is not None:
+                    yield done()
+                block, sums = row["block"], np.zeros((2, BLOCK), np.int64)
+            sums[0] += np.frombuffer(row["background"], "<i4")
+            sums[1] += np.frombuffer(row["target"], "<i4")
+    if block is not None:
+        yield done()
+
+
 @dataclass(frozen=True)
 class NgramModel:
     """Counts of words, contexts and pairs."""
@@ -86,24 +117,28 @@ class NgramModel:
 
 
 def fit_models(
-    docs: DataFrame, text: str = "text", is_target: str = "is_target"
+    docs: DataFrame, text: str = "text", is_target: str = "is_target", pairs: int = PAIRS
 ) -> tuple[NgramModel, NgramModel]:
     """The target model and the background model (of all documents)."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = "block int, background binary, target binary"
     counts = (
         docs.select(
             F.col(text).alias("text"),
             F.coalesce(F.col(is_target), F.lit(False)).alias("is_target"),
         )
-        .mapInArrow(_count, "place int, background long, target long")
-        .groupBy("place")
-        .agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+        .mapInArrow(lambda b: _count(b, pairs), schema)
+        .repartition(parts, "block")
+        .sortWithinPartitions("block")
+        .mapInArrow(_add, schema)
         .toArrow()
     )
-    place = counts.column("place").to_numpy()
     models = []
     for name in ("target", "background"):
-        dense = np.zeros(2 * WORDS + PAIRS, np.int64)
-        dense[place] = counts.column(name).to_numpy()
+        dense = np.zeros(2 * WORDS + pairs, np.int64)
+        blocks = dense.reshape(-1, BLOCK)
+        for block, packed in zip(counts["block"].to_pylist(), counts[name], strict=True):
+            blocks[block] = np.frombuffer(packed.as_py(), np.int64)
         models.append(NgramModel(*np.split(dense, [WORDS, 2 * WORDS])))
     return models[0], models[1]
 
@@ -113,7 +148,7 @@ def _score(
 ) -> Iterator[pa.RecordBatch]:
     for batch, raw in text_blocks(batches):
         words = cut_words([t.translate(_PLAIN) for t in raw])
-        cells = token_cells(words)
+        cells = token_cells(words, len(target.pairs))
         n = np.diff(words.first)
         means = [
             np.bincount(words.owner, m.losses(*cells), minlength=len(raw)) / np.maximum(n, 1)
@@ -165,5 +200,6 @@ def op3_lm_cross_entropy(spark: SparkSession, folder: str) -> DataFrame:
         .select("doc_id", F.lit(True).alias("is_target"))
         .distinct()
     )
-    marked = docs.select("doc_id", "text").join(good, "doc_id", "left")
+    # Labels grow with the documents, so the join is by sorting at every size.
+    marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")
     return score_documents(docs, *fit_models(marked))
