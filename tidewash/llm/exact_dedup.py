@@ -74,10 +74,11 @@ def _runs(rows: DataFrame, text: Column, size: bool) -> DataFrame:
     """``rows`` in the order of their buckets, neighbours compared.
 
     ``rows`` has an ``id``, and its texts are ``text``, which is normalised before
-    and after the shuffle, so that only the given columns travel. Adds ``first`` (the row begins a run of equal texts in its bucket), ``crosses``
-    (the text may also be in the next bucket), the bucket ``b``, the digest ``d``,
-    ``crossing_text`` for the first rows of crossing runs and, if asked for, each
-    run's ``smallest`` id and ``size``.
+    and after the shuffle, so that only the given columns travel. Adds ``first`` (the
+    row begins a run of equal texts in its bucket), ``crosses`` (the text may also be
+    in the next bucket), the bucket ``b``, the digest ``d``, ``crossing_text`` for the
+    first rows of crossing runs and, if asked for, each run's ``smallest`` id and
+    ``size``.
     """
     spark = rows.sparkSession
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -48,9 +48,8 @@ def shingle_hashes(text: bytes, size: int, seed: int) -> list[int]:
     ends = np.cumsum(lengths)
     starts = (ends - lengths)[: len(words) - size + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    return [
-        digest(line[a:b], seed) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)
-    ]
+    stops = (ends[size - 1 :] - 1).tolist()
+    return [digest(line[a:b], seed) for a, b in zip(starts, stops, strict=True)]
 
 
 def fingerprint(hashes: list[int]) -> int:
@@ -84,12 +83,10 @@ def simhash(
 ) -> DataFrame:
     """``docs`` with ``fp``, the text's fingerprint as a signed 64-bit number, for the text."""
     rest = [c for c in docs.columns if c != text]
-    schema = T.StructType(
-        [*(T.StructField(c, docs.schema[c].dataType) for c in rest), T.StructField("fp", T.LongType())]
-    )
-    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("text")).mapInArrow(
-        lambda b: _fingerprints(b, shingle, seed), schema
-    )
+    fields = [T.StructField(c, docs.schema[c].dataType) for c in rest]
+    schema = T.StructType([*fields, T.StructField("fp", T.LongType())])
+    rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(lambda b: _fingerprints(b, shingle, seed), schema)
 
 
 def _signed(value: int) -> int:
