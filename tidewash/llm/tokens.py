@@ -1,10 +1,11 @@
 """Token ids of whole texts by a public tokenizer file, with a cache of pieces.
 
 Both vocabularies used here never join characters across the start of a
-white-space run, so a text's ids are the ids of its pieces (a word with the one
-space before it, or a run of white space) in order. Words recur, so most pieces
-come from a cache. Texts with characters whose standing as white space differs
-between libraries, or with the marks of special tokens, are encoded whole.
+white-space run, nor letters with the marks that end a word, so a text's ids are
+the ids of its pieces (a word with the one space before it, the marks after it, or
+a run of white space) in order. Words recur, so most pieces come from a cache.
+Texts with characters whose standing as white space differs between libraries, or
+with the marks of special tokens, are encoded whole.
 """
 
 from __future__ import annotations
@@ -15,14 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
-#: Pieces kept per worker, about 150 bytes each.
+#: Pieces kept per worker, about 200 bytes each.
 CACHED = 1_000_000
-#: Characters of new pieces encoded in one call.
-CALL_CHARS = 50_000
 
 _S = " \t\n\r\x0b\x0c"
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_MARKS = ".,!?;:%*#$&|"
 _PIECE = re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]")
+_WORD = re.compile(f" ?[{_LETTERS}]+")
+_MARKED = re.compile(f"( ?[{_LETTERS}]+)([{_MARKS}]+)")
 _WHOLE = re.compile(
     "<\\||[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]"
 )
@@ -38,73 +42,56 @@ def _packed(ids) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 
 
-class CachedEncoder:
-    """Ids as bytes, four to an id, the lowest first."""
+class CachedEncoder(dict):
+    """Ids as bytes, four to an id, the lowest first; a dict from pieces to their ids."""
 
     def __init__(self, path: str, cached: int = CACHED):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.cached = cached
-        self.cache: dict[str, bytes] = {}
-        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if len(line) == 1 else None
+        self.drops_space = not self.tokenizer.encode(" \n", add_special_tokens=False).ids
+        # A run of letters is one word to the model, written in the alphabet of bytes.
+        alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in range(256) if re.match(f"[ {_LETTERS}]", chr(c))]
+        self.alphabet = {ord(c): alphabet.pre_tokenize_str(c)[0][0] for c in letters}
 
     def whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces on lines of one text and cut the ids at the line ends."""
-        joined = "\n" + "\n".join(pieces)
-        found = self.tokenizer.encode(joined, add_special_tokens=False)
-        ids = np.array(found.ids, dtype="<u4")
-        if self.line is not None:
-            marks = np.flatnonzero(ids == self.line)
-            parts = [
-                ids[a + 1 : b].tobytes()
-                for a, b in zip(marks, [*marks[1:], len(ids)], strict=True)
-            ]
-        else:  # this vocabulary drops white space: cut by places in the joined text
-            sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            begins = np.cumsum(sizes + 1) - sizes
-            at = np.array([a for a, _ in found.offsets], dtype=np.int64)
-            bounds = [*np.searchsorted(at, begins), len(ids)]
-            parts = [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
-        if len(parts) != len(pieces):
-            parts = [self.whole(piece) for piece in pieces]
-        self.cache.update(zip(pieces, parts, strict=True))
-
-    def _learn_all(self, pieces: list[str]) -> None:
-        if len(self.cache) + len(pieces) > self.cached:
-            self.cache.clear()
-        held, size = [], 0
-        for piece in pieces:
-            if piece.isspace():
-                self.cache[piece] = self.whole(piece)
-                continue
-            held.append(piece)
-            size += len(piece)
-            if size >= CALL_CHARS:
-                self._learn(held)
-                held, size = [], 0
-        if held:
-            self._learn(held)
+    def _word(self, word: str) -> bytes:
+        plain = word.strip().lower() if self.drops_space else word
+        found = self.tokenizer.model.tokenize(plain.translate(self.alphabet))
+        return _packed([token.id for token in found])
+
+    def __missing__(self, piece: str) -> bytes:
+        """The ids of a new piece; a word with marks is not kept, only its two parts are."""
+        if marked := _MARKED.fullmatch(piece):
+            return self[marked[1]] + self[marked[2]]
+        if len(self) >= self.cached:
+            self.clear()
+        ids = self[piece] = self._word(piece) if _WORD.fullmatch(piece) else self.whole(piece)
+        return ids
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of every text; a null text is empty."""
-        cut = [None if _WHOLE.search(t or "") else _PIECE.findall(t or "") for t in texts]
-        seen: set[str] = set()
-        for pieces in cut:
-            if pieces is not None:
-                seen.update(pieces)
-        cache = self.cache
-        new = [piece for piece in seen if piece not in cache]
-        if len(cache) + len(new) > self.cached:
-            new = list(seen)
-        if new:
-            self._learn_all(new)
-        get = cache.__getitem__
-        for text, pieces in zip(texts, cut, strict=True):
-            yield self.whole(text) if pieces is None else b"".join(map(get, pieces))
+        get = self.__getitem__
+        for text in texts:
+            text = text or ""
+            if _odd(text):
+                yield self.whole(text)
+            elif self.drops_space:
+                plain = text.lower() if text.isascii() else text
+                yield b"".join(map(get, plain.split()))
+            else:
+                yield b"".join(map(get, _PIECE.findall(text)))
+
+
+def _odd(text: str) -> bool:
+    """Whether a text has to be encoded whole."""
+    if text.isascii():
+        return "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f")
+    return _WHOLE.search(text) is not None
 
 
 _encoders: dict[str, CachedEncoder] = {}
