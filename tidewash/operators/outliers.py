@@ -29,7 +29,11 @@ def outlier_filter(df: DataFrame, name: str, fences: Fences) -> Column:
 
 
 def inlier_filter(df: DataFrame, name: str, fences: Fences) -> Column:
-    """Keeps what is no outlier, also missing values, in a form that reaches the scan."""
+    """Keeps what is no outlier, also missing values.
+
+    For whole numbers this reaches the parquet scan; real numbers need a test for
+    NaN, which the scan has not.
+    """
     value = column(name)
     lower, upper = _bounds(df, name, fences)
     inside = value.isNull() | ((value >= lower) & (value <= upper))
@@ -257,7 +261,7 @@ def remove_outliers(
     With ``sequential`` the fences of a column are taken from the rows that
     the columns before it left over, so the order of the columns matters;
     otherwise all fences come from the input. Fences become literals in the
-    filter, so nothing is shuffled and parquet can skip row groups.
+    filter, so nothing is shuffled, and for whole numbers parquet can skip row groups.
     """
     names = numeric_columns(df) if names is None else list(names)
     used: dict[str, Fences] = {}
