@@ -14,10 +14,11 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidewash.functions.scratch import write_scratch
 from tidewash.llm.registry import query, table
+from tidewash.llm.words import text_of_rows
 
 #: Characters of items in one automaton (some hundred bytes of memory each at the
 #: most). Larger sets are cut into slices, each with an automaton of its own.
@@ -85,61 +86,103 @@ def hit_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(places[a][0], places[b - 1][1]) for a, b in edges.reshape(-1, 2)]
 
 
-def _bits(hit: np.ndarray | None) -> bytes | None:
-    return None if hit is None else np.packbits(hit).tobytes()
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _hit_words(packed: bytes | None, count: int) -> np.ndarray | None:
+    if packed is None:
+        return None
+    return np.unpackbits(np.frombuffer(packed, np.uint8), count=count).astype(bool)
+
+
+def _scan(
+    batches: Iterator[pa.RecordBatch], asked: list[tuple], length: int, last: bool
+) -> Iterator[pa.RecordBatch]:
+    """Scan with the automaton of one slice of the items, on top of earlier slices.
+
+    The last slice counts the hit words and gives their places in the text; the
+    others pass the text and the hit words on.
+    """
+    machine = automaton_of(windows(asked, length))
+    for batch in batches:
+        texts = batch.column("text")
+        earlier = batch.column("hit_bits") if "hit_bits" in batch.schema.names else None
+        n_words, hits, items = [], [], []
+        for place, value in enumerate(texts):
+            n, hit, found = mark(value.as_py(), machine)
+            if earlier is not None:
+                old = _hit_words(earlier[place].as_py(), n)
+                hit = old if hit is None else hit if old is None else hit | old
+                found = found | set(batch.column("items")[place].as_py())
+            n_words.append(n)
+            hits.append(hit)
+            items.append(sorted(found))
+        names = ["row", "n_words", "items"]
+        columns = [
+            batch.column("row"),
+            pa.array(n_words, pa.int64()),
+            pa.array(items, pa.list_(pa.string())),
+        ]
+        if last:
+            names += ["n_hit", "spans"]
+            counts = [0 if hit is None else int(hit.sum()) for hit in hits]
+            spans = [
+                []
+                if hit is None
+                else [{"start": a, "end": b} for a, b in hit_spans(text.as_py(), hit)]
+                for text, hit in zip(texts, hits, strict=True)
+            ]
+            columns += [pa.array(counts, pa.int64()), pa.array(spans, _SPANS)]
+        else:
+            names += ["text", "hit_bits"]
+            packed = [None if hit is None else np.packbits(hit).tobytes() for hit in hits]
+            columns += [texts, pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _schema(kind: T.DataType, rest: str) -> T.StructType:
     fields = T.StructType.fromDDL(rest).fields
-    return T.StructType([T.StructField("id", kind), *fields])
+    return T.StructType([T.StructField("row", kind), *fields])
 
 
-def _scan(batches: Iterator[pa.RecordBatch], slice_items: list[tuple], length: int):
-    machine = automaton_of(windows(slice_items, length))
-    for batch in batches:
-        ids, texts, _, bits, items = batch.columns
-        out: tuple[list, list, list] = ([], [], [])
-        for text, old_bits, old_items in zip(
-            texts.to_pylist(), bits.to_pylist(), items.to_pylist(), strict=True
-        ):
-            n, hit, found = mark(text, machine)
-            if old_bits is not None:
-                old = np.unpackbits(np.frombuffer(old_bits, np.uint8), count=n).astype(bool)
-                hit = old if hit is None else hit | old
-            out[0].append(n)
-            out[1].append(_bits(hit))
-            out[2].append(sorted(found | set(old_items or ())))
-        yield pa.RecordBatch.from_arrays(
-            [
-                ids,
-                texts,
-                pa.array(out[0], pa.int64()),
-                pa.array(out[1], pa.binary()),
-                pa.array(out[2], pa.list_(pa.string())),
-            ],
-            names=["id", "text", "n_words", "hit_bits", "items"],
+def _scanned(
+    rows: DataFrame, items: DataFrame, item_id: str, item_text: str, length: int, item_chars: int
+) -> DataFrame:
+    """``row, n_words, items, n_hit, spans`` from ``row`` and, unless the row has it, ``text``.
+
+    The items are a stated set of questions. They are brought to the tasks in
+    slices of at most about ``item_chars`` characters; usually that is one, and
+    the documents are read once and nothing is shuffled.
+    """
+    asked = items.select(
+        F.col(f"`{item_id}`").alias("item"),
+        F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("words"),
+    )
+    total = asked.agg(F.sum(F.length("words"))).first()[0] or 0
+    slices = max(1, -(-total // item_chars))
+    kind = rows.schema["row"].dataType
+    counts = "n_words long, items array<string>"
+    passed_on = _schema(kind, f"{counts}, text string, hit_bits binary")
+    done = _schema(kind, f"{counts}, n_hit long, spans array<struct<start:int,end:int>>")
+    for number in range(slices):
+        part = asked.where(F.pmod(F.xxhash64("item", "words"), F.lit(slices)) == number)
+        chosen, last = [tuple(r) for r in part.collect()], number + 1 == slices
+        if number:
+            rows = write_scratch(rows, "scanned")
+        rows = rows.mapInArrow(
+            lambda b, chosen=chosen, last=last: _scan(_with_text(b), chosen, length, last),
+            done if last else passed_on,
         )
+    return rows
 
 
-def _spans(batches: Iterator[pa.RecordBatch]):
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+def _with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with a ``text`` column; without one it is the first field of the ``row``."""
     for batch in batches:
-        ids, texts, n_words, bits, items = batch.columns
-        counts, spans = [], []
-        for text, n, packed in zip(texts, n_words.to_pylist(), bits.to_pylist(), strict=True):
-            if packed is None:
-                counts.append(0)
-                spans.append([])
-                continue
-            hit = np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)
-            counts.append(int(hit.sum()))
-            spans.append(
-                [{"start": a, "end": b} for a, b in hit_spans(text.as_py(), hit)]
-            )
-        yield pa.RecordBatch.from_arrays(
-            [ids, n_words, pa.array(counts, pa.int64()), items, pa.array(spans, kind)],
-            names=["id", "n_words", "n_hit", "items", "spans"],
-        )
+        if "text" in batch.schema.names:
+            yield batch
+        else:
+            yield from text_of_rows(iter([batch]), batch.column("row").type.field(0).name)
 
 
 def benchmark_hits(
@@ -163,59 +206,40 @@ def benchmark_hits(
     clean; items with null id or without words match nothing; repeated rows are
     judged one by one; without items every document is clean. Other columns are
     not looked at.
-
-    The items are a stated set of questions. They are brought to the tasks in
-    slices of at most about ``item_chars`` characters; usually that is one, and
-    the documents are read once and nothing is shuffled.
     """
-    asked = items.select(
-        F.col(item_id).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("words")
-    )
-    total = asked.agg(F.sum(F.length("words"))).first()[0] or 0
-    slices = max(1, -(-total // item_chars))
-    kind = docs.schema[id].dataType
-    scanned = _schema(
-        kind, "text string, n_words long, hit_bits binary, items array<string>"
-    )
-    state = docs.select(
-        F.col(f"`{id}`").alias("id"),
-        F.col(f"`{text}`").alias("text"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.lit(None).cast("binary").alias("hit_bits"),
-        F.lit(None).cast("array<string>").alias("items"),
-    )
-    for number in range(slices):
-        part = asked.where(F.pmod(F.xxhash64("item", "words"), F.lit(slices)) == number)
-        rows = [tuple(r) for r in part.collect()]
-        if number:
-            state = write_scratch(state, "scanned")
-        state = state.mapInArrow(
-            lambda batches, rows=rows: _scan(batches, rows, length), scanned
-        )
-    found = state.mapInArrow(
-        _spans,
-        _schema(
-            kind,
-            "n_words long, n_hit long, items array<string>, "
-            "spans array<struct<start:int,end:int>>",
-        ),
-    )
+    rows = docs.select(F.col(f"`{id}`").alias("row"), F.col(f"`{text}`").alias("text"))
+    found = _scanned(rows, items, item_id, item_text, length, item_chars)
     return found.select(
-        F.col("id").alias(id),
+        F.col("row").alias(id),
         "n_words",
         "n_hit",
         "items",
         "spans",
-        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        _contaminated(share).alias("contaminated"),
     )
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
+def _contaminated(share: int) -> Column:
+    return (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
+
+
+def keep_clean(
+    docs: DataFrame,
+    items: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    length: int = 13,
+    share: int = 20,
+    item_chars: int = ITEM_CHARS,
+) -> DataFrame:
     """The rows of ``docs`` that :func:`benchmark_hits` finds clean, with all their columns."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(whole, F.col(f"`{text}`").alias("text"))
-    hits = benchmark_hits(rows, items, id="row", text="text", **options)
-    return hits.where(~F.col("contaminated")).select("row.*")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    # The text comes first in the row, where the scan finds it.
+    rows = docs.select(F.struct(F.col(f"`{text}`"), *others).alias("row"))
+    found = _scanned(rows, items, item_id, item_text, length, item_chars)
+    kept = found.where(~_contaminated(share)).select("row.*")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = r"""

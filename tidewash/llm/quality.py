@@ -20,7 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidewash.llm.registry import query, table
-from tidewash.llm.words import Words, cut_words, mix, stretch_hashes, text_blocks
+from tidewash.llm.words import (
+    Words,
+    cut_words,
+    mix,
+    stretch_hashes,
+    text_blocks,
+    text_of_rows,
+)
 
 #: Number of weights.
 FEATURES = 1 << 16
@@ -256,21 +263,20 @@ def select_quality(
     docs: DataFrame, model: OrdinalModel, grade: int = 1, least: float = 0.5, text: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` with ``P(grade >= grade)`` of at least ``least``, all columns kept."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    scored = docs.select(whole, F.col(f"`{text}`").alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = T.StructType(
         [
-            T.StructField("row", scored.schema["row"].dataType),
+            T.StructField("row", rows.schema["row"].dataType),
             T.StructField("tails", T.ArrayType(T.DoubleType())),
         ]
     )
-    return (
-        scored.mapInArrow(
-            lambda b: (x.select(["row", "tails"]) for x in _score(b, model)), schema
-        )
-        .where(F.get("tails", F.lit(grade - 1)) >= least)
-        .select("row.*")
-    )
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _score(text_of_rows(batches, text), model):
+            yield found.select(["row", "tails"])
+
+    kept = rows.mapInArrow(score, schema).where(F.get("tails", F.lit(grade - 1)) >= least)
+    return kept.select("row.*")
 
 
 def graded_labels(labels: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
 #: Pieces kept per worker, about 200 bytes each.
-CACHED = 1_000_000
+CACHED = 500_000
 
 _S = " \t\n\r\x0b\x0c"
 _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; the arrays take about forty times as much.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -83,6 +83,14 @@ def cut_words(texts: list[bytes]) -> Words:
     return Words(buffer, starts, ends, owner, first)
 
 
+def text_of_rows(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """Batches of a struct ``row``, with its field ``text`` beside it and not twice on the way."""
+    for batch in batches:
+        row = batch.column("row")
+        at = row.type.get_field_index(text)
+        yield pa.RecordBatch.from_arrays([row, row.field(at)], names=["row", "text"])
+
+
 def text_blocks(
     batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
