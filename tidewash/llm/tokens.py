@@ -25,6 +25,7 @@ _S = " \t\n\r\x0b\x0c"
 _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _MARKS = ".,!?;:%*#$&|"
 _PIECE = re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]")
+_BREAK = re.compile(f"[{_S}]")
 _WORD = re.compile(f" ?[{_LETTERS}]+")
 _MARKED = re.compile(f"( ?[{_LETTERS}]+)([{_MARKS}]+)")
 _WHOLE = re.compile(
@@ -50,6 +51,7 @@ class CachedEncoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.cached = cached
+        self.spaced = SpacedWords(self)
         self.drops_space = not self.tokenizer.encode(" \n", add_special_tokens=False).ids
         # A run of letters is one word to the model, written in the alphabet of bytes.
         alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -70,9 +72,12 @@ class CachedEncoder(dict):
             return self[marked[1]] + self[marked[2]]
         if len(self) >= self.cached:
             self.clear()
-        ids = self[piece] = self._word(piece) if _WORD.fullmatch(piece) else self.whole(piece)
+        ids = self[piece] = self.piece(piece)
         return ids
 
+    def piece(self, piece: str) -> bytes:
+        return self._word(piece) if _WORD.fullmatch(piece) else self.whole(piece)
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of every text; a null text is empty."""
         get = self.__getitem__
@@ -83,8 +88,30 @@ class CachedEncoder(dict):
             elif self.drops_space:
                 plain = text.lower() if text.isascii() else text
                 yield b"".join(map(get, plain.split()))
-            else:
+            elif "  " in text:
                 yield b"".join(map(get, _PIECE.findall(text)))
+            else:  # all but the first come after one space
+                first, *others = text.split(" ")
+                head = b"".join(map(get, _PIECE.findall(first)))
+                yield head + b"".join(map(self.spaced.__getitem__, others))
+
+
+class SpacedWords(dict):
+    """The ids of a text's parts between single spaces, each with the space before it."""
+
+    def __init__(self, pieces: CachedEncoder):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, part: str) -> bytes:
+        if marked := _MARKED.fullmatch(part):
+            return self[marked[1]] + self.pieces[marked[2]]
+        if _BREAK.search(part):  # a line break, a tab
+            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(" " + part)))
+        if len(self) >= self.pieces.cached:
+            self.clear()
+        ids = self[part] = self.pieces.piece(" " + part)
+        return ids
 
 
 def _odd(text: str) -> bool:
