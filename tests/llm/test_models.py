@@ -178,6 +178,58 @@ def test_scoring_nothing_and_odd_documents(spark):
     assert lm_scoring.score_documents(docs, *none).count() == len(rows())
 
 
+@pytest.mark.parametrize("block_words", [100, lm_scoring.BLOCK_WORDS])
+def test_corpus_scores_count_every_word_and_pair_apart(spark, block_words):
+    given = [(r[0], r[1]) for r in rows()]
+    # More pairs than any table of fixed size here would tell apart.
+    given += [(500 + k, " ".join(f"w{(k * j * j + j) % 9000}" for j in range(3000))) for k in range(20)]
+    good = {100, 96, 95, 777} | set(range(500, 507))
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    target = spark.createDataFrame([(i,) for i in [*good, 100, None]], "doc_id long")
+
+    def counts(chosen):
+        one, two, context = Counter(), Counter(), Counter()
+        for i, text in given:
+            if i in chosen:
+                ws = plain(text)
+                one.update(ws)
+                two.update(zip(["", *ws], ws, strict=False))
+                context.update(["", *ws][: len(ws)])
+        return one, two, context, one.total()
+
+    models = counts(good), counts({i for i, _ in given})
+    size = len(models[1][0])
+
+    def loss(ws, one, two, context, total):
+        found = 0.0
+        for before, own in zip(["", *ws], ws, strict=False):
+            alone = (one[own] + 1) / (total + size)
+            found -= math.log(
+                (two[before, own] + lm_scoring.PRIOR * alone) / (context[before] + lm_scoring.PRIOR)
+            )
+        return found / max(1, len(ws))
+
+    expected = []
+    for i, text in given:
+        ws = plain(text)
+        a, b = (loss(ws, *m) for m in models)
+        expected.append((str(i), len(ws), a, b, b - a))
+    got = [
+        (str(r.doc_id), *r[1:])
+        for r in lm_scoring.score_corpus(docs, target, block_words=block_words).collect()
+    ]
+    assert [r[:2] for r in sorted(got)] == [r[:2] for r in sorted(expected)]
+    assert np.allclose([r[2:] for r in sorted(got)], [r[2:] for r in sorted(expected)], atol=1e-9)
+
+
+def test_corpus_scores_of_nothing(spark):
+    none = spark.createDataFrame([], "doc_id long")
+    assert lm_scoring.score_corpus(empty(spark), none).count() == 0
+    found = lm_scoring.score_corpus(documents(spark), none).collect()
+    assert len(found) == len(rows())
+    assert all(r.score == 0 for r in found if r.n_tokens == 0)
+
+
 @pytest.fixture(scope="module")
 def chain(spark):
     labels = read(spark, "labels").where("doc_id % 4 <> 0")
