@@ -75,6 +75,40 @@ def test_region_has_the_highest_score(seed):
     assert sum(scores[a:b]) == pytest.approx(best)
 
 
+LONG = "many words of an article that goes on and on " * 10
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        (f'<div class="layout has-sidebar"><article>{LONG}</article></div>', LONG),
+        (f'<div id="no-sidebar"><article>{LONG}</article></div>', LONG),
+        (f'<form action="x.aspx"><nav>a b</nav><article>{LONG}</article></form>', LONG),
+        (f'<form><nav>{LONG}</nav><div>{LONG}</div></form>', LONG),
+        (f'<div class="sidebar"><main>{LONG}</main></div>', LONG),
+        (f'<div class="widget">{LONG}</div><footer>{LONG}</footer>', LONG),
+        (
+            f'<article><h2 id="social-impact">Social impact</h2>{LONG}<p class="ad-hoc">An aside'
+            f'</p><section id="related-work">Other work</section><div class="ad-box">Buy</div></article>',
+            f"Social impact {LONG} An aside Other work",
+        ),
+        (f'<article>{LONG}<div class="comments">{LONG * 15}</div>{LONG * 20}</article>', LONG * 36),
+        (f'<article>{LONG}<div class="comments">I disagree</div>{LONG}</article>', LONG * 2),
+    ],
+)
+def test_names_do_not_remove_articles(page, expected):
+    found = html_text.extract(f"<html><body>{page}</body></html>", PLAIN)
+    assert found.split() == expected.split()
+
+
+def test_names_cost_less_if_labelled_articles_have_them():
+    seen = f'<html><body><article>{LONG}<p class="notice">Mind this</p></article></body></html>'
+    page = f'<html><body><article>{LONG}<p class="notice">And that</p></article></body></html>'
+    assert "And that" not in html_text.extract(page, html_text.candidates(Counter())[0])
+    tried = html_text.candidates(html_text.count_labelled([seen] * 20))
+    assert "And that" in html_text.extract(page, tried[0])
+
+
 def test_weights_from_labelled_pages_find_articles_without_the_label(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     weights = html_text.fit_page_weights(pages, most=100)

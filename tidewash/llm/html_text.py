@@ -6,14 +6,21 @@ negative too. Boilerplate inside an article is passed over, so that an advert do
 not cut the article in two. One linear scan finds the contiguous region with the
 highest sum, and its blocks are the text. The tags' weights come from labelled
 pages: the share of a tag's occurrences that lie outside the labelled article.
+
+Elements that HTML itself sets apart (nav, footer, hidden ones, ...) are boilerplate.
+A class, id or role that sounds like boilerplate, and a form, only cost their element
+some words: it is boilerplate if it has fewer words than that, and its words count
+for less if it has more. The cost comes from the labelled pages too, and an element that
+holds an article, or most of the page's words, has none.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -26,6 +33,11 @@ from tidewash.llm.quality import rated_sample
 LABELLED_PAGES = 300
 #: The weights tried for a tag that never occurs inside an article.
 OUTSIDE_COSTS = (1.0, 3.0, 10.0, 30.0)
+#: Words that a name costs which is never seen inside an article.
+NAME_COST = 1000
+#: A name's share outside articles before any page is seen: alone, or one part of several;
+#: as good as so many elements.
+WHOLE_SHARE, PART_SHARE, SHARE_WEIGHT = 1.0, 0.25, 4
 
 # HTML's elements by their standing in a page.
 VOID = frozenset(
@@ -33,7 +45,7 @@ VOID = frozenset(
 )
 RAW = frozenset("script style noscript template textarea title iframe svg math".split())
 BOILERPLATE = frozenset(
-    "head nav footer aside form button select dialog menu object canvas audio video".split()
+    "head nav footer aside button select dialog menu object canvas audio video".split()
 )
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset "
@@ -49,6 +61,12 @@ BOILERPLATE_NAMES = frozenset(
     "respond share sharing sidebar signup social sponsor sponsored subscribe toolbar "
     "widget".split()
 )
+#: Parts of names that say nothing beside a listed one ("ad-box", but not "ad-hoc").
+NEUTRAL_PARTS = frozenset(
+    "area bar block bottom box button buttons center col column container content footer form "
+    "header inner item left link links list main outer page right section site slot text title "
+    "top unit wrap wrapper".split()
+)
 BOILERPLATE_ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation "
     "search toolbar".split()
@@ -70,54 +88,79 @@ _PARTS = re.compile(r"[a-z]+")
 
 
 def is_boilerplate(name: str, rest: str, in_article: bool) -> bool:
-    """Whether an element is boilerplate by its name or attributes."""
+    """Whether an element is boilerplate by HTML's own rules."""
     if name in BOILERPLATE or (name == "header" and not in_article):
         return True
     if not rest or name in ("html", "body") or name in ARTICLES:
         return False
     for key, *values in _NAMED.findall(rest):
-        value = "".join(values).lower()
         key = key.lower()
-        if key == "role" and value in BOILERPLATE_ROLES:
-            return True
-        if key in ("class", "id") and not BOILERPLATE_NAMES.isdisjoint(_PARTS.findall(value)):
-            return True
-        if key == "hidden" or (key == "aria-hidden" and value == "true"):
+        if key == "hidden" or (key == "aria-hidden" and "".join(values).lower() == "true"):
             return True
     return False
 
 
+def suspicions(name: str, rest: str) -> frozenset[str]:
+    """What about an element sounds like boilerplate; "ad-" is one part of a longer name."""
+    if name in ("html", "body") or name in ARTICLES:
+        return frozenset()
+    found = {"<form>"} if name == "form" else set()
+    for key, *values in _NAMED.findall(rest) if rest else ():
+        value = "".join(values).lower()
+        if key.lower() == "role" and value in BOILERPLATE_ROLES:
+            found.add(f"role={value}")
+        elif key.lower() in ("class", "id"):
+            for word in value.split():
+                parts = set(_PARTS.findall(word))
+                whole = parts <= BOILERPLATE_NAMES | NEUTRAL_PARTS
+                found |= {p if whole else f"{p}-" for p in parts & BOILERPLATE_NAMES}
+    return frozenset(found)
+
+
+@dataclass(eq=False)
+class Area:
+    """An element that is or may be boilerplate, with the words in it; the first one is the page."""
+
+    above: Area | None = None
+    certain: bool = False
+    names: frozenset[str] = frozenset()
+    #: The place of its first event.
+    place: int = 0
+    words: int = 0
+    holds_article: bool = False
+
+
 @dataclass
 class Element:
     name: str
-    boilerplate: bool
+    area: Area
 
 
 @dataclass
 class Reader:
     """One pass over a page: tags, and runs of text with the block they belong to."""
 
-    #: (kind, value, boilerplate, block): kind "tag" with a name, or "text" with decoded text.
-    events: list[tuple[str, str, bool, int]] = field(default_factory=list)
+    #: (kind, value, area, whether in an article, block); see :meth:`events`.
+    found: list[tuple[str, str, Area, bool, int]] = field(default_factory=list)
+    areas: list[Area] = field(default_factory=lambda: [Area()])
     open: list[Element] = field(default_factory=list)
+    articles: int = 0
     block: int = 0
 
-    def _inside(self) -> tuple[bool, bool]:
-        """Whether the place is in boilerplate, and whether that is within an article."""
-        dropped = any(e.boilerplate for e in self.open)
-        return dropped, dropped and any(e.name in ARTICLES for e in self.open)
+    def _area(self) -> Area:
+        return self.open[-1].area if self.open else self.areas[0]
 
     def _text(self, raw: str) -> None:
-        dropped, passed_over = self._inside()
-        if raw and not passed_over:
-            self.events.append(("text", html.unescape(raw), dropped, self.block))
+        if raw:
+            text, area = html.unescape(raw), self._area()
+            area.words += len(text.split())
+            self.found.append(("text", text, area, self.articles > 0, self.block))
 
     def _tag(self, name: str, closing: bool = False) -> None:
-        dropped, passed_over = self._inside()
         if name in BLOCK:
             self.block += 1
-        if not passed_over or name in ARTICLES:
-            self.events.append(("tag", f"/{name}" if closing else name, dropped, self.block))
+        value = f"/{name}" if closing else name
+        self.found.append(("tag", value, self._area(), self.articles > 0, self.block))
 
     def _start(self, name: str, rest: str) -> None:
         if name in CLOSES_PARAGRAPH and name != "p":
@@ -125,14 +168,24 @@ class Reader:
         elif name == "p":
             self._end_open("p")
         if name not in VOID and not rest.endswith("/"):
-            article = any(e.name in ARTICLES for e in self.open)
-            self.open.append(Element(name, is_boilerplate(name, rest, article)))
+            area, inside = self._area(), self.articles > 0
+            if name in ARTICLES:
+                self.articles += 1
+                above = area
+                while above is not None and not above.holds_article:
+                    above.holds_article, above = True, above.above
+            certain, names = is_boilerplate(name, rest, inside), suspicions(name, rest)
+            if certain or names:
+                area = Area(area, certain, names, len(self.found))
+                self.areas.append(area)
+            self.open.append(Element(name, area))
         self._tag(name)
 
     def _end_open(self, name: str) -> None:
         """Close the innermost element of that name, and what is open in it."""
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at].name == name:
+                self.articles -= sum(e.name in ARTICLES for e in self.open[at:])
                 del self.open[at:]
                 return
             if name == "p" and self.open[at].name in CLOSES_PARAGRAPH:
@@ -154,8 +207,47 @@ class Reader:
             elif name:
                 self._start(name, match["rest"])
         self._text(page[at:])
+        for area in reversed(self.areas[1:]):  # those within come after those around them
+            if not area.certain:
+                area.above.words += area.words
         return self
 
+    def costs(self, area: Area) -> bool:
+        """Whether names count against an area: not if it holds an article or most words."""
+        most = 2 * area.words > self.areas[0].words
+        return not area.holds_article and not most
+
+    def events(self, names: dict[str, float]) -> list[tuple[str, str, float, int]]:
+        """(kind, value, dropped, block): kind "tag" with a name, or "text" with decoded text.
+
+        ``dropped`` is 1 in boilerplate, 0 elsewhere, and between them in an element
+        that its names (``names``: their costs) speak against, but too weakly.
+        """
+        dropped = {id(self.areas[0]): 0.0}
+        for area in self.areas[1:]:
+            own = float(area.certain)
+            if area.names and not own and self.costs(area):
+                cost = max(name_cost(n, names) for n in area.names)
+                own = 1.0 if area.words < cost else cost / max(1, 2 * area.words)
+            dropped[id(area)] = max(own, dropped[id(area.above)])
+        return [
+            (kind, value, dropped[id(area)], block)
+            for kind, value, area, in_article, block in self.found
+            if not (in_article and dropped[id(area)] == 1)
+            or (kind == "tag" and value.strip("/") in ARTICLES)
+        ]
+
+
+def name_cost(name: str, names: dict[str, float], inside: int = 0, outside: int = 0) -> float:
+    """The words that a name costs, from the elements seen with it in and out of articles."""
+    if name in names:
+        return names[name]
+    share = PART_SHARE if name.endswith("-") else WHOLE_SHARE
+    share = (outside + SHARE_WEIGHT * share) / (outside + inside + SHARE_WEIGHT)
+    return NAME_COST * max(0.0, 2 * share - 1)
+
+
+
 
 @dataclass(frozen=True)
 class Weights:
@@ -165,9 +257,11 @@ class Weights:
     dropped_word: float = -1.0
     unknown_tag: float = -1.0
     tags: dict[str, float] = field(default_factory=dict)
+    #: The words that a name costs its element, where not the cost before any page is seen.
+    names: dict[str, float] = field(default_factory=dict)
 
 
-def region(events: list[tuple[str, str, bool, int]], weights: Weights) -> tuple[int, int]:
+def region(events: list[tuple[str, str, float, int]], weights: Weights) -> tuple[int, int]:
     """The first and one past the last event of the contiguous region with the highest score."""
     best, best_at = 0.0, (0, 0)
     total, begin = 0.0, 0
@@ -178,13 +272,13 @@ def region(events: list[tuple[str, str, bool, int]], weights: Weights) -> tuple[
             total += weights.tags.get(value, weights.unknown_tag)
         else:
             words = len(value.split())
-            total += words * (weights.dropped_word if dropped else weights.word)
+            total += words * (weights.word + dropped * (weights.dropped_word - weights.word))
         if total > best:
             best, best_at = total, (begin, place + 1)
     return best_at
 
 
-def blocks(events: list[tuple[str, str, bool, int]]) -> Iterator[str]:
+def blocks(events: list[tuple[str, str, float, int]]) -> Iterator[str]:
     """The texts of the blocks, white space in one made single spaces; empty ones left out."""
     current, parts = None, []
     for kind, value, dropped, block in events:
@@ -192,7 +286,7 @@ def blocks(events: list[tuple[str, str, bool, int]]) -> Iterator[str]:
             if line := " ".join("".join(parts).split()):
                 yield line
             current, parts = block, []
-        if kind == "text" and not dropped:
+        if kind == "text" and dropped < 1:
             parts.append(value)
         elif kind == "tag" and value in ("br", "hr", "img"):
             parts.append(" ")
@@ -200,68 +294,126 @@ def blocks(events: list[tuple[str, str, bool, int]]) -> Iterator[str]:
         yield line
 
 
-def best_blocks(events: list[tuple[str, str, bool, int]], weights: Weights) -> Iterator[str]:
+def best_blocks(events: list[tuple[str, str, float, int]], weights: Weights) -> Iterator[str]:
     begin, end = region(events, weights)
     return blocks(events[begin:end])
 
 
 def extract(page: str | None, weights: Weights) -> str:
-    return "\n".join(best_blocks(Reader().read(page or "").events, weights))
+    return "\n".join(best_blocks(Reader().read(page or "").events(weights.names), weights))
 
 
-def article(events: list[tuple[str, str, bool, int]]) -> tuple[int, int] | None:
+def article(events: list[tuple[str, str, float, int]]) -> tuple[int, int] | None:
     """The places of the article's two tags, if the page has exactly one article element."""
     marks = [i for i, e in enumerate(events) if e[0] == "tag" and e[1] in ("article", "/article")]
     return tuple(marks) if [events[i][1] for i in marks] == ["article", "/article"] else None
 
 
-def fit_weights(pages: list[str | None]) -> Weights:
-    """Weights from the pages that are labelled by one article element.
-
-    A tag costs a little everywhere and more by the (smoothed) share of its
-    occurrences outside the article; how much more is the cost that gives the
-    best overlap with the labelled articles' words. The article's own tags are
-    the label; their weights are not counted.
-    """
-    inside, outside = Counter(), Counter()
-    labelled = []
+def count_labelled(pages: Iterable[str | None]) -> Counter:
+    """How often tags and names occur (kind, name, whether inside) in and out of the article,
+    over the pages that are labelled by one article element."""
+    counts = Counter()
     for page in pages:
-        events = Reader().read(page or "").events
+        reader = Reader().read(page or "")
+        events = reader.events({})
         marks = article(events)
         if marks is None:
             continue
         a, b = marks
-        truth = Counter(" ".join(blocks(events[a:b])).split())
-        labelled.append((events, truth))
         for place, (kind, value, _, _) in enumerate(events):
             if kind == "tag" and place not in marks:
-                (inside if a < place < b else outside)[value] += 1
-    best, chosen = -1.0, Weights()
+                counts["tag", value, a < place < b] += 1
+        a, b = article(reader.found)
+        for area in reader.areas[1:]:
+            if not area.holds_article:
+                counts.update(("name", name, a < area.place < b) for name in area.names)
+    return counts
+
+
+def candidates(counts: Counter) -> list[Weights]:
+    """The weights for each of ``OUTSIDE_COSTS``.
+
+    A tag costs a little everywhere and more by the (smoothed) share of its
+    occurrences outside the article. The article's own tags are the label; their
+    weights are not counted.
+    """
+    shares = {
+        (kind, name): (counts[kind, name, True], counts[kind, name, False])
+        for kind, name, _ in counts
+    }
+    names = {n: name_cost(n, {}, *c) for (kind, n), c in shares.items() if kind == "name"}
+    found = []
     for cost in OUTSIDE_COSTS:
         tags = {
-            name: -0.1 - cost * outside[name] / (outside[name] + inside[name] + 1)
-            for name in inside | outside
+            n: -0.1 - cost * outside / (outside + inside + 1)
+            for (kind, n), (inside, outside) in shares.items()
+            if kind == "tag"
         }
         tags |= {"article": -0.1, "main": -0.1, "/article": -cost, "/main": -cost}
-        weights = Weights(unknown_tag=-0.5, tags=tags)
-        score = 0.0
-        for events, truth in labelled:
+        found.append(Weights(unknown_tag=-0.5, tags=tags, names=names))
+    return found
+
+
+def overlaps(pages: Iterable[str | None], tried: list[Weights]) -> list[float]:
+    """For each of the weights the sum of overlaps with the labelled articles' words."""
+    scores = [0.0] * len(tried)
+    for page in pages:
+        events = Reader().read(page or "").events(tried[0].names)
+        marks = article(events)
+        if marks is None:
+            continue
+        truth = Counter(" ".join(blocks(events[marks[0] : marks[1]])).split())
+        for k, weights in enumerate(tried):
             got = Counter(" ".join(best_blocks(events, weights)).split())
-            score += 2 * (truth & got).total() / max(1, truth.total() + got.total())
-        if score > best:
-            best, chosen = score, weights
-    return chosen
+            scores[k] += 2 * (truth & got).total() / max(1, truth.total() + got.total())
+    return scores
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str | None]:
+    for batch in batches:
+        for page in batch.column("html"):
+            yield page.as_py()
+
+
+def _count_labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [(*key, n) for key, n in count_labelled(_texts(batches)).items()]
+    columns = [[r[k] for r in rows] for k in range(4)]
+    kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64())
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+        names=["kind", "name", "inside", "n"],
+    )
+
+
+def _overlaps(batches: Iterator[pa.RecordBatch], tried: list[Weights]) -> Iterator[pa.RecordBatch]:
+    scores = overlaps(_texts(batches), tried)
+    yield pa.RecordBatch.from_arrays([pa.array([scores], pa.list_(pa.float64()))], names=["scores"])
 
 
 def fit_page_weights(
     pages: DataFrame, id: str = "page_id", markup: str = "html", most: int = LABELLED_PAGES
 ) -> Weights:
-    """Weights from at most about ``most`` pages that hold one article element."""
+    """The candidate weights of best overlap, from pages that hold one article element.
+
+    At most ``most`` pages take part; tasks read them, and the driver gets sums only.
+    """
     labelled = pages.select(F.col(id).alias("id"), F.col(markup).alias("html")).where(
         F.lower("html").contains("<article") & F.lower("html").contains("</article")
     )
-    chosen = rated_sample(labelled, "id", most)
-    return fit_weights([row.html for row in chosen.orderBy("id").select("html").collect()])
+    chosen = rated_sample(labelled, "id", most).select("html")
+    counts = Counter()
+    for row in chosen.mapInArrow(
+        _count_labelled, "kind string, name string, inside boolean, n long"
+    ).collect():
+        counts[row.kind, row.name, row.inside] += row.n
+    tried = candidates(counts)
+    found = chosen.mapInArrow(lambda b: _overlaps(b, tried), "scores array<double>").collect()
+    best, weights = -1.0, tried[0]
+    for k, candidate in enumerate(tried):
+        score = round(math.fsum(row.scores[k] for row in found), 6)
+        if score > best:
+            best, weights = score, candidate
+    return weights
 
 
 def _extract(batches: Iterator[pa.RecordBatch], weights: Weights) -> Iterator[pa.RecordBatch]:
