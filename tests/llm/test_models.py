@@ -82,6 +82,44 @@ def test_quality_on_held_out_documents(spark):
     )
 
 
+def test_samples_are_bounded_with_null_and_repeated_ids(spark):
+    given = [(None, k) for k in range(500)] + [(7, k) for k in range(500)]
+    given += [(100 + k, k) for k in range(50)]
+    ratings = spark.createDataFrame(given, "id long, grade int").repartition(3)
+    found = quality.rated_sample(ratings, "id", 20).collect()
+    assert len(found) == 20 == len({r.id for r in found})
+    assert all((r.id, r.grade) in given and r.id is not None for r in found)
+    everything = quality.rated_sample(ratings, "id", 10**6).collect()
+    assert len(everything) == 51 == len({r.id for r in everything})
+
+
+def test_models_are_fitted_on_one_document_per_label(spark, monkeypatch):
+    docs = spark.createDataFrame(
+        [(k % 3, sentence(k, 30)) for k in range(300)], "doc_id long, text string"
+    )
+    ratings = spark.createDataFrame(
+        [(0, 0, 0), (0, 0, 0), (1, 2, 1), (2, 2, 0), (None, 1, 0)], "doc_id long, grade int, toxic int"
+    )
+    sizes = []
+    fit = quality.fit_ordinal
+
+    def counted(row, feature, value, grades, *rest):
+        sizes.append(len(grades))
+        return fit(row, feature, value, grades, *rest)
+
+    monkeypatch.setattr(quality, "fit_ordinal", counted)
+    quality.fit_quality(docs, ratings)
+    chain = toxicity.fit_chain
+
+    def chained(row, hashes, labels, fold):
+        sizes.append(len(labels))
+        return chain(row, hashes, labels, fold)
+
+    monkeypatch.setattr(toxicity, "fit_chain", chained)
+    toxicity.fit_toxicity(docs, ratings, ["toxic"])
+    assert sizes == [3, 3]
+
+
 def test_quality_of_odd_documents(spark):
     docs = documents(spark)
     ratings = spark.createDataFrame(

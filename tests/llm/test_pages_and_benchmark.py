@@ -125,6 +125,18 @@ def test_weights_from_labelled_pages_find_articles_without_the_label(spark):
         assert html_text.extract(bare, weights) == found[r.page_id]
 
 
+def test_weights_are_fitted_on_one_page_per_id(spark, monkeypatch):
+    page = f"<html><body><article><p>{LONG}</article></body></html>"
+    given = [(None, page)] * 200 + [(1, page)] * 200 + [(2, page), (3, page)]
+    pages = spark.createDataFrame(given, "page_id long, html string")
+    seen = []
+    known = html_text.candidates
+    monkeypatch.setattr(html_text, "candidates", lambda c: seen.append(c) or known(c))
+    html_text.fit_page_weights(pages, most=300)
+    html_text.fit_page_weights(pages, most=2)
+    assert [c["tag", "p", True] for c in seen] == [3, 2]
+
+
 def test_pages_with_nulls_and_other_columns(spark):
     pages = spark.createDataFrame(
         [(1, None, None, "x"), (None, "u", "<p>some words</p>", "y"), (1, None, None, "x")],

@@ -26,8 +26,9 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewash.functions.scratch import write_scratch
 from tidewash.llm.registry import query, table
-from tidewash.llm.quality import rated_sample
+from tidewash.llm.quality import one_per_id, rated_sample
 
 #: Labelled pages that the weights are fitted on, at most (a hash of the id chooses).
 LABELLED_PAGES = 300
@@ -395,12 +396,15 @@ def fit_page_weights(
 ) -> Weights:
     """The candidate weights of best overlap, from pages that hold one article element.
 
-    At most ``most`` pages take part; tasks read them, and the driver gets sums only.
+    At most ``most`` pages take part, one per id that is not null; tasks read them, and the driver gets sums only.
     """
     labelled = pages.select(F.col(id).alias("id"), F.col(markup).alias("html")).where(
         F.lower("html").contains("<article") & F.lower("html").contains("</article")
     )
-    chosen = rated_sample(labelled, "id", most).select("html")
+    ids = rated_sample(labelled.select("id"), "id", most).withColumnRenamed("id", "chosen")
+    rows = labelled.join(F.broadcast(ids), F.col("id") == F.col("chosen")).select("id", "html")
+    # Read twice, so written: a row per chosen id.
+    chosen = write_scratch(one_per_id(rows, "id").select("html"), "labelled")
     counts = Counter()
     for row in chosen.mapInArrow(
         _count_labelled, "kind string, name string, inside boolean, n long"

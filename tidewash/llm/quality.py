@@ -31,7 +31,8 @@ from tidewash.llm.words import (
 
 #: Number of weights.
 FEATURES = 1 << 16
-#: Rated documents that the model is fitted on, at most (a hash of the id chooses).
+#: Rated documents that the model is fitted on, at most (a hash of the id chooses, a
+#: repeated id counts once).
 RATED_DOCS = 8000
 
 _LOWER_CLASS, _UPPER_CLASS, _DIGIT_CLASS = 1, 2, 3
@@ -164,13 +165,17 @@ def _sample_features(
         )
 
 
+def one_per_id(rows: DataFrame, id: str) -> DataFrame:
+    """One row per id that is not null, chosen by a hash of the row; other rows go within tasks
+    where they can."""
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    kept = rows.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("_id"))
+    return kept.agg(F.min_by(row, F.xxhash64(row)).alias("_row")).select("_row.*")
+
+
 def rated_sample(ratings: DataFrame, id: str, most: int) -> DataFrame:
-    """At most about ``most`` rows, chosen by a hash of the id; all if there are no more."""
-    count = ratings.count()
-    if count <= most:
-        return ratings
-    steps = 1 << 20
-    return ratings.where(F.pmod(F.xxhash64(id), F.lit(steps)) < int(steps * most / count))
+    """One row per id that is not null, and at most ``most`` rows, by the smallest hashes of the id."""
+    return one_per_id(ratings, id).orderBy(F.xxhash64(id), id).limit(most)
 
 
 def fit_quality(
@@ -185,18 +190,21 @@ def fit_quality(
 ) -> OrdinalModel:
     """Fit on the documents of ``ratings`` (``id``, ``grade`` from 0 to ``n_grades - 1``).
 
-    At most about ``rated_docs`` ratings take part; so many ids are sent to the
-    tasks, the documents are read once and nothing is shuffled. Rows with a null
-    id or grade, or without a document, do not take part.
+    At most ``rated_docs`` ratings take part, one per id, and one document for each;
+    so many ids are sent to the tasks, and the documents are read once. Rows with a
+    null id or grade, or without a document, do not take part.
     """
     usable = ratings.select(
         F.col(id).alias("rated_id"), F.col(grade).cast("int").alias("grade")
     ).where(F.col("rated_id").isNotNull() & F.col("grade").between(0, n_grades - 1))
     chosen = rated_sample(usable, "rated_id", rated_docs)
-    found = (
+    rated = (
         docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
         .join(F.broadcast(chosen), F.col("id") == F.col("rated_id"))
         .select("id", "grade", "text")
+    )
+    found = (
+        one_per_id(rated, "id")
         .mapInArrow(
             lambda b: _sample_features(b, features),
             "grade int, feature array<int>, value array<float>",

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewash.llm.decontaminate import _PLAIN
-from tidewash.llm.quality import _logistic, rated_sample
+from tidewash.llm.quality import _logistic, one_per_id, rated_sample
 from tidewash.llm.registry import query, table
 from tidewash.llm.words import cut_words, mix, stretch_hashes, text_blocks
 from tidewash.llm import words as _words
@@ -184,17 +184,20 @@ def fit_toxicity(
     """Fit the chain on labelled documents; ``labels`` has a 0/1 column per category.
 
     A category's column may also be an SQL condition on ``words`` (the document's
-    plain words as an array) and the columns of ``labels``. At most about
-    ``labelled_docs`` rows take part; so many are sent to the tasks, the documents
-    are read once and nothing is shuffled. Rows with a null id or label, or
-    without a document, do not take part.
+    plain words as an array) and the columns of ``labels``. At most
+    ``labelled_docs`` rows take part, one per id, and one document for each; so many
+    are sent to the tasks, and the documents are read once. Rows with a null id or
+    label, or without a document, do not take part.
     """
     usable = labels.where(F.col(label_id).isNotNull()).withColumnRenamed(label_id, "labelled_id")
     chosen = rated_sample(usable, "labelled_id", labelled_docs)
     plain = F.split(F.regexp_replace(F.lower("text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), " ")
-    joined = (
+    rated = (
         docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
         .join(F.broadcast(chosen), F.col("id") == F.col("labelled_id"))
+    )
+    joined = (
+        one_per_id(rated, "id")
         .withColumn("words", plain)
         .select(
             "text",
