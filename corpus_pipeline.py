@@ -48,7 +48,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out documents of which at least a twentieth quotes the benchmark."""
-    return keep_clean(docs, table(spark, sf_dir, "benchmark"))
+    return keep_clean(docs, table(spark, sf_dir, "benchmark"), unnamed=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

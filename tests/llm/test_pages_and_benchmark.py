@@ -223,3 +223,21 @@ def test_keep_clean_and_nothing(spark):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(clean)
     assert decontaminate.keep_clean(docs, items.limit(0)).count() == len(rows())
     assert decontaminate.keep_clean(empty(spark), items).count() == 0
+
+
+def test_queries_count_benchmark_texts_without_an_id(spark, tmp_path):
+    import corpus_pipeline
+
+    given = [(1, sentence(50, 40)), (2, sentence(51, 40)), (3, sentence(52, 40))]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(None, sentence(50, 20)), (9, sentence(51, 20))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet"
+    )
+    found = decontaminate.op6_benchmark_decontamination(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.n_hit, r.n_items, r.contaminated) for r in found} == {
+        (1, 20, 0, True), (2, 20, 1, True), (3, 0, 0, False)
+    }
+    kept = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert [r.doc_id for r in kept.collect()] == [3]

@@ -37,17 +37,24 @@ def plain_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_PLAIN).split()
 
 
-def windows(items: list[tuple], length: int) -> dict[str, tuple[int, set[str]]]:
-    """Every window as `` word word ... word ``, with its word count and items."""
+def windows(
+    items: list[tuple], length: int, unnamed: bool = False
+) -> dict[str, tuple[int, set[str]]]:
+    """Every window as `` word word ... word ``, with its word count and items.
+
+    Items with a null id have no windows, or if ``unnamed`` windows without an item.
+    """
     found: dict[str, tuple[int, set[str]]] = {}
     for item_id, text in items:
         words = plain_words(text)
-        if not words or item_id is None:
+        if not words or (item_id is None and not unnamed):
             continue
         for start in range(max(1, len(words) - length + 1)):
             cut = words[start : start + length]
             key = f" {b' '.join(cut).decode('utf-8', 'surrogatepass')} "
-            found.setdefault(key, (len(cut), set()))[1].add(str(item_id))
+            owners = found.setdefault(key, (len(cut), set()))[1]
+            if item_id is not None:
+                owners.add(str(item_id))
     return found
 
 
@@ -96,14 +103,14 @@ def _hit_words(packed: bytes | None, count: int) -> np.ndarray | None:
 
 
 def _scan(
-    batches: Iterator[pa.RecordBatch], asked: list[tuple], length: int, last: bool
+    batches: Iterator[pa.RecordBatch], asked: list[tuple], length: int, last: bool, unnamed: bool
 ) -> Iterator[pa.RecordBatch]:
     """Scan with the automaton of one slice of the items, on top of earlier slices.
 
     The last slice counts the hit words and gives their places in the text; the
     others pass the text and the hit words on.
     """
-    machine = automaton_of(windows(asked, length))
+    machine = automaton_of(windows(asked, length, unnamed))
     for batch in batches:
         texts = batch.column("text")
         earlier = batch.column("hit_bits") if "hit_bits" in batch.schema.names else None
@@ -146,7 +153,13 @@ def _schema(kind: T.DataType, rest: str) -> T.StructType:
 
 
 def _scanned(
-    rows: DataFrame, items: DataFrame, item_id: str, item_text: str, length: int, item_chars: int
+    rows: DataFrame,
+    items: DataFrame,
+    item_id: str,
+    item_text: str,
+    length: int,
+    item_chars: int,
+    unnamed: bool,
 ) -> DataFrame:
     """``row, n_words, items, n_hit, spans`` from ``row`` and, unless the row has it, ``text``.
 
@@ -170,7 +183,9 @@ def _scanned(
         if number:
             rows = write_scratch(rows, "scanned")
         rows = rows.mapInArrow(
-            lambda b, chosen=chosen, last=last: _scan(_with_text(b), chosen, length, last),
+            lambda b, chosen=chosen, last=last: _scan(
+                _with_text(b), chosen, length, last, unnamed
+            ),
             done if last else passed_on,
         )
     return rows
@@ -195,6 +210,7 @@ def benchmark_hits(
     length: int = 13,
     share: int = 20,
     item_chars: int = ITEM_CHARS,
+    unnamed: bool = False,
 ) -> DataFrame:
     """``id, n_words, n_hit, items, spans, contaminated`` for every row of ``docs``.
 
@@ -203,12 +219,13 @@ def benchmark_hits(
     as sorted strings, ``spans`` the hit regions as character offsets in the
     original text. A document is contaminated if at least one in ``share`` of its
     words is hit. Defined results: null and empty texts have no words and are
-    clean; items with null id or without words match nothing; repeated rows are
+    clean; items without words match nothing, and items with null id neither, unless
+    ``unnamed``: then their words are hit, but they are not listed; repeated rows are
     judged one by one; without items every document is clean. Other columns are
     not looked at.
     """
     rows = docs.select(F.col(f"`{id}`").alias("row"), F.col(f"`{text}`").alias("text"))
-    found = _scanned(rows, items, item_id, item_text, length, item_chars)
+    found = _scanned(rows, items, item_id, item_text, length, item_chars, unnamed)
     return found.select(
         F.col("row").alias(id),
         "n_words",
@@ -232,12 +249,13 @@ def keep_clean(
     length: int = 13,
     share: int = 20,
     item_chars: int = ITEM_CHARS,
+    unnamed: bool = False,
 ) -> DataFrame:
     """The rows of ``docs`` that :func:`benchmark_hits` finds clean, with all their columns."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
     # The text comes first in the row, where the scan finds it.
     rows = docs.select(F.struct(F.col(f"`{text}`"), *others).alias("row"))
-    found = _scanned(rows, items, item_id, item_text, length, item_chars)
+    found = _scanned(rows, items, item_id, item_text, length, item_chars, unnamed)
     kept = found.where(~_contaminated(share)).select("row.*")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -280,7 +298,9 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 
 @query("op6_benchmark_decontamination", SQL)
 def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    hits = benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    hits = benchmark_hits(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"), unnamed=True
+    )
     return hits.select(
         "doc_id",
         "n_words",
