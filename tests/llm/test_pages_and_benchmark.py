@@ -92,7 +92,7 @@ LONG = "many words of an article that goes on and on " * 10
             f'</p><section id="related-work">Other work</section><div class="ad-box">Buy</div></article>',
             f"Social impact {LONG} An aside Other work",
         ),
-        (f'<article>{LONG}<div class="comments">{LONG * 15}</div>{LONG * 20}</article>', LONG * 36),
+        (f'<article>{LONG}<div class="comments">{LONG * 15}</div>{LONG * 20}</article>', LONG * 21),
         (f'<article>{LONG}<div class="comments">I disagree</div>{LONG}</article>', LONG * 2),
     ],
 )
@@ -101,6 +101,62 @@ def test_names_do_not_remove_articles(page, expected):
     assert found.split() == expected.split()
 
 
+GIVEN = html_text.candidates(Counter())[0]
+OTHER = "what readers of this page had to say about it " * 10
+
+
+@pytest.mark.parametrize("around", ["article", "main"])
+@pytest.mark.parametrize(
+    "end, expected",
+    [
+        ("<ul><li>one point<li>two</li><li>three</ul>", "one point\ntwo\nthree"),
+        ('<p>See <a href="x">this</a> and <a>that</a>.</p>', "See this and that."),
+        ("<table><tr><td>1</td><td>2</td></tr></table>", "1\n2"),
+        ("<h2>End</h2><h3>Sources</h3>", "End\nSources"),
+        ("<div><div><a>x</a></div></div>", "x"),
+        ("<p><a title='Don't'>word</a> and <a title=\"It's\" rel=x/>more</a>", "word and more"),
+        ("<div class=x/>inner</div>", "inner"),
+    ],
+)
+def test_articles_are_kept_to_their_end(around, end, expected):
+    page = f"""<body><nav><ul><li><a>a</a><li><a>b</a></ul></nav><h1>Site</h1>
+    <{around}><p>{LONG}</p>{end}</{around}><footer>{OTHER}</footer></body>"""
+    for weights in html_text.candidates(html_text.count_labelled([page] * 5)):
+        assert html_text.extract(page, weights) == f"{LONG.strip()}\n{expected}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<article><p>{LONG}</p></article><div class="comments"><p>{OTHER * 30}</p></div>',
+        f'<article><p>{LONG}</p><div class="sidebar"><p>{OTHER * 150}</p></div></article>',
+        f'<article><p>{LONG}</p><section class="comments"><article>{OTHER * 30}</article></section></article>',
+        f'<article><p>{LONG}</p></article><div id="comments"><article>{OTHER * 30}</article></div>',
+        f'<article><p>{LONG}</p></article><article class="comment">{OTHER * 30}</article>',
+        f'<main><p>{LONG}</p></main><section class="related">{OTHER * 30}</section>',
+        f'<div><p>{LONG}</p></div><div class="comments">{OTHER * 30}</div>',
+        f'<div><p>{LONG}</p></div><div class="comments"><div class="comment">{OTHER * 30}</div></div>',
+        f'<div class="widget"><article><p>{LONG}</p></article></div><div class="comments">{OTHER}</div>',
+    ],
+)
+def test_named_boilerplate_of_any_size_is_left_out(page):
+    assert html_text.extract(f"<html><body>{page}</body></html>", GIVEN) == LONG.strip()
+
+
+def test_text_beside_a_small_article_stays():
+    page = f"<body><div><p>{LONG * 5}</p></div><article>Read on <a>there</a></article></body>"
+    assert html_text.extract(page, GIVEN).startswith(LONG.strip())
+
+
+def test_end_tags_without_a_start_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert html_text.extract("<b>word " + "</i>" * 100_000, GIVEN) == "word"
+    assert html_text.extract("<b>" * 50_000 + "word " + "</i>" * 50_000, GIVEN) == "word"
+    assert time.perf_counter() - began < 6
+
+
 def test_names_cost_less_if_labelled_articles_have_them():
     seen = f'<html><body><article>{LONG}<p class="notice">Mind this</p></article></body></html>'
     page = f'<html><body><article>{LONG}<p class="notice">And that</p></article></body></html>'

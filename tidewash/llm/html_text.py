@@ -8,10 +8,15 @@ highest sum, and its blocks are the text. The tags' weights come from labelled
 pages: the share of a tag's occurrences that lie outside the labelled article.
 
 Elements that HTML itself sets apart (nav, footer, hidden ones, ...) are boilerplate.
-A class, id or role that sounds like boilerplate, and a form, only cost their element
-some words: it is boilerplate if it has fewer words than that, and its words count
-for less if it has more. The cost comes from the labelled pages too, and an element that
-holds an article, or most of the page's words, has none.
+So are elements, of any size, with a class, id or role that sounds like boilerplate, and
+forms, as far as labelled pages do not show the name mostly inside articles. Where a
+page has no article element outside such elements, those around an article are
+none; where it has no article at all and no other block of text, those with most of the
+page's words are none.
+
+A region that meets the page's article element (or main, if there is no article) grows to
+its borders, so that lists, tables and links at its end stay; text beyond the borders
+is left out where the article has most of the region's words.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -34,8 +40,10 @@ from tidewash.llm.quality import one_per_id, rated_sample
 LABELLED_PAGES = 300
 #: The weights tried for a tag that never occurs inside an article.
 OUTSIDE_COSTS = (1.0, 3.0, 10.0, 30.0)
-#: Words that a name costs which is never seen inside an article.
-NAME_COST = 1000
+#: A tag that no labelled page has outside boilerplate.
+UNKNOWN_COST = 0.5
+#: Words of a block that is text of its own beside an element that sounds like boilerplate.
+LEAST_BLOCK = 20
 #: A name's share outside articles before any page is seen: alone, or one part of several;
 #: as good as so many elements.
 WHOLE_SHARE, PART_SHARE, SHARE_WEIGHT = 1.0, 0.25, 4
@@ -77,7 +85,7 @@ _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<[!?][^>]*+>"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)"
-    r"(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"(?P<rest>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>"  # quotes matter after "=" only
     r"|<[a-zA-Z/!?][^>]*\Z",
     re.DOTALL,
 )
@@ -86,6 +94,8 @@ _NAMED = re.compile(
     re.IGNORECASE,
 )
 _PARTS = re.compile(r"[a-z]+")
+#: A slash that ends the element; one at the end of a value without quotes does not.
+_CLOSED = re.compile(r"(?<![^\s\"'])/\Z")
 
 
 def is_boilerplate(name: str, rest: str, in_article: bool) -> bool:
@@ -103,7 +113,7 @@ def is_boilerplate(name: str, rest: str, in_article: bool) -> bool:
 
 def suspicions(name: str, rest: str) -> frozenset[str]:
     """What about an element sounds like boilerplate; "ad-" is one part of a longer name."""
-    if name in ("html", "body") or name in ARTICLES:
+    if name in ("html", "body", "main"):
         return frozenset()
     found = {"<form>"} if name == "form" else set()
     for key, *values in _NAMED.findall(rest) if rest else ():
@@ -135,6 +145,17 @@ class Area:
 class Element:
     name: str
     area: Area
+    home: Home | None = None
+
+
+@dataclass
+class Home:
+    """An article that is in no other, or a main element: its area and its events."""
+
+    name: str
+    area: Area
+    begin: int
+    end: int = 0
 
 
 @dataclass
@@ -145,6 +166,9 @@ class Reader:
     found: list[tuple[str, str, Area, bool, int]] = field(default_factory=list)
     areas: list[Area] = field(default_factory=lambda: [Area()])
     open: list[Element] = field(default_factory=list)
+    #: How many open elements have a name.
+    opened: Counter[str] = field(default_factory=Counter)
+    homes: list[Home] = field(default_factory=list)
     articles: int = 0
     block: int = 0
 
@@ -168,26 +192,42 @@ class Reader:
             self._end_open("p")
         elif name == "p":
             self._end_open("p")
-        if name not in VOID and not rest.endswith("/"):
+        if name not in VOID and not _CLOSED.search(rest):
             area, inside = self._area(), self.articles > 0
             if name in ARTICLES:
                 self.articles += 1
                 above = area
-                while above is not None and not above.holds_article:
+                while not inside and above is not None and not above.holds_article:
                     above.holds_article, above = True, above.above
             certain, names = is_boilerplate(name, rest, inside), suspicions(name, rest)
             if certain or names:
                 area = Area(area, certain, names, len(self.found))
+                area.holds_article = name in ARTICLES and not inside
                 self.areas.append(area)
-            self.open.append(Element(name, area))
+            home = None
+            if name in ARTICLES and not (name == "main" and inside) and not self.opened["article"]:
+                home = Home(name, area, len(self.found))
+                self.homes.append(home)
+            self.open.append(Element(name, area, home))
+            self.opened[name] += 1
         self._tag(name)
 
+    def _close(self, at: int) -> None:
+        """Close the open elements from a place on."""
+        for element in self.open[at:]:
+            self.opened[element.name] -= 1
+            self.articles -= element.name in ARTICLES
+            if element.home:
+                element.home.end = len(self.found)
+        del self.open[at:]
+
     def _end_open(self, name: str) -> None:
         """Close the innermost element of that name, and what is open in it."""
+        if not self.opened[name]:
+            return
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at].name == name:
-                self.articles -= sum(e.name in ARTICLES for e in self.open[at:])
-                del self.open[at:]
+                self._close(at)
                 return
             if name == "p" and self.open[at].name in CLOSES_PARAGRAPH:
                 return
@@ -208,46 +248,76 @@ class Reader:
             elif name:
                 self._start(name, match["rest"])
         self._text(page[at:])
+        self._close(0)
         for area in reversed(self.areas[1:]):  # those within come after those around them
             if not area.certain:
                 area.above.words += area.words
         return self
 
-    def costs(self, area: Area) -> bool:
-        """Whether names count against an area: not if it holds an article or most words."""
-        most = 2 * area.words > self.areas[0].words
-        return not area.holds_article and not most
+    def _dropped(self, suspected: set[int]) -> dict[int, bool]:
+        """For every area whether it, or one around it, is certain or suspected."""
+        dropped = {id(self.areas[0]): False}
+        for area in self.areas[1:]:
+            dropped[id(area)] = (
+                area.certain or id(area) in suspected or dropped[id(area.above)]
+            )
+        return dropped
+
+    def boilerplate(self, names: dict[str, float]) -> dict[int, bool]:
+        """Which areas are boilerplate; ``names``: shares of names outside articles."""
+        suspected = {
+            id(area)
+            for area in self.areas[1:]
+            if any(name_share(n, names) > 0.5 for n in area.names)
+        }
+        dropped = self._dropped(suspected)
+        if not suspected or any(not dropped[id(home.area)] for home in self.homes):
+            return dropped
+        if self.homes:
+            return self._dropped({id(a) for a in self.areas if not a.holds_article} & suspected)
+        words = Counter()
+        for kind, value, area, _, block in self.found:
+            if kind == "text" and not dropped[id(area)]:
+                words[block] += len(value.split())
+        if max(words.values(), default=0) >= LEAST_BLOCK:
+            return dropped
+        total = self.areas[0].words
+        return self._dropped({id(a) for a in self.areas if 2 * a.words <= total} & suspected)
 
     def events(self, names: dict[str, float]) -> list[tuple[str, str, float, int]]:
         """(kind, value, dropped, block): kind "tag" with a name, or "text" with decoded text.
 
-        ``dropped`` is 1 in boilerplate, 0 elsewhere, and between them in an element
-        that its names (``names``: their costs) speak against, but too weakly.
+        ``dropped`` is 1 in boilerplate and 0 elsewhere. Boilerplate within an article
+        is left out, so that it does not cut the article in two.
         """
-        dropped = {id(self.areas[0]): 0.0}
-        for area in self.areas[1:]:
-            own = float(area.certain)
-            if area.names and not own and self.costs(area):
-                cost = max(name_cost(n, names) for n in area.names)
-                own = 1.0 if area.words < cost else cost / max(1, 2 * area.words)
-            dropped[id(area)] = max(own, dropped[id(area.above)])
-        return [
-            (kind, value, dropped[id(area)], block)
-            for kind, value, area, in_article, block in self.found
-            if not (in_article and dropped[id(area)] == 1)
+        return self.parts(names)[0]
+
+    def parts(
+        self, names: dict[str, float]
+    ) -> tuple[list[tuple[str, str, float, int]], list[tuple[int, int]]]:
+        """The events, and where the page's articles are among them (else its main elements)."""
+        dropped = self.boilerplate(names)
+        kept = [
+            place
+            for place, (kind, value, area, in_article, _) in enumerate(self.found)
+            if not (in_article and dropped[id(area)])
             or (kind == "tag" and value.strip("/") in ARTICLES)
         ]
+        events = [
+            (kind, value, float(dropped[id(area)]), block)
+            for kind, value, area, _, block in (self.found[place] for place in kept)
+        ]
+        homes = [h for h in self.homes if not dropped[id(h.area)]]
+        homes = [h for h in homes if h.name == "article"] or homes
+        return events, [(bisect_left(kept, h.begin), bisect_left(kept, h.end)) for h in homes]
 
 
-def name_cost(name: str, names: dict[str, float], inside: int = 0, outside: int = 0) -> float:
-    """The words that a name costs, from the elements seen with it in and out of articles."""
+def name_share(name: str, names: dict[str, float], inside: int = 0, outside: int = 0) -> float:
+    """The share of a name outside articles, from the elements seen with it in and out of them."""
     if name in names:
         return names[name]
     share = PART_SHARE if name.endswith("-") else WHOLE_SHARE
-    share = (outside + SHARE_WEIGHT * share) / (outside + inside + SHARE_WEIGHT)
-    return NAME_COST * max(0.0, 2 * share - 1)
-
-
+    return (outside + SHARE_WEIGHT * share) / (outside + inside + SHARE_WEIGHT)
 
 
 @dataclass(frozen=True)
@@ -258,7 +328,7 @@ class Weights:
     dropped_word: float = -1.0
     unknown_tag: float = -1.0
     tags: dict[str, float] = field(default_factory=dict)
-    #: The words that a name costs its element, where not the cost before any page is seen.
+    #: The names' shares outside articles, where labelled pages have them.
     names: dict[str, float] = field(default_factory=dict)
 
 
@@ -300,8 +370,35 @@ def best_blocks(events: list[tuple[str, str, float, int]], weights: Weights) ->
     return blocks(events[begin:end])
 
 
+def to_borders(
+    events: list[tuple[str, str, float, int]],
+    homes: list[tuple[int, int]],
+    begin: int,
+    end: int,
+) -> tuple[int, int]:
+    """The region from ``begin`` to ``end``, grown to the borders of the articles it meets.
+
+    If it meets the page's only article and that has half of the region's words or
+    more, what lies beyond the borders is left out.
+    """
+    met = [(a, b) for a, b in homes if a < end and begin < b]
+    if not met:
+        return begin, end
+
+    def words(a: int, b: int) -> int:
+        return sum(len(e[1].split()) for e in events[a:b] if e[0] == "text" and not e[2])
+
+    first, last = met[0][0], max(b for _, b in met)
+    low, high = min(begin, first), max(end, last)
+    if len(homes) == 1 and 2 * words(first, last) >= words(low, high):
+        return first, last
+    return low, high
+
+
 def extract(page: str | None, weights: Weights) -> str:
-    return "\n".join(best_blocks(Reader().read(page or "").events(weights.names), weights))
+    events, homes = Reader().read(page or "").parts(weights.names)
+    begin, end = to_borders(events, homes, *region(events, weights))
+    return "\n".join(blocks(events[begin:end]))
 
 
 def article(events: list[tuple[str, str, float, int]]) -> tuple[int, int] | None:
@@ -312,7 +409,10 @@ def article(events: list[tuple[str, str, float, int]]) -> tuple[int, int] | None
 
 def count_labelled(pages: Iterable[str | None]) -> Counter:
     """How often tags and names occur (kind, name, whether inside) in and out of the article,
-    over the pages that are labelled by one article element."""
+    over the pages that are labelled by one article element.
+
+    Tags in boilerplate say nothing about tags in text and count 0 times.
+    """
     counts = Counter()
     for page in pages:
         reader = Reader().read(page or "")
@@ -321,9 +421,9 @@ def count_labelled(pages: Iterable[str | None]) -> Counter:
         if marks is None:
             continue
         a, b = marks
-        for place, (kind, value, _, _) in enumerate(events):
+        for place, (kind, value, dropped, _) in enumerate(events):
             if kind == "tag" and place not in marks:
-                counts["tag", value, a < place < b] += 1
+                counts["tag", value, a < place < b] += not dropped
         a, b = article(reader.found)
         for area in reader.areas[1:]:
             if not area.holds_article:
@@ -342,16 +442,16 @@ def candidates(counts: Counter) -> list[Weights]:
         (kind, name): (counts[kind, name, True], counts[kind, name, False])
         for kind, name, _ in counts
     }
-    names = {n: name_cost(n, {}, *c) for (kind, n), c in shares.items() if kind == "name"}
+    names = {n: name_share(n, {}, *c) for (kind, n), c in shares.items() if kind == "name"}
     found = []
     for cost in OUTSIDE_COSTS:
         tags = {
-            n: -0.1 - cost * outside / (outside + inside + 1)
+            n: -0.1 - cost * outside / (outside + inside + 1) if outside + inside else -UNKNOWN_COST
             for (kind, n), (inside, outside) in shares.items()
             if kind == "tag"
         }
         tags |= {"article": -0.1, "main": -0.1, "/article": -cost, "/main": -cost}
-        found.append(Weights(unknown_tag=-0.5, tags=tags, names=names))
+        found.append(Weights(unknown_tag=-UNKNOWN_COST, tags=tags, names=names))
     return found
 
 
@@ -398,7 +498,7 @@ def fit_page_weights(
 
     At most ``most`` pages take part, one per id that is not null; tasks read them, and the driver gets sums only.
     """
-    labelled = pages.select(F.col(id).alias("id"), F.col(markup).alias("html")).where(
+    labelled = pages.select(F.col(f"`{id}`").alias("id"), F.col(f"`{markup}`").alias("html")).where(
         F.lower("html").contains("<article") & F.lower("html").contains("</article")
     )
     ids = rated_sample(labelled.select("id"), "id", most).withColumnRenamed("id", "chosen")
@@ -443,7 +543,9 @@ def main_text(
     kinds = [pages.schema[c].dataType.simpleString() for c in (id, url)]
     return (
         pages.select(
-            F.col(id).alias("page"), F.col(url).alias("url"), F.col(markup).alias("html")
+            F.col(f"`{id}`").alias("page"),
+            F.col(f"`{url}`").alias("url"),
+            F.col(f"`{markup}`").alias("html"),
         )
         .mapInArrow(
             lambda b: _extract(b, weights), f"page {kinds[0]}, url {kinds[1]}, text string"
