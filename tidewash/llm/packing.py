@@ -11,6 +11,7 @@ their place, in parallel.
 
 from __future__ import annotations
 
+import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -114,9 +115,10 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[Slot], int]:
 
 
 def _encode_pieces(
-    batches: Iterator[pa.RecordBatch], path: str, end_id: int | None, most: int
+    batches: Iterator[pa.RecordBatch], path: str, end_id: int | None, most: int, checksums: bool
 ) -> Iterator[pa.RecordBatch]:
     """Pieces with their part of the input and their rank among the part's equal lengths."""
+    last = pa.field("ids_crc32", pa.int64()) if checksums else pa.field("ids", pa.binary())
     part = TaskContext.get().partitionId()
     end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
     ranks = np.zeros(most + 1, np.int64)
@@ -135,7 +137,8 @@ def _encode_pieces(
                 lengths.append(size)
                 rank.append(ranks[size])
                 ranks[size] += 1
-                ids.append(found[4 * at : 4 * (at + size)])
+                own = found[4 * at : 4 * (at + size)]
+                ids.append(zlib.crc32(own) if checksums else own)
                 at += size
                 piece += 1
         yield pa.RecordBatch.from_arrays(
@@ -146,9 +149,9 @@ def _encode_pieces(
                 pa.array(lengths, pa.int64()),
                 pa.array(np.full(len(rows), part), pa.int32()),
                 pa.array(rank, pa.int64()),
-                pa.array(ids, pa.binary()),
+                pa.array(ids, last.type),
             ],
-            names=["id", "piece", "start", "length", "part", "rank", "ids"],
+            names=["id", "piece", "start", "length", "part", "rank", last.name],
         )
 
 
@@ -176,17 +179,21 @@ def token_pieces(
     text: str = "text",
     end_id: int | None = END_ID,
     max_tokens: int = MAX_TOKENS,
+    checksums: bool = False,
 ) -> DataFrame:
     """``id, piece, start, length, part, rank, ids`` (four bytes an id), stored once.
 
-    A document is the ids of its whole text and then ``end_id``. One longer than
+    With ``checksums`` the last column is ``ids_crc32``, worked out beside the ids, which
+    then are not stored. A document is the ids of its whole text and then ``end_id``. One longer than
     ``max_tokens`` is cut into pieces of that length, of which the first may be
     shorter. ``tokenizer`` is a path that every worker can open.
     """
     kind = docs.schema[id].dataType.simpleString()
-    pieces = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(
-        lambda batches: _encode_pieces(batches, tokenizer, end_id, max_tokens),
-        f"id {kind}, piece int, start long, length long, part int, rank long, ids binary",
+    last = "ids_crc32 long" if checksums else "ids binary"
+    rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    pieces = rows.mapInArrow(
+        lambda batches: _encode_pieces(batches, tokenizer, end_id, max_tokens, checksums),
+        f"id {kind}, piece int, start long, length long, part int, rank long, {last}",
     )
     return write_scratch(pieces, "pieces", compression="zstd")
 
@@ -249,13 +256,9 @@ def packed_sequences(packed: DataFrame) -> DataFrame:
 
 
 def packed_digests(docs: DataFrame) -> DataFrame:
-    """The packing with a checksum in place of each piece's ids.
-
-    The ids stay where they are stored; only the checksums are shuffled.
-    """
-    pieces = token_pieces(docs, tokenizer_path("byte_bpe_50k.json"))
-    slim = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack_pieces(slim).select(
+    """The packing with a checksum in place of each piece's ids."""
+    pieces = token_pieces(docs, tokenizer_path("byte_bpe_50k.json"), checksums=True)
+    return pack_pieces(pieces).select(
         F.col("id").alias("doc_id"),
         "piece",
         "start",

@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -39,6 +40,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _forget_older(cache: dict) -> None:
+    """Drop the half of a cache that came first."""
+    for key in list(islice(cache, (len(cache) + 1) // 2)):
+        del cache[key]
+
+
 def _packed(ids) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 
@@ -71,7 +78,7 @@ class CachedEncoder(dict):
         if marked := _MARKED.fullmatch(piece):
             return self[marked[1]] + self[marked[2]]
         if len(self) >= self.cached:
-            self.clear()
+            _forget_older(self)
         ids = self[piece] = self.piece(piece)
         return ids
 
@@ -109,7 +116,7 @@ class SpacedWords(dict):
         if _BREAK.search(part):  # a line break, a tab
             return b"".join(map(self.pieces.__getitem__, _PIECE.findall(" " + part)))
         if len(self) >= self.pieces.cached:
-            self.clear()
+            _forget_older(self)
         ids = self[part] = self.pieces.piece(" " + part)
         return ids
 
