@@ -314,3 +314,98 @@ def test_chain_without_labels_or_features():
     none = np.zeros(0, np.int64)
     chain = toxicity.fit_chain(none, none.astype(np.uint64), np.zeros((0, 2), int), none)
     assert chain.probabilities(none, none.astype(np.uint64), 3).shape == (3, 2)
+
+
+def plain_logistic(rows, extra, y, size, rounds=300, shrink=1e-3):
+    """The same loss and steps, one document after another."""
+    from math import exp, log, sqrt
+
+    n, dense = len(y), len(extra[0])
+    p = [0.0] * (size + dense + 1)
+    rate = min(max(sum(y) / n, 1e-3), 1 - 1e-3)
+    p[-1] = log(rate / (1 - rate))
+    first, second = [0.0] * len(p), [0.0] * len(p)
+
+    def chance(own, also):
+        score = sum(p[f] for f in own) + sum(a * w for a, w in zip(also, p[size:-1])) + p[-1]
+        return 1 / (1 + exp(-score))
+
+    for turn in range(1, rounds + 1):
+        slope = [0.0] * len(p)
+        for own, also, target in zip(rows, extra, y):
+            error = (chance(own, also) - target) / n
+            for f in own:
+                slope[f] += error
+            for k, a in enumerate(also):
+                slope[size + k] += error * a
+            slope[-1] += error
+        step = 0.2 if turn < 0.7 * rounds else 0.02
+        for i in range(len(p)):
+            if i < len(p) - 1:
+                slope[i] += shrink / 10 * p[i]
+            first[i] = 0.9 * first[i] + 0.1 * slope[i]
+            second[i] = 0.999 * second[i] + 0.001 * slope[i] ** 2
+            p[i] -= step * (first[i] / (1 - 0.9**turn)) / (sqrt(second[i] / (1 - 0.999**turn)) + 1e-8)
+    return chance
+
+
+def plain_telling(rows, labels):
+    n, found = len(rows), set()
+    for k in range(len(labels[0])):
+        positive = sum(label[k] for label in labels)
+        for f in {f for own in rows for f in own}:
+            count = sum(f in own for own in rows)
+            hit = sum(f in own and label[k] for own, label in zip(rows, labels))
+            spread = max(1, count * (n - count) * positive * (n - positive))
+            chi2 = n * (hit * n - count * positive) ** 2 / spread
+            if chi2 >= toxicity.LEAST_CHI2 and hit >= 3 and hit * n > count * positive:
+                found.add(f)
+    return found
+
+
+def test_chain_is_that_of_plain_loops():
+    pick = np.random.default_rng(8)
+    n = 220
+    rows = [sorted(set(pick.integers(0, 40, 6).tolist())) for _ in range(n)]
+    labels = [[int(3 in own or 5 in own), int(5 in own or 7 in own)] for own in rows]
+    fold = (np.arange(n) * 7) % toxicity.FOLDS
+    row = np.repeat(np.arange(n), [len(own) for own in rows])
+    hashes = np.array([f for own in rows for f in own], np.uint64)
+    chain = toxicity.fit_chain(row, hashes, np.array(labels), fold)
+    found = chain.probabilities(row, hashes, n)
+
+    def restrict(some, keep):
+        names = {f: i for i, f in enumerate(sorted(keep))}
+        return [[names[f] for f in own if f in names] for own in some]
+
+    keep = plain_telling(rows, labels)
+    assert sorted(chain.features.tolist()) == sorted(keep)
+    guess = [0.0] * n
+    for f in range(toxicity.FOLDS):
+        train = [i for i in range(n) if fold[i] != f]
+        own = plain_telling([rows[i] for i in train], [labels[i] for i in train])
+        inner = restrict(rows, own)
+        model = plain_logistic(
+            [inner[i] for i in train], [[]] * len(train), [labels[i][0] for i in train], len(own)
+        )
+        for i in range(n):
+            if fold[i] == f:
+                guess[i] = model(inner[i], [])
+    kept = restrict(rows, keep)
+    one = plain_logistic(kept, [[]] * n, [label[0] for label in labels], len(keep))
+    two = plain_logistic(kept, [[g] for g in guess], [label[1] for label in labels], len(keep))
+    for i in range(n):
+        p = one(kept[i], [])
+        assert found[i] == pytest.approx([p, two(kept[i], [p])], abs=1e-6)
+
+
+def test_labels_may_have_any_columns(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 2} text") for i in range(40)], "`my.id` long, text string")
+    ratings = spark.createDataFrame(
+        [(i, i % 2, "x", 3, "y") for i in range(40)],
+        "doc_id long, toxic int, text string, id int, words string",
+    )
+    chain = toxicity.fit_toxicity(docs, ratings, ["toxic"], id="my.id")
+    assert len(chain.weights) == 1
+    scored = toxicity.score_toxicity(docs, chain, id="my.id")
+    assert scored.columns[0] == "my.id" and scored.count() == 40

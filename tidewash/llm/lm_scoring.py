@@ -134,7 +134,7 @@ def fit_models(
     schema = "block int, background binary, target binary"
     counts = (
         docs.select(
-            F.col(text).alias("text"),
+            F.col(f"`{text}`").alias("text"),
             F.coalesce(F.col(is_target), F.lit(False)).alias("is_target"),
         )
         .mapInArrow(lambda b: _count(b, pairs), schema)
@@ -192,7 +192,7 @@ def score_documents(
     """
     kind = docs.schema[id].dataType.simpleString()
     return (
-        docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+        docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
         .mapInArrow(
             lambda b: _score(b, target, background),
             f"id {kind}, n_tokens long, target_loss double, background_loss double, score double",
@@ -376,7 +376,7 @@ def score_corpus(
     kind = docs.schema[id].dataType.simpleString()
     ranges = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = write_scratch(
-        docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(
+        docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(
             lambda b: _blocks(b, block_words),
             f"block long, ids array<{kind}>, sizes array<long>, words array<long>, tokens binary",
         ),
@@ -388,7 +388,7 @@ def score_corpus(
     marks = write_scratch(
         blocks.select("block", F.posexplode(F.arrays_zip("ids", "sizes")).alias("place", "doc"))
         .select("block", "place", F.col("doc.sizes").alias("size"), F.col("doc.ids").alias("id"))
-        .join(target.select(F.col(id).alias("id")).distinct().hint("merge"), "id")
+        .join(target.select(F.col(f"`{id}`").alias("id")).distinct().hint("merge"), "id")
         .select("block", "place", "size"),
         "marks",
     )

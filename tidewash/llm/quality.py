@@ -169,7 +169,7 @@ def one_per_id(rows: DataFrame, id: str) -> DataFrame:
     """One row per id that is not null, chosen by a hash of the row; other rows go within tasks
     where they can."""
     row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
-    kept = rows.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("_id"))
+    kept = rows.where(F.col(f"`{id}`").isNotNull()).groupBy(F.col(f"`{id}`").alias("_id"))
     return kept.agg(F.min_by(row, F.xxhash64(row)).alias("_row")).select("_row.*")
 
 
@@ -195,11 +195,11 @@ def fit_quality(
     null id or grade, or without a document, do not take part.
     """
     usable = ratings.select(
-        F.col(id).alias("rated_id"), F.col(grade).cast("int").alias("grade")
+        F.col(f"`{id}`").alias("rated_id"), F.col(f"`{grade}`").cast("int").alias("grade")
     ).where(F.col("rated_id").isNotNull() & F.col("grade").between(0, n_grades - 1))
     chosen = rated_sample(usable, "rated_id", rated_docs)
     rated = (
-        docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+        docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
         .join(F.broadcast(chosen), F.col("id") == F.col("rated_id"))
         .select("id", "grade", "text")
     )
@@ -258,7 +258,7 @@ def score_quality(
     """
     kind = docs.schema[id].dataType.simpleString()
     return (
-        docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+        docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
         .mapInArrow(
             lambda b: (x.drop_columns(["text"]) for x in _score(b, model)),
             f"id {kind}, expected_grade double, tails array<double>",

@@ -398,8 +398,8 @@ def substring_dedup(
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(
-        F.col(id).cast("long").alias("id"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.col(f"`{id}`").cast("long").alias("id"),
+        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
     )
     cells, bits = repeated_cells(rows, window, anchor, most_cells, held)
     sketch = spark.sparkContext.broadcast(bits)

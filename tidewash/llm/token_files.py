@@ -73,7 +73,7 @@ def write_tokens(
     spark = docs.sparkSession
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id].dataType.simpleString()
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     # The hash lets many rows with one id spread over files.
     ordered = rows.repartitionByRange(files, "id", F.xxhash64("text")).sortWithinPartitions(
         "id", F.xxhash64("text")
@@ -131,7 +131,7 @@ def token_checksums(tokens: DataFrame, id: str = "doc_id") -> DataFrame:
     """``id, start, n_tokens, ids_crc32``, counted and summed from the ids themselves."""
     kind = tokens.schema[id].dataType.simpleString()
     return (
-        tokens.select(F.col(id).alias("id"), "start", "ids")
+        tokens.select(F.col(f"`{id}`").alias("id"), "start", "ids")
         .mapInArrow(_checksums, f"id {kind}, start long, n_tokens long, ids_crc32 long")
         .withColumnRenamed("id", id)
     )

@@ -117,22 +117,52 @@ def fit_logistic(
     return p[:size], p[size:-1], float(p[-1])
 
 
-def fit_chain(
-    row: np.ndarray, hashes: np.ndarray, labels: np.ndarray, fold: np.ndarray
-) -> Chain:
-    """The chain over the columns of ``labels`` (0 or 1), in their order."""
+def telling(
+    row: np.ndarray, place: np.ndarray, labels: np.ndarray, size: int
+) -> np.ndarray:
+    """Which of ``size`` features go with a category of the given documents by chi-square."""
     n, categories = labels.shape
-    unique, place = np.unique(hashes, return_inverse=True)
-    count = np.bincount(place, minlength=len(unique))
-    keep = np.zeros(len(unique), bool)
+    count = np.bincount(place, minlength=size)
+    keep = np.zeros(size, bool)
     for k in range(categories):
         positive = labels[:, k].sum()
-        hit = np.bincount(place, labels[row, k], minlength=len(unique))
+        hit = np.bincount(place, labels[row, k], minlength=size)
         # The chi-square of the two by two table of feature and category.
         spread = count * (n - count) * positive * (n - positive)
         chi2 = n * (hit * n - count * positive) ** 2 / np.maximum(spread, 1)
         keep |= (chi2 >= LEAST_CHI2) & (hit >= 3) & (hit * n > count * positive)
-    chosen = unique[keep]
+    return keep
+
+
+def fit_chain(
+    row: np.ndarray, hashes: np.ndarray, labels: np.ndarray, fold: np.ndarray
+) -> Chain:
+    """The chain over the columns of ``labels`` (0 or 1), in their order.
+
+    The models of a fold see nothing of its documents: their features are chosen
+    from the other folds too.
+    """
+    n, categories = labels.shape
+    unique, place = np.unique(hashes, return_inverse=True)
+    folds = []
+    for f in range(FOLDS if categories > 1 else 0):
+        train = fold != f
+        seen = train[row]
+        index = np.cumsum(train) - 1
+        keep = telling(index[row[seen]], place[seen], labels[train], len(unique))
+        number = np.cumsum(keep) - 1
+        known = keep[place]
+        folds.append(
+            (
+                train,
+                index[row[seen & known]],
+                number[place[seen & known]],
+                row[known & ~seen],
+                number[place[known & ~seen]],
+                int(keep.sum()),
+            )
+        )
+    keep = telling(row, place, labels, len(unique))
     number = np.cumsum(keep) - 1
     used = keep[place]
     row, place = row[used], number[place[used]]
@@ -140,22 +170,19 @@ def fit_chain(
     weights, links, constants = [], [], []
     for k in range(categories):
         y = labels[:, k].astype(float)
-        parts = fit_logistic(row, place, out_of_fold, y, len(chosen))
+        parts = fit_logistic(row, place, out_of_fold, y, int(keep.sum()))
         weights.append(parts[0])
         links.append(parts[1])
         constants.append(parts[2])
         guess = np.zeros(n)
-        for f in range(FOLDS if k + 1 < categories else 0):
-            train = fold != f
-            seen = train[row]
-            index = np.cumsum(train) - 1
+        for train, own_row, own_place, held_row, held_place, size in folds:
             w, link, constant = fit_logistic(
-                index[row[seen]], place[seen], out_of_fold[train], y[train], len(chosen)
+                own_row, own_place, out_of_fold[train], y[train], size
             )
-            score = np.bincount(row, w[place], minlength=n) + out_of_fold @ link + constant
-            guess[~train] = _logistic(score)[~train]
+            score = np.bincount(held_row, w[held_place], minlength=n) + out_of_fold @ link
+            guess[~train] = _logistic(score + constant)[~train]
         out_of_fold = np.column_stack((out_of_fold, guess))
-    return Chain(chosen, weights, links, constants)
+    return Chain(unique[keep], weights, links, constants)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,22 +214,26 @@ def fit_toxicity(
     plain words as an array) and the columns of ``labels``. At most
     ``labelled_docs`` rows take part, one per id, and one document for each; so many
     are sent to the tasks, and the documents are read once. Rows with a null id or
-    label, or without a document, do not take part.
+    label, or without a document, do not take part. Other columns of ``labels`` may
+    have any names; ``words`` in a condition is the document's.
     """
-    usable = labels.where(F.col(label_id).isNotNull()).withColumnRenamed(label_id, "labelled_id")
-    chosen = rated_sample(usable, "labelled_id", labelled_docs)
-    plain = F.split(F.regexp_replace(F.lower("text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), " ")
-    rated = (
-        docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        .join(F.broadcast(chosen), F.col("id") == F.col("labelled_id"))
-    )
+    # The document's columns have names of their own beside any that the labels may have.
+    label = F.col(f"`{label_id}`")
+    usable = labels.where(label.isNotNull()).withColumn("_labelled_id", label)
+    chosen = rated_sample(usable, "_labelled_id", labelled_docs)
+    lower = F.lower("_doc_text")
+    plain = F.split(F.regexp_replace(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), " ")
+    rated = docs.select(
+        F.col(f"`{id}`").alias("_doc_id"),
+        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_doc_text"),
+    ).join(F.broadcast(chosen), F.col("_doc_id") == F.col("_labelled_id"))
     joined = (
-        one_per_id(rated, "id")
+        one_per_id(rated, "_doc_id")
         .withColumn("words", plain)
         .select(
-            "text",
+            F.col("_doc_text").alias("text"),
             F.array(*[F.expr(c).cast("int") for c in categories]).alias("labels"),
-            F.pmod(F.xxhash64("id", F.lit(FOLDS)), F.lit(FOLDS)).cast("int").alias("fold"),
+            F.pmod(F.xxhash64("_doc_id", F.lit(FOLDS)), F.lit(FOLDS)).cast("int").alias("fold"),
         )
         .where(~F.exists("labels", lambda x: x.isNull()))
     )
@@ -241,7 +272,7 @@ def score_toxicity(
     """
     kind = docs.schema[id].dataType.simpleString()
     return (
-        docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+        docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
         .mapInArrow(lambda b: _score(b, chain), f"id {kind}, p array<double>")
         .withColumnRenamed("id", id)
     )
