@@ -169,6 +169,48 @@ def cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return S.cosine_pairs(embedded(spark, sf), 0.3).withColumn("cosine", F.round("cosine", 6))
 
 
+SHIFTED = """
+e AS (SELECT vec_id * 2 AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings UNION ALL
+  SELECT vec_id * 2 + 1, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x + 0.03125) FROM embeddings),
+cos AS (SELECT a.id AS id_a, b.id AS id_b, list_cosine_similarity(a.v, b.v) AS cosine
+  FROM e a JOIN e b ON a.id < b.id)"""
+
+
+def shifted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector and a copy that is moved a little."""
+    both = table(spark, sf, "embeddings").select(
+        (F.col("vec_id") * 2).alias("id"), F.col("embedding").cast("array<double>").alias("vector")
+    )
+    moved = both.select(
+        (F.col("id") + 1).alias("id"), F.transform("vector", lambda x: x + 0.03125).alias("vector")
+    )
+    return both.unionAll(moved)
+
+
+@query(
+    "cosine_pairs_signatures",
+    f"WITH {SHIFTED} SELECT id_a, id_b, round(cosine, 6) AS cosine FROM cos WHERE cosine >= 0.9",
+)
+def cosine_pairs_signatures(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = S.cosine_pairs(shifted(spark, sf), 0.9, recall=0.999)
+    return pairs.withColumn("cosine", F.round("cosine", 6))
+
+
+@query(
+    "cosine_pairs_within",
+    """
+WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+cos AS (SELECT a.id AS id_a, b.id AS id_b, list_cosine_similarity(a.v, b.v) AS cosine
+  FROM e a JOIN e b ON a.id < b.id AND a.label IS NOT DISTINCT FROM b.label)
+SELECT id_a, id_b, round(cosine, 6) AS cosine FROM cos WHERE cosine >= 0.3""",
+)
+def cosine_pairs_within(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label"
+    )
+    return S.cosine_pairs(rows, 0.3, block="label").withColumn("cosine", F.round("cosine", 6))
+
+
 @query(
     "cosine_edges",
     with_view(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewash.operators import impute as I
+from tidewash.operators import nearest
 from tidewash.operators.nearest import knn_features_fills
 
 
@@ -182,6 +183,48 @@ def test_knn_by_several_features(spark, tile, hot):
     assert all(got[i] == pytest.approx(expected[i]) for i in got)
 
 
+@pytest.mark.parametrize("tile", [10, 2048])
+def test_knn_within_blocks(spark, tile):
+    rng = random.Random(15)
+    rows = [
+        (i, rng.choice([None, "a/b", "c"]), float(rng.randrange(40)), rng.uniform(0, 9),
+         rng.random() if rng.random() < 0.6 else None)
+        for i in range(220)
+    ]
+    # One block with two donors only, one with none.
+    rows += [(900, "few", 1.0, 1.0, 0.5), (901, "few", 2.0, 2.0, 1.5), (902, "few", 3.0, 3.0, None)]
+    rows += [(903, "none", 3.0, 3.0, None)]
+    df = spark.createDataFrame(rows, "id int, part string, a double, b double, v double")
+    found = knn_features_fills(df, "v", ["a", "b"], "id", k=3, tile=tile, block="part")
+    got = {r["row_id"]: float(r["value"]) for r in found.collect()}
+    sa, sb = np.std([r[2] for r in rows]), np.std([r[3] for r in rows])
+    expected = {}
+    for i, part, a, b, v in rows:
+        near = sorted(
+            (round(((a - x) / sa) ** 2 + ((b - y) / sb) ** 2, 9), j, w)
+            for j, own, x, y, w in rows
+            if w is not None and own == part
+        )[:3]
+        if v is None and near:
+            expected[i] = sum(n[2] for n in near) / len(near)
+    assert got == pytest.approx(expected)
+
+
+def test_cells_are_even_and_a_table(spark):
+    rows = spark.range(6000).selectExpr(
+        "id", "array(rand(1), pow(rand(2), 4), double(0)) AS x", "0.0D AS value", "'' AS cell"
+    )
+    sizes = nearest._in_cells(rows, 3, 100).groupBy("cell").count().collect()
+    assert sum(r["count"] for r in sizes) == 6000
+    assert max(r["count"] for r in sizes) <= 100 and len(sizes) < 8 * 6000 / 100 * 2
+    same = nearest._in_cells(rows.selectExpr("id", "array(1D, 2D) AS x", "value", "cell"), 2, 100)
+    assert same.select("cell").distinct().count() == 1
+    ties = rows.selectExpr(
+        "id", "array(if(id % 20 = 0, id / 20, 300D), double(id % 2)) AS x", "value", "cell"
+    )
+    assert nearest._in_cells(ties, 2, 100).select("cell").distinct().count() > 2
+
+
 def test_knn_without_donors(spark):
     df = spark.createDataFrame([(1, 1.0, None), (2, 2.0, None)], "id int, a double, v double")
     assert knn_features_fills(df, "v", ["a"], "id").isEmpty()

@@ -1,53 +1,50 @@
-"""Compare the members of blocks with their visitors in groups of bounded size."""
+"""Compare rows of blocks in groups of bounded size."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tidewash.functions.scratch import write_scratch
+
+Compare = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
+
+
+def _salt(parts: Column) -> Column:
+    return F.pmod(F.xxhash64("id"), parts.cast("bigint")).cast("int")
+
+
+def _none(schema: str) -> pd.DataFrame:
+    return pd.DataFrame({part.split()[0]: [] for part in schema.split(", ")})
 
 
 def meet(
-    homes: DataFrame,
-    visits: DataFrame,
-    compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
-    schema: str,
-    tile: int,
+    homes: DataFrame, visits: DataFrame, compare: Compare, schema: str, tile: int
 ) -> DataFrame:
     """Apply ``compare(visitors, members)`` to every tile of every block.
 
     Both inputs have the same columns, among them ``target`` (the block) and
     ``id``. A block with many members or visitors is cut into parts along both
     sides; a row goes into one part of its own side and meets all parts of the
-    other, so no group holds more than about ``tile`` rows of either.
+    other, so no group holds more than about ``tile`` rows of either. The sizes of
+    the blocks stay in a stored table, which Spark broadcasts if it is small.
     """
 
-    def sizes(side: DataFrame) -> dict[int, int]:
-        # One row per block, of which there is about one for each tile of rows.
-        counted = side.groupBy("target").agg(F.count("*").alias("n")).collect()
-        return {r["target"]: r["n"] for r in counted}
-
-    members, visitors = sizes(homes), sizes(visits)
-    plan = [
-        (block, math.ceil(members[block] / tile), math.ceil(n / tile))
-        for block, n in visitors.items()
-        if block in members
-    ]
-    tiles = F.broadcast(
-        homes.sparkSession.createDataFrame(
-            plan, "target int, home_parts int, visit_parts int"
-        )
+    def parts(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy("target").agg(F.ceil(F.count("*") / tile).cast("int").alias(name))
+
+    plan = write_scratch(
+        parts(homes, "home_parts").join(parts(visits, "visit_parts"), "target"), "tiles"
     )
     columns = [c for c in homes.columns if c != "target"]
 
     def spread(side: DataFrame, own: str, other: str) -> DataFrame:
-        part = F.pmod(F.xxhash64("id"), F.col(f"{own}_parts").cast("bigint")).cast("int")
         copies = F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1))
-        return side.join(tiles, "target").select(
+        return side.join(plan, "target").select(
             "target",
-            part.alias(f"{own}_part"),
+            _salt(F.col(f"{own}_parts")).alias(f"{own}_part"),
             copies.alias(f"{other}_part"),
             F.lit(own).alias("side"),
             *columns,
@@ -55,9 +52,7 @@ def meet(
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         home, visit = group[group["side"] == "home"], group[group["side"] == "visit"]
-        if home.empty or visit.empty:
-            return pd.DataFrame({part.split()[0]: [] for part in schema.split(", ")})
-        return compare(visit, home)
+        return _none(schema) if home.empty or visit.empty else compare(visit, home)
 
     return (
         spread(homes, "home", "visit")
@@ -65,3 +60,33 @@ def meet(
         .groupBy("target", "home_part", "visit_part")
         .applyInPandas(run, schema)
     )
+
+
+def meet_within(
+    rows: DataFrame, keys: list[str], compare: Compare, schema: str, tile: int
+) -> DataFrame:
+    """Apply ``compare(some, others)`` to all pairs of rows that agree in ``keys``.
+
+    Rows have an ``id``. A key with many rows is cut into parts of about ``tile`` rows,
+    and every two parts meet once; a part that meets itself is given twice, so
+    ``compare`` sees each pair of it from both sides. Keys must not be null.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
+    plan = write_scratch(
+        sizes.select(*keys, F.ceil(F.col("_n") / tile).cast("int").alias("_parts")), "tiles"
+    )
+    spread = (
+        rows.join(plan, keys)
+        .withColumn("_part", _salt(F.col("_parts")))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        .withColumn("_low", F.least("_part", "_other"))
+        .withColumn("_high", F.greatest("_part", "_other"))
+        .drop("_parts", "_other")
+    )
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        low, high = group["_low"].iloc[0], group["_high"].iloc[0]
+        some, others = group[group["_part"] == low], group[group["_part"] == high]
+        return _none(schema) if some.empty or others.empty else compare(some, others)
+
+    return spread.groupBy(*keys, "_low", "_high").applyInPandas(run, schema)

@@ -150,17 +150,19 @@ def similarity_clusters(
     z: float | None = None,
     smallest: int = 2,
     largest: int = 20,
+    recall: float | None = None,
 ) -> DataFrame:
     """``cluster_id, member, size``: values linked by similar vectors.
 
-    Give either a cosine ``threshold`` or a ``z`` score.
+    Give either a cosine ``threshold`` or a ``z`` score. ``recall`` is that of
+    :func:`tidewash.operators.similar.cosine_pairs`; without it all links are found.
     """
     if (threshold is None) == (z is None):
         raise ValueError("give either a threshold or a z-score")
     edges = (
-        cosine_pairs(vectors, threshold, spanning=True)
+        cosine_pairs(vectors, threshold, spanning=True, recall=recall)
         if z is None
-        else zscore_pairs(vectors, z, spanning=True)
+        else zscore_pairs(vectors, z, spanning=True, recall=recall)
     )
     return clusters_within(connected_components(edges), smallest, largest)
 
@@ -208,6 +210,10 @@ def shortest_merge_map(clusters: DataFrame, name: str) -> DataFrame:
     )
 
 
+#: A piece is crowded where its pairs are more than so many times its values.
+CROWD = 16
+
+
 def edit_candidates(values: DataFrame, distance: int = 1, name: str = "value") -> DataFrame:
     """``value_a, value_b, distance`` for distinct values within an edit distance.
 
@@ -217,7 +223,45 @@ def edit_candidates(values: DataFrame, distance: int = 1, name: str = "value") -
     and the piece finds all pairs: the shorter text gives its pieces, the longer one
     what stands at the places where a piece can have moved to. Memory is a fixed
     multiple of the text, and candidates are verified with the bounded distance.
+
+    A piece that many values share (numbered names) would pair all of them. There the
+    edits lie in what remains beside the piece, and two remainders that close have a
+    text in common that is left after deleting up to ``distance`` characters from
+    each; so these values are joined on the piece and the hash of such a text.
     """
+    return edit_pairs(values, distance, name).withColumn(
+        # The bounded distance is -1 beyond the bound.
+        "distance", F.levenshtein("value_a", "value_b", distance)
+    ).where(F.col("distance") >= 0)
+
+
+def _left_after_deleting(rows: DataFrame, text: str, most: int) -> DataFrame:
+    """``rows`` once for each different text left after up to ``most`` deletions, as its hash
+    in place of ``text``."""
+    others = [c for c in rows.columns if c != text]
+    level = rows.select(*others, text, F.lit(1).alias("_from"))
+    found = level
+    for _ in range(most):
+        level = (
+            level.where(F.col("_from") <= F.length(text))
+            .select(
+                *others, text, F.explode(F.sequence(F.col("_from"), F.length(text))).alias("_at")
+            )
+            .select(
+                *others,
+                F.concat(
+                    F.substring(text, F.lit(1), F.col("_at") - 1),
+                    F.substring(text, F.col("_at") + 1, F.length(text)),
+                ).alias(text),
+                F.col("_at").alias("_from"),
+            )
+        )
+        found = found.unionAll(level)
+    return found.select(*others, F.xxhash64(text).alias(text)).distinct()
+
+
+def edit_pairs(values: DataFrame, distance: int = 1, name: str = "value") -> DataFrame:
+    """``value_a, value_b``: the candidates of :func:`edit_candidates`, not yet verified."""
     if distance < 1:
         raise ValueError("the distance must be one at least")
     distinct = write_scratch(
@@ -233,10 +277,19 @@ def edit_candidates(values: DataFrame, distance: int = 1, name: str = "value") -
     numbers = F.sequence(F.lit(0), F.lit(distance))
     own = distinct.select("v", length.alias("size"), F.explode(numbers).alias("k"))
     start, end = piece_start(F.col("size"), F.col("k")), piece_start(F.col("size"), F.col("k") + 1)
+
+    def beside(text: str, at: Column, width: Column) -> Column:
+        """What remains of a text without a piece, with a mark in its place."""
+        rest = F.substring(text, at + width + 1, F.length(text))
+        return F.concat(F.substring(text, F.lit(1), at), F.lit("\0"), rest)
+
+    key = ["size", "k", "piece"]
     pieces = own.select(
         F.col("v").alias("a"),
         "size",
         "k",
+        start.alias("at"),
+        (end - start).alias("width"),
         F.substring("v", start + 1, end - start).alias("piece"),
     )
     # The longer text, for each length a shorter partner may have.
@@ -255,18 +308,33 @@ def edit_candidates(values: DataFrame, distance: int = 1, name: str = "value") -
             (end - start).alias("width"),
         )
         .where((F.col("at") >= 0) & (F.col("at") + F.col("width") <= F.length("b")))
-        .select("b", "size", "k", F.substring("b", F.col("at") + 1, F.col("width")).alias("piece"))
-        .distinct()
+        .withColumn("piece", F.substring("b", F.col("at") + 1, F.col("width")))
     )
-    pairs = (
-        pieces.join(found, ["size", "k", "piece"])
-        .where(F.col("a") != F.col("b"))
+    sides = pieces.select(*key, F.lit(1).alias("of_a")).unionAll(
+        found.select(*key, F.lit(0).alias("of_a"))
+    )
+    counts = sides.groupBy(*key).agg(F.sum("of_a").alias("na"), F.count("*").alias("n"))
+    na, nb = F.col("na").cast("double"), F.col("n") - F.col("na")
+    crowded = write_scratch(counts.where(na * nb > CROWD * (na + nb)).select(*key), "crowded")
+    alone = pieces.join(crowded, key, "left_anti")
+    pairs = alone.join(found.select("b", *key).distinct(), key).select("a", "b")
+    if not crowded.isEmpty():
+        rest_a, rest_b = (
+            _left_after_deleting(
+                side.join(crowded, key).select(
+                    x, *key, beside(x, F.col("at"), F.col("width")).alias("rest")
+                ),
+                "rest",
+                distance,
+            )
+            for x, side in (("a", pieces), ("b", found))
+        )
+        pairs = pairs.unionAll(rest_a.join(rest_b, [*key, "rest"]).select("a", "b"))
+    return (
+        pairs.where(F.col("a") != F.col("b"))
         .select(F.least("a", "b").alias("value_a"), F.greatest("a", "b").alias("value_b"))
         .distinct()
     )
-    # The bounded distance is -1 beyond the bound.
-    edits = F.levenshtein("value_a", "value_b", distance)
-    return pairs.withColumn("distance", edits).where(F.col("distance") >= 0)
 
 
 def edit_merge_map(df: DataFrame, name: str, distance: int = 1) -> DataFrame:

@@ -1,36 +1,41 @@
 """Fill a number from the rows that are closest in several features, exactly.
 
-Rows belong to the block of the pivot nearest to them. A row first looks for
-its closest donors in its own block; the distance of the last of them bounds
-how far any better donor can be, and by the triangle inequality only blocks
-within that bound can hold one. Only these are visited, in tiles of bounded
-size, and a tile gives no more than the best few donors per row.
-
-There is about one block for each tile of donors, so the blocks shrink as the
-table grows. Pivots are found through centres, each of which stands for about as
-many pivots as there are centres, so placing a row takes the root of their number.
+Donors are cut into cells, level by level: a cell with too many donors is cut at the
+quantiles of its widest feature. The tree of cells with their boxes is a table;
+nobody holds a list of cells. A row that asks goes down the tree to a
+cell near it and finds its closest donors there; the distance of the last of them
+bounds how far any better donor can be. Then it goes down again, into every cell whose
+box lies within that bound, and meets the donors of the leaves it reaches, in
+tiles of bounded size that give no more than the best few donors per row.
+
+Quantiles come from sketches, which merge and stay small; they only decide how even
+the cells are, not what is found. Donors that are equal in all features cannot be cut
+apart and stay one cell, of any size.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewash.functions.columns import column, number, one_row
-from tidewash.functions.scratch import write_scratch
+from tidewash.functions.scratch import drop_table, write_scratch
 from tidewash.functions.tiles import meet
 
 TILE = 2048
+#: Cells that a cell is cut into.
+FAN = 8
 # Squared distances are compared to this many decimals, so that equal
 # distances stay equal whatever the order of the additions.
 DECIMALS = 9
 SLACK = 1e-6
 FOUND = "id {id}, donor {id}, distance double, value double"
+#: Between the parts of a cell's path; not in a block, as JSON has no such character.
+_MARK = "\x01"
 
 
 def knn_features_fills(
@@ -41,12 +46,14 @@ def knn_features_fills(
     k: int = 5,
     approved: bool = False,
     tile: int = TILE,
+    block: str | None = None,
 ) -> DataFrame:
     """Fill table with the mean of the ``k`` donors closest in all ``features``.
 
     Features are scaled to mean zero and deviation one. Donors are the rows
-    that have the target and all features; rows that lack a feature get no
-    value. At equal distance the donor with the smaller key comes first.
+    that have the target and all features, and agree in ``block`` if one is given (null
+    agrees with null); rows that lack a feature or have no donor get no value. At
+    equal distance the donor with the smaller key comes first.
     """
     features = list(features)
     id_type = df.schema[key].dataType.simpleString()
@@ -66,44 +73,51 @@ def knn_features_fills(
         (number(df, c) - F.lit(scale[f"m{i}"])) / F.lit(scale[f"s{i}"] or 1.0)
         for i, c in enumerate(features)
     ]
+    root = F.lit("") if block is None else F.to_json(F.struct(column(block)))
     rows = write_scratch(
         df.select(
-            column(key).alias("id"), F.array(*scaled).alias("x"), number(df, target).alias("value")
+            column(key).alias("id"),
+            F.array(*scaled).alias("x"),
+            number(df, target).alias("value"),
+            root.alias("cell"),
         ).where(~F.exists("x", lambda x: x.isNull())),
         "features",
     )
-    donors = F.col("value").isNotNull()
-    count = rows.where(donors).count()
-    if not count:
+    wide = len(features)
+    donors = _in_cells(rows.where(F.col("value").isNotNull()), wide, tile)
+    nodes = write_scratch(_nodes(donors, wide), "cells")
+    depth = nodes.agg(F.max("depth")).first()[0]
+    if depth is None:
         return _as_fills(rows.where("false").select("id", "value"), target, k, approved)
-    pivots = _points(
-        rows.where(donors)
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(math.ceil(count / tile))
-        .toPandas()["x"]
+    members = donors.select("id", "x", "value", F.col("cell").alias("target"))
+    asking = rows.where(F.col("value").isNull()).select("id", "x", "value", "cell")
+
+    homes = write_scratch(_go_down(asking, nodes, depth, wide, k), "homes")
+    leaves = nodes.where("leaf")
+    under = leaves.select(
+        F.explode(_ancestors(F.col("cell"))).alias("cell"), F.col("cell").alias("target")
     )
-    pivots = Pivots.of(pivots)
-    placed = write_scratch(_place(rows, pivots, id_type), "blocks")
-    homes = placed.where(donors).select("id", "x", "value", F.col("block").alias("target"))
-    asking = placed.where(~donors)
     near = _search(
-        homes, asking.select("id", "x", "value", F.col("block").alias("target")), k, tile, id_type
+        members,
+        homes.join(under, "cell").select("id", "x", "value", "target"),
+        k,
+        tile,
+        id_type,
     )
     first = write_scratch(_best(near, k), "nearest")
-
-    # One row per pivot.
-    radius = np.full(len(pivots.points), -np.inf)
-    for r in (
-        placed.where(donors).groupBy("block").agg(F.max("distance").alias("r")).collect()
-    ):
-        radius[r["block"]] = r["r"]
     last = first.groupBy("id").agg(F.count("*").alias("n"), F.max("distance").alias("d"))
-    bound = F.when(F.col("n") >= k, F.sqrt("d")).otherwise(F.lit(float("inf")))
-    bounded = asking.join(last, "id", "left").select(
-        "id", "x", "value", "block", F.coalesce(bound, F.lit(float("inf"))).alias("bound")
+    # Fewer than k were found only where the whole block has fewer; all of it was met then.
+    bounded = homes.join(last.where(F.col("n") >= k), "id").select(
+        "id",
+        "x",
+        "value",
+        F.col("cell").alias("home"),
+        F.col("root").alias("cell"),
+        (F.sqrt("d") + SLACK).alias("bound"),
     )
-    further = _search(homes, _visits(bounded, pivots, radius, id_type), k, tile, id_type)
-    both = _best(first.unionByName(further), k)
+    further = write_scratch(_within(bounded, nodes, depth, wide), "visits")
+    more = _search(members, further, k, tile, id_type)
+    both = _best(first.unionByName(more), k)
     means = both.groupBy("id").agg(F.avg("value").alias("value"))
     return _as_fills(means, target, k, approved)
 
@@ -118,6 +132,182 @@ def _as_fills(means: DataFrame, target: str, k: int, approved: bool) -> DataFram
     )
 
 
+# ---- the tree -------------------------------------------------------------------
+
+
+def _ends(wide: int) -> list[Column]:
+    """The box of a group of rows: the lowest and highest value of every feature."""
+    return [
+        F.array(*[end(F.col("x")[f]) for f in range(wide)]).alias(name)
+        for name, end in (("low", F.min), ("high", F.max))
+    ]
+
+
+def _in_cells(donors: DataFrame, wide: int, tile: int) -> DataFrame:
+    """``donors`` in cells of about ``tile`` rows at most, stored.
+
+    Every level is one count of the cells, one sketch of the widest feature of those
+    that are too large, and one pass that puts their rows into the new cells.
+    """
+    stored = write_scratch(donors, "donors")
+    count = stored.count()
+    # A few levels more than even cuts would take; what is left then is mostly ties.
+    levels = math.ceil(math.log(max(2.0, count / tile), FAN)) + wide if count > tile else 0
+    probabilities = F.array(*[F.lit((i + 1) / FAN) for i in range(FAN - 1)])
+    for _ in range(levels):
+        boxes = stored.groupBy("cell").agg(F.count("*").alias("n"), *_ends(wide))
+        spans = F.array(
+            *[
+                F.struct((F.col("high")[f] - F.col("low")[f]).alias("span"), F.lit(f).alias("f"))
+                for f in range(wide)
+            ]
+        )
+        large = (
+            boxes.where(F.col("n") > tile)
+            .withColumn("widest", F.array_max(spans))
+            .where(F.col("widest.span") > 0)
+            .select(
+                "cell",
+                F.col("widest.f").alias("f"),
+                F.get("low", F.col("widest.f")).alias("least"),
+                F.get("high", F.col("widest.f")).alias("most"),
+            )
+        )
+        large = write_scratch(large, "large-cells")
+        if large.isEmpty():
+            break
+        own = F.get("x", F.col("f"))
+        cuts = (
+            stored.join(large, "cell")
+            .groupBy("cell", "f", "least", "most")
+            .agg(F.percentile_approx(own, probabilities, F.lit(10_000)).alias("cuts"))
+            .select(
+                "cell",
+                "f",
+                # Where nearly all have the highest value, the lowest is cut off.
+                F.array_distinct(
+                    F.transform(
+                        "cuts",
+                        lambda c: F.when(c < F.col("most"), c).otherwise(F.col("least")),
+                    )
+                ).alias("cuts"),
+            )
+        )
+        cuts = write_scratch(cuts, "cuts")
+        child = F.size(F.filter("cuts", lambda c: c < own)).cast("string")
+        cell = F.when(F.col("f").isNull(), F.col("cell")).otherwise(
+            F.concat("cell", F.lit(_MARK), child)
+        )
+        moved = stored.join(cuts, "cell", "left").select(
+            "id", "x", "value", cell.alias("cell")
+        )
+        before, stored = stored, write_scratch(moved, "donors")
+        drop_table(before)
+    return stored
+
+
+def _ancestors(cell: Column) -> Column:
+    """The paths of a cell and of all cells around it."""
+    parts = F.split(cell, _MARK)
+    return F.transform(
+        F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), _MARK)
+    )
+
+
+def _nodes(donors: DataFrame, wide: int) -> DataFrame:
+    """``cell, parent, depth, leaf, n, low, high`` for every cell and all around it."""
+    boxes = donors.groupBy("cell").agg(F.count("*").alias("n"), *_ends(wide))
+    every = boxes.select(
+        F.explode(_ancestors(F.col("cell"))).alias("node"), "cell", "n", "low", "high"
+    )
+    merged = every.groupBy("node").agg(
+        F.sum("n").alias("n"),
+        F.max(F.col("node") == F.col("cell")).alias("leaf"),
+        F.array(*[F.min(F.col("low")[f]) for f in range(wide)]).alias("low"),
+        F.array(*[F.max(F.col("high")[f]) for f in range(wide)]).alias("high"),
+    )
+    steps = F.size(F.split("node", _MARK)) - 1
+    return merged.select(
+        F.col("node").alias("cell"),
+        F.when(steps > 0, F.element_at(_ancestors(F.col("node")), -2)).alias("parent"),
+        steps.alias("depth"),
+        "leaf",
+        "n",
+        "low",
+        "high",
+    )
+
+
+def _away(wide: int) -> Column:
+    """The squared distance of ``x`` from a box."""
+    gaps = [
+        F.greatest(
+            F.col("low")[f] - F.col("x")[f], F.col("x")[f] - F.col("high")[f], F.lit(0.0)
+        )
+        for f in range(wide)
+    ]
+    total = F.lit(0.0)
+    for gap in gaps:
+        total = total + gap * gap
+    return total
+
+
+def _children(nodes: DataFrame, depth: int) -> DataFrame:
+    return nodes.where(F.col("depth") == depth).select(
+        F.col("parent").alias("cell"), F.col("cell").alias("child"), "leaf", "n", "low", "high"
+    )
+
+
+def _go_down(asking: DataFrame, nodes: DataFrame, depth: int, wide: int, k: int) -> DataFrame:
+    """Each row with a cell close to it (``cell``) that has ``k`` donors, as far as its block has.
+
+    The row follows the closest cell of each level as long as that has enough donors.
+    """
+    at = asking.join(nodes.where("depth = 0").select("cell"), "cell", "left_semi").withColumn(
+        "root", F.col("cell")
+    )
+    for level in range(1, depth + 1):
+        enough = _children(nodes, level).where(F.col("n") >= k)
+        closest = F.min(F.struct(_away(wide).alias("d"), "child"))
+        next_cell = (
+            at.join(enough, "cell").groupBy("id").agg(closest.alias("best")).select(
+                "id", F.col("best.child").alias("next")
+            )
+        )
+        at = at.join(next_cell, "id", "left").select(
+            "id", "x", "value", F.coalesce("next", "cell").alias("cell"), "root"
+        )
+    return at
+
+
+def _within(bounded: DataFrame, nodes: DataFrame, depth: int, wide: int) -> DataFrame:
+    """``id, x, value, target``: each row with all leaves within its bound but those it has met."""
+    at = bounded.join(
+        nodes.where("depth = 0").select("cell", "leaf"), "cell"
+    )
+    found = None
+    for level in range(depth + 1):
+        if level:
+            at = (
+                at.where(~F.col("leaf"))
+                .drop("leaf")
+                .join(_children(nodes, level), "cell")
+                .where(_away(wide) <= F.col("bound") * F.col("bound"))
+                .select("id", "x", "value", "home", F.col("child").alias("cell"), "bound", "leaf")
+            )
+        met = (F.col("cell") == F.col("home")) | F.col("cell").startswith(
+            F.concat("home", F.lit(_MARK))
+        )
+        leaves = at.where(F.col("leaf") & ~met).select(
+            "id", "x", "value", F.col("cell").alias("target")
+        )
+        found = leaves if found is None else found.unionByName(leaves)
+    return found
+
+
+# ---- comparing ------------------------------------------------------------------
+
+
 def _points(values: pd.Series) -> np.ndarray:
     return np.stack(values.to_numpy()).astype(np.float64)
 
@@ -130,102 +320,6 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(total, DECIMALS)
 
 
-@dataclass(frozen=True)
-class Pivots:
-    """Pivots in groups around centres; the group of centre ``c`` is ``members[c]``."""
-
-    points: np.ndarray
-    centres: np.ndarray
-    members: list[np.ndarray]
-
-    @staticmethod
-    def of(points: np.ndarray) -> Pivots:
-        centres = points[: math.ceil(math.sqrt(len(points)))]
-        # In strips, so that the distances of many pivots take little memory.
-        nearest = [
-            _squares(points[at : at + 4096], centres).argmin(axis=1)
-            for at in range(0, len(points), 4096)
-        ]
-        group = np.concatenate(nearest)
-        return Pivots(points, centres, [np.flatnonzero(group == c) for c in range(len(centres))])
-
-    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest pivot in the group of the nearest centre, and its distance.
-
-        That need not be the nearest of all; a block's radius counts its real members.
-        """
-        centre = _squares(x, self.centres).argmin(axis=1)
-        block, away = np.zeros(len(x), np.int32), np.zeros(len(x))
-        for c in np.unique(centre):
-            rows = np.flatnonzero(centre == c)
-            squares = _squares(x[rows], self.points[self.members[c]])
-            best = squares.argmin(axis=1)
-            block[rows] = self.members[c][best]
-            away[rows] = np.sqrt(squares[np.arange(len(rows)), best])
-        return block, away
-
-    def reach(self, radius: np.ndarray) -> np.ndarray:
-        """How far from each centre a row of its group's blocks can be."""
-        far = np.full(len(self.centres), -np.inf)
-        for c, members in enumerate(self.members):
-            used = members[np.isfinite(radius[members])]
-            if len(used):
-                gap = np.sqrt(_squares(self.centres[c : c + 1], self.points[used])[0])
-                far[c] = (gap + radius[used]).max()
-        return far
-
-    def within(
-        self, x: np.ndarray, bound: np.ndarray, radius: np.ndarray, far: np.ndarray
-    ) -> list[np.ndarray]:
-        """For each row the blocks that can hold a row within its bound."""
-        found: list[list[np.ndarray]] = [[] for _ in range(len(x))]
-        open_ = np.sqrt(_squares(x, self.centres)) - far <= bound[:, None] + SLACK
-        for c in np.flatnonzero(open_.any(axis=0) & np.isfinite(far)):
-            rows, members = np.flatnonzero(open_[:, c]), self.members[c]
-            away = np.sqrt(_squares(x[rows], self.points[members]))
-            near = away - radius[members] <= bound[rows, None] + SLACK
-            near &= np.isfinite(radius[members])
-            for row, hit in zip(rows, near, strict=True):
-                found[row].append(members[hit])
-        none = np.zeros(0, np.int64)
-        return [np.concatenate(f) if f else none for f in found]
-
-
-def _place(rows: DataFrame, pivots: Pivots, id_type: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                block, away = pivots.place(_points(batch["x"]))
-                yield batch.assign(block=block, distance=away)
-
-    schema = f"id {id_type}, x array<double>, value double, block int, distance double"
-    return rows.mapInPandas(run, schema)
-
-
-def _visits(rows: DataFrame, pivots: Pivots, radius: np.ndarray, id_type: str) -> DataFrame:
-    """Each row with every other block that may hold a donor within its bound."""
-    far = pivots.reach(radius)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                bound, own = batch["bound"].to_numpy(), batch["block"].to_numpy()
-                every = pivots.within(_points(batch["x"]), bound, radius, far)
-                targets = [
-                    t[t != o].astype(np.int32) for t, o in zip(every, own, strict=True)
-                ]
-                yield batch[["id", "x", "value"]].assign(targets=targets)
-
-    # Stored, because the blocks are counted before the rows are sent to them.
-    found = write_scratch(
-        rows.mapInPandas(
-            run, f"id {id_type}, x array<double>, value double, targets array<int>"
-        ),
-        "visits",
-    )
-    return found.select("id", "x", "value", F.explode("targets").alias("target"))
-
-
 def _search(
     homes: DataFrame, visits: DataFrame, k: int, tile: int, id_type: str
 ) -> DataFrame:

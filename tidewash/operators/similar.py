@@ -9,7 +9,9 @@ may match it, so a block that draws a third of all vectors is spread over many
 tasks. Inside a group one matrix product gives all similarities, and only the
 matches leave it. The number of blocks follows the number of vectors. For dense
 vectors that are about equally far from each other no block can be skipped, and
-the work is then quadratic; ``block`` limits it to vectors with the same key.
+the work is then quadratic; ``block`` limits it to vectors with the same key, and
+``recall`` finds that share of the pairs by signatures instead
+(:mod:`tidewash.operators.signatures`).
 
 Texts are compared by their character trigrams as sparse vectors
 (:func:`trigram_terms`, :func:`sparse_cosine_pairs`): an equality join on the rare
@@ -23,17 +25,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from tidewash.functions.columns import column
 from tidewash.functions.scratch import write_scratch
 from tidewash.functions.text import normalized
-from tidewash.functions.tiles import meet
+from tidewash.functions.tiles import meet, meet_within
+from tidewash.operators.signatures import signature_pairs
+from tidewash.operators.vectors import forest, unit_rows
 
 # Members of a block, and visitors to it, that meet in one group. A spanning
 # result is small, so its groups may be larger, which shuffles fewer copies.
 TILE = 2048
 SPANNING_TILE = 8192
 STRIP = 512
+#: Products of vectors and pivots that a task holds at once.
+MOST_PRODUCTS = 4_000_000
 # Room for rounding when an angle is compared with a block's reach.
 ANGLE_SLACK = 1e-6
 
@@ -161,13 +168,6 @@ def sparse_zscore_pairs(terms: DataFrame, z: float = 1.5) -> DataFrame:
     return sparse_cosine_pairs(terms, mean + z * deviation, strict=True)
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    """Rows scaled to length one; a zero vector stays zero."""
-    matrix = np.stack(vectors.to_numpy()).astype(np.float64)
-    length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-    return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
-
-
 def _angles(cosines: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosines, -1.0, 1.0))
 
@@ -179,6 +179,7 @@ def cosine_pairs(
     spanning: bool = False,
     tile: int | None = None,
     block: str | None = None,
+    recall: float | None = None,
 ) -> DataFrame:
     """``id_a, id_b, cosine`` for all pairs with a cosine of at least ``threshold``.
 
@@ -187,15 +188,19 @@ def cosine_pairs(
     gives only as many of its pairs as connect the same vectors, which is
     enough for clusters and keeps the output small where a great many vectors
     are alike. ``block`` names a column that pairs must agree in (null agrees with
-    null); without it all vectors are candidates.
+    null); without it all vectors are candidates. With ``recall`` the pairs come from
+    signatures of random hyperplanes: only about that share of the pairs right at the
+    threshold (more of the closer ones) is found, without the quadratic work.
     """
     if not threshold > 0:
         raise ValueError("the threshold must be above zero")
     tile = tile or (SPANNING_TILE if spanning else TILE)
     rows = vectors.select("id", "vector").where(F.col("vector").isNotNull())
     id_type = vectors.schema["id"].dataType.simpleString()
+    if recall is not None:
+        return signature_pairs(vectors, threshold, recall, strict, spanning, tile, block)
     if block is not None:
-        return _pairs_within(vectors, threshold, strict, block, id_type)
+        return _pairs_within(vectors, threshold, strict, spanning, block, tile, id_type)
     stored = write_scratch(rows, "vectors")
     count = stored.count()
     # About one tile of members per block, however many vectors there are.
@@ -211,7 +216,7 @@ def cosine_pairs(
     schema = f"id_a {id_type}, id_b {id_type}, cosine double"
 
     def compare(visit: pd.DataFrame, home: pd.DataFrame) -> pd.DataFrame:
-        u, v = _unit(visit["vector"]), _unit(home["vector"])
+        u, v = unit_rows(visit["vector"]), unit_rows(home["vector"])
         visit_ids, home_ids = visit["id"].to_numpy(), home["id"].to_numpy()
         block = home["block"].iloc[0]
         matches = []
@@ -223,7 +228,7 @@ def cosine_pairs(
             same = visit["block"].to_numpy()[strip] == block
             match &= ~same[:, None] | (visit_ids[strip][:, None] < home_ids[None, :])
             matches.append(match if spanning else np.argwhere(match) + [start, 0])
-        i, j = _forest(np.concatenate(matches)) if spanning else np.concatenate(matches).T
+        i, j = forest(np.concatenate(matches)) if spanning else np.concatenate(matches).T
         a, b = visit_ids[i], home_ids[j]
         swap = a > b
         return pd.DataFrame(
@@ -238,38 +243,55 @@ def cosine_pairs(
 
 
 def _pairs_within(
-    vectors: DataFrame, threshold: float, strict: bool, block: str, id_type: str
+    vectors: DataFrame,
+    threshold: float,
+    strict: bool,
+    spanning: bool,
+    block: str,
+    tile: int,
+    id_type: str,
 ) -> DataFrame:
-    """Pairs within the rows of one key: a join on the key, compared in the JVM."""
+    """Pairs within the rows of one key, which is cut into tiles if it has many."""
+    key = F.to_json(F.struct(column(block))).alias("block")
+    rows = vectors.where(F.col("vector").isNotNull()).select(key, "id", "vector")
 
-    def dot(a: str, b: str) -> Column:
-        products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-        return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
+    def compare(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        u, v = unit_rows(some["vector"]), unit_rows(others["vector"])
+        ids, other_ids = some["id"].to_numpy(), others["id"].to_numpy()
+        itself = set(ids) == set(other_ids)
+        found = []
+        for start in range(0, len(u), STRIP):
+            cosines = u[start : start + STRIP] @ v.T
+            match = cosines > threshold if strict else cosines >= threshold
+            if itself:
+                match &= ids[start : start + STRIP][:, None] < other_ids[None, :]
+            pairs = np.array(forest(match)).T if spanning else np.argwhere(match)
+            found.append(pairs + [start, 0])
+        i, j = np.concatenate(found).T
+        swap = ids[i] > other_ids[j]
+        return pd.DataFrame(
+            {
+                "id_a": np.where(swap, other_ids[j], ids[i]),
+                "id_b": np.where(swap, ids[i], other_ids[j]),
+                "cosine": np.einsum("ij,ij->i", u[i], v[j]),
+            }
+        )
 
-    key = F.struct(F.col(block).isNull(), F.col(block)).alias("key")
-    rows = vectors.where(F.col("vector").isNotNull()).select(key, "id", "vector")
-    rows = write_scratch(rows.withColumn("length", F.sqrt(dot("vector", "vector"))), "vectors")
-    left, right = (
-        rows.select(F.to_json("key").alias("key"), *[
-            F.col(c).alias(f"{c}_{x}") for c in ("id", "vector", "length")
-        ])
-        for x in "ab"
-    )
-    cosine = F.try_divide(dot("vector_a", "vector_b"), F.col("length_a") * F.col("length_b"))
-    enough = F.col("cosine") > threshold if strict else F.col("cosine") >= threshold
-    return (
-        left.join(right, "key")
-        .where("id_a < id_b")
-        .withColumn("cosine", F.coalesce(cosine, F.lit(0.0)))
-        .where(enough)
-        .select("id_a", "id_b", "cosine")
-    )
+    schema = f"id_a {id_type}, id_b {id_type}, cosine double"
+    return meet_within(write_scratch(rows, "vectors"), ["block"], compare, schema, tile)
 
 
 def _unit_rows(vectors: DataFrame, count: int) -> np.ndarray:
     """``count`` vectors chosen by the hash of their ids, as unit rows."""
     chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(count).toPandas()
-    return _unit(chosen["vector"]) if len(chosen) else np.zeros((0, 1))
+    return unit_rows(chosen["vector"]) if len(chosen) else np.zeros((0, 1))
+
+
+def _strips(batch: pd.DataFrame, pivots: int) -> Iterator[pd.DataFrame]:
+    """Parts of a batch whose products with all pivots take a bounded amount of memory."""
+    rows = max(1, MOST_PRODUCTS // max(1, pivots))
+    for start in range(0, len(batch), rows):
+        yield batch.iloc[start : start + rows]
 
 
 def _assign(vectors: DataFrame, pivots: np.ndarray, id_type: str) -> DataFrame:
@@ -277,11 +299,11 @@ def _assign(vectors: DataFrame, pivots: np.ndarray, id_type: str) -> DataFrame:
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                cosines = _unit(batch["vector"]) @ pivots.T
+            for part in _strips(batch, len(pivots)):
+                cosines = unit_rows(part["vector"]) @ pivots.T
                 block = cosines.argmax(axis=1)
-                angle = _angles(cosines[np.arange(len(batch)), block])
-                yield batch.assign(block=block.astype(np.int32), angle=angle)
+                angle = _angles(cosines[np.arange(len(part)), block])
+                yield part.assign(block=block.astype(np.int32), angle=angle)
 
     return vectors.mapInPandas(
         nearest, f"id {id_type}, vector {element}, block int, angle double"
@@ -296,14 +318,14 @@ def _visits(
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                angles = _angles(_unit(batch["vector"]) @ pivots.T)
-                own = batch["block"].to_numpy()[:, None]
+            for part in _strips(batch, len(pivots)):
+                angles = _angles(unit_rows(part["vector"]) @ pivots.T)
+                own = part["block"].to_numpy()[:, None]
                 ahead = np.arange(len(pivots))[None, :] >= own
                 targets = [
                     np.flatnonzero(row).astype(np.int32) for row in (angles <= reach) & ahead
                 ]
-                yield batch[["id", "vector", "block"]].assign(targets=targets)
+                yield part[["id", "vector", "block"]].assign(targets=targets)
 
     # Stored, because the blocks are counted before the rows are sent to them.
     found = write_scratch(
@@ -315,33 +337,6 @@ def _visits(
     return found.select("id", "vector", "block", F.explode("targets").alias("target"))
 
 
-def _forest(match: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that connect rows and columns as the whole match matrix does."""
-    rows, columns = match.shape
-    row_free, column_free = np.ones(rows, bool), np.ones(columns, bool)
-    found: list[tuple[int, int]] = []
-    for start in range(rows):
-        if not row_free[start]:
-            continue
-        row_free[start] = False
-        open_rows, open_columns = [start], []
-        while open_rows or open_columns:
-            if open_rows:
-                i = open_rows.pop()
-                new = np.flatnonzero(match[i] & column_free)
-                column_free[new] = False
-                found += [(i, j) for j in new]
-                open_columns.extend(new)
-            else:
-                j = open_columns.pop()
-                new = np.flatnonzero(match[:, j] & row_free)
-                row_free[new] = False
-                found += [(i, j) for i in new]
-                open_rows.extend(new)
-    pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
-
-
 def similarity_moments(vectors: DataFrame) -> tuple[int, float, float]:
     """Count, mean and population deviation of the full similarity matrix.
 
@@ -357,7 +352,7 @@ def similarity_moments(vectors: DataFrame) -> tuple[int, float, float]:
         n = 0
         for batch in batches:
             if len(batch):
-                unit = _unit(batch["vector"])
+                unit = unit_rows(batch["vector"])
                 n += len(unit)
                 total = unit.sum(axis=0) if total is None else total + unit.sum(axis=0)
                 gram = unit.T @ unit if gram is None else gram + unit.T @ unit
@@ -395,6 +390,9 @@ def zscore_cutoff(vectors: DataFrame, z: float = 1.5) -> float:
     return mean + z * deviation
 
 
-def zscore_pairs(vectors: DataFrame, z: float = 1.5, spanning: bool = False) -> DataFrame:
+def zscore_pairs(
+    vectors: DataFrame, z: float = 1.5, spanning: bool = False, recall: float | None = None
+) -> DataFrame:
     """Pairs whose similarity has a z-score above ``z`` within the whole matrix."""
-    return cosine_pairs(vectors, zscore_cutoff(vectors, z), strict=True, spanning=spanning)
+    cutoff = zscore_cutoff(vectors, z)
+    return cosine_pairs(vectors, cutoff, strict=True, spanning=spanning, recall=recall)
