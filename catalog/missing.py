@@ -567,3 +567,47 @@ def impute_iterative(spark: SparkSession, sf: str) -> DataFrame:
         view(spark, sf, "gappy_parts"), "id", ["price", "weight"], rounds=3
     )
     return filled.withColumns({c: F.round(c, 4) for c in ("price", "weight")})
+
+
+@query(
+    "impute_by_driver",
+    with_view(
+        "gappy_parts",
+        """
+WITH pair AS (SELECT type, size, avg(weight) AS v FROM gappy_parts WHERE weight IS NOT NULL AND type IS NOT NULL
+  AND size IS NOT NULL GROUP BY type, size),
+one AS (SELECT type, avg(weight) AS v FROM gappy_parts WHERE weight IS NOT NULL AND type IS NOT NULL GROUP BY type),
+w AS (SELECT avg(weight) AS v FROM gappy_parts)
+SELECT g.id AS row_id, 'weight' AS "column", round(coalesce(pair.v, one.v, w.v), 4) AS value,
+  CASE WHEN pair.v IS NOT NULL THEN 'mean by type and size' WHEN one.v IS NOT NULL THEN 'mean by type'
+    ELSE 'mean of the column' END AS reason, false AS approved
+FROM gappy_parts g CROSS JOIN w LEFT JOIN pair ON pair.type = g.type AND pair.size = g.size
+LEFT JOIN one ON one.type = g.type WHERE g.weight IS NULL""",
+    ),
+)
+def impute_by_driver(spark: SparkSession, sf: str) -> DataFrame:
+    """Filled from rows that agree in two columns, else in one, else from all."""
+    fills = I.driver_fills(view(spark, sf, "gappy_parts"), "weight", "id", ["type", "size"])
+    return fills.withColumn("value", F.round(F.col("value").cast("double"), 4))
+
+
+@query(
+    "impute_by_driver_mode",
+    with_view(
+        "gappy_parts",
+        """
+WITH pair AS (SELECT size, price, type AS v, row_number() OVER (PARTITION BY size, price ORDER BY count(*) DESC, type) AS r
+  FROM gappy_parts WHERE type IS NOT NULL AND size IS NOT NULL AND price IS NOT NULL GROUP BY size, price, type),
+one AS (SELECT size, type AS v, row_number() OVER (PARTITION BY size ORDER BY count(*) DESC, type) AS r
+  FROM gappy_parts WHERE type IS NOT NULL AND size IS NOT NULL GROUP BY size, type),
+w AS (SELECT type AS v FROM gappy_parts WHERE type IS NOT NULL GROUP BY type ORDER BY count(*) DESC, type LIMIT 1)
+SELECT g.id AS row_id, 'type' AS "column", coalesce(pair.v, one.v, w.v) AS value, false AS approved
+FROM gappy_parts g CROSS JOIN w LEFT JOIN pair ON pair.size = g.size AND pair.price = g.price AND pair.r = 1
+LEFT JOIN one ON one.size = g.size AND one.r = 1 WHERE g.type IS NULL""",
+    ),
+)
+def impute_by_driver_mode(spark: SparkSession, sf: str) -> DataFrame:
+    fills = I.driver_fills(
+        view(spark, sf, "gappy_parts"), "type", "id", ["size", "price"], "mode"
+    )
+    return fills.drop("reason")

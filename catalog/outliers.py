@@ -104,6 +104,24 @@ def outlier_dbscan_1d(spark: SparkSession, sf: str) -> DataFrame:
     return D.density_report(D.outlier_clusters(table(spark, sf, "events"), ["value"], eps=0.05))
 
 
+@query(
+    "outlier_noise_removed",
+    density_sql(AUTO_EPS)
+    + """, noise AS (SELECT DISTINCT value FROM a WHERE cluster IS NULL)
+SELECT * FROM events WHERE value IS NULL OR value NOT IN (SELECT value FROM noise)""",
+)
+def outlier_noise_removed(spark: SparkSession, sf: str) -> DataFrame:
+    """Only outliers that no cluster has are removed."""
+    done = plans.treat_outliers(
+        table(spark, sf, "events"),
+        "event_id",
+        ["value"],
+        decide=lambda records: G.approve(G.decide_by_rule(records, F.col("noise"), "noise")),
+        density=True,
+    )
+    return done.data
+
+
 @query(
     "outlier_dbscan_sizes",
     density_sql("0.05")

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from catalog.inputs import table, union_all, view, with_view
 from catalog.registry import query
 from tidewash.functions.columns import text_columns
-from tidewash.functions.frequencies import value_frequencies
+from tidewash.functions.frequencies import distinct_counts, value_frequencies
 from tidewash.operators import correlation as R
 from tidewash.operators import profile as P
 
@@ -318,3 +318,59 @@ FROM (VALUES (1, 3), (2, 5), (3, 10)) AS s(i, size)""",
 )
 def feature_sets(spark: SparkSession, sf: str) -> DataFrame:
     return R.feature_sets(table(spark, sf, "lineitem"), "l_extendedprice")
+
+
+SKETCHED = ("l_quantity", "l_extendedprice", "l_partkey")
+
+
+@query(
+    "sketch_profile",
+    union_all(
+        [
+            f"""SELECT '{c}' AS "column", count({c}) AS n, min({c})::DOUBLE AS low, max({c})::DOUBLE AS high,
+  true AS quantiles_ok, true AS distinct_ok FROM lineitem"""
+            for c in SKETCHED
+        ]
+    ),
+)
+def sketch_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches of the parts of a table, merged, and whether they keep their bounds."""
+    items = table(spark, sf, "lineitem")
+    merged = P.merge_sketches(P.sketch_profile(items, SKETCHED, by="l_returnflag"))
+    report = P.sketch_report(merged)
+    probabilities = (0.25, 0.5, 0.75)
+    rows = items.select(
+        F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+                    for c in SKETCHED
+                ]
+            )
+        ).alias("e")
+    ).select("e.*")
+    # The true ranks next to each estimate: values below it, and up to it.
+    ranks = [
+        e
+        for p in probabilities
+        for e in (
+            F.count_if(F.col("value") < F.col(f"q{p * 100:g}")).alias(f"below{p * 100:g}"),
+            F.count_if(F.col("value") <= F.col(f"q{p * 100:g}")).alias(f"upto{p * 100:g}"),
+        )
+    ]
+    counted = rows.join(report, "column").groupBy("column").agg(*ranks)
+    exact = distinct_counts(items, SKETCHED).select("column", F.col("num_unique").alias("exact"))
+    good = F.lit(True)
+    for p in probabilities:
+        low = F.col(f"below{p * 100:g}") / F.col("n") - P.RANK_ERROR
+        high = F.col(f"upto{p * 100:g}") / F.col("n") + P.RANK_ERROR
+        good = good & F.lit(p).between(low, high)
+    off = F.abs(F.col("num_unique") - F.col("exact"))
+    return report.join(counted, "column").join(exact, "column").select(
+        "column",
+        "n",
+        "low",
+        "high",
+        good.alias("quantiles_ok"),
+        (off <= P.DISTINCT_ERROR * F.col("exact")).alias("distinct_ok"),
+    )

@@ -30,22 +30,24 @@ def value_frequencies(
     df: DataFrame,
     columns: Iterable[str],
     counters: dict[str, Column] | None = None,
+    by: dict[str, Column] | None = None,
 ) -> DataFrame:
     """``column, value, number, n`` for every non-null distinct value.
 
     ``number`` is the value as double for numeric columns and null otherwise.
-    ``counters`` adds sums of 0/1 expressions over the rows with the value.
+    ``counters`` adds sums of 0/1 expressions over the rows with the value; ``by`` counts
+    apart for each value of some whole numbers of the row.
     The rows are combined before the shuffle, so a value that fills a third of
     the table costs one row per task.
     """
     columns = list(columns)
-    counters = counters or {}
+    counters, by = counters or {}, by or {}
     sums = [F.sum(name).alias(name) for name in counters]
     tables = []
     for form, names in _by_form(df, columns):
         grouped = (
-            _stacked(df, names, lambda c: _value(df, c), counters)
-            .groupBy("column", "key")
+            _stacked(df, names, lambda c: _value(df, c), counters, by)
+            .groupBy("column", "key", *by)
             .agg(F.count("*").alias("n"), *sums)
         )
         # Numbers become text only after equal values are combined.
@@ -64,10 +66,11 @@ def value_frequencies(
                 number_of.alias("number"),
                 "n",
                 *counters,
+                *by,
             )
         )
     if not tables:
-        extra = "".join(f", {name} bigint" for name in counters)
+        extra = "".join(f", {name} bigint" for name in [*counters, *by])
         return df.sparkSession.createDataFrame(
             [], f"column string, value string, number double, n bigint{extra}"
         )
@@ -114,9 +117,11 @@ def _stacked(
     names: list[str],
     value: Callable[[str], Column],
     counters: dict[str, Column],
+    by: dict[str, Column] | None = None,
 ) -> DataFrame:
     """One row per cell: the number of the column and its value, if there is one."""
     carried = [expr.cast("int").alias(name) for name, expr in counters.items()]
+    carried += [expr.cast("bigint").alias(name) for name, expr in (by or {}).items()]
     cells = [part for i, name in enumerate(names) for part in (F.lit(i), value(name))]
     stacked = df.select(*carried, F.stack(F.lit(len(names)), *cells).alias("column", "key"))
     return stacked.where(F.col("key").isNotNull())

@@ -4,27 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidewash.functions.rounds import RoundLog
 from tidewash.functions.scratch import drop_table, write_scratch
 
 
-def connected_components(edges: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
+def connected_components(
+    edges: DataFrame, a: str = "id_a", b: str = "id_b", log: RoundLog | None = None
+) -> DataFrame:
     """``node, component`` for every node with an edge; the name is the smallest member.
 
     Each round every node joins the neighbour (or itself) that comes first in
     a fresh random order, and the graph is contracted along these choices. The
     random order makes a constant share of the nodes vanish in every round,
     also on long chains and stars. Nothing is gathered per node: choices are a
-    minimum, which is combined before the shuffle.
+    minimum, which is combined before the shuffle. With a ``log`` every finished round is
+    kept, and a later call with the same log goes on after the last one.
     """
-    pairs = write_scratch(
-        edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-        .where(F.col("u") != F.col("v"))
-        .distinct(),
-        "edges",
-    )
-    labels = None
+
+    def store(df: DataFrame, name: str, turn: int) -> DataFrame:
+        return write_scratch(df, name) if log is None else log.write(df, name, turn)
+
+    before = log.last() if log else None
+    if before:
+        turn, tables, _ = before
+        pairs, labels = tables["edges"], tables.get("labels")
+    else:
+        pairs = store(
+            edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
+            .where(F.col("u") != F.col("v"))
+            .distinct(),
+            "edges",
+            0,
+        )
+        labels, turn = None, 0
+        if log:
+            log.finish(0, {"edges": pairs})
     finished: list[DataFrame] = []  # tables of this and the last round that nothing reads later
-    turn = 0
     while not pairs.isEmpty():
         both = pairs.union(pairs.select("v", "u"))
         order = F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), F.col("v").alias("x"))
@@ -36,17 +51,18 @@ def connected_components(edges: DataFrame, a: str = "id_a", b: str = "id_b") ->
             "choices",
         )
         if labels is None:
-            labels = write_scratch(
-                chosen.select("node", F.col("chosen").alias("component")), "labels"
+            labels = store(
+                chosen.select("node", F.col("chosen").alias("component")), "labels", turn + 1
             )
         else:
             step = chosen.select(F.col("node").alias("component"), "chosen")
             finished.append(labels)
-            labels = write_scratch(
+            labels = store(
                 labels.join(step, "component", "left").select(
                     "node", F.coalesce("chosen", "component").alias("component")
                 ),
                 "labels",
+                turn + 1,
             )
         ends = (
             pairs.join(chosen.select(F.col("node").alias("u"), F.col("chosen").alias("s")), "u")
@@ -54,14 +70,18 @@ def connected_components(edges: DataFrame, a: str = "id_a", b: str = "id_b") ->
             .where(F.col("s") != F.col("t"))
         )
         finished += [chosen, pairs]
-        pairs = write_scratch(
+        pairs = store(
             ends.select(F.least("s", "t").alias("u"), F.greatest("s", "t").alias("v")).distinct(),
             "edges",
+            turn + 1,
         )
+        turn += 1
+        if log:  # which deletes the tables of the last round
+            log.finish(turn, {"edges": pairs, "labels": labels})
+            finished = [chosen]
         for table in finished:
             drop_table(table)
         finished = []
-        turn += 1
     if labels is None:
         node_type = pairs.schema["u"].dataType.simpleString()
         return edges.sparkSession.createDataFrame([], f"node {node_type}, component {node_type}")

@@ -19,6 +19,7 @@ from tidewash.functions.columns import number, numeric_columns, one_row
 from tidewash.functions.frequencies import column_totals, value_frequencies
 from tidewash.functions.ordered import Ordered
 from tidewash.functions.quantiles import exact_quantiles
+from tidewash.functions.scratch import write_scratch
 from tidewash.operators.clean import percent
 from tidewash.operators.outliers import IQR_FACTOR, Fences, iqr_fences
 
@@ -162,6 +163,33 @@ def outlier_clusters(
     return summed.select("column", "value", "n", "core", cluster.alias("cluster"))
 
 
+def with_density(
+    records: DataFrame,
+    df: DataFrame,
+    name: str,
+    eps: float | None = None,
+    min_samples: int = MIN_SAMPLES,
+    factor: float = IQR_FACTOR,
+) -> DataFrame:
+    """Outlier records of one column with their ``cluster``, and whether they are ``noise``.
+
+    A column with too few outliers has no clusters and no noise. The clusters have one
+    row per distinct outlier value, which the records are looked up in; ``noise`` serves as
+    the rule of :func:`tidewash.operators.decisions.decide_by_rule`.
+    """
+    clusters = outlier_clusters(df, [name], eps, min_samples, factor)
+    if clusters is None:
+        none = F.lit(None).cast("bigint")
+        return records.withColumn("cluster", none).withColumn("noise", F.lit(False))
+    stored = write_scratch(
+        clusters.select(F.col("value").alias("_value"), "cluster", F.lit(True).alias("_known")),
+        "clusters",
+    )
+    joined = records.join(stored, F.col("value") == F.col("_value"), "left")
+    noise = F.coalesce(F.col("_known"), F.lit(False)) & F.col("cluster").isNull()
+    return joined.withColumn("noise", noise).drop("_value", "_known")
+
+
 def cluster_sizes(clusters: DataFrame) -> DataFrame:
     """Points per cluster."""
     return (

@@ -24,6 +24,7 @@ from tidewash.functions.columns import (
 from tidewash.functions.frequencies import column_totals, value_frequencies
 from tidewash.functions.ordered import Ordered
 from tidewash.functions.quantiles import exact_quantiles
+from tidewash.functions.rounds import RoundLog
 from tidewash.functions.scratch import drop_table, write_scratch
 from tidewash.functions.text import to_number
 from tidewash.operators.clean import percent
@@ -297,6 +298,110 @@ def group_fills(
     return _fills(found, target, F.col("value"), f"{how} by {by}", approved)
 
 
+def strongest_drivers(drivers: DataFrame, target: str, most: int = 2) -> list[str]:
+    """The columns that explain best where ``target`` is missing, from ``missingness_drivers``."""
+    found = drivers.where((F.col("target") == target) & (F.col("place") <= most))
+    return [r["column"] for r in found.orderBy("place").collect()]
+
+
+def driver_values(
+    df: DataFrame, target: str, drivers: Iterable[str], how: str = "mean"
+) -> DataFrame:
+    """``level, <drivers>, value``: mean or mode of ``target`` at every level of its drivers.
+
+    The last level, as many as there are drivers, agrees in all of them, the one before in
+    all but the weakest, and level 0 takes the whole column. All come from one
+    aggregate over ``GROUPING SETS``; equal values are combined first.
+    """
+    if how not in ("mean", "mode"):
+        raise ValueError(f"unknown way to fill: {how!r}")
+    drivers = list(drivers)
+    keys = [f"_d{i}" for i in range(len(drivers))]
+    rows = df.select(
+        *[column(c).alias(k) for c, k in zip(drivers, keys, strict=True)],
+        _target_value(df, target).alias("value"),
+    ).where(F.col("value").isNotNull())
+    if how == "mean":
+        each, sums = [], [F.sum("n").alias("n"), F.sum("total").alias("total")]
+        counted = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    else:
+        each, sums = ["value"], [F.sum("n").alias("n")]
+        counted = rows.groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    if keys:
+        levels = [[*keys[:size], *each] for size in range(len(keys), -1, -1)]
+        # The grouping number has a one for every driver that is left out.
+        size = F.lit(len(keys)) - F.bit_count(F.grouping_id())
+        grouped = counted.groupingSets([[F.col(c) for c in some] for some in levels], *keys, *each)
+        summed = grouped.agg(size.alias("level"), *sums)
+    else:
+        summed = counted.groupBy(*each).agg(F.lit(0).alias("level"), *sums)
+    if how == "mean":
+        found = summed.select("level", *keys, (F.col("total") / F.col("n")).alias("value"))
+    else:
+        first = F.min(F.struct((-F.col("n")).alias("m"), "value"))
+        modes = summed.groupBy("level", *keys).agg(first.alias("f"))
+        found = modes.select("level", *keys, F.col("f.value").alias("value"))
+    return found.where(_known(keys))
+
+
+def _known(keys: list[str]) -> Column:
+    """Groups of a level whose drivers all have a value."""
+    known = F.lit(True)
+    for i, key in enumerate(keys):
+        known = known & ((F.col("level") <= i) | F.col(key).isNotNull())
+    return known
+
+
+def driver_fills(
+    df: DataFrame,
+    target: str,
+    key: str,
+    drivers: Iterable[str],
+    how: str = "mean",
+    approved: bool = False,
+) -> DataFrame:
+    """Fill with the mean or mode of the rows that agree in the columns that explain the gap.
+
+    ``drivers`` come strongest first. A row takes the value of the rows that agree in
+    all of them; where there are none, or a driver is missing, of those that agree in all but
+    the weakest, and so on down to the whole column.
+    """
+    drivers = list(drivers)
+    keys = [f"_d{i}" for i in range(len(drivers))]
+    values = write_scratch(driver_values(df, target, drivers, how), "levels")
+    rows = df.where(is_missing(df, target)).select(
+        column(key).alias("row_id"),
+        *[column(c).alias(k) for c, k in zip(drivers, keys, strict=True)],
+    )
+    found, level = F.lit(None), F.lit(None)
+    # One row per group on the right; Spark broadcasts a small table and splits frequent groups.
+    for size in range(len(drivers), 0, -1):
+        own = values.where(F.col("level") == size).select(
+            *keys[:size], F.col("value").alias(f"_v{size}")
+        )
+        rows = rows.join(own, keys[:size], "left")
+        found = F.coalesce(found, F.col(f"_v{size}"))
+        level = F.coalesce(level, F.when(F.col(f"_v{size}").isNotNull(), F.lit(size)))
+    whole = values.where("level = 0").select("value").first()  # one row
+    if whole is not None:
+        found = F.coalesce(found, F.lit(whole["value"]))
+    names = F.array(*[F.lit(" and ".join(drivers[:size])) for size in range(len(drivers) + 1)])
+    level = F.coalesce(level, F.lit(0))
+    reason = F.concat(
+        F.lit(how),
+        F.when(level > 0, F.concat(F.lit(" by "), F.get(names, level))).otherwise(
+            F.lit(" of the column")
+        ),
+    )
+    return rows.where(found.isNotNull()).select(
+        "row_id",
+        F.lit(target).alias("column"),
+        found.cast("string").alias("value"),
+        reason.alias("reason"),
+        F.lit(approved).alias("approved"),
+    )
+
+
 def fills_by_function(
     records: DataFrame, choose: Callable[[pd.DataFrame], pd.DataFrame]
 ) -> DataFrame:
@@ -481,33 +586,47 @@ def impute_iterative(
     names: Iterable[str],
     predictors: Iterable[str] = (),
     rounds: int = 5,
+    log: RoundLog | None = None,
 ) -> DataFrame:
     """Fill numeric columns by linear regression on each other, in rounds.
 
     Missing cells start at the mean. In each round every column is fitted on
     all others over the rows where it was present, and its missing cells are
     predicted anew. A fit is one pass that sums all products of the columns; only
-    these sums go to the driver. Only the numeric columns are written per round.
+    these sums go to the driver. Only the numeric columns are written per round. With
+    a ``log`` every finished round is kept, and a later call with the same log goes on
+    after the last one.
     """
+
+    def store(table: DataFrame, turn: int) -> DataFrame:
+        return write_scratch(table, "rounds") if log is None else log.write(table, "rounds", turn)
+
     names = list(names)
     inputs = [*names, *[c for c in predictors if c not in names]]
-    start = one_row(
-        df, [F.avg(number(df, c)).alias(f"m{i}") for i, c in enumerate(inputs)], fields=2
-    )
-    current = write_scratch(
-        df.select(
-            column(key).alias("_key"),
-            *[
-                F.coalesce(number(df, c), F.lit(start[f"m{i}"])).alias(f"x{i}")
-                for i, c in enumerate(inputs)
-            ],
-            *[is_missing(df, c).alias(f"gap{i}") for i, c in enumerate(names)],
-        ),
-        "rounds",
-    )
+    before = log.last() if log else None
+    if before:
+        done, tables, state = before
+        current, middle = tables["rounds"], state["middle"]
+    else:
+        start = one_row(
+            df, [F.avg(number(df, c)).alias(f"m{i}") for i, c in enumerate(inputs)], fields=2
+        )
+        current = store(
+            df.select(
+                column(key).alias("_key"),
+                *[
+                    F.coalesce(number(df, c), F.lit(start[f"m{i}"])).alias(f"x{i}")
+                    for i, c in enumerate(inputs)
+                ],
+                *[is_missing(df, c).alias(f"gap{i}") for i, c in enumerate(names)],
+            ),
+            0,
+        )
+        done, middle = 0, [float(start[f"m{i}"] or 0.0) for i in range(len(inputs))]
+        if log:
+            log.finish(0, {"rounds": current}, {"middle": middle})
     stored = current
-    middle = [float(start[f"m{i}"] or 0.0) for i in range(len(inputs))]
-    for _ in range(rounds):
+    for turn in range(done + 1, rounds + 1):
         for i in range(len(names)):
             others = [j for j in range(len(inputs)) if j != i]
             slopes, base = _regression(current.where(~F.col(f"gap{i}")), i, others, middle)
@@ -517,8 +636,11 @@ def impute_iterative(
             current = current.withColumn(
                 f"x{i}", F.when(F.col(f"gap{i}"), predicted).otherwise(F.col(f"x{i}"))
             )
-        before, current = stored, write_scratch(current, "rounds")
-        drop_table(before)
+        earlier, current = stored, store(current, turn)
+        if log:  # which deletes the table of the last round
+            log.finish(turn, {"rounds": current}, {"middle": middle})
+        else:
+            drop_table(earlier)
         stored = current
     filled = current.select(
         "_key", *[F.col(f"x{i}").alias(f"_x{i}") for i in range(len(names))]

@@ -24,6 +24,8 @@ SIGNIFICANT = 0.05
 LEAST_SAMPLE = 3
 # Buffer fields that the widest aggregate needs for one target.
 FIELDS_PER_TARGET = 9
+#: Targets whose gaps fit one whole number.
+PATTERN_BITS = 62
 
 # The columns of the report.
 PROFILE_SCHEMA = (
@@ -112,14 +114,25 @@ def missingness_profile(
     chi-squared or U of the missing rows.
 
     All targets and columns share one table of value counts, which is combined
-    before its shuffle; the ranks come from one sort of the distinct values.
+    before its shuffle; the ranks come from one sort of the distinct values. With many
+    targets the values are counted once for every combination of missing targets, and these
+    counts are added up for some targets at a time: the table itself is read once.
     """
     targets = columns_with_gaps(df, exclude) if targets is None else list(targets)
     others = scalar_columns(df)
     spark = df.sparkSession
+    groups = list(chunks(targets, FIELDS_PER_TARGET))
+    if len(groups) > 1:
+        patterns = write_scratch(
+            value_frequencies(df, others, by=missing_patterns(df, targets)), "patterns"
+        )
+        counts = [_per_pattern(patterns, targets, some) for some in groups]
+    else:
+        flags = [{f"m{i}": is_missing(df, t) for i, t in enumerate(some)} for some in groups]
+        counts = [value_frequencies(df, others, some) for some in flags]
     parts = [
-        _profile_targets(df, some, others, slices)
-        for some in chunks(targets, FIELDS_PER_TARGET)
+        _profile_targets(df, write_scratch(freq, "values"), some, slices)
+        for freq, some in zip(counts, groups, strict=True)
     ]
     if not parts:
         return _with_significance(spark.createDataFrame([], PROFILE_SCHEMA))
@@ -135,11 +148,32 @@ def _with_significance(report: DataFrame) -> DataFrame:
     )
 
 
+def missing_patterns(df: DataFrame, targets: list[str]) -> dict[str, Column]:
+    """Which targets a row lacks, as the bits of whole numbers."""
+    patterns = {}
+    for at in range(0, len(targets), PATTERN_BITS):
+        bits = F.lit(0).cast("bigint")
+        for i, target in enumerate(targets[at : at + PATTERN_BITS]):
+            bit = F.lit(1 << i).cast("bigint")
+            bits = bits + F.when(is_missing(df, target), bit).otherwise(F.lit(0).cast("bigint"))
+        patterns[f"_pattern{at // PATTERN_BITS}"] = bits
+    return patterns
+
+
+def _per_pattern(patterns: DataFrame, targets: list[str], some: list[str]) -> DataFrame:
+    """The counts for some of the targets, from those for every pattern."""
+    sums = []
+    for i, target in enumerate(some):
+        word, bit = divmod(targets.index(target), PATTERN_BITS)
+        missing = F.col(f"_pattern{word}").bitwiseAND(F.lit(1 << bit).cast("bigint")) != 0
+        sums.append(F.sum(F.when(missing, F.col("n")).otherwise(F.lit(0))).alias(f"m{i}"))
+    return patterns.groupBy("column", "value", "number").agg(F.sum("n").alias("n"), *sums)
+
+
 def _profile_targets(
-    df: DataFrame, targets: list[str], others: list[str], slices: int | None
+    df: DataFrame, freq: DataFrame, targets: list[str], slices: int | None
 ) -> DataFrame:
-    flags = {f"m{i}": is_missing(df, t) for i, t in enumerate(targets)}
-    freq = write_scratch(value_frequencies(df, others, flags), "values")
+    flags = [f"m{i}" for i in range(len(targets))]
     # Column facts: as many rows as the table has columns.
     totals = freq.groupBy("column").agg(
         F.sum("n").alias("total"),

@@ -10,13 +10,19 @@ from tidewash.functions.columns import (
     chunks,
     column,
     column_kinds,
+    is_numeric,
     number,
     numeric_columns,
     one_row,
     scalar_columns,
     text_columns,
 )
-from tidewash.functions.frequencies import column_totals, distinct_counts, value_frequencies
+from tidewash.functions.frequencies import (
+    as_text,
+    column_totals,
+    distinct_counts,
+    value_frequencies,
+)
 from tidewash.functions.quantiles import exact_quantiles
 from tidewash.operators.clean import count_duplicates, percent
 
@@ -232,6 +238,82 @@ def numeric_stats(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     )
 
 
+#: Size of a quantile sketch, and the rank that its quantiles are off by at most (in 99 of 100).
+SKETCH_SIZE, RANK_ERROR = 800, 0.01
+#: Bits of a sketch of distinct values, and the share that its count is off by at most.
+DISTINCT_BITS, DISTINCT_ERROR = 12, 0.05
+
+
+def sketch_profile(
+    df: DataFrame, names: Iterable[str] | None = None, by: str | None = None
+) -> DataFrame:
+    """``[part,] column, n, low, high, quantiles, distinct``: sketches of each column in one scan.
+
+    The last two are sketches as binary values (``quantiles`` of numeric columns only). They
+    stay small whatever the size of the table, and those of parts of a table (``by``, or
+    tables of different days) add up by :func:`merge_sketches` without another scan.
+    """
+    names = scalar_columns(df) if names is None else list(names)
+    rows = []
+    for name in names:
+        numeric = is_numeric(df.schema[name].dataType)
+        none = F.lit(None)
+        value = number(df, name) if numeric else None
+        seen = as_text(df, name)
+        rows.append(
+            F.struct(
+                F.lit(name).alias("column"),
+                F.count(seen).alias("n"),
+                (F.min(value) if numeric else none.cast("double")).alias("low"),
+                (F.max(value) if numeric else none.cast("double")).alias("high"),
+                (
+                    F.kll_sketch_agg_double(value, SKETCH_SIZE)
+                    if numeric
+                    else none.cast("binary")
+                ).alias("quantiles"),
+                F.hll_sketch_agg(seen, DISTINCT_BITS).alias("distinct"),
+            )
+        )
+    parts = [] if by is None else [column(by).alias("part")]
+    found = df.groupBy(*parts).agg(F.array(*rows).alias("rows"))
+    return found.select(*(["part"] if parts else []), F.inline("rows"))
+
+
+def merge_sketches(sketches: DataFrame) -> DataFrame:
+    """``column, n, low, high, quantiles, distinct`` of all parts together."""
+    return sketches.groupBy("column").agg(
+        F.sum("n").alias("n"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        F.when(F.count("low") > 0, F.kll_merge_agg_double("quantiles")).alias("quantiles"),
+        F.hll_union_agg("distinct").alias("distinct"),
+    )
+
+
+def sketch_report(
+    sketches: DataFrame, probabilities: Iterable[float] = (0.25, 0.5, 0.75)
+) -> DataFrame:
+    """``column, n, low, high, num_unique`` and a column ``q<percent>`` per probability.
+
+    A quantile's rank is off by :data:`RANK_ERROR` and ``num_unique`` by
+    :data:`DISTINCT_ERROR` of itself, as a rule less.
+    """
+    return sketches.select(
+        "column",
+        "n",
+        "low",
+        "high",
+        F.hll_sketch_estimate("distinct").alias("num_unique"),
+        *[
+            F.when(
+                F.col("low").isNotNull(),
+                F.kll_sketch_get_quantile_double("quantiles", F.lit(float(p))),
+            ).alias(f"q{p * 100:g}".replace(".", "_"))
+            for p in probabilities
+        ],
+    )
+
+
 def column_profile(df: DataFrame) -> DataFrame:
     """One row per column with counts, range, shape, quartiles and top value."""
     kinds = column_kinds(df)

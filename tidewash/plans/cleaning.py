@@ -16,13 +16,19 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewash.functions.branches import run_branches
 from tidewash.functions.columns import numeric_columns
 from tidewash.functions.scratch import write_scratch
 from tidewash.operators import clean as cleaning
 from tidewash.operators.correlation import pearson_matrix
 from tidewash.operators.decisions import apply_decisions, beyond, decide_by_rule
-from tidewash.operators.density import numeric_outlier_report
-from tidewash.operators.impute import apply_fills, neighbour_fills
+from tidewash.operators.density import numeric_outlier_report, with_density
+from tidewash.operators.impute import (
+    apply_fills,
+    driver_fills,
+    neighbour_fills,
+    strongest_drivers,
+)
 from tidewash.operators.label import (
     distinct_atomic_values,
     label_by_rules,
@@ -169,6 +175,7 @@ def treat_outliers(
     action: str = "remove",
     reviewed: DataFrame | None = None,
     run: Run | None = None,
+    density: bool = False,
 ) -> Outcome:
     """Find outliers column by column, and remove or cap what is decided and approved.
 
@@ -177,6 +184,8 @@ def treat_outliers(
     approval: the proposals are in the report ``decisions``, the data stays.
     ``reviewed`` is that table with the reviewer's approvals (and changes) and takes
     the place of both. Fences of a column come from what the columns before it left.
+    With ``density`` records also have their ``cluster`` and whether they are ``noise``, for
+    ``decide`` and ``rule``.
     """
     names = (
         [c for c in numeric_columns(df) if c != key] if names is None else list(names)
@@ -191,6 +200,8 @@ def treat_outliers(
         decided = _reviewed(reviewed, name)
         if decided is None:
             records = outlier_records(current, name, key)
+            if density:
+                records = with_density(records, current, name)
             decided = (
                 decide(records)
                 if decide
@@ -228,6 +239,23 @@ def closest_fills(key: str, approved: bool = False) -> Callable[[DataFrame, str]
     return fills
 
 
+def driven_fills(
+    key: str, exclude: Iterable[str] = (), most: int = 2, approved: bool = False
+) -> Callable[[DataFrame, str], DataFrame]:
+    """Fills from the rows that agree in the columns that best explain the gap."""
+    skip = {key, *exclude}
+
+    def fills(table: DataFrame, name: str) -> DataFrame:
+        seen = table.drop(*[c for c in skip if c != name])
+        drivers = strongest_drivers(
+            missingness_drivers(missingness_profile(seen, [name])), name, most
+        )
+        how = "mean" if name in numeric_columns(table) else "mode"
+        return driver_fills(table, name, key, drivers, how, approved)
+
+    return fills
+
+
 def impute_table(
     df: DataFrame,
     key: str,
@@ -286,9 +314,13 @@ def merge_categories(
     """
     names = reviewed_candidate_columns(df) if names is None else list(names)
     merge_map, step = reviewed, "merge_map" if reviewed is None else "reviewed_merge_map"
-    for name in names if reviewed is None else ():
-        one = suggest(df, name)
-        merge_map = one if merge_map is None else merge_map.unionByName(one)
+    if reviewed is None:
+        # Columns have nothing to do with each other, so their jobs run at the same time.
+        suggested = run_branches(
+            df.sparkSession, {name: lambda name=name: suggest(df, name) for name in names}
+        )
+        for one in suggested.values():
+            merge_map = one if merge_map is None else merge_map.unionByName(one)
     if merge_map is None:
         return Outcome(df)
     decided = review(merge_map) if review and reviewed is None else merge_map
@@ -355,26 +387,34 @@ def full_cleaning(
     reports = Reports()
     reports.include(first.reports, "clean_")
     numbers = [c for c in numeric_columns(base) if c != key]
-    merge_names = (
-        [c for c in reviewed_candidate_columns(base) if c != key]
-        if merge_names is None
-        else list(merge_names)
-    )
-    reports.add("outlier_report", lambda: numeric_outlier_report(base, numbers))
-    reports.add("categorical_report", lambda: dominant_values(base, merge_names))
     step = "" if reviewed is None else "reviewed_"
-    proposed = known.rare
-    if proposed is None:
-        proposed = rare_categories(base, merge_names, rare_below).withColumn(
-            "approved", F.lit(False)
+
+    def categories() -> tuple[list[str], DataFrame, Outcome]:
+        names = (
+            [c for c in reviewed_candidate_columns(base) if c != key]
+            if merge_names is None
+            else list(merge_names)
+        )
+        proposed = known.rare
+        if proposed is None:
+            proposed = rare_categories(base, names, rare_below).withColumn(
+                "approved", F.lit(False)
+            )
+        rare = _stored(proposed, run, f"{step}rare")
+        # Suggestions come from the cleaned table; they are applied to what is left of it.
+        return names, rare, merge_categories(base, names, suggest, review, known.merge_map, run)
+
+    def outliers() -> Outcome:
+        return treat_outliers(
+            base, key, outlier_names, decide, action=action, reviewed=known.decisions, run=run
         )
-    rare = _stored(proposed, run, f"{step}rare")
+
+    # Both look at the cleaned table only, so they run at the same time.
+    found = run_branches(df.sparkSession, {"outliers": outliers, "categories": categories})
+    treated, (merge_names, rare, merges) = found["outliers"], found["categories"]
+    reports.add("outlier_report", lambda: numeric_outlier_report(base, numbers))
+    reports.add("categorical_report", lambda: dominant_values(base, merge_names))
     reports.add("rare", lambda: rare)
-    # Suggestions come from the cleaned table; they are applied to what is left of it.
-    merges = merge_categories(base, merge_names, suggest, review, known.merge_map, run)
-    treated = treat_outliers(
-        base, key, outlier_names, decide, action=action, reviewed=known.decisions, run=run
-    )
     merged = treated.data
     if "merge_map" in merges.reports:
         merged = apply_merge_map(merged, merges.reports["merge_map"], merge_names)
