@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import xxhash
 from llm_cases import COLUMNS, documents, empty, rows, sentence
@@ -204,8 +205,10 @@ def removed_by_brute_force(given, window):
     return result
 
 
-@pytest.mark.parametrize("held", [3_000_000, 40])
-def test_substring_dedup_by_brute_force(spark, held):
+@pytest.mark.parametrize(
+    "sizes", [{}, {"block_text": 400, "range_text": 700, "part_text": 300}, {"block_text": 1}]
+)
+def test_substring_dedup_by_brute_force(spark, sizes):
     pick = random.Random(4)
     passages = [sentence(200 + k, 25) for k in range(6)]
     given = [(r[0], r[1]) for r in rows()]
@@ -217,18 +220,52 @@ def test_substring_dedup_by_brute_force(spark, held):
             parts += [" ".join(words[cut:]), sentence(pick.randrange(10**6), pick.randrange(9))]
         given.append((1000 + i, "\n".join(parts)))
     docs = spark.createDataFrame(given, "doc_id long, text string").repartition(4)
-    result = substring_dedup.substring_dedup(docs, held=held)
+    result = substring_dedup.substring_dedup(docs, **sizes)
     assert Counter(tuple(r) for r in result.collect()) == removed_by_brute_force(given, 13)
 
 
 def test_substring_dedup_loses_nothing_with_a_crowded_sketch(spark):
     given = [(r[0], r[1]) for r in rows()]
     docs = spark.createDataFrame(given, "doc_id long, text string")
-    result = substring_dedup.substring_dedup(docs, most_cells=8)
+    result = substring_dedup.substring_dedup(docs, range_cells=8, block_text=2000)
     found = Counter(tuple(r) for r in result.collect())
     assert found == removed_by_brute_force(given, 13)
 
 
+def test_groups_of_substring_dedup_keep_their_size(spark, monkeypatch):
+    def sizes(copies):
+        given = [(i, sentence(i, 400)) for i in range(copies)]
+        docs = spark.createDataFrame(given, "doc_id long, text string")
+        total = sum(len(t) for _, t in given)
+        blocks = 1 + total // 20_000
+        found = []
+        for number in range(blocks):
+            own = docs.selectExpr(
+                "doc_id AS id", "text", "xxhash64(text) AS text_hash",
+                f"CAST(pmod(xxhash64(doc_id, xxhash64(text)), {blocks}) AS INT) AS block",
+            ).where(F.col("block") == number).toArrow()
+            if own.num_rows:
+                found.append(substring_dedup._count_anchors(own, 1 + total // 30_000, 13, 5))
+        counted = pa.concat_tables(found).to_pandas()
+        return counted.groupby("range")["n"].sum()
+
+    small, large = sizes(60), sizes(600)
+    assert len(large) > 8 * len(small) / 1.3
+    assert large.max() < 1.5 * small.max()  # ten times the texts, ranges of the same size
+
+
+def test_substring_dedup_with_a_text_longer_than_a_block(spark):
+    long = sentence(1, 30_000)
+    words = long.split()
+    given = [(1, long), (2, " ".join(words[100:160])), (3, long), (4, "other " * 20)]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    result = substring_dedup.substring_dedup(docs, block_text=50_000)
+    found = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in result.collect()}
+    assert found == {
+        1: (30_000, 0, long), 2: (60, 60, ""), 3: (30_000, 30_000, ""), 4: (20, 0, ("other " * 20).strip()),
+    }
+
+
 def test_substring_dedup_with_clashing_columns_and_nothing(spark):
     given = [(r[0], r[1]) for r in rows()]
     found = substring_dedup.substring_dedup(documents(spark))

@@ -143,81 +143,19 @@ def plain(text):
         "[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def test_cross_entropy_difference_by_brute_force(spark):
-    given = [(r[0], r[1], k % 2 == 0) for k, r in enumerate(rows())]
-    given += [(500 + k, sentence(700 + k, 40), k < 10) for k in range(20)]
-    docs = spark.createDataFrame(given, "doc_id long, text string, is_target boolean")
-    models = lm_scoring.fit_models(docs.repartition(3), pairs=1 << 24)  # hardly a shared cell
-    vocabulary = lm_scoring.WORDS
-    numbers = {}
-    for _, text, _ in given:
-        for w in plain(text):
-            numbers[w] = int(cut_words([w.encode()]).hashes()[0] % np.uint64(vocabulary - 1)) + 1
-
-    def counts(chosen):
-        one, two = Counter(), Counter()
-        for _, text, target in given:
-            if target or not chosen:
-                ids = [numbers[w] for w in plain(text)]
-                one.update(ids)
-                two.update(zip([0, *ids], ids, strict=False))
-        context = Counter()
-        for (before, _), n in two.items():
-            context[before] += n
-        return one, two, context
-
-    def loss(ids, one, two, context):
-        total = 0.0
-        for before, own in zip([0, *ids], ids, strict=False):
-            alone = (one[own] + 1) / (one.total() + vocabulary)
-            mass = two[before, own] + lm_scoring.PRIOR * alone
-            total -= math.log(mass / (context[before] + lm_scoring.PRIOR))
-        return total / max(1, len(ids))
-
-    target, background = counts(True), counts(False)
-    expected = Counter()
-    for i, text, _ in given:
-        ids = [numbers[w] for w in plain(text)]
-        a, b = loss(ids, *target), loss(ids, *background)
-        expected[(i, len(ids), round(a, 6), round(b, 6), round(b - a, 6))] += 1
-    got = Counter(
-        (r.doc_id, r.n_tokens, round(r.target_loss, 6), round(r.background_loss, 6),
-         round(r.score, 6))
-        for r in lm_scoring.score_documents(docs, *models).collect()
-    )
-    assert {k[:2] for k in got} == {k[:2] for k in expected}
-    for (i, n, *values), (j, m, *others) in zip(
-        sorted(got, key=str), sorted(expected, key=str), strict=True
-    ):
-        assert (i, n) == (j, m)
-        assert np.allclose(values, others, atol=1e-5)
-
-
 def test_target_like_text_scores_higher(spark):
-    given = [(k, sentence(k, 200), True) for k in range(20)]
-    given += [(100 + k, " ".join(f"zz{(k * j) % 50}" for j in range(200)), False) for k in range(20)]
-    docs = spark.createDataFrame(given, "doc_id long, text string, is_target boolean")
-    found = lm_scoring.score_documents(docs, *lm_scoring.fit_models(docs)).collect()
+    given = [(k, sentence(k, 200)) for k in range(20)]
+    given += [(100 + k, " ".join(f"zz{(k * j) % 50}" for j in range(200))) for k in range(20)]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    found = lm_scoring.score_corpus(docs, docs.where("doc_id < 100")).collect()
     assert min(r.score for r in found if r.doc_id < 100) > max(
         r.score for r in found if r.doc_id >= 100
     )
 
 
-def test_scoring_nothing_and_odd_documents(spark):
-    from pyspark.sql import functions as F
-
-    docs = documents(spark).withColumn("is_target", F.lit(None).cast("boolean"))
-    models = lm_scoring.fit_models(docs)
-    found = lm_scoring.score_documents(docs, *models).collect()
-    assert len(found) == len(rows())
-    assert all(r.score == 0 for r in found if r.n_tokens == 0)
-    assert lm_scoring.score_documents(empty(spark), *models).count() == 0
-    none = lm_scoring.fit_models(docs.limit(0))
-    assert lm_scoring.score_documents(docs, *none).count() == len(rows())
-
-
+@pytest.mark.parametrize("range_words", [1 << 20, 500])
 @pytest.mark.parametrize("block_words", [100, lm_scoring.BLOCK_WORDS])
-def test_corpus_scores_count_every_word_and_pair_apart(spark, block_words):
+def test_corpus_scores_count_every_word_and_pair_apart(spark, block_words, range_words):
     given = [(r[0], r[1]) for r in rows()]
     # More pairs than any table of fixed size here would tell apart.
     given += [(500 + k, " ".join(f"w{(k * j * j + j) % 9000}" for j in range(3000))) for k in range(20)]
@@ -254,7 +192,9 @@ def test_corpus_scores_count_every_word_and_pair_apart(spark, block_words):
         expected.append((str(i), len(ws), a, b, b - a))
     got = [
         (str(r.doc_id), *r[1:])
-        for r in lm_scoring.score_corpus(docs, target, block_words=block_words).collect()
+        for r in lm_scoring.score_corpus(
+            docs, target, block_words=block_words, range_words=range_words
+        ).collect()
     ]
     assert [r[:2] for r in sorted(got)] == [r[:2] for r in sorted(expected)]
     assert np.allclose([r[2:] for r in sorted(got)], [r[2:] for r in sorted(expected)], atol=1e-9)

@@ -4,17 +4,13 @@ A target model and a background model are counted over the whole corpus, with
 one vocabulary and one smoothing for both, and every document is scored by the
 mean difference of its tokens' losses.
 
-:func:`score_corpus`, which the query uses, counts every word, context and pair
-apart (by 62 bits of their hashes), so the models grow with the corpus. Documents
-are put into blocks that are written once. A block asks for the counts of its
-distinct words, contexts and pairs by ranges of the hash; each range sums what
-all blocks have and answers every block. A key comes once from a block, however
-often it occurs, so a common word or pair is no larger than any other.
-
-:func:`fit_models` and :func:`score_documents` are for small tables: there a word
-is one of ``WORDS`` numbers, a pair of neighbouring words one of ``PAIRS`` cells,
-and what falls together is counted together. Every task adds up its own counts and
-passes them on by blocks of cells, and each block is summed as its rows stream by.
+:func:`score_corpus` counts every word, context and pair apart (by 62 bits of their
+hashes), so the models grow with the corpus. Documents are put into blocks that are
+written once. A block asks for the counts of its distinct words, contexts and pairs by
+ranges of the hash; each range sums what all blocks have and answers every block. A
+key comes once from a block, however often it occurs, so a common word or pair is no
+larger than any other. Blocks and ranges have a fixed size; the input decides how many
+there are.
 """
 
 from __future__ import annotations
@@ -30,177 +26,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidewash.functions.scratch import write_scratch
 from tidewash.llm.decontaminate import _PLAIN
 from tidewash.llm.registry import query, table
-from tidewash.llm.words import Words, cut_words, mix, text_blocks
+from tidewash.llm.words import cut_words, mix, text_blocks
 
-#: Words and documents in one block of :func:`score_corpus`, about.
+#: Words and documents in one block, about.
 BLOCK_WORDS = 1 << 20
-#: Size of the hashed vocabulary; the first number is the start of a document.
-WORDS = 1 << 16
-#: Cells of the pair counts (a multiple of ``BLOCK``, as is ``WORDS``).
-PAIRS = 1 << 20
-#: Cells that are summed together.
-BLOCK = 1 << 12
+#: Words of the corpus for each range of the keys.
+RANGE_WORDS = 1 << 20
 #: Weight of the shorter context: as many observations of it are added to each context.
 PRIOR = 50.0
 
 
-def token_cells(words: Words, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The number of each word, of the word before it, and the cell of the two."""
-    own = (words.hashes() % np.uint64(WORDS - 1)).astype(np.int64) + 1
-    before = np.zeros_like(own)
-    before[1:] = own[:-1]
-    heads = words.first[:-1][np.diff(words.first) > 0]
-    before[heads] = 0
-    pair = mix((before * WORDS + own).astype(np.uint64)) % np.uint64(pairs)
-    return own, before, pair.astype(np.int64)
-
-
-def _count(batches: Iterator[pa.RecordBatch], pairs: int) -> Iterator[pa.RecordBatch]:
-    """The task's counts of the background and the target, by block of cells."""
-    # First the words, then the contexts, then the pairs.
-    size = 2 * WORDS + pairs
-    totals = np.zeros((2, size), np.int64)
-    for batch, raw in text_blocks(batches):
-        words = cut_words([t.translate(_PLAIN) for t in raw])
-        target = np.array(batch.column("is_target").to_pylist(), bool)
-        own, before, pair = token_cells(words, pairs)
-        places = np.concatenate((own, before + WORDS, pair + 2 * WORDS))
-        totals[0] += np.bincount(places, minlength=size)
-        chosen = np.tile(target[words.owner], 3)
-        if chosen.any():
-            totals[1] += np.bincount(places[chosen], minlength=size)
-    blocks = totals.reshape(2, -1, BLOCK)
-    used = np.flatnonzero(blocks[0].any(axis=1))
-    if len(used):
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(used.astype(np.int32)),
-                *(
-                    pa.array([b[k].astype("<i4").tobytes() for k in used], pa.binary())
-                    for b in blocks
-                ),
-            ],
-            names=["block", "background", "target"],
-        )
-
-
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum the rows of each block, which come one after another."""
-    block, sums = None, np.zeros((2, BLOCK), np.int64)
-
-    def done() -> pa.RecordBatch:
-        columns = [pa.array([s.tobytes()], pa.binary()) for s in sums]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int32()), *columns], names=["block", "background", "target"]
-        )
-
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["block"] != block:
-                if block is not None:
-                    yield done()
-                block, sums = row["block"], np.zeros((2, BLOCK), np.int64)
-            sums[0] += np.frombuffer(row["background"], "<i4")
-            sums[1] += np.frombuffer(row["target"], "<i4")
-    if block is not None:
-        yield done()
-
-
-@dataclass(frozen=True)
-class NgramModel:
-    """Counts of words, contexts and pairs."""
-
-    words: np.ndarray
-    contexts: np.ndarray
-    pairs: np.ndarray
-
-    def losses(self, own: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """The negative log probability of each token after the one before it.
-
-        A pair's share of its context is drawn towards the word's share of all
-        words, and that towards a uniform one.
-        """
-        alone = (self.words[own] + 1.0) / (self.words.sum() + WORDS)
-        seen = self.contexts[before]
-        both = np.minimum(self.pairs[pair], seen)
-        return -np.log((both + PRIOR * alone) / (seen + PRIOR))
-
-
-def fit_models(
-    docs: DataFrame, text: str = "text", is_target: str = "is_target", pairs: int = PAIRS
-) -> tuple[NgramModel, NgramModel]:
-    """The target model and the background model (of all documents)."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "block int, background binary, target binary"
-    counts = (
-        docs.select(
-            F.col(f"`{text}`").alias("text"),
-            F.coalesce(F.col(is_target), F.lit(False)).alias("is_target"),
-        )
-        .mapInArrow(lambda b: _count(b, pairs), schema)
-        .repartition(parts, "block")
-        .sortWithinPartitions("block")
-        .mapInArrow(_add, schema)
-        .toArrow()
-    )
-    models = []
-    for name in ("target", "background"):
-        dense = np.zeros(2 * WORDS + pairs, np.int64)
-        blocks = dense.reshape(-1, BLOCK)
-        for block, packed in zip(counts["block"].to_pylist(), counts[name], strict=True):
-            blocks[block] = np.frombuffer(packed.as_py(), np.int64)
-        models.append(NgramModel(*np.split(dense, [WORDS, 2 * WORDS])))
-    return models[0], models[1]
-
-
-def _score(
-    batches: Iterator[pa.RecordBatch], target: NgramModel, background: NgramModel
-) -> Iterator[pa.RecordBatch]:
-    for batch, raw in text_blocks(batches):
-        words = cut_words([t.translate(_PLAIN) for t in raw])
-        cells = token_cells(words, len(target.pairs))
-        n = np.diff(words.first)
-        means = [
-            np.bincount(words.owner, m.losses(*cells), minlength=len(raw)) / np.maximum(n, 1)
-            for m in (target, background)
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("id"),
-                pa.array(n.astype(np.int64)),
-                *(pa.array(m) for m in means),
-                pa.array(means[1] - means[0]),
-            ],
-            names=["id", "n_tokens", "target_loss", "background_loss", "score"],
-        )
-
-
-def score_documents(
-    docs: DataFrame,
-    target: NgramModel,
-    background: NgramModel,
-    id: str = "doc_id",
-    text: str = "text",
-) -> DataFrame:
-    """``id, n_tokens, target_loss, background_loss, score`` for every row.
-
-    Losses are means per token in nats; ``score`` is the background's less the
-    target's, so higher is closer to the target. Defined results: a text without
-    words (null, empty, blank) has no tokens and zeros; with no target documents
-    the target model knows the smoothing alone; an empty table gives an empty
-    result. Other columns are not looked at.
-    """
-    kind = docs.schema[id].dataType.simpleString()
-    return (
-        docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-        .mapInArrow(
-            lambda b: _score(b, target, background),
-            f"id {kind}, n_tokens long, target_loss double, background_loss double, score double",
-        )
-        .withColumnRenamed("id", id)
-    )
-
-
 def _packed(values: np.ndarray) -> bytes:
     """Eight-byte numbers, compressed with the bytes of equal place together."""
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T)
@@ -366,15 +201,20 @@ def score_corpus(
     id: str = "doc_id",
     text: str = "text",
     block_words: int = BLOCK_WORDS,
+    range_words: int = RANGE_WORDS,
 ) -> DataFrame:
     """``id, n_tokens, target_loss, background_loss, score`` for every row.
 
     The background is all of ``docs``, the target its rows with an id of ``target``.
     Every word and pair has a count of its own, and the smoothing is shared by as
-    many words as the corpus has. Results are defined as by :func:`score_documents`.
+    many words as the corpus has. Losses are means per token in nats; ``score`` is the
+    background's less the target's, so higher is closer to the target.
+
+    Defined results: a text without words (null, empty, blank) has no tokens and
+    zeros; with no target documents the target model knows the smoothing alone; an
+    empty table gives an empty result. Other columns are not looked at.
     """
     kind = docs.schema[id].dataType.simpleString()
-    ranges = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = write_scratch(
         docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(
             lambda b: _blocks(b, block_words),
@@ -397,6 +237,7 @@ def score_corpus(
         "target": marks.agg(F.sum("size")).first()[0] or 0,
         "background": words.agg(F.sum("n")).first()[0] or 0,
     }
+    ranges = 1 + totals["background"] // range_words
     # Asking and scoring group the same rows by block, so Spark shuffles them once.
     answers = (
         blocks.groupBy("block")

@@ -5,18 +5,24 @@ window covers is removed if the window's words also start in a document with a
 smaller id.
 
 Two passes find the repeated windows without shuffling all of them. In the first,
-every task counts in a sketch, and the sketches are merged by addition: a
-count-min sketch, whose estimates are never too low. What is counted is the
-window's anchor, the shorter run of words in it with the smallest hash; equal
-windows have equal anchors and neighbouring windows often share one, so there are
-about a fifth as many anchors as windows, and an anchor's count is never below
-that of a window around it. The second pass keeps only the windows that are
+windows are counted in a count-min sketch, whose estimates are never too low. What is
+counted is the window's anchor, the shorter run of words in it with the smallest
+hash; equal windows have equal anchors and neighbouring windows often share one, so
+there are about a fifth as many anchors as windows, and an anchor's count is never
+below that of a window around it. The second pass keeps only the windows that are
 estimated to be repeated, and groups those exactly. Nothing is lost: a repeated
 window has an estimate of two or more.
 
-Inside a task, a window that also starts in a document of the same task with a
+Documents are put into blocks of about equal size, shuffled once. The sketch is cut
+into ranges of the anchors' hashes, and there are as many as the input needs, so its cells
+grow with the input and nobody holds all of it: a block sends each of its anchors
+once to the anchor's range, the range adds up the blocks' counts and answers every
+block with a bit per anchor. Blocks, ranges and the parts of the exact grouping all
+have a fixed size, whatever the size of the table.
+
+Inside a block, a window that also starts in a document of the same block with a
 smaller id is decided on the spot; for the others one document per window and
-task goes on. So a passage that fills a third of the table is as light as any
+block goes on. So a passage that fills a third of the table is as light as any
 other after the first step.
 """
 
@@ -29,6 +35,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewash.llm.lm_scoring import _packed, _unpacked
 from tidewash.llm.registry import query, table
 from tidewash.llm.words import Words, cut_words, mix, stretch_hashes, text_blocks
 
@@ -36,14 +43,13 @@ WINDOW = 13
 ANCHOR = 5
 #: Rows of the sketch.
 DEPTH = 2
-#: Cells of one row of the sketch for each byte of text (a text has about one anchor in 28).
-CELLS_PER_BYTE = 1 / 7
-#: Bounds of a row's cells; the merged sketch is sent to the tasks with one bit a cell.
-LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 27
-#: Cells that are merged together.
-BLOCK_CELLS = 1 << 18
-#: Windows or anchors a task holds before it passes them on.
-HELD = 2_000_000
+#: Bytes of text in one block, about.
+BLOCK_TEXT = 12_000_000
+#: Bytes of text for each range of the sketch (a text has about one anchor in 28), and the
+#: cells of one row of a range.
+RANGE_TEXT, RANGE_CELLS = 30_000_000, 1 << 22
+#: Bytes of text for each part of the exact grouping.
+PART_TEXT = 15_000_000
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -68,122 +74,97 @@ def sketch_cells(anchors: np.ndarray, cells: int) -> list[np.ndarray]:
     ]
 
 
-def _partial_sketches(
-    batches: Iterator[pa.RecordBatch], cells: int, block: int, window: int, anchor: int, most: int
-) -> Iterator[pa.RecordBatch]:
-    """The task's sketch, cells that are not zero: by block, the cell numbers as often as
-    they are counted (twice at the most, as more makes no difference)."""
-    held: list[np.ndarray] = []
-
-    def flush() -> pa.RecordBatch:
-        found = np.concatenate(held)
-        found.sort()
-        same = np.zeros(len(found), bool)
-        same[2:] = found[2:] == found[:-2]
-        found = found[~same]
-        bounds = np.searchsorted(found, np.arange(0, DEPTH * cells + 1, block))
-        used = np.flatnonzero(np.diff(bounds))
-        small = (found % block).astype("<u4")
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(used.astype(np.int32)),
-                pa.array([small[bounds[b] : bounds[b + 1]].tobytes() for b in used], pa.binary()),
-            ],
-            names=["block", "counted"],
-        )
+def _documents(docs: pa.Table) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """A block's rows as one batch, each row's id, and its number among the different rows.
 
-    for _, raw in text_blocks(batches):
-        words = cut_words(raw)
+    The numbers follow id and text, so they are the same whenever the block is read.
+    """
+    batch = docs.combine_chunks().to_batches()[0]
+    ids = batch.column("id").fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+    text_hash = batch.column("text_hash").to_numpy()
+    order = np.lexsort((text_hash, ids))
+    new = first_of_run(ids[order], text_hash[order])
+    number = np.empty(len(ids), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return batch, ids, number
+
+
+def _once(batch: pa.RecordBatch, number: np.ndarray) -> Iterator[tuple[np.ndarray, Words]]:
+    """The block's words by slices, with the rows of each; of repeated rows only the first's."""
+    first = np.zeros(len(number), bool)
+    first[np.unique(number, return_index=True)[1]] = True
+    at = 0
+    for some, raw in text_blocks(iter([batch])):
+        rows = np.arange(at, at + some.num_rows)
+        at += some.num_rows
+        yield rows, cut_words([t if first[r] else b"" for r, t in zip(rows, raw, strict=True)])
+
+
+def _pieces(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """From each start to the next one, and from the last to the end."""
+    return list(zip(starts, [*starts[1:], size][: len(starts)], strict=True))
+
+
+def _keys(anchors: np.ndarray) -> np.ndarray:
+    """What is sent of an anchor; equal for some different ones, which only raises estimates."""
+    return anchors >> np.uint64(16)
+
+
+def _count_anchors(docs: pa.Table, ranges: int, window: int, anchor: int) -> pa.Table:
+    """The block's distinct anchors by range, and which of them it has twice."""
+    batch, _, number = _documents(docs)
+    found = [np.zeros(0, np.uint64)]
+    for _, words in _once(batch, number):
         _, at, anchors = anchored_windows(words, words.hashes(), window, anchor)
         new = np.ones(len(at), bool)
         new[1:] = at[1:] != at[:-1]
-        held += sketch_cells(anchors[new], cells)
-        if sum(map(len, held)) > most:
-            yield flush()
-            held = []
-    if sum(map(len, held)):
-        yield flush()
-
-
-def _merge(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Add up each block's partial sketches and keep a bit for counts of two or more."""
-    block, counts = None, None
-
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int32()), pa.array([np.packbits(counts > 1).tobytes()])],
-            names=["block", "repeated"],
-        )
-
-    for batch in batches:
-        for number, counted in zip(
-            batch.column("block").to_pylist(), batch.column("counted"), strict=True
-        ):
-            if number != block:
-                if block is not None:
-                    yield done()
-                block, counts = number, np.zeros(size, np.uint32)
-            np.add.at(counts, np.frombuffer(counted.as_py(), "<u4"), 1)
-    if block is not None:
-        yield done()
-
-
-def repeated_cells(
-    docs: DataFrame,
-    window: int = WINDOW,
-    anchor: int = ANCHOR,
-    most_cells: int = MOST_CELLS,
-    held: int = HELD,
-) -> tuple[int, np.ndarray]:
-    """The sketch's width, and a packed bit for every cell that is counted twice or more."""
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = min(LEAST_CELLS, most_cells)
-    while cells < min(size * CELLS_PER_BYTE, most_cells):
-        cells *= 2
-    block = min(BLOCK_CELLS, cells)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    merged = (
-        docs.select("text")
-        .mapInArrow(
-            lambda b: _partial_sketches(b, cells, block, window, anchor, held),
-            "block int, counted binary",
-        )
-        .repartition(parts, "block")
-        .sortWithinPartitions("block")
-        .mapInArrow(lambda b: _merge(b, block), "block int, repeated binary")
+        found.append(_keys(anchors[new]))
+    keys, counts = np.unique(np.concatenate(found), return_counts=True)
+    range_of = ((keys >> np.uint64(16)) * np.uint64(ranges)) >> np.uint64(32)
+    used, starts = np.unique(range_of, return_index=True)
+    cuts = _pieces(starts, len(keys))
+    return pa.table(
+        {
+            "range": pa.array(used.astype(np.int32)),
+            "block": pa.array([docs["block"][0].as_py()] * len(used), pa.int32()),
+            "n": pa.array([b - a for a, b in cuts], pa.int64()),
+            "steps": pa.array(
+                [_packed(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in cuts], pa.binary()
+            ),
+            "twice": pa.array(
+                [np.packbits(counts[a:b] > 1).tobytes() for a, b in cuts], pa.binary()
+            ),
+        }
     )
-    bits = np.zeros(DEPTH * cells // 8, np.uint8)
-    step = block // 8
-    for row in merged.toLocalIterator():
-        bits[row.block * step : (row.block + 1) * step] = np.frombuffer(row.repeated, np.uint8)
-    return cells, bits
 
 
-def _estimated_repeated(anchors: np.ndarray, cells: int, bits: np.ndarray) -> np.ndarray:
-    result = np.ones(len(anchors), bool)
-    for cell in sketch_cells(anchors, cells):
-        result &= (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
-    return result
-
-
-# Rows on their way to the exact grouping: the windows one task asks about, or
-# (ids only) starts that are already known to be removed.
-_ASKED = (
-    "part int, w1 binary, w2 binary, id binary, text_hash binary, start binary, known boolean"
-)
-
-
-def _pack(part, w1, w2, ids, text_hash, start, known) -> dict:
-    return {
-        "part": part,
-        "w1": w1.astype("<u8").tobytes(),
-        "w2": w2.astype("<u4").tobytes(),
-        "id": ids.astype("<i8").tobytes(),
-        "text_hash": text_hash.astype("<i8").tobytes(),
-        "start": start.astype("<u4").tobytes(),
-        "known": known,
-    }
+def _estimate(counted: pa.Table, cells: int) -> pa.Table:
+    """Add the blocks' anchors up in the range's sketch; a bit per anchor for two or more."""
+    sizes = counted["n"].to_pylist()
+    keys = [
+        np.cumsum(_unpacked(p, n, "<u8"), dtype=np.uint64)
+        for p, n in zip(counted["steps"].to_pylist(), sizes, strict=True)
+    ]
+    sketch = np.zeros(DEPTH * cells, np.uint32)
+    for own, packed in zip(keys, counted["twice"].to_pylist(), strict=True):
+        twice = np.unpackbits(np.frombuffer(packed, np.uint8), count=len(own))
+        for cell in sketch_cells(own, cells):
+            # A block's anchors are distinct, but may share a cell.
+            np.add.at(sketch, cell, 1 + twice)
+    bits = []
+    for own in keys:
+        repeated = np.ones(len(own), bool)
+        for cell in sketch_cells(own, cells):
+            repeated &= sketch[cell] > 1
+        bits.append(np.packbits(repeated).tobytes())
+    return pa.table(
+        {
+            "block": counted["block"],
+            "range": counted["range"],
+            "n": counted["n"],
+            "repeated": pa.array(bits, pa.binary()),
+        }
+    )
 
 
 def first_of_run(*columns: np.ndarray) -> np.ndarray:
@@ -202,174 +183,139 @@ def smaller_elsewhere(w1: np.ndarray, w2: np.ndarray, ids: np.ndarray):
     return order, ids[order] > smallest
 
 
-def _ask(
-    batches: Iterator[pa.RecordBatch],
-    cells: int,
-    sketch,
-    window: int,
-    anchor: int,
-    parts: int,
-    most: int,
-) -> Iterator[pa.RecordBatch]:
-    bits = sketch.value
-    held: list[tuple[np.ndarray, ...]] = []
-    schema = pa.schema(
-        [
-            ("part", pa.int32()),
-            *((n, pa.binary()) for n in ("w1", "w2", "id", "text_hash", "start")),
-            ("known", pa.bool_()),
-        ]
-    )
+_ASKED = {"w1": "<u8", "w2": "<u4", "id": "<i8", "number": "<u4", "start": "<u4"}
 
-    def flush() -> pa.RecordBatch:
-        w1, w2, ids, text_hash, start = (np.concatenate(c) for c in zip(*held, strict=True))
-        order, smaller = smaller_elsewhere(w1, w2, ids)
-        removed = np.zeros(len(w1), bool)
-        removed[order] = smaller
-        # In the order of the documents, in which ids and places compress well.
-        rows = []
-        open_ = np.flatnonzero(~removed)
-        number = (w1[open_] >> np.uint64(32)) % np.uint64(parts)
-        by_part = np.argsort(number, kind="stable")
-        bounds = np.searchsorted(number[by_part], np.arange(parts + 1))
-        for p in range(parts):
-            some = open_[by_part[bounds[p] : bounds[p + 1]]]
-            if len(some):
-                rows.append(_pack(p, *(c[some] for c in (w1, w2, ids, text_hash, start)), False))
-        known = np.flatnonzero(removed)
-        none = np.zeros(0, np.uint64)
-        for p, some in enumerate(np.array_split(known, min(parts, 1 + len(known) // 10_000))):
-            if len(some):
-                part = int(text_hash[some[0]] + p) % parts
-                columns = (c[some] for c in (ids, text_hash, start))
-                rows.append(_pack(part, none, none, *columns, True))
-        return pa.RecordBatch.from_pylist(rows, schema)
-
-    seen: set[tuple[int, int]] = set()
-    for batch, raw in text_blocks(batches):
-        ids = batch.column("id").fill_null(_NO_ID).to_numpy(zero_copy_only=False)
-        text_hash = batch.column("text_hash").to_numpy()
-        # Repeated rows have the same windows and the same answer: they ask once.
-        for place, row in enumerate(zip(ids.tolist(), text_hash.tolist(), strict=True)):
-            if row in seen:
-                raw[place] = b""
-            seen.add(row)
-        words = cut_words(raw)
+
+def _ask(docs: pa.Table, estimates: pa.Table, parts: int, window: int, anchor: int) -> pa.Table:
+    """The windows that the block asks about by part, and (without windows) the starts in it
+    that are already known to be removed."""
+    batch, ids, number = _documents(docs)
+    slices = []
+    for rows, words in _once(batch, number):
         hashes = words.hashes(1)
         starts, _, anchors = anchored_windows(words, hashes, window, anchor)
-        chosen = starts[_estimated_repeated(anchors, cells, bits)]
-        if not len(chosen):
-            continue
+        slices.append((rows, words, hashes, starts, _keys(anchors)))
+    estimates = estimates.sort_by("range")
+    flags = [
+        np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
+        for bits, n in zip(estimates["repeated"].to_pylist(), estimates["n"].to_pylist(), strict=True)
+    ]
+    # In the order of the block's distinct anchors, as they were sent.
+    repeated = np.concatenate([np.zeros(0, np.uint8), *flags]).astype(bool)
+    distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *(s[4] for s in slices)]))
+    held = []
+    for rows, words, hashes, starts, keys in slices:
+        chosen = starts[repeated[np.searchsorted(distinct, keys)]]
         owner = words.owner[chosen]
+        second = stretch_hashes(words.hashes(2), chosen, chosen + window) >> np.uint64(32)
         held.append(
             (
                 stretch_hashes(hashes, chosen, chosen + window),
-                (stretch_hashes(words.hashes(2), chosen, chosen + window) >> np.uint64(32)).astype(
-                    np.uint32
-                ),
-                ids[owner],
-                text_hash[owner],
+                second.astype(np.uint32),
+                ids[rows[owner]],
+                number[rows[owner]].astype(np.uint32),
                 (chosen - words.first[owner]).astype(np.uint32),
             )
         )
-        if sum(len(h[0]) for h in held) > most:
-            yield flush()
-            held = []
-            seen.clear()
-    if held:
-        yield flush()
-
-
-def _answer(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """The removed starts, from all that was asked about these windows.
-
-    One row for each part of the documents, not for each document: a document's
-    windows are spread over all tasks.
-    """
-    kinds = {"w1": "<u8", "w2": "<u4", "id": "<i8", "text_hash": "<i8", "start": "<u4"}
-    asked: list[list[np.ndarray]] = []
-    removed: list[list[np.ndarray]] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            columns = [np.frombuffer(row[n], kind) for n, kind in kinds.items()]
-            if row["known"]:
-                removed.append(columns[2:])
-            else:
-                asked.append(columns)
-    if asked:
-        w1, w2, ids, text_hash, start = (np.concatenate(c) for c in zip(*asked, strict=True))
-        order, gone = smaller_elsewhere(w1, w2, ids)
-        removed.append([c[order][gone] for c in (ids, text_hash, start)])
-    if not removed:
-        return
-    ids, text_hash, start = (np.concatenate(c) for c in zip(*removed, strict=True))
-    number = mix(ids.astype(np.uint64) ^ mix(text_hash.astype(np.uint64))) % np.uint64(parts)
-    order = np.argsort(number, kind="stable")
-    bounds = np.searchsorted(number[order], np.arange(parts + 1))
-    for p in range(parts):
-        some = order[bounds[p] : bounds[p + 1]]
-        if len(some):
-            columns = (c[some].tobytes() for c in (ids, text_hash, start))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p], pa.int32()), *(pa.array([c], pa.binary()) for c in columns)],
-                names=["part", "id", "text_hash", "start"],
-            )
+    columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+    order, smaller = smaller_elsewhere(*columns[:3])
+    removed = np.zeros(len(columns[0]), bool)
+    removed[order] = smaller
+    # In the order of the documents, in which ids and places compress well.
+    open_ = np.flatnonzero(~removed)
+    part = (columns[0][open_] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    by_part = np.argsort(part, kind="stable")
+    used, firsts = np.unique(part[by_part], return_index=True)
+    groups = [open_[by_part[a:b]] for a, b in _pieces(firsts, len(open_))]
+    parts_of = used.astype(np.int32).tolist()
+    if removed.any():
+        block = docs["block"][0].as_py()
+        groups.append(np.flatnonzero(removed))
+        parts_of.append(block % parts)
+    known = [False] * len(used) + [True] * (len(groups) - len(used))
+    packed = {
+        n: pa.array(
+            [b"" if k and n in ("w1", "w2") else c[some].astype(kind).tobytes()
+             for some, k in zip(groups, known, strict=True)],
+            pa.binary(),
+        )
+        for (n, kind), c in zip(_ASKED.items(), columns, strict=True)
+    }
+    return pa.table(
+        {
+            "part": pa.array(parts_of, pa.int32()),
+            "block": pa.array([docs["block"][0].as_py()] * len(groups), pa.int32()),
+            **packed,
+            "known": pa.array(known, pa.bool_()),
+        }
+    )
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per document with all its removed starts."""
-    kinds = {"id": "<i8", "text_hash": "<i8", "start": "<u4"}
+def _answer(asked: pa.Table) -> pa.Table:
+    """The removed starts of every block, from all that was asked about these windows."""
+    blocks, known = asked["block"].to_pylist(), asked["known"].to_pylist()
+    columns = {n: asked[n].to_pylist() for n in _ASKED}
     found = [
-        [np.frombuffer(row[n], kind) for n, kind in kinds.items()]
-        for batch in batches
-        for row in batch.to_pylist()
+        (block, columns["number"][k], columns["start"][k])
+        for k, block in enumerate(blocks)
+        if known[k]
     ]
-    if not found:
-        return
-    ids, text_hash, start = (np.concatenate(c) for c in zip(*found, strict=True))
-    order = np.lexsort((start, text_hash, ids))
-    ids, text_hash, start = ids[order], text_hash[order], start[order]
-    heads = np.flatnonzero(first_of_run(ids, text_hash))
-    bounds = [*heads, len(ids)]
-    for at in range(0, len(heads), 5000):
-        some = range(at, min(at + 5000, len(heads)))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids[heads[at : at + 5000]]),
-                pa.array(text_hash[heads[at : at + 5000]]),
-                pa.array([start[bounds[k] : bounds[k + 1]].tobytes() for k in some], pa.binary()),
-            ],
-            names=["removed_id", "removed_hash", "starts"],
+    rows = [k for k in range(len(blocks)) if not known[k]]
+    if rows:
+        w1, w2, ids, number, start = (
+            np.concatenate([np.frombuffer(columns[n][k], kind) for k in rows])
+            for n, kind in _ASKED.items()
         )
+        sizes = [len(columns["start"][k]) // 4 for k in rows]
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        order, smaller = smaller_elsewhere(w1, w2, ids)
+        gone = np.sort(order[smaller])  # by block again
+        bounds = np.searchsorted(owner[gone], np.arange(len(rows) + 1))
+        for i, k in enumerate(rows):
+            some = gone[bounds[i] : bounds[i + 1]]
+            if len(some):
+                found.append((blocks[k], number[some].tobytes(), start[some].tobytes()))
+    return pa.table(
+        {
+            "block": pa.array([f[0] for f in found], pa.int32()),
+            "number": pa.array([f[1] for f in found], pa.binary()),
+            "start": pa.array([f[2] for f in found], pa.binary()),
+        }
+    )
 
 
-def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n_words, n_removed, kept = [], [], []
-        for text, starts in zip(
-            batch.column("text").cast(pa.binary()), batch.column("starts").to_pylist(), strict=True
-        ):
-            words = (text.as_py() or b"").split()
-            gone = np.zeros(len(words) + 1, np.int32)
-            if starts:
-                at = np.unique(np.frombuffer(starts, "<u4"))
-                gone[at] += 1
-                gone[at + window] -= 1  # starts are distinct, and so are their ends
-            covered = np.cumsum(gone[:-1]) > 0
-            n_words.append(len(words))
-            n_removed.append(int(covered.sum()))
-            if starts:
-                words = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
-            kept.append(b" ".join(words))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("id"),
-                pa.array(n_words, pa.int64()),
-                pa.array(n_removed, pa.int64()),
-                pa.array(kept, pa.binary()).cast(pa.string()),
-            ],
-            names=["id", "n_words", "n_removed", "kept_text"],
+def _remove(docs: pa.Table, removed: pa.Table, window: int) -> pa.Table:
+    batch, _, number = _documents(docs)
+    numbers, starts = (
+        np.concatenate(
+            [np.zeros(0, "<u4"), *(np.frombuffer(p, "<u4") for p in removed[n].to_pylist())]
         )
+        for n in ("number", "start")
+    )
+    order = np.lexsort((starts, numbers))
+    numbers, starts = numbers[order], starts[order]
+    bounds = np.searchsorted(numbers, np.arange(number.max(initial=-1) + 2))
+    n_words, n_removed, kept = [], [], []
+    for own, text in zip(number.tolist(), batch.column("text").cast(pa.binary()), strict=True):
+        words = (text.as_py() or b"").split()
+        at = np.unique(starts[bounds[own] : bounds[own + 1]])
+        gone = np.zeros(len(words) + 1, np.int32)
+        gone[at] += 1
+        gone[at + window] -= 1  # starts are distinct, and so are their ends
+        covered = np.cumsum(gone[:-1]) > 0
+        n_words.append(len(words))
+        n_removed.append(int(covered.sum()))
+        if len(at):
+            words = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
+        kept.append(b" ".join(words))
+    return pa.table(
+        {
+            "id": batch.column("id"),
+            "n_words": pa.array(n_words, pa.int64()),
+            "n_removed": pa.array(n_removed, pa.int64()),
+            "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
+        }
+    )
 
 
 def substring_dedup(
@@ -378,8 +324,10 @@ def substring_dedup(
     text: str = "text",
     window: int = WINDOW,
     anchor: int = ANCHOR,
-    most_cells: int = MOST_CELLS,
-    held: int = HELD,
+    block_text: int = BLOCK_TEXT,
+    range_text: int = RANGE_TEXT,
+    range_cells: int = RANGE_CELLS,
+    part_text: int = PART_TEXT,
 ) -> DataFrame:
     """``id, n_words, n_removed, kept_text`` for every row of ``docs``.
 
@@ -390,38 +338,51 @@ def substring_dedup(
     words; a null id counts as larger than any other; an empty table gives an
     empty result. Other columns are not looked at.
 
-    Windows are compared by 96 bits of two independent hashes. The sketch's width
-    follows the input up to ``most_cells`` (a power of two); beyond that more windows that are not
-    repeated go to the exact grouping, and the result stays the same. A task holds
-    at most about ``held`` windows before it passes them on.
+    Windows are compared by 96 bits of two independent hashes. The sizes say how many bytes
+    of text a block, a range of the sketch and a part of the exact grouping stand for;
+    their numbers follow the input. With fewer ``range_cells`` more windows that are not
+    repeated go to the exact grouping, and the result stays the same. A task holds a
+    block's words, so a text much longer than a block takes about forty times its size.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(
         F.col(f"`{id}`").cast("long").alias("id"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
     )
-    cells, bits = repeated_cells(rows, window, anchor, most_cells, held)
-    sketch = spark.sparkContext.broadcast(bits)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks, ranges, parts = (1 + size // each for each in (block_text, range_text, part_text))
     keyed = rows.withColumn("text_hash", F.xxhash64("text"))
+    place = F.pmod(F.xxhash64("id", "text_hash"), F.lit(blocks)).cast("int")
+    # The three steps that read the texts group the same rows, so Spark shuffles them once.
+    in_blocks = keyed.withColumn("block", place).groupBy("block")
+    estimates = (
+        in_blocks.applyInArrow(
+            lambda own: _count_anchors(own, ranges, window, anchor),
+            "range int, block int, n long, steps binary, twice binary",
+        )
+        .groupBy("range")
+        .applyInArrow(
+            lambda counted: _estimate(counted, range_cells),
+            "block int, range int, n long, repeated binary",
+        )
+    )
     removed = (
-        keyed.mapInArrow(lambda b: _ask(b, cells, sketch, window, anchor, parts, held), _ASKED)
-        .repartition(parts, "part")
-        .mapInArrow(
-            lambda b: _answer(b, parts), "part int, id binary, text_hash binary, start binary"
+        in_blocks.cogroup(estimates.groupBy("block"))
+        .applyInArrow(
+            lambda own, found: _ask(own, found, parts, window, anchor),
+            "part int, block int, w1 binary, w2 binary, id binary, number binary, start binary, "
+            "known boolean",
+        )
+        .groupBy("part")
+        .applyInArrow(_answer, "block int, number binary, start binary")
+    )
+    return (
+        in_blocks.cogroup(removed.groupBy("block"))
+        .applyInArrow(
+            lambda own, gone: _remove(own, gone, window),
+            "id long, n_words long, n_removed long, kept_text string",
         )
-        .repartition(parts, "part")
-        .mapInArrow(_gather, "removed_id long, removed_hash long, starts binary")
+        .withColumnRenamed("id", id)
     )
-    joined = keyed.join(
-        removed,
-        (F.coalesce("id", F.lit(int(_NO_ID))) == F.col("removed_id"))
-        & (F.col("text_hash") == F.col("removed_hash")),
-        "left",
-    ).select("id", "text", "starts")
-    return joined.mapInArrow(
-        lambda b: _remove(b, window), "id long, n_words long, n_removed long, kept_text string"
-    ).withColumnRenamed("id", id)
 
 
 SQL = r"""
