@@ -130,6 +130,16 @@ def test_numbered_names_are_not_all_paired(spark):
     assert merge.edit_candidates(names, 1).count() == count * 45 // 2
 
 
+def test_similar_long_values(spark):
+    pick = np.random.default_rng(9)
+    text = "".join(pick.choice(list("abcdefghijklmnop"), 10_000))
+    other = "".join(pick.choice(list("qrstuvwxyz"), 10_000))
+    values = [text, text[:5000] + "zzz" + text[5000:], other]
+    terms = similar.trigram_terms(spark.createDataFrame([(v,) for v in values], "v string"), "v")
+    found = similar.sparse_cosine_pairs(terms, 0.9).collect()
+    assert [{r.id_a, r.id_b} for r in found] == [set(values[:2])]
+
+
 def test_long_values_with_few_edits(spark):
     text = "abcdefghij" * 1000
     values = [text, text[:5000] + "X" + text[5000:], text[:-1], text[::-1]]

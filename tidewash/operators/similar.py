@@ -90,28 +90,36 @@ def sparse_cosine_pairs(terms: DataFrame, threshold: float, strict: bool = False
     vector's terms are ordered from rare to common, and its prefix is cut where
     what follows is shorter than the threshold. Two vectors whose rarest common
     term is not in both prefixes stay below the threshold, so an equality join on
-    prefix terms finds all pairs, each once, at that term. Terms that many vectors
-    have come last and are in few prefixes; a prefix term that is still frequent is
-    split by Spark's handling of skewed joins.
+    prefix terms and ids finds all pairs. Terms that many vectors have come last and are
+    in few prefixes; a prefix term that is still frequent is split by Spark's
+    handling of skewed joins.
     """
     if not threshold > 0:
         raise ValueError("the threshold must be above zero")
     vectors = write_scratch(_unit_terms(terms), "terms")
-    # Running squares of what is left after each term; a little room for rounding.
-    total = F.aggregate(
+    # What is left after a term, from the last one back; a little room for rounding.
+    least = threshold * threshold - 1e-9
+    beyond = F.aggregate(
         F.reverse("weights"),
-        F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("all")),
+        F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
         lambda a, w: F.struct(
-            (a["s"] + w * w).alias("s"), F.concat(a["all"], F.array(a["s"] + w * w)).alias("all")
+            (a["s"] + w * w).alias("s"),
+            (a["n"] + F.when(a["s"] + w * w < least, 1).otherwise(0)).alias("n"),
         ),
-    )["all"]
-    least = threshold * threshold - 1e-9
-    prefix = F.size(F.filter(total, lambda left: left >= least))
+    )["n"]
     keyed = vectors.select(
-        F.explode(F.slice("terms", 1, prefix)).alias("term"), "id", "terms", "weights"
+        F.explode(F.slice("terms", F.lit(1), F.size("weights") - beyond)).alias("term"), "id"
+    )
+    # Terms and ids only; the vectors come afterwards, once for each pair.
+    pairs = (
+        keyed.select("term", F.col("id").alias("id_a"))
+        .join(keyed.select("term", F.col("id").alias("id_b")), "term")
+        .where("id_a < id_b")
+        .select("id_a", "id_b")
+        .distinct()
     )
     left, right = (
-        keyed.select("term", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "terms", "weights")])
+        vectors.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "terms", "weights")])
         for x in "ab"
     )
     common = F.array_intersect("terms_a", "terms_b")  # in the order of the first
@@ -126,10 +134,9 @@ def sparse_cosine_pairs(terms: DataFrame, threshold: float, strict: bool = False
     )
     enough = F.col("cosine") > threshold if strict else F.col("cosine") >= threshold
     return (
-        left.join(right, "term")
-        .where("id_a < id_b")
+        pairs.join(left, "id_a")
+        .join(right, "id_b")
         .withColumn("common", common)
-        .where(F.get("common", F.lit(0)) == F.col("term"))
         .withColumn("cosine", cosine)
         .where(enough)
         .select("id_a", "id_b", "cosine")
