@@ -1,12 +1,13 @@
 """Runs on disk: settings, raw input, the output of each step and an event table.
 
-Steps append to the event table and never rewrite it, so two writers cannot
-lose each other's entries. A step is done when its event is present and its
+Every event is a folder of its own in the event table, so writers, also threads of one
+driver, cannot lose each other's entries. A step is done when its event is present and its
 output is complete; a later call with the same run then reads that output.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -21,6 +22,10 @@ EVENT_SCHEMA = (
 STARTED, DONE, FINISHED = "in_progress", "done", "finished"
 
 
+def _all_events(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(EVENT_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
+
+
 def run_name(source: str, when: datetime) -> str:
     """``<stem of the source>_<date>_<time>``."""
     stem = source.rstrip("/").rsplit("/", 1)[-1]
@@ -60,18 +65,15 @@ class Run:
         now = datetime.now(timezone.utc)
         clean = {k: float(v) for k, v in (metrics or {}).items()}
         row = (self.run_id, now, step, status, output, clean, settings or {})
-        self.spark.createDataFrame([row], EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(
-            self.events_path
+        # Two writes into one folder at the same time would delete each other's temporary files.
+        self.spark.createDataFrame([row], EVENT_SCHEMA).coalesce(1).write.parquet(
+            f"{self.events_path}/event-{uuid.uuid4().hex}"
         )
 
     def events(self) -> DataFrame:
         if not self._exists(self.events_path):
             return self.spark.createDataFrame([], EVENT_SCHEMA)
-        return (
-            self.spark.read.schema(EVENT_SCHEMA)
-            .parquet(self.events_path)
-            .where(F.col("run_id") == self.run_id)
-        )
+        return _all_events(self.spark, self.events_path).where(F.col("run_id") == self.run_id)
 
     def output_path(self, step: str) -> str:
         return f"{self.folder}/{safe_name(step)}"
@@ -144,4 +146,4 @@ def run_registry(spark: SparkSession, root: str) -> DataFrame:
     run = Run(spark, root, "")
     if not run._exists(run.events_path):
         return latest_status(spark.createDataFrame([], EVENT_SCHEMA))
-    return latest_status(spark.read.schema(EVENT_SCHEMA).parquet(run.events_path))
+    return latest_status(_all_events(spark, run.events_path))
