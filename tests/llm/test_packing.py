@@ -77,6 +77,7 @@ def test_cached_ids_are_those_of_whole_texts(file):
     texts += ["it's I'M 12 3,4 ...!!\r\n\r\n end ", "\n", " ", "a\n\n b", "x's'sabc a.b. ''t", "😀 a"]
     texts += ["a  b", " a", "a ", "a \n b", "a\n b", "a \nb", "a\t b c", "  a", "a\n  b ", " \n", "x, y.\nZ"]
     texts += ["the, (the) \"the\" the%%% the%%%x %%% é́ á,b |", "naïve café, Straße! ÀÉ."]
+    texts += ["a .", "a  .", ". a.", "a a. a., a.b. a'. 'a. a1. a1 a_.", "à à. à à.; a\na. a\n."]
     plain = Tokenizer.from_file(tokenizer_path(file))
     for _ in range(2):  # the second time from the cache
         for text, got in zip(texts, encoder.encode(texts), strict=True):

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -27,8 +29,9 @@ _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _MARKS = ".,!?;:%*#$&|"
 _PIECE = re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]")
 _BREAK = re.compile(f"[{_S}]")
-_WORD = re.compile(f" ?[{_LETTERS}]+")
-_MARKED = re.compile(f"( ?[{_LETTERS}]+)([{_MARKS}]+)")
+_MARKED = re.compile(f"( ?[{_LETTERS}]+)([{_MARKS}]*)")
+_LETTER_SET = frozenset(c for c in map(chr, range(256)) if re.match(f"[{_LETTERS}]", c))
+_FOUR_BYTES = array("I").itemsize == 4
 _WHOLE = re.compile(
     "<\\||[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]"
 )
@@ -46,7 +49,9 @@ def _forget_older(cache: dict) -> None:
         del cache[key]
 
 
-def _packed(ids) -> bytes:
+def _packed(ids: list[int]) -> bytes:
+    if sys.byteorder == "little" and _FOUR_BYTES:
+        return array("I", ids).tobytes()  # much less to set up than for numpy
     return np.array(ids, dtype="<u4").tobytes()
 
 
@@ -68,23 +73,27 @@ class CachedEncoder(dict):
     def whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _word(self, word: str) -> bytes:
+    def word(self, word: str) -> bytes:
+        """The ids of a run of letters, with or without a space before it."""
         plain = word.strip().lower() if self.drops_space else word
-        found = self.tokenizer.model.tokenize(plain.translate(self.alphabet))
-        return _packed([token.id for token in found])
+        if not plain.isascii():
+            plain = plain.translate(self.alphabet)
+        elif plain[0] == " ":  # ASCII letters stand for themselves in the alphabet of bytes
+            plain = self.alphabet[32] + plain[1:]
+        return _packed([token.id for token in self.tokenizer.model.tokenize(plain)])
 
     def __missing__(self, piece: str) -> bytes:
         """The ids of a new piece; a word with marks is not kept, only its two parts are."""
-        if marked := _MARKED.fullmatch(piece):
-            return self[marked[1]] + self[marked[2]]
+        if split := _parts(piece, self):
+            return split[0] + self[split[1]]
+        found = _MARKED.fullmatch(piece)
+        if found and found[2]:
+            return self[found[1]] + self[found[2]]
         if len(self) >= self.cached:
             _forget_older(self)
-        ids = self[piece] = self.piece(piece)
+        ids = self[piece] = self.word(piece) if found else self.whole(piece)
         return ids
 
-    def piece(self, piece: str) -> bytes:
-        return self._word(piece) if _WORD.fullmatch(piece) else self.whole(piece)
-
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of every text; a null text is empty."""
         get = self.__getitem__
@@ -111,16 +120,28 @@ class SpacedWords(dict):
         self.pieces = pieces
 
     def __missing__(self, part: str) -> bytes:
-        if marked := _MARKED.fullmatch(part):
-            return self[marked[1]] + self.pieces[marked[2]]
-        if _BREAK.search(part):  # a line break, a tab
+        if split := _parts(part, self):
+            return split[0] + self.pieces[split[1]]
+        found = _MARKED.fullmatch(part)
+        if found and found[2]:
+            return self[found[1]] + self.pieces[found[2]]
+        if not found and _BREAK.search(part):  # a line break, a tab
             return b"".join(map(self.pieces.__getitem__, _PIECE.findall(" " + part)))
         if len(self) >= self.pieces.cached:
             _forget_older(self)
-        ids = self[part] = self.pieces.piece(" " + part)
+        piece = " " + part
+        ids = self[part] = self.pieces.word(piece) if found else self.pieces.whole(piece)
         return ids
 
 
+def _parts(piece: str, known: dict[str, bytes]) -> tuple[bytes, str] | None:
+    """The ids of a known word and the marks after it, if ``piece`` is that."""
+    word = piece.rstrip(_MARKS)
+    if len(word) == len(piece) or word[-1:] not in _LETTER_SET or word not in known:
+        return None
+    return known[word], piece[len(word) :]
+
+
 def _odd(text: str) -> bool:
     """Whether a text has to be encoded whole."""
     if text.isascii():
