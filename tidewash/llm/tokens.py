@@ -14,10 +14,12 @@ import os
 import re
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
@@ -95,21 +97,52 @@ class CachedEncoder(dict):
         return ids
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of every text; a null text is empty."""
-        get = self.__getitem__
-        for text in texts:
-            text = text or ""
-            if _odd(text):
+        """The ids of every text; a null text is empty.
+
+        The texts are cut together, and a part that recurs among them is looked up once.
+        """
+        texts = [text or "" for text in texts]
+        whole = [_odd(text) for text in texts]
+        if self.drops_space:
+            together = [text for text, odd in zip(texts, whole, strict=True) if not odd]
+            parts = pc.ascii_split_whitespace(pc.ascii_lower(_texts(together)))
+            skipped, lookup = 0, self.__getitem__
+        else:  # all parts but the first come after one space
+            together = [t for t, odd in zip(texts, whole, strict=True) if not odd and "  " not in t]
+            parts = pc.split_pattern(_texts(together), " ")
+            skipped, lookup = 1, self.spaced.__getitem__
+        spans = _ids_of_parts(parts, lookup, skipped)
+        for text, odd in zip(texts, whole, strict=True):
+            if odd:
                 yield self.whole(text)
             elif self.drops_space:
-                plain = text.lower() if text.isascii() else text
-                yield b"".join(map(get, plain.split()))
+                yield next(spans)
             elif "  " in text:
-                yield b"".join(map(get, _PIECE.findall(text)))
-            else:  # all but the first come after one space
-                first, *others = text.split(" ")
-                head = b"".join(map(get, _PIECE.findall(first)))
-                yield head + b"".join(map(self.spaced.__getitem__, others))
+                yield self._pieces(text)
+            else:
+                yield self._pieces(text.partition(" ")[0]) + next(spans)
+
+    def _pieces(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, _PIECE.findall(text)))
+
+
+def _texts(texts: list[str]) -> pa.Array:
+    return pa.array(texts, pa.large_string())
+
+
+def _ids_of_parts(parts: pa.Array, lookup: Callable[[str], bytes], skip: int) -> Iterator[bytes]:
+    """The joined ids of each list's parts without the first ``skip``."""
+    offsets = parts.offsets.to_numpy()
+    flat = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    distinct = flat.dictionary.to_numpy(zero_copy_only=False)
+    ids = pa.array(list(map(lookup, distinct)), pa.large_binary())
+    found = ids.take(flat.indices)
+    _, ends, joined = found.buffers()
+    ends = np.frombuffer(ends, np.int64) if len(found) else np.zeros(1, np.int64)
+    joined = memoryview(joined or b"")
+    borders = offsets - offsets[0]
+    for first, last in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+        yield bytes(joined[ends[first + skip] : ends[last]])
 
 
 class SpacedWords(dict):
