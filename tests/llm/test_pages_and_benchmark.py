@@ -213,19 +213,19 @@ def words(text):
     return [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(text or "")]
 
 
-def hits_by_brute_force(text, items, length=13):
+def hits_by_brute_force(text, items, length=13, unnamed=True):
     own = words(text)
     hit, found = set(), set()
     for item, item_text in items:
         asked = words(item_text)
-        if not asked or item is None:
+        if not asked or (item is None and not unnamed):
             continue
         size = min(length, len(asked))
         for k in range(len(asked) - size + 1):
             for at in range(len(own) - size + 1):
                 if own[at : at + size] == asked[k : k + size]:
                     hit.update(range(at, at + size))
-                    found.add(str(item))
+                    found.update([] if item is None else [str(item)])
     return len(own), len(hit), sorted(found), hit
 
 
@@ -244,10 +244,11 @@ ITEMS = [
 ]
 
 
-@pytest.mark.parametrize("item_chars", [10**6, 100])
-def test_hits_by_brute_force(spark, item_chars):
+@pytest.mark.parametrize("item_chars, unnamed", [(10**6, False), (10**6, True), (100, True)])
+def test_hits_by_brute_force(spark, item_chars, unnamed):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    found = decontaminate.benchmark_hits(documents(spark), items, item_chars=item_chars)
+    options = {} if unnamed else {"unnamed": False}
+    found = decontaminate.benchmark_hits(documents(spark), items, item_chars=item_chars, **options)
     got = Counter()
     by_row = {(r[0], r[1]): r[1] for r in rows()}
     texts = {}
@@ -260,7 +261,7 @@ def test_hits_by_brute_force(spark, item_chars):
             assert inside == r.n_hit
     expected = Counter()
     for r in rows():
-        n, h, names, _ = hits_by_brute_force(r[1], ITEMS)
+        n, h, names, _ = hits_by_brute_force(r[1], ITEMS, unnamed=unnamed)
         expected[(r[0], n, h, tuple(names), h > 0 and 20 * h >= n)] += 1
     assert got == expected
 

@@ -210,7 +210,7 @@ def benchmark_hits(
     length: int = 13,
     share: int = 20,
     item_chars: int = ITEM_CHARS,
-    unnamed: bool = False,
+    unnamed: bool = True,
 ) -> DataFrame:
     """``id, n_words, n_hit, items, spans, contaminated`` for every row of ``docs``.
 
@@ -219,10 +219,10 @@ def benchmark_hits(
     as sorted strings, ``spans`` the hit regions as character offsets in the
     original text. A document is contaminated if at least one in ``share`` of its
     words is hit. Defined results: null and empty texts have no words and are
-    clean; items without words match nothing, and items with null id neither, unless
-    ``unnamed``: then their words are hit, but they are not listed; repeated rows are
-    judged one by one; without items every document is clean. Other columns are
-    not looked at.
+    clean; items without words match nothing; the words of items with null id are hit,
+    but these items are not listed (without ``unnamed`` they match nothing); repeated
+    rows are judged one by one; without items every document is clean. Other columns
+    are not looked at.
     """
     rows = docs.select(F.col(f"`{id}`").alias("row"), F.col(f"`{text}`").alias("text"))
     found = _scanned(rows, items, item_id, item_text, length, item_chars, unnamed)
@@ -249,7 +249,7 @@ def keep_clean(
     length: int = 13,
     share: int = 20,
     item_chars: int = ITEM_CHARS,
-    unnamed: bool = False,
+    unnamed: bool = True,
 ) -> DataFrame:
     """The rows of ``docs`` that :func:`benchmark_hits` finds clean, with all their columns."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
