@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewash.functions.rounds import RoundLog
 from tidewash.operators import components as K
 from tidewash.operators import merge as G
 from tidewash.operators import similar as S
@@ -83,6 +84,30 @@ def test_spanning_pairs_connect_the_same_vectors(spark, tile):
     assert groups_of(few) == groups_of(full)
 
 
+@pytest.mark.parametrize("spanning", [False, True])
+def test_blocks_are_cut_again_and_again(spark, monkeypatch, spanning):
+    monkeypatch.setattr(S, "FAN", 3)
+    rows = vectors(170, 5, dims=4, hot=0.3)
+    rows[100:130] = rows[99]  # copies, which nothing cuts apart
+    df = table(spark, rows)
+    stored, levels = S._in_blocks(df, 12, "bigint")
+    assert len(levels) > 2
+    sizes = {r["block"]: r["count"] for r in stored.groupBy("block").count().collect()}
+    assert sum(sizes.values()) == 170 and sum(n > 12 for n in sizes.values()) <= 1
+    # No block lies within another one, and no level gives a block more pivots than FAN.
+    assert not any(a != b and b.startswith(a) for a in sizes for b in sizes)
+    for level in levels:
+        assert max(r["count"] for r in level.groupBy("target").count().collect()) <= 3
+    expected = brute_pairs(rows, 0.9)
+    got = S.cosine_pairs(df, 0.9, spanning=spanning, tile=12).collect()
+    found = [(r["id_a"], r["id_b"]) for r in got]
+    if spanning:
+        assert set(found) <= set(expected)
+        assert groups_of(found) == groups_of(expected)
+    else:
+        assert sorted(found) == sorted(expected)
+
+
 def test_moments_and_zscore_cutoff(spark):
     rows = vectors(80, 4)
     length = np.linalg.norm(rows, axis=1, keepdims=True)
@@ -119,6 +144,21 @@ def test_components(spark, shape):
     assert got == groups_of([(a, b) for a, b in edges if a != b])
 
 
+@pytest.mark.parametrize("last_edges", [0, 7, 60, 10**9])
+def test_components_finished_in_one_task(spark, tmp_path, last_edges):
+    rng = random.Random(17)
+    pairs = [(f"n{rng.randrange(200)}", f"n{rng.randrange(200)}") for _ in range(110)]
+    pairs += [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(60)]
+    edges = spark.createDataFrame(pairs, "id_a string, id_b string")
+    expected = groups_of([p for p in pairs if p[0] != p[1]])
+    for log in (None, RoundLog(spark, str(tmp_path / "rounds"))):
+        got = K.connected_components(edges, log=log, last_edges=last_edges).collect()
+        assert {r["node"]: r["component"] for r in got} == expected
+    # With its log it goes on from the last finished round, to the same end.
+    again = K.connected_components(edges, log=log, last_edges=last_edges).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
 def test_no_edges(spark):
     df = spark.createDataFrame([], "id_a string, id_b string")
     assert K.connected_components(df).isEmpty()

@@ -17,7 +17,8 @@ def _salt(parts: Column) -> Column:
 
 
 def _none(schema: str) -> pd.DataFrame:
-    return pd.DataFrame({part.split()[0]: [] for part in schema.split(", ")})
+    # Objects, as an empty column of numbers cannot stand for arrays.
+    return pd.DataFrame({part.split()[0]: [] for part in schema.split(", ")}, dtype=object)
 
 
 def meet(

@@ -2,14 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidewash.functions.rounds import RoundLog
 from tidewash.functions.scratch import drop_table, write_scratch
 
+#: Edges that one task may take for the last round; a few megabytes of ids.
+LAST_EDGES = 50_000
+
+
+def _last_round(pairs: DataFrame) -> DataFrame:
+    """``node, chosen`` for a graph of at most ``LAST_EDGES`` edges, solved in one task.
+
+    Each node chooses the first of its component's nodes.
+    """
+    kind = pairs.schema["u"].dataType.simpleString()
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        edges = pd.concat(list(batches) or [pd.DataFrame({"u": [], "v": []})])
+        if edges.empty:
+            return
+        codes, nodes = pd.factorize(pd.concat([edges["u"], edges["v"]]), sort=True)
+        parent = list(range(len(nodes)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for x, y in codes.reshape(2, -1).T.tolist():
+            x, y = root(x), root(y)
+            parent[max(x, y)] = min(x, y)
+        first = np.array([root(x) for x in range(len(nodes))])
+        yield pd.DataFrame({"node": nodes, "chosen": nodes[first]})
+
+    return pairs.repartition(1).mapInPandas(solve, f"node {kind}, chosen {kind}")
+
 
 def connected_components(
-    edges: DataFrame, a: str = "id_a", b: str = "id_b", log: RoundLog | None = None
+    edges: DataFrame,
+    a: str = "id_a",
+    b: str = "id_b",
+    log: RoundLog | None = None,
+    last_edges: int = 0,
 ) -> DataFrame:
     """``node, component`` for every node with an edge; the name is the smallest member.
 
@@ -18,7 +58,9 @@ def connected_components(
     random order makes a constant share of the nodes vanish in every round,
     also on long chains and stars. Nothing is gathered per node: choices are a
     minimum, which is combined before the shuffle. With a ``log`` every finished round is
-    kept, and a later call with the same log goes on after the last one.
+    kept, and a later call with the same log goes on after the last one. Once no more than
+    ``last_edges`` edges are left (``LAST_EDGES`` at most), one task solves what remains
+    instead of several more rounds; the result is the same.
     """
 
     def store(df: DataFrame, name: str, turn: int) -> DataFrame:
@@ -40,12 +82,16 @@ def connected_components(
         if log:
             log.finish(0, {"edges": pairs})
     finished: list[DataFrame] = []  # tables of this and the last round that nothing reads later
+    last_edges = min(last_edges, LAST_EDGES)
     while not pairs.isEmpty():
+        last = last_edges > 0 and pairs.limit(last_edges + 1).count() <= last_edges
         both = pairs.union(pairs.select("v", "u"))
         order = F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), F.col("v").alias("x"))
         own = F.struct(F.xxhash64("u", F.lit(turn)).alias("h"), F.col("u").alias("x"))
         chosen = write_scratch(
-            both.groupBy("u")
+            _last_round(pairs)
+            if last
+            else both.groupBy("u")
             .agg(F.min(order).alias("first"))
             .select(F.col("u").alias("node"), F.least(own, "first")["x"].alias("chosen")),
             "choices",
@@ -64,6 +110,10 @@ def connected_components(
                 "labels",
                 turn + 1,
             )
+        if last:  # a log keeps the tables of its last finished round
+            for table in [chosen] if log else [*finished, chosen, pairs]:
+                drop_table(table)
+            break
         ends = (
             pairs.join(chosen.select(F.col("node").alias("u"), F.col("chosen").alias("s")), "u")
             .join(chosen.select(F.col("node").alias("v"), F.col("chosen").alias("t")), "v")

@@ -22,7 +22,7 @@ from tidewash.functions.text import (
     token_count,
     word_count,
 )
-from tidewash.operators.components import clusters_within, connected_components
+from tidewash.operators.components import LAST_EDGES, clusters_within, connected_components
 from tidewash.operators.decisions import approved_only
 from tidewash.operators.similar import (
     cosine_pairs,
@@ -164,7 +164,8 @@ def similarity_clusters(
         if z is None
         else zscore_pairs(vectors, z, spanning=True, recall=recall)
     )
-    return clusters_within(connected_components(edges), smallest, largest)
+    linked = connected_components(edges, last_edges=LAST_EDGES)
+    return clusters_within(linked, smallest, largest)
 
 
 def text_clusters(
@@ -183,7 +184,8 @@ def text_clusters(
         raise ValueError("give either a threshold or a z-score")
     terms = write_scratch(trigram_terms(values, name), "trigrams")
     edges = sparse_cosine_pairs(terms, threshold) if z is None else sparse_zscore_pairs(terms, z)
-    return clusters_within(connected_components(edges), smallest, largest)
+    linked = connected_components(edges, last_edges=LAST_EDGES)
+    return clusters_within(linked, smallest, largest)
 
 
 def shortest_merge_map(clusters: DataFrame, name: str) -> DataFrame:
@@ -350,7 +352,7 @@ def edit_merge_map(df: DataFrame, name: str, distance: int = 1) -> DataFrame:
         .agg(F.count("*").alias("n"))
     )
     pairs = edit_candidates(counts, distance, "member")
-    linked = connected_components(pairs, "value_a", "value_b").select(
+    linked = connected_components(pairs, "value_a", "value_b", last_edges=LAST_EDGES).select(
         F.col("node").alias("member"), F.col("component").alias("cluster_id")
     )
     counted = linked.join(counts, "member")

@@ -1,13 +1,15 @@
 """Pairs of vectors with a high cosine similarity, found exactly.
 
-Every vector belongs to the block of the pivot nearest to it. By the triangle
-inequality for angles, a vector can only be similar to members of a block if
-its angle to the block's pivot is at most the wanted angle plus the block's
-radius; all other blocks are skipped. What is left is compared in tiles: one
-group holds a bounded part of a block and a bounded part of the vectors that
-may match it, so a block that draws a third of all vectors is spread over many
-tasks. Inside a group one matrix product gives all similarities, and only the
-matches leave it. The number of blocks follows the number of vectors. For dense
+Vectors are cut into blocks, level by level: a block with too many vectors is cut
+around a few pivots of its own, each vector going to the nearest. The tree of blocks
+with their pivots and radii is a table; neither the driver nor a task holds more than the few
+pivots of one block. By the triangle inequality for angles, a vector can only be similar to members
+of a block if its angle to the block's pivot is at most the wanted angle plus the
+block's radius; all other blocks are skipped with all that they are cut into. What is
+left is compared in tiles: one group holds a bounded part of a block and a bounded part
+of the vectors that may match it, so a block that draws a third of all vectors is spread
+over many tasks. Inside a group one matrix product gives all similarities, and only the
+matches leave it. For dense
 vectors that are about equally far from each other no block can be skipped, and
 the work is then quadratic; ``block`` limits it to vectors with the same key, and
 ``recall`` finds that share of the pairs by signatures instead
@@ -28,9 +30,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidewash.functions.columns import column
-from tidewash.functions.scratch import write_scratch
+from tidewash.functions.scratch import drop_table, write_scratch
 from tidewash.functions.text import normalized
-from tidewash.functions.tiles import meet, meet_within
+from tidewash.functions.tiles import Compare, meet, meet_within
 from tidewash.operators.signatures import signature_pairs
 from tidewash.operators.vectors import forest, unit_rows
 
@@ -39,6 +41,8 @@ from tidewash.operators.vectors import forest, unit_rows
 TILE = 2048
 SPANNING_TILE = 8192
 STRIP = 512
+#: Blocks that a block is cut into, at most (two hexadecimal digits name one).
+FAN = 64
 #: Products of vectors and pivots that a task holds at once.
 MOST_PRODUCTS = 4_000_000
 # Room for rounding when an angle is compared with a block's reach.
@@ -148,7 +152,8 @@ def sparse_similarity_moments(terms: DataFrame) -> tuple[int, float, float]:
 
     The sum of the matrix is the squared length of the summed unit vectors. The
     sum of its squares is that of the products of the terms, so every vector
-    contributes its pairs of terms; values are short texts.
+    contributes its pairs of terms: time, not memory, grows with the square of a value's
+    length.
     """
     vectors = write_scratch(_unit_terms(terms), "terms")
     n = vectors.count()
@@ -158,13 +163,16 @@ def sparse_similarity_moments(terms: DataFrame) -> tuple[int, float, float]:
     one = entries.select(F.explode("entries").alias("x")).select("x.terms", "x.weights")
     sums = one.groupBy("terms").agg(F.sum("weights").alias("s"))
     total = sums.agg(F.sum(F.col("s") * F.col("s"))).first()[0]
+    # Terms stand in one order in all vectors, so a pair is made once, as (earlier, later).
+    later = F.slice("entries", F.col("at") + 1, F.size("entries") - F.col("at"))
     two = (
-        entries.select(F.explode("entries").alias("x"), "entries")
-        .select("x", F.explode("entries").alias("y"))
+        entries.select("entries", F.posexplode("entries").alias("at", "x"))
+        .select("x", F.explode(later).alias("y"))
         .groupBy("x.terms", F.col("y.terms").alias("other"))
         .agg(F.sum(F.col("x.weights") * F.col("y.weights")).alias("s"))
     )
-    squares = two.agg(F.sum(F.col("s") * F.col("s"))).first()[0]
+    twice = F.when(F.col("terms") == F.col("other"), 1).otherwise(2)
+    squares = two.agg(F.sum(twice * F.col("s") * F.col("s"))).first()[0]
     mean = total / n**2
     return n, mean, math.sqrt(max(0.0, squares / n**2 - mean * mean))
 
@@ -208,17 +216,8 @@ def cosine_pairs(
         return signature_pairs(vectors, threshold, recall, strict, spanning, tile, block)
     if block is not None:
         return _pairs_within(vectors, threshold, strict, spanning, block, tile, id_type)
-    stored = write_scratch(rows, "vectors")
-    count = stored.count()
-    # About one tile of members per block, however many vectors there are.
-    pivots = _unit_rows(stored, math.ceil(count / tile))
-    assigned = write_scratch(_assign(stored, pivots, id_type), "blocks")
-    # One row per pivot.
-    reach = np.full(len(pivots), -1.0)
-    for r in assigned.groupBy("block").agg(F.max("angle").alias("radius")).collect():
-        reach[r["block"]] = math.acos(min(1.0, threshold)) + r["radius"] + ANGLE_SLACK
-
-    visits = _visits(assigned, pivots, reach, id_type)
+    assigned, levels = _in_blocks(rows, tile, id_type)
+    visits = _visits(assigned, levels, math.acos(min(1.0, threshold)), tile, id_type)
     homes = assigned.select("id", "vector", "block", F.col("block").alias("target"))
     schema = f"id_a {id_type}, id_b {id_type}, cosine double"
 
@@ -288,12 +287,6 @@ def _pairs_within(
     return meet_within(write_scratch(rows, "vectors"), ["block"], compare, schema, tile)
 
 
-def _unit_rows(vectors: DataFrame, count: int) -> np.ndarray:
-    """``count`` vectors chosen by the hash of their ids, as unit rows."""
-    chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(count).toPandas()
-    return unit_rows(chosen["vector"]) if len(chosen) else np.zeros((0, 1))
-
-
 def _strips(batch: pd.DataFrame, pivots: int) -> Iterator[pd.DataFrame]:
     """Parts of a batch whose products with all pivots take a bounded amount of memory."""
     rows = max(1, MOST_PRODUCTS // max(1, pivots))
@@ -301,47 +294,152 @@ def _strips(batch: pd.DataFrame, pivots: int) -> Iterator[pd.DataFrame]:
         yield batch.iloc[start : start + rows]
 
 
-def _assign(vectors: DataFrame, pivots: np.ndarray, id_type: str) -> DataFrame:
-    element = vectors.schema["vector"].dataType.simpleString()
+def _ask(
+    pivots: DataFrame, asking: DataFrame, compare: Compare, schema: str, tile: int
+) -> DataFrame:
+    """Rows with all pivots of the block (``target``) that they ask, in one group."""
+    return meet(pivots, asking, compare, schema, max(tile, FAN))
+
+
+def _ask_root(pivots: DataFrame, asking: DataFrame, compare: Compare, schema: str) -> DataFrame:
+    """As :func:`_ask` where only the root is asked: its pivots, ``FAN`` at most, travel
+    with the function, and no row is shuffled."""
+    few = pivots.toPandas()
 
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in _strips(batch, len(pivots)):
-                cosines = unit_rows(part["vector"]) @ pivots.T
-                block = cosines.argmax(axis=1)
-                angle = _angles(cosines[np.arange(len(part)), block])
-                yield part.assign(block=block.astype(np.int32), angle=angle)
-
-    return vectors.mapInPandas(
-        nearest, f"id {id_type}, vector {element}, block int, angle double"
+            if len(batch):
+                yield compare(batch, few)
+
+    return asking.mapInPandas(run, schema)
+
+
+def _in_blocks(vectors: DataFrame, tile: int, id_type: str) -> tuple[DataFrame, list[DataFrame]]:
+    """``id, vector, block``, and for each level the blocks that it cut others into.
+
+    A block's name is that of the block it comes from and two hexadecimal digits. A level
+    has ``target`` (the block that was cut), ``child``, ``radius`` and the pivot
+    (``id, vector``). Every level is one choice of pivots, one pass in which the rows of
+    large blocks ask them, and one count. Vectors that are copies of each other cannot be
+    cut apart and stay one block, of any size.
+    """
+    element = vectors.schema["vector"].dataType.simpleString()
+    stored = write_scratch(
+        vectors.select("id", "vector", F.lit("").alias("block"), F.lit(0.0).alias("angle")),
+        "vectors",
     )
+    count = stored.count()
+    # A few levels more than even cuts would take; what is left then is tiled as it is.
+    most = math.ceil(math.log(count / tile, FAN)) + 2 if count > tile else 0
+    schema = f"id {id_type}, vector {element}, block string, angle double"
+
+    def nearest(visit: pd.DataFrame, home: pd.DataFrame) -> pd.DataFrame:
+        home = home.sort_values("child")
+        pivots, names = unit_rows(home["vector"]), home["child"].to_numpy()
+        parts = []
+        for part in _strips(visit, len(pivots)):
+            cosines = unit_rows(part["vector"]) @ pivots.T
+            at = cosines.argmax(axis=1)
+            parts.append(
+                part[["id", "vector"]].assign(
+                    block=names[at], angle=_angles(cosines[np.arange(len(part)), at])
+                )
+            )
+        return pd.concat(parts)
+
+    levels: list[DataFrame] = []
+    sizes = None
+    for _ in range(most):
+        if sizes is None:
+            large = stored.withColumn("parts", F.lit(min(FAN, math.ceil(count / tile))))
+        else:
+            cut = sizes.where((F.col("n") > tile) & (F.col("radius") > ANGLE_SLACK)).select(
+                "block", F.least(F.lit(FAN), F.ceil(F.col("n") / tile)).cast("int").alias("parts")
+            )
+            if cut.isEmpty():
+                break
+            large = stored.join(cut, "block")
+        hashed = F.xxhash64("id")
+        number = F.pmod(hashed, F.col("parts").cast("bigint"))
+        child = F.concat("block", F.lower(F.lpad(F.hex(number), 2, "0")))
+        first = F.min_by(F.struct("id", "vector"), F.struct(hashed, "id")).alias("pivot")
+        pivots = write_scratch(
+            large.groupBy(F.col("block").alias("target"), child.alias("child"))
+            .agg(first)
+            .select("target", "child", "pivot.id", "pivot.vector"),
+            "pivots",
+        )
+        if sizes is None:
+            moved = _ask_root(pivots, large.select("id", "vector"), nearest, schema)
+        else:
+            asking = large.select(
+                F.col("block").alias("target"), F.lit("").alias("child"), "id", "vector"
+            )
+            moved = stored.join(cut, "block", "left_anti").unionByName(
+                _ask(pivots, asking, nearest, schema, tile)
+            )
+        before, stored = stored, write_scratch(moved, "vectors")
+        drop_table(before)
+        sizes = write_scratch(
+            stored.groupBy("block").agg(F.count("*").alias("n"), F.max("angle").alias("radius")),
+            "sizes",
+        )
+        reached = sizes.select(F.col("block").alias("child"), "radius")
+        levels.append(pivots.join(reached, "child"))
+    return stored.select("id", "vector", "block"), levels
 
 
 def _visits(
-    assigned: DataFrame, pivots: np.ndarray, reach: np.ndarray, id_type: str
+    assigned: DataFrame, levels: list[DataFrame], angle: float, tile: int, id_type: str
 ) -> DataFrame:
-    """Each vector with every block, from its own on, that may hold a match."""
-    element = assigned.schema["vector"].dataType.simpleString()
+    """Each vector with every block, from its own on, that may hold a match (``target``).
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part in _strips(batch, len(pivots)):
-                angles = _angles(unit_rows(part["vector"]) @ pivots.T)
-                own = part["block"].to_numpy()[:, None]
-                ahead = np.arange(len(pivots))[None, :] >= own
-                targets = [
-                    np.flatnonzero(row).astype(np.int32) for row in (angles <= reach) & ahead
-                ]
-                yield part[["id", "vector", "block"]].assign(targets=targets)
-
-    # Stored, because the blocks are counted before the rows are sent to them.
-    found = write_scratch(
-        assigned.mapInPandas(
-            find, f"id {id_type}, vector {element}, block int, targets array<int>"
-        ),
-        "visits",
-    )
-    return found.select("id", "vector", "block", F.explode("targets").alias("target"))
+    Vectors go down the tree together, into every child whose pivot is near enough.
+    """
+    element = assigned.schema["vector"].dataType.simpleString()
+    schema = f"id {id_type}, vector {element}, block string, targets array<string>"
+
+    def near(visit: pd.DataFrame, home: pd.DataFrame) -> pd.DataFrame:
+        home = home.sort_values("child")
+        pivots, names = unit_rows(home["vector"]), home["child"].to_numpy().astype(str)
+        reach = home["radius"].to_numpy() + angle + ANGLE_SLACK
+        parts = []
+        for part in _strips(visit, len(pivots)):
+            angles = _angles(unit_rows(part["vector"]) @ pivots.T)
+            # Names of blocks sort as the tree does; earlier blocks visit this one.
+            own = part["block"].str.slice(0, len(names[0])).to_numpy().astype(str)
+            meets = (angles <= reach) & (names[None, :] >= own[:, None])
+            targets = [names[row].tolist() for row in meets]
+            parts.append(part[["id", "vector", "block"]].assign(targets=targets))
+        return pd.concat(parts)
+
+    at = assigned.select("id", "vector", "block", F.lit("").alias("target"))
+    if not levels:
+        return at
+    leaves = []
+    for level, after in zip(levels, [*levels[1:], None], strict=True):
+        if level is levels[0]:
+            asked = _ask_root(level, assigned, near, schema)
+        else:
+            homes = level.select(
+                "target", "id", "vector", "child", "radius", F.lit("").alias("block")
+            )
+            none = [F.lit("").alias("child"), F.lit(0.0).alias("radius")]
+            asking = at.select("target", "id", "vector", *none, "block")
+            asked = _ask(homes, asking, near, schema, tile)
+        # Stored with one row for all children of a block, and counted before it is sent on.
+        found = write_scratch(asked, "visits")
+        reached = found.select("id", "vector", "block", F.explode("targets").alias("target"))
+        if after is None:
+            leaves.append(reached)
+            break
+        inner = after.select("target").distinct()
+        leaves.append(reached.join(inner, "target", "left_anti"))
+        at = reached.join(inner, "target", "left_semi")
+    visits = leaves[0]
+    for more in leaves[1:]:
+        visits = visits.unionByName(more)
+    return visits
 
 
 def similarity_moments(vectors: DataFrame) -> tuple[int, float, float]:
