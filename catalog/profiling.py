@@ -6,6 +6,7 @@ from catalog.inputs import table, union_all, view, with_view
 from catalog.registry import query
 from tidewash.functions.columns import text_columns
 from tidewash.functions.frequencies import distinct_counts, value_frequencies
+from tidewash.functions.scratch import write_scratch
 from tidewash.operators import correlation as R
 from tidewash.operators import profile as P
 
@@ -337,7 +338,9 @@ def sketch_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Sketches of the parts of a table, merged, and whether they keep their bounds."""
     items = table(spark, sf, "lineitem")
     merged = P.merge_sketches(P.sketch_profile(items, SKETCHED, by="l_returnflag"))
-    report = P.sketch_report(merged)
+    # One row per column, but Spark can't know that: without the hints it deals all rows
+    # out by column, of which there are three.
+    report = write_scratch(P.sketch_report(merged), "report")
     probabilities = (0.25, 0.5, 0.75)
     rows = items.select(
         F.explode(
@@ -358,7 +361,7 @@ def sketch_profile(spark: SparkSession, sf: str) -> DataFrame:
             F.count_if(F.col("value") <= F.col(f"q{p * 100:g}")).alias(f"upto{p * 100:g}"),
         )
     ]
-    counted = rows.join(report, "column").groupBy("column").agg(*ranks)
+    counted = rows.join(F.broadcast(report), "column").groupBy("column").agg(*ranks)
     exact = distinct_counts(items, SKETCHED).select("column", F.col("num_unique").alias("exact"))
     good = F.lit(True)
     for p in probabilities:
@@ -366,7 +369,7 @@ def sketch_profile(spark: SparkSession, sf: str) -> DataFrame:
         high = F.col(f"upto{p * 100:g}") / F.col("n") + P.RANK_ERROR
         good = good & F.lit(p).between(low, high)
     off = F.abs(F.col("num_unique") - F.col("exact"))
-    return report.join(counted, "column").join(exact, "column").select(
+    return report.join(F.broadcast(counted), "column").join(F.broadcast(exact), "column").select(
         "column",
         "n",
         "low",
