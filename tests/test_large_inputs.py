@@ -2,9 +2,11 @@
 
 import re
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from tidewash.operators import similar as S
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -24,3 +26,37 @@ def test_sketch_profile_deals_no_rows_out_by_column(spark, no_small_tables):
     found = entry.queries()["sketch_profile"](spark, FOLDER)
     assert not re.search(r"SortMergeJoin \[column", plan_of(found))
     assert [r["quantiles_ok"] and r["distinct_ok"] for r in found.collect()] == [True] * 3
+
+
+def test_tiles_of_a_listing_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(S, "TILE", 8)
+    monkeypatch.setattr(S, "LISTING_TILES", 4)
+    rng = np.random.default_rng(1)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 8)))]
+    tiles = []
+    real = S.meet
+    monkeypatch.setattr(S, "meet", lambda *a, **k: tiles.append(a[4]) or real(*a, **k))
+    table = spark.createDataFrame(rows, "id bigint, vector array<double>")
+    found = {(r["id_a"], r["id_b"]) for r in S.cosine_pairs(table, 0.5).collect()}
+    unit = np.array([v for _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    assert found == {(a, b) for a, b in np.argwhere(unit @ unit.T >= 0.5).tolist() if a < b}
+    assert tiles[-1] == 50
+
+
+def test_a_tile_gives_its_pairs_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(S, "PAIRS_AT_ONCE", 7)
+    monkeypatch.setattr(S, "MOST_PRODUCTS", 100)
+    rows = [(i, [1.0, i / 1000]) for i in range(30)]
+    table = spark.createDataFrame(rows, "id bigint, vector array<double>")
+    sizes = []
+    real = S.meet
+
+    def meet(homes, visits, compare, *rest, **named):
+        home, visit = homes.toPandas(), visits.toPandas()
+        sizes.extend(len(part) for part in compare(visit, home))
+        return real(homes, visits, compare, *rest, **named)
+
+    monkeypatch.setattr(S, "meet", meet)
+    assert S.cosine_pairs(table, 0.5).count() == 30 * 29 // 2
+    assert sum(sizes) == 30 * 29 // 2 and max(sizes) <= 7

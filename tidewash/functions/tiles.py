@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewash.functions.scratch import write_scratch
 
 Compare = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
+CompareInParts = Callable[[pd.DataFrame, pd.DataFrame], Iterator[pd.DataFrame]]
 
 
 def _salt(parts: Column) -> Column:
@@ -22,7 +23,12 @@ def _none(schema: str) -> pd.DataFrame:
 
 
 def meet(
-    homes: DataFrame, visits: DataFrame, compare: Compare, schema: str, tile: int
+    homes: DataFrame,
+    visits: DataFrame,
+    compare: Compare | CompareInParts,
+    schema: str,
+    tile: int,
+    in_parts: bool = False,
 ) -> DataFrame:
     """Apply ``compare(visitors, members)`` to every tile of every block.
 
@@ -30,7 +36,8 @@ def meet(
     ``id``. A block with many members or visitors is cut into parts along both
     sides; a row goes into one part of its own side and meets all parts of the
     other, so no group holds more than about ``tile`` rows of either. The sizes of
-    the blocks stay in a stored table, which Spark broadcasts if it is small.
+    the blocks stay in a stored table, which Spark broadcasts if it is small. With
+    ``in_parts`` the function yields its result part by part, and no task holds all of it.
     """
 
     def parts(side: DataFrame, name: str) -> DataFrame:
@@ -55,11 +62,17 @@ def meet(
         home, visit = group[group["side"] == "home"], group[group["side"] == "visit"]
         return _none(schema) if home.empty or visit.empty else compare(visit, home)
 
+    def run_in_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = pd.concat(list(batches))
+        home, visit = group[group["side"] == "home"], group[group["side"] == "visit"]
+        if not (home.empty or visit.empty):
+            yield from compare(visit, home)
+
     return (
         spread(homes, "home", "visit")
         .unionByName(spread(visits, "visit", "home"))
         .groupBy("target", "home_part", "visit_part")
-        .applyInPandas(run, schema)
+        .applyInPandas(run_in_parts if in_parts else run, schema)
     )
 
 

@@ -34,12 +34,18 @@ from tidewash.functions.scratch import drop_table, write_scratch
 from tidewash.functions.text import normalized
 from tidewash.functions.tiles import Compare, meet, meet_within
 from tidewash.operators.signatures import signature_pairs
-from tidewash.operators.vectors import forest, unit_rows
+from tidewash.operators.vectors import forest, thinned, unit_rows
 
 # Members of a block, and visitors to it, that meet in one group. A spanning
 # result is small, so its groups may be larger, which shuffles fewer copies.
 TILE = 2048
 SPANNING_TILE = 8192
+# A listing leaves the task part by part, so its tiles may be large as well. Every vector is
+# sent to each tile that it meets: tiles grow with the table, up to a bound, so that their number,
+# and with it the copies of a vector, does not.
+LISTING_TILE, LISTING_TILES = 16_384, 16
+#: Pairs that a task gives out at once.
+PAIRS_AT_ONCE = 50_000
 STRIP = 512
 #: Blocks that a block is cut into, at most (two hexadecimal digits name one).
 FAN = 64
@@ -209,43 +215,57 @@ def cosine_pairs(
     """
     if not threshold > 0:
         raise ValueError("the threshold must be above zero")
-    tile = tile or (SPANNING_TILE if spanning else TILE)
+    given, tile = tile, tile or (SPANNING_TILE if spanning else TILE)
     rows = vectors.select("id", "vector").where(F.col("vector").isNotNull())
     id_type = vectors.schema["id"].dataType.simpleString()
     if recall is not None:
         return signature_pairs(vectors, threshold, recall, strict, spanning, tile, block)
     if block is not None:
         return _pairs_within(vectors, threshold, strict, spanning, block, tile, id_type)
+    if not (given or spanning):
+        tile = min(LISTING_TILE, max(TILE, math.ceil(rows.count() / LISTING_TILES)))
     assigned, levels = _in_blocks(rows, tile, id_type)
     visits = _visits(assigned, levels, math.acos(min(1.0, threshold)), tile, id_type)
     homes = assigned.select("id", "vector", "block", F.col("block").alias("target"))
     schema = f"id_a {id_type}, id_b {id_type}, cosine double"
 
-    def compare(visit: pd.DataFrame, home: pd.DataFrame) -> pd.DataFrame:
+    def compare(visit: pd.DataFrame, home: pd.DataFrame) -> Iterator[pd.DataFrame]:
         u, v = unit_rows(visit["vector"]), unit_rows(home["vector"])
         visit_ids, home_ids = visit["id"].to_numpy(), home["id"].to_numpy()
-        block = home["block"].iloc[0]
-        matches = []
-        for start in range(0, len(u), STRIP):
-            strip = slice(start, start + STRIP)
+        same = (visit["block"] == home["block"].iloc[0]).to_numpy()
+        rows = max(1, MOST_PRODUCTS // len(v))
+
+        def pairs(i: np.ndarray, j: np.ndarray) -> Iterator[pd.DataFrame]:
+            for start in range(0, len(i), PAIRS_AT_ONCE):
+                some, others = i[start : start + PAIRS_AT_ONCE], j[start : start + PAIRS_AT_ONCE]
+                a, b = visit_ids[some], home_ids[others]
+                swap = a > b
+                yield pd.DataFrame(
+                    {
+                        "id_a": np.where(swap, b, a),
+                        "id_b": np.where(swap, a, b),
+                        "cosine": np.einsum("ij,ij->i", u[some], v[others]),
+                    }
+                )
+
+        linked = []
+        for start in range(0, len(u), rows):
+            strip = slice(start, start + rows)
             cosines = u[strip] @ v.T
             match = cosines > threshold if strict else cosines >= threshold
             # Within a block each pair is seen from both sides; keep one of them.
-            same = visit["block"].to_numpy()[strip] == block
-            match &= ~same[:, None] | (visit_ids[strip][:, None] < home_ids[None, :])
-            matches.append(match if spanning else np.argwhere(match) + [start, 0])
-        i, j = forest(np.concatenate(matches)) if spanning else np.concatenate(matches).T
-        a, b = visit_ids[i], home_ids[j]
-        swap = a > b
-        return pd.DataFrame(
-            {
-                "id_a": np.where(swap, b, a),
-                "id_b": np.where(swap, a, b),
-                "cosine": np.einsum("ij,ij->i", u[i], v[j]),
-            }
-        )
-
-    return meet(homes, visits, compare, schema, tile)
+            own = np.flatnonzero(same[strip])
+            match[own] &= visit_ids[strip][own][:, None] < home_ids[None, :]
+            i, j = forest(match) if spanning else np.nonzero(match)
+            if spanning:
+                linked.append((i + start, j))
+            else:
+                yield from pairs(i + start, j)
+        if linked:
+            # What connects a strip connects the tile, with more pairs than it needs.
+            yield from pairs(*thinned(*map(np.concatenate, zip(*linked)), len(u), len(v)))
+
+    return meet(homes, visits, compare, schema, tile, in_parts=True)
 
 
 def _pairs_within(

@@ -38,3 +38,24 @@ def forest(match: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 open_rows.extend(new)
     pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
     return pairs[:, 0], pairs[:, 1]
+
+
+def thinned(
+    i: np.ndarray, j: np.ndarray, rows: int, columns: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of rows and columns, only as many as connect the same ones."""
+    parent = list(range(rows + columns))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = []
+    for place, (x, y) in enumerate(zip(i.tolist(), (j + rows).tolist(), strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[y] = x
+            kept.append(place)
+    return i[kept], j[kept]
