@@ -60,3 +60,24 @@ def test_a_tile_gives_its_pairs_in_parts(spark, monkeypatch):
     monkeypatch.setattr(S, "meet", meet)
     assert S.cosine_pairs(table, 0.5).count() == 30 * 29 // 2
     assert sum(sizes) == 30 * 29 // 2 and max(sizes) <= 7
+
+
+def test_a_spanning_tile_holds_no_whole_matrix(spark, monkeypatch):
+    monkeypatch.setattr(S, "MOST_PRODUCTS", 100)
+    shapes = []
+    real_forest, real_meet = S.forest, S.meet
+
+    def meet(homes, visits, compare, *rest, **named):
+        home, visit = homes.toPandas(), visits.toPandas()
+        monkeypatch.setattr(S, "forest", lambda m: shapes.append(m.size) or real_forest(m))
+        list(compare(visit, home))
+        monkeypatch.setattr(S, "forest", real_forest)
+        return real_meet(homes, visits, compare, *rest, **named)
+
+    monkeypatch.setattr(S, "meet", meet)
+    table = spark.createDataFrame(
+        [(i, [1.0, i / 1000]) for i in range(30)], "id bigint, vector array<double>"
+    )
+    found = [(r["id_a"], r["id_b"]) for r in S.cosine_pairs(table, 0.5, spanning=True).collect()]
+    assert max(shapes) <= 100 and len(found) < 60
+    assert {x for pair in found for x in pair} == set(range(30))
