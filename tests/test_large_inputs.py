@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from tidewash.operators import similar as S
+from tidewash.operators import nearest as N, similar as S
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -81,3 +81,29 @@ def test_a_spanning_tile_holds_no_whole_matrix(spark, monkeypatch):
     found = [(r["id_a"], r["id_b"]) for r in S.cosine_pairs(table, 0.5, spanning=True).collect()]
     assert max(shapes) <= 100 and len(found) < 60
     assert {x for pair in found for x in pair} == set(range(30))
+
+
+def test_rows_go_down_the_cells_unsorted_and_once(spark, monkeypatch):
+    plans = {}
+    real = N.write_scratch
+
+    def stored(df, label="table", **named):
+        plans[label] = plan_of(df)
+        return real(df, label, **named)
+
+    monkeypatch.setattr(N, "write_scratch", stored)
+    rng = np.random.default_rng(2)
+    rows = [(i, *map(float, rng.normal(size=2)), None if i % 5 == 0 else float(i)) for i in range(600)]
+    table = spark.createDataFrame(rows, "id bigint, a double, b double, v double")
+    found = N.knn_features_fills(table, "v", ["a", "b"], "id", k=3, tile=8)
+    assert not re.search("Sort|hashpartitioning|Union", plans["homes"])
+    assert not re.search("SortAggregate|Union", plans["visits"])
+
+    x = np.array([r[1:3] for r in rows])
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    donors = [i for i in range(600) if i % 5]
+    got = {r["row_id"]: float(r["value"]) for r in found.collect()}
+    assert sorted(got) == list(range(0, 600, 5))
+    for i, value in got.items():
+        far = ((x[donors] - x[i]) ** 2).sum(axis=1)
+        assert value == pytest.approx(np.mean([donors[j] for j in np.argsort(far)[:3]]))

@@ -92,7 +92,8 @@ def knn_features_fills(
     members = donors.select("id", "x", "value", F.col("cell").alias("target"))
     asking = rows.where(F.col("value").isNull()).select("id", "x", "value", "cell")
 
-    homes = write_scratch(_go_down(asking, nodes, depth, wide, k), "homes")
+    children = write_scratch(_children(nodes), "children")
+    homes = write_scratch(_go_down(asking, nodes, children, depth, wide, k), "homes")
     leaves = nodes.where("leaf")
     under = leaves.select(
         F.explode(_ancestors(F.col("cell"))).alias("cell"), F.col("cell").alias("target")
@@ -115,7 +116,7 @@ def knn_features_fills(
         F.col("root").alias("cell"),
         (F.sqrt("d") + SLACK).alias("bound"),
     )
-    further = write_scratch(_within(bounded, nodes, depth, wide), "visits")
+    further = write_scratch(_within(bounded, children, depth, wide), "visits")
     more = _search(members, further, k, tile, id_type)
     both = _best(first.unionByName(more), k)
     means = both.groupBy("id").agg(F.avg("value").alias("value"))
@@ -238,11 +239,11 @@ def _nodes(donors: DataFrame, wide: int) -> DataFrame:
     )
 
 
-def _away(wide: int) -> Column:
-    """The squared distance of ``x`` from a box."""
+def _away(wide: int, cell: Column) -> Column:
+    """The squared distance of ``x`` from a cell's box."""
     gaps = [
         F.greatest(
-            F.col("low")[f] - F.col("x")[f], F.col("x")[f] - F.col("high")[f], F.lit(0.0)
+            cell["low"][f] - F.col("x")[f], F.col("x")[f] - cell["high"][f], F.lit(0.0)
         )
         for f in range(wide)
     ]
@@ -252,13 +253,27 @@ def _away(wide: int) -> Column:
     return total
 
 
-def _children(nodes: DataFrame, depth: int) -> DataFrame:
-    return nodes.where(F.col("depth") == depth).select(
-        F.col("parent").alias("cell"), F.col("cell").alias("child"), "leaf", "n", "low", "high"
+def _children(nodes: DataFrame) -> DataFrame:
+    """``cell, depth, children``: each cell that was cut, with what it was cut into.
+
+    With at most ``FAN`` children in one array, rows choose among them where they are: they
+    are not copied per child, sorted or shuffled.
+    """
+    child = F.struct(F.col("cell").alias("name"), "n", "low", "high")
+    return (
+        nodes.where(F.col("parent").isNotNull())
+        .groupBy(F.col("parent").alias("cell"), (F.col("depth") - 1).alias("depth"))
+        .agg(F.collect_list(child).alias("children"))
     )
 
 
-def _go_down(asking: DataFrame, nodes: DataFrame, depth: int, wide: int, k: int) -> DataFrame:
+def _at_depth(children: DataFrame, depth: int) -> DataFrame:
+    return children.where(F.col("depth") == depth).select("cell", "children")
+
+
+def _go_down(
+    asking: DataFrame, nodes: DataFrame, children: DataFrame, depth: int, wide: int, k: int
+) -> DataFrame:
     """Each row with a cell close to it (``cell``) that has ``k`` donors, as far as its block has.
 
     The row follows the closest cell of each level as long as that has enough donors.
@@ -266,43 +281,42 @@ def _go_down(asking: DataFrame, nodes: DataFrame, depth: int, wide: int, k: int)
     at = asking.join(nodes.where("depth = 0").select("cell"), "cell", "left_semi").withColumn(
         "root", F.col("cell")
     )
-    for level in range(1, depth + 1):
-        enough = _children(nodes, level).where(F.col("n") >= k)
-        closest = F.min(F.struct(_away(wide).alias("d"), "child"))
-        next_cell = (
-            at.join(enough, "cell").groupBy("id").agg(closest.alias("best")).select(
-                "id", F.col("best.child").alias("next")
-            )
+    closest = F.array_min(
+        F.transform(
+            F.filter("children", lambda c: c["n"] >= k),
+            lambda c: F.struct(_away(wide, c).alias("d"), c["name"].alias("name")),
         )
-        at = at.join(next_cell, "id", "left").select(
-            "id", "x", "value", F.coalesce("next", "cell").alias("cell"), "root"
+    )
+    for level in range(depth):
+        at = at.join(_at_depth(children, level), "cell", "left").select(
+            "id", "x", "value", F.coalesce(closest["name"], "cell").alias("cell"), "root"
         )
     return at
 
 
-def _within(bounded: DataFrame, nodes: DataFrame, depth: int, wide: int) -> DataFrame:
-    """``id, x, value, target``: each row with all leaves within its bound but those it has met."""
-    at = bounded.join(
-        nodes.where("depth = 0").select("cell", "leaf"), "cell"
+def _within(bounded: DataFrame, children: DataFrame, depth: int, wide: int) -> DataFrame:
+    """``id, x, value, target``: each row with all leaves within its bound but those it has met.
+
+    A row that has reached a leaf stays there while others go further down.
+    """
+    reached = F.transform(
+        F.filter("children", lambda c: _away(wide, c) <= F.col("bound") * F.col("bound")),
+        lambda c: c["name"],
     )
-    found = None
-    for level in range(depth + 1):
-        if level:
-            at = (
-                at.where(~F.col("leaf"))
-                .drop("leaf")
-                .join(_children(nodes, level), "cell")
-                .where(_away(wide) <= F.col("bound") * F.col("bound"))
-                .select("id", "x", "value", "home", F.col("child").alias("cell"), "bound", "leaf")
-            )
-        met = (F.col("cell") == F.col("home")) | F.col("cell").startswith(
-            F.concat("home", F.lit(_MARK))
-        )
-        leaves = at.where(F.col("leaf") & ~met).select(
-            "id", "x", "value", F.col("cell").alias("target")
+    at = bounded
+    for level in range(depth):
+        at = at.join(_at_depth(children, level), "cell", "left").select(
+            "id",
+            "x",
+            "value",
+            "home",
+            F.explode(F.coalesce(reached, F.array("cell"))).alias("cell"),
+            "bound",
         )
-        found = leaves if found is None else found.unionByName(leaves)
-    return found
+    met = (F.col("cell") == F.col("home")) | F.col("cell").startswith(
+        F.concat("home", F.lit(_MARK))
+    )
+    return at.where(~met).select("id", "x", "value", F.col("cell").alias("target"))
 
 
 # ---- comparing ------------------------------------------------------------------
