@@ -1,3 +1,4 @@
+import math
 import random
 import statistics
 
@@ -234,3 +235,19 @@ def test_unknown_strategy_is_refused(spark):
     df = spark.createDataFrame([(1, 2.0), (2, None)], "id int, x double")
     with pytest.raises(ValueError):
         I.impute_statistical(df, strategy="meen")
+
+
+def test_driver_means_do_not_depend_on_the_order_of_addition(spark):
+    draw = random.Random(4)
+    rows = [(draw.randrange(40), draw.randrange(100_000, 400_000) / 1000) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "a int, v double")
+    expected = {None: math.fsum(v for _, v in rows) / len(rows)}
+    for a in range(40):
+        own = [v for other, v in rows if other == a]
+        expected[a] = math.fsum(own) / len(own)
+    for parts in (1, 3, 7):
+        found = I.driver_values(df.repartition(parts), "v", ["a"]).collect()
+        assert {r["_d0"]: r["value"] for r in found} == expected
+    large = spark.createDataFrame([(1, 1e300), (1, 3e300), (2, math.inf)], "a int, v double")
+    found = I.driver_values(large, "v", ["a"]).collect()
+    assert {r["_d0"]: r["value"] for r in found} == {1: 2e300, 2: math.inf, None: math.inf}

@@ -34,6 +34,8 @@ from tidewash.operators.outliers import IQR_FACTOR
 
 NEIGHBOURS = 5
 SKEWED = 1.0
+#: The largest number of single precision.
+MOST_SINGLE = 3.4e38
 FILL_COLUMNS = ["row_id", "column", "value", "reason", "approved"]
 
 
@@ -322,8 +324,10 @@ def driver_values(
         _target_value(df, target).alias("value"),
     ).where(F.col("value").isNotNull())
     if how == "mean":
-        each, sums = [], [F.sum("n").alias("n"), F.sum("total").alias("total")]
-        counted = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+        sums = [F.sum(c).alias(c) for c in ("n", "high", "low")]
+        halves = _halves(F.col("value").cast("double"))
+        each, totals = [], [F.sum(half).alias(name) for name, half in halves.items()]
+        counted = rows.groupBy(*keys).agg(F.count("*").alias("n"), *totals)
     else:
         each, sums = ["value"], [F.sum("n").alias("n")]
         counted = rows.groupBy(*keys, "value").agg(F.count("*").alias("n"))
@@ -336,7 +340,8 @@ def driver_values(
     else:
         summed = counted.groupBy(*each).agg(F.lit(0).alias("level"), *sums)
     if how == "mean":
-        found = summed.select("level", *keys, (F.col("total") / F.col("n")).alias("value"))
+        mean = (F.col("high") + F.col("low")) / F.col("n")
+        found = summed.select("level", *keys, mean.alias("value"))
     else:
         first = F.min(F.struct((-F.col("n")).alias("m"), "value"))
         modes = summed.groupBy("level", *keys).agg(first.alias("f"))
@@ -344,6 +349,18 @@ def driver_values(
     return found.where(_known(keys))
 
 
+def _halves(value: Column) -> dict[str, Column]:
+    """A number as ``high`` and ``low``, its leading 24 bits and the rest, to be summed apart.
+
+    Numbers of like size leave 29 bits of a double free, so up to half a billion of the first
+    are summed exactly; the rest is too small for its rounding to show. So a mean does not
+    depend on the order in which groups and tasks are added up.
+    """
+    fits = F.abs(value) <= MOST_SINGLE
+    high = F.when(fits, value.cast("float").cast("double")).otherwise(value)
+    return {"high": high, "low": F.when(fits, value - high).otherwise(0.0)}
+
+
 def _known(keys: list[str]) -> Column:
     """Groups of a level whose drivers all have a value."""
     known = F.lit(True)
