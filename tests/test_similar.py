@@ -84,6 +84,28 @@ def test_spanning_pairs_connect_the_same_vectors(spark, tile):
     assert groups_of(few) == groups_of(full)
 
 
+def test_spanning_pairs_compare_no_two_vectors_of_the_large_component(spark, monkeypatch):
+    rows = vectors(400, 9, dims=4, hot=0.6)
+    full = brute_pairs(rows, 0.6)
+    products, real = [], S.meet
+
+    def meet(homes, visits, *rest, **named):
+        if named.get("in_parts"):
+            sizes = [side.groupBy("target").count().toPandas() for side in (homes, visits)]
+            both = sizes[0].merge(sizes[1], on="target")
+            products.append(int((both["count_x"] * both["count_y"]).sum()))
+        return real(homes, visits, *rest, **named)
+
+    monkeypatch.setattr(S, "meet", meet)
+    few = [
+        (r["id_a"], r["id_b"])
+        for r in S.cosine_pairs(table(spark, rows), 0.6, spanning=True, tile=20).collect()
+    ]
+    assert sum(products) < 400 * 399 / 2 / 3  # every pair would be 400 * 399 / 2
+    assert set(few) <= set(full) and len(set(few)) == len(few) < len(full) / 2
+    assert groups_of(few) == groups_of(full)
+
+
 @pytest.mark.parametrize("spanning", [False, True])
 def test_blocks_are_cut_again_and_again(spark, monkeypatch, spanning):
     monkeypatch.setattr(S, "FAN", 3)

@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 from tidewash.functions.columns import column
 from tidewash.functions.scratch import drop_table, write_scratch
 from tidewash.functions.text import normalized
-from tidewash.functions.tiles import Compare, meet, meet_within
+from tidewash.functions.tiles import Compare, CompareInParts, meet, meet_within
+from tidewash.operators.components import LAST_EDGES, connected_components
 from tidewash.operators.signatures import signature_pairs
 from tidewash.operators.vectors import forest, thinned, unit_rows
 
@@ -44,6 +45,10 @@ SPANNING_TILE = 8192
 # sent to each tile that it meets: tiles grow with the table, up to a bound, so that their number,
 # and with it the copies of a vector, does not.
 LISTING_TILE, LISTING_TILES = 16_384, 16
+# Tiles of vectors from which on a spanning result begins with a hub.
+HUB_TILES = 4
+# Share of the vectors outside the component that a hub may leave for another one to follow.
+HUB_LEAVES = 0.75
 #: Pairs that a task gives out at once.
 PAIRS_AT_ONCE = 50_000
 STRIP = 512
@@ -208,7 +213,7 @@ def cosine_pairs(
     ``strict`` asks for more than the threshold. With ``spanning`` each tile
     gives only as many of its pairs as connect the same vectors, which is
     enough for clusters and keeps the output small where a great many vectors
-    are alike. ``block`` names a column that pairs must agree in (null agrees with
+    are alike; vectors that a first round connects are not compared again. ``block`` names a column that pairs must agree in (null agrees with
     null); without it all vectors are candidates. With ``recall`` the pairs come from
     signatures of random hyperplanes: only about that share of the pairs right at the
     threshold (more of the closer ones) is found, without the quadratic work.
@@ -225,8 +230,7 @@ def cosine_pairs(
     if not (given or spanning):
         tile = min(LISTING_TILE, max(TILE, math.ceil(rows.count() / LISTING_TILES)))
     assigned, levels = _in_blocks(rows, tile, id_type)
-    visits = _visits(assigned, levels, math.acos(min(1.0, threshold)), tile, id_type)
-    homes = assigned.select("id", "vector", "block", F.col("block").alias("target"))
+    angle = math.acos(min(1.0, threshold))
     schema = f"id_a {id_type}, id_b {id_type}, cosine double"
 
     def compare(visit: pd.DataFrame, home: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -265,9 +269,73 @@ def cosine_pairs(
             # What connects a strip connects the tile, with more pairs than it needs.
             yield from pairs(*thinned(*map(np.concatenate, zip(*linked)), len(u), len(v)))
 
+    if spanning and levels and (count := assigned.count()) > HUB_TILES * tile:
+        parts = math.ceil(count / tile)
+        return _spanning_pairs(assigned, levels, angle, compare, schema, tile, parts, id_type)
+    visits = _visits(assigned, levels, angle, tile, id_type)
+    homes = assigned.select("id", "vector", "block", F.col("block").alias("target"))
     return meet(homes, visits, compare, schema, tile, in_parts=True)
 
 
+def _spanning_pairs(
+    assigned: DataFrame,
+    levels: list[DataFrame],
+    angle: float,
+    compare: CompareInParts,
+    schema: str,
+    tile: int,
+    parts: int,
+    id_type: str,
+) -> DataFrame:
+    """Pairs that connect the same vectors as all matches do.
+
+    First every vector meets a hub, the vectors of one hash in ``parts``, about a tile. Pairs
+    within the largest component that this gives would connect nothing new. So the vectors
+    beside it meet a hub of its members, those that still match none of them meet another
+    one, and so on while that helps. The few that are left are compared in full: with each
+    other and with whatever they have not met. Where hubs connect little, that is nearly
+    every pair.
+    """
+    number = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts))
+    apart, nowhere = F.lit("").alias("block"), F.lit("").alias("target")
+
+    def met(homes: DataFrame, visits: DataFrame) -> DataFrame:
+        return meet(homes, visits, compare, schema, tile, in_parts=True)
+
+    block = F.when(number == 0, "hub").otherwise("").alias("block")
+    asking = assigned.select("id", "vector", block, nowhere)
+    pairs = write_scratch(met(asking.where(F.col("block") == "hub"), asking), "pairs")
+    linked = connected_components(pairs, last_edges=LAST_EDGES)
+    largest = (
+        linked.groupBy("component")
+        .agg(F.count("*").alias("n"))
+        .orderBy(F.desc("n"), "component")
+        .first()
+    )
+    members = linked.where(F.col("component") == F.lit(largest and largest["component"])).select(
+        F.col("node").alias("id"), F.lit(True).alias("tied")
+    )
+    split = write_scratch(assigned.where(number > 0).join(members, "id", "left"), "vectors")
+    tied = split.where(F.col("tied")).drop("tied")
+    beside = rest = split.where(F.col("tied").isNull()).drop("tied")
+    last, left, before = 0, rest.count(), math.inf
+    while tile < left < HUB_LEAVES * before and last + 1 < parts:
+        last += 1
+        hub = tied.where(number == last).select("id", "vector", F.lit("hub").alias("block"), nowhere)
+        found = write_scratch(met(hub, rest.select("id", "vector", apart, nowhere)), "pairs")
+        pairs = pairs.unionByName(found)
+        ids = found.select(F.col("id_a").alias("id")).union(found.select("id_b")).distinct()
+        rest = write_scratch(rest.join(ids, "id", "left_anti"), "vectors")
+        before, left = left, rest.count()
+    visits = _visits(rest, levels, angle, tile, id_type, both=True)
+    homes = rest.select("id", "vector", "block", F.col("block").alias("target"))
+    pairs = pairs.unionByName(met(homes, visits.where(F.col("target") >= F.col("block"))))
+    # Nobody visits from among these, so each of their pairs is seen from one side.
+    others = tied.where(number > last).unionByName(beside.join(rest, "id", "left_anti"))
+    homes = others.select("id", "vector", apart, F.col("block").alias("target"))
+    return pairs.unionByName(met(homes, visits))
+
+
 def _pairs_within(
     vectors: DataFrame,
     threshold: float,
@@ -410,11 +478,16 @@ def _in_blocks(vectors: DataFrame, tile: int, id_type: str) -> tuple[DataFrame,
 
 
 def _visits(
-    assigned: DataFrame, levels: list[DataFrame], angle: float, tile: int, id_type: str
+    assigned: DataFrame,
+    levels: list[DataFrame],
+    angle: float,
+    tile: int,
+    id_type: str,
+    both: bool = False,
 ) -> DataFrame:
     """Each vector with every block, from its own on, that may hold a match (``target``).
 
-    Vectors go down the tree together, into every child whose pivot is near enough.
+    With ``both`` the blocks before its own are given as well. Vectors go down the tree together, into every child whose pivot is near enough.
     """
     element = assigned.schema["vector"].dataType.simpleString()
     schema = f"id {id_type}, vector {element}, block string, targets array<string>"
@@ -428,7 +501,7 @@ def _visits(
             angles = _angles(unit_rows(part["vector"]) @ pivots.T)
             # Names of blocks sort as the tree does; earlier blocks visit this one.
             own = part["block"].str.slice(0, len(names[0])).to_numpy().astype(str)
-            meets = (angles <= reach) & (names[None, :] >= own[:, None])
+            meets = (angles <= reach) & (both | (names[None, :] >= own[:, None]))
             targets = [names[row].tolist() for row in meets]
             parts.append(part[["id", "vector", "block"]].assign(targets=targets))
         return pd.concat(parts)
