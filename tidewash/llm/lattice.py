@@ -132,8 +132,9 @@ def cells(units: np.ndarray, lattice: Lattice) -> np.ndarray:
             names = np.concatenate(
                 [np.zeros((count, 1), np.uint64), _hash(roots, factor)[near]], 1
             ) + _hash(point, factor)[:, None]
-            cost = (cost[:, :, None] + steps[:, None, :]).reshape(count, -1)
-            code = (code[:, :, None] + names[:, None, :]).reshape(count, -1)
+            choices = cost.shape[1] * steps.shape[1]  # not -1, which no vectors leave open
+            cost = (cost[:, :, None] + steps[:, None, :]).reshape(count, choices)
+            code = (code[:, :, None] + names[:, None, :]).reshape(count, choices)
             least = np.argsort(cost, axis=1, kind="stable")[:, : 1 + lattice.probes]
             cost, code = np.take_along_axis(cost, least, 1), np.take_along_axis(code, least, 1)
         found[:, number] = mix(code + np.uint64((number + 1) << 56))
