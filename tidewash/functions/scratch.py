@@ -7,6 +7,7 @@ folder of its own.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -56,6 +57,13 @@ def drop_table(stored: DataFrame) -> None:
     _delete(stored.sparkSession, stored.scratch_path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the files of finished shuffles deleted, for which Spark waits for the driver's
+    garbage to be collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewash.functions.scratch import write_scratch
+from tidewash.functions.scratch import drop_table, free_shuffles, write_scratch
 from tidewash.llm.registry import query, table
 from tidewash.llm.vectors import binary, matrix, usable
 from tidewash.llm.words import mix
@@ -38,6 +38,10 @@ TILE = 1024
 SMALL = 48
 #: Pairs whose products are held at once.
 PAIRS = 100_000
+#: Rows of vectors in cells that are worked on at once; more are cut by table, then by cell.
+PASS_ROWS = 18_000_000
+#: Parts that one table is cut into at most, as each part asks for the vectors again.
+SLICES = 4
 _GRID = float(1 << 20)
 
 
@@ -112,13 +116,14 @@ def _hash(points: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return ((2 * points).astype(np.int64).astype(np.uint64) * factors).sum(axis=1, dtype=np.uint64)
 
 
-def cells(units: np.ndarray, lattice: Lattice) -> np.ndarray:
-    """For each vector and table the cell it lives in, then those it visits."""
+def cells(units: np.ndarray, lattice: Lattice, only: int | None = None) -> np.ndarray:
+    """For each vector and table, or one table, the cell it lives in, then those it visits."""
     count = len(units)
     rounded = np.rint(units * _GRID) / _GRID
-    found = np.empty((count, lattice.tables, 1 + lattice.probes), np.uint64)
+    numbers = range(lattice.tables) if only is None else [only]
+    found = np.empty((count, len(numbers), 1 + lattice.probes), np.uint64)
     roots = shortest_vectors()
-    for number in range(lattice.tables):
+    for place, number in enumerate(numbers):
         across, factors = _projection(lattice, number, units.shape[1])
         y = rounded @ across
         # The cheapest choices of one point in every block; the first is the nearest of all.
@@ -137,7 +142,7 @@ def cells(units: np.ndarray, lattice: Lattice) -> np.ndarray:
             code = (code[:, :, None] + names[:, None, :]).reshape(count, choices)
             least = np.argsort(cost, axis=1, kind="stable")[:, : 1 + lattice.probes]
             cost, code = np.take_along_axis(cost, least, 1), np.take_along_axis(code, least, 1)
-        found[:, number] = mix(code + np.uint64((number + 1) << 56))
+        found[:, place] = mix(code + np.uint64((number + 1) << 56))
     return found
 
 
@@ -189,13 +194,15 @@ def _by_size(column: pa.Array, wide: str) -> Iterator[tuple[np.ndarray, np.ndarr
         yield rows, unit(vectors.astype(np.float64))
 
 
-def _stays(batches: Iterator[pa.RecordBatch], wide: str, lattice: Lattice):
+def _stays(
+    batches: Iterator[pa.RecordBatch], wide: str, lattice: Lattice, only: int | None = None
+):
     """``cell, row, home``: where each vector lives and which cells it visits."""
     for whole in batches:
         for begin in range(0, whole.num_rows, 2048):
             batch = whole.slice(begin, 2048)
             for rows, units in _by_size(batch.column("vector"), wide):
-                found = cells(units, lattice)
+                found = cells(units, lattice, only)
                 count = found[0].size
                 home = np.zeros(found.shape[1:], bool)
                 home[:, 0] = True
@@ -397,25 +404,10 @@ def _spread(held: DataFrame, tile: int) -> DataFrame:
     )
 
 
-def lattice_links(
-    vectors: DataFrame,
-    wide: str,
-    least: float = COSINE,
-    lattice: Lattice | None = None,
-    tile: int = TILE,
+def _links_within(
+    stays: DataFrame, vectors: DataFrame, wide: str, least: float, lattice: Lattice, tile: int
 ) -> DataFrame:
-    """``row, links, hub`` from distinct vectors (``row, n, vector``: number, copies, bytes).
-
-    ``links`` add up to the copies of linked vectors, and links between ``row`` and
-    ``hub`` connect what links connect. Stored.
-    """
-    lattice = lattice or Lattice()
-    stays = write_scratch(
-        vectors.select("row", "vector").mapInArrow(
-            lambda b: _stays(b, wide, lattice), "cell long, row long, home boolean"
-        ),
-        "stays",
-    )
+    """:func:`lattice_links` of whole cells."""
     sizes = (
         stays.groupBy("cell")
         .agg(F.count(F.lit(1)).alias("size"), F.count_if("home").alias("homes"))
@@ -433,6 +425,44 @@ def lattice_links(
     return write_scratch(found, "links")
 
 
+def lattice_links(
+    vectors: DataFrame,
+    wide: str,
+    least: float = COSINE,
+    lattice: Lattice | None = None,
+    tile: int = TILE,
+    pass_rows: int = PASS_ROWS,
+) -> DataFrame:
+    """``row, links, hub`` from distinct vectors (``row, n, vector``: number, copies, bytes).
+
+    ``links`` add up to the copies of linked vectors, and links between ``row`` and
+    ``hub`` connect what links connect. Stored. More than ``pass_rows`` rows of vectors in
+    cells are not on disk at once, but one table's, and of these a part of the cells meets
+    the vectors at a time; a cell is never cut.
+    """
+    lattice = lattice or Lattice()
+    spark = vectors.sparkSession
+    rows = vectors.count() * lattice.tables * (1 + lattice.probes)
+    tables = [None] if rows <= pass_rows else range(lattice.tables)
+    slices = max(1, min(SLICES, -(-rows // (len(tables) * pass_rows))))
+    found = []
+    for number in tables:
+        stays = write_scratch(
+            vectors.select("row", "vector").mapInArrow(
+                lambda b, number=number: _stays(b, wide, lattice, number),
+                "cell long, row long, home boolean",
+            ),
+            "stays",
+        )
+        for k in range(slices):
+            own = stays if slices == 1 else stays.where(F.pmod("cell", F.lit(slices)) == k)
+            found.append(_links_within(own, vectors, wide, least, lattice, tile))
+            if len(tables) > 1:
+                free_shuffles(spark)
+        drop_table(stays)
+    return spark.read.schema(found[0].schema).parquet(*(t.scratch_path for t in found))
+
+
 def near_vectors(
     rows: DataFrame,
     id: str = "vec_id",
@@ -440,6 +470,7 @@ def near_vectors(
     least: float = COSINE,
     lattice: Lattice | None = None,
     tile: int = TILE,
+    pass_rows: int = PASS_ROWS,
 ) -> DataFrame:
     """``id, n_links, component_id, kept`` for every row.
 
@@ -469,8 +500,13 @@ def near_vectors(
         ),
         "classes",
     )
-    vectors = classes.select("row", "n").join(usable_rows.select("row", "vector"), "row")
-    found = lattice_links(vectors, wide, least, lattice, tile)
+    vectors = write_scratch(
+        classes.select("row", "n").join(usable_rows.select("row", "vector"), "row"), "distinct"
+    )
+    keys = write_scratch(numbered.select("id", "key"), "keys")
+    drop_table(numbered)
+    found = lattice_links(vectors, wide, least, lattice, tile, pass_rows)
+    drop_table(vectors)
     links = found.groupBy("row").agg(F.sum("links").alias("links"))
     nodes = connected_components(found.where("row <> hub"), "row", "hub")
     named = write_scratch(
@@ -487,8 +523,7 @@ def near_vectors(
     first = named.groupBy("component").agg(F.min("id").alias("component_id"))
     answer = named.join(first, "component").select("key", "n_links", "component_id")
     return (
-        numbered.select("id", "key")
-        .join(answer, "key", "left")
+        keys.join(answer, "key", "left")
         .select(
             F.col("id").alias(id),
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
