@@ -263,6 +263,15 @@ def test_a_crowd_whose_later_pairs_bring_no_new_rows(spark):
     assert {tuple(r)[1:3] for r in got} == {(1599, 0)} and len(got) == 1600
 
 
+@pytest.mark.parametrize("kinds", [2, 20, 10**9])
+def test_smallest_values_come_in_the_order_of_a_stable_sort(kinds):
+    values = np.random.default_rng(kinds).integers(0, kinds, (200, 30)).astype(float)
+    order = np.argsort(values, axis=1, kind="stable")
+    for count in (0, 1, 8, 29, 30, 31):
+        assert (lattice._smallest(values, count) == order[:, :count]).all()
+    assert lattice._smallest(values[:0], 8).shape == (0, 8)
+
+
 def test_cells_of_no_vectors():
     assert lattice.cells(np.empty((0, 64)), lattice.Lattice()).shape == (0, 4, 9)
 

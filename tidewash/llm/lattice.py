@@ -116,6 +116,21 @@ def _hash(points: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return ((2 * points).astype(np.int64).astype(np.uint64) * factors).sum(axis=1, dtype=np.uint64)
 
 
+def _smallest(values: np.ndarray, count: int) -> np.ndarray:
+    """The places of each row's ``count`` smallest values, in the order of a stable sort."""
+    width = values.shape[1]
+    if not 0 < count < width:
+        return np.argsort(values, axis=1, kind="stable")[:, :count]
+    low = values <= np.partition(values, count - 1, axis=1)[:, count - 1 : count]
+    tied = np.flatnonzero(low.sum(axis=1) != count)  # these rows are sorted as a whole
+    low[tied] = np.arange(width) < count
+    places = np.nonzero(low)[1].reshape(len(values), count)
+    order = np.argsort(np.take_along_axis(values, places, 1), axis=1, kind="stable")
+    places = np.take_along_axis(places, order, 1)
+    places[tied] = np.argsort(values[tied], axis=1, kind="stable")[:, :count]
+    return places
+
+
 def cells(units: np.ndarray, lattice: Lattice, only: int | None = None) -> np.ndarray:
     """For each vector and table, or one table, the cell it lives in, then those it visits."""
     count = len(units)
@@ -132,7 +147,7 @@ def cells(units: np.ndarray, lattice: Lattice, only: int | None = None) -> np.nd
             own, factor = y[:, 8 * b : 8 * b + 8], factors[8 * b : 8 * b + 8]
             point = decode(own)
             beyond = 2 - 2 * ((own - point) @ roots.T)
-            near = np.argsort(beyond, axis=1, kind="stable")[:, : lattice.near]
+            near = _smallest(beyond, lattice.near)
             steps = np.concatenate([np.zeros((count, 1)), np.take_along_axis(beyond, near, 1)], 1)
             names = np.concatenate(
                 [np.zeros((count, 1), np.uint64), _hash(roots, factor)[near]], 1
@@ -140,7 +155,7 @@ def cells(units: np.ndarray, lattice: Lattice, only: int | None = None) -> np.nd
             choices = cost.shape[1] * steps.shape[1]  # not -1, which no vectors leave open
             cost = (cost[:, :, None] + steps[:, None, :]).reshape(count, choices)
             code = (code[:, :, None] + names[:, None, :]).reshape(count, choices)
-            least = np.argsort(cost, axis=1, kind="stable")[:, : 1 + lattice.probes]
+            least = _smallest(cost, 1 + lattice.probes)
             cost, code = np.take_along_axis(cost, least, 1), np.take_along_axis(code, least, 1)
         found[:, place] = mix(code + np.uint64((number + 1) << 56))
     return found
@@ -153,12 +168,16 @@ def meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     Pairs that never meet get 0.
     """
     found = np.zeros(len(a), np.uint64)
-    for number in reversed(range(a.shape[1])):
+    apart = np.arange(len(a))  # pairs that have not met in the tables before
+    for number in range(a.shape[1]):
+        if number:
+            a, b = a[left], b[left]
         home_a, home_b = a[:, number, 0], b[:, number, 0]
         there = (a[:, number, 1:] == home_b[:, None]).any(axis=1)
-        here = (b[:, number, 1:] == home_a[:, None]).any(axis=1)
-        found = np.where(there, home_b, found)
-        found = np.where(here | (home_a == home_b), home_a, found)
+        here = (b[:, number, 1:] == home_a[:, None]).any(axis=1) | (home_a == home_b)
+        found[apart] = np.where(here, home_a, np.where(there, home_b, 0))
+        left = ~(here | there)
+        apart = apart[left]
     return found
 
 
